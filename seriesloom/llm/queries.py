@@ -3,9 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontaminate import find_contamination
 from .nearcopies import near_duplicates
+from .pitmanyor import pitman_yor_scores
+from .toxicity import held_out, toxicity_scores
+
+
+def op1_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor_scores(read_table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP2_SQL = r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+), b as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark
+), win as (
+  select item_id, least(len(w), 10) as k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as z
+  from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)
+), dw as (
+  select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as z
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from win) where len(w) >= k)
+), hit as (
+  select doc_id, i, dw.k as k, item_id from dw join win on dw.k = win.k and dw.z = win.z
+), words as (
+  select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from hit) group by doc_id
+), names as (
+  select doc_id, count(*) as n, string_agg(x, ',' order by x) as s from (select distinct doc_id, item_id::varchar as x from hit) group by doc_id
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(words.n, 0)::bigint as n_hit, coalesce(names.n, 0)::bigint as n_items,
+  sha256(coalesce(names.s, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
+from d left join words using (doc_id) left join names using (doc_id)
+"""
+
+
+def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity_scores(read_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +59,11 @@ def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 with recursive docs as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents
 ), sets as (
   select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) end as s
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s
   from docs
 ), rows as (select doc_id, unnest(s) as z from sets),
 pairs as (
@@ -31,5 +76,11 @@ select s.doc_id, len(s.s)::bigint as n_shingles, r.c as component_id, s.doc_id =
 from sets s join (select a, min(b) as c from reach group by a) r on r.a = s.doc_id
 """
 
-QUERIES = {"op8_minhash_near_duplicates": op8_minhash_near_duplicates}
-ORACLE_SQL = {"op8_minhash_near_duplicates": OP8_SQL}
+QUERIES = {
+    "op1_pitman_yor_scores": op1_pitman_yor_scores,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op9_toxicity_scores": op9_toxicity_scores,
+    "op8_minhash_near_duplicates": op8_minhash_near_duplicates}
+ORACLE_SQL = {
+    "op2_benchmark_decontamination": OP2_SQL,
+    "op8_minhash_near_duplicates": OP8_SQL}
