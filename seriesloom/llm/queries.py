@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .decontaminate import find_contamination
 from .nearcopies import near_duplicates
+from .packing import pack_documents
 from .pitmanyor import pitman_yor_scores
 from .toxicity import held_out, toxicity_scores
 
@@ -76,7 +77,18 @@ select s.doc_id, len(s.s)::bigint as n_shingles, r.c as component_id, s.doc_id =
 from sets s join (select a, min(b) as c from reach group by a) r on r.a = s.doc_id
 """
 
+def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES = {
+    "op10_retrieval_packing": op10_retrieval_packing,
     "op1_pitman_yor_scores": op1_pitman_yor_scores,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op9_toxicity_scores": op9_toxicity_scores,
