@@ -14,9 +14,11 @@ from .components import connected_components
 SHINGLE_WORDS = 5
 PERCENT = 75
 TOKENS = 32  # minwise tokens a document is embedded into
-ROOT_PATHS = 12  # positions that the root nodes of all trees choose
+ROOT_PATHS = 10  # positions that the root nodes of all trees choose
 LEAF = 64  # nodes of at most so many documents are compared exhaustively
-PIVOTS = 6  # documents of a large node that are compared with the whole node
+PIVOTS = 8  # documents of a large node that are compared with the whole node
+FEW = 32  # documents that no pivot joins, and that are then compared with the whole node
+CHUNK = 512
 MAX_DEPTH = 6
 
 
@@ -121,19 +123,35 @@ def _leaf(percent: int):
     return run
 
 
-def _compare(percent: int):
-    def run(batches):
-        for batch in batches:
-            link, likeness = [], []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                one = linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                link.append(one[0])
-                likeness.append(one[1])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rep"), batch.column("pivot"), pa.array(link), pa.array(likeness, pa.float64())], names=["node", "rep", "pivot", "link", "likeness"])
+def _against(percent: int):
+    """Compare a chunk of a node's documents with the node's pivots."""
+    schema = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("pivot", pa.int64())])
+
+    def run(chunk: pa.Table, pivots: pa.Table) -> pa.Table:
+        out: list = []
+        others = [(i, np.frombuffer(x, np.uint64)) for i, x in zip(pivots.column("pivot").to_pylist(), pivots.column("other").to_pylist(), strict=True)]
+        for rep, x in zip(chunk.column("rep").to_pylist(), chunk.column("shingles").to_pylist(), strict=True):
+            own = np.frombuffer(x, np.uint64)
+            out += [(rep, i) for i, other in others if i != rep and linked(own, other, percent)[0]]
+        node = chunk.column("node")[0].as_py() if chunk.num_rows else 0
+        return pa.table({"node": pa.array([node] * len(out), pa.int64()), "rep": pa.array([x[0] for x in out], pa.int64()), "pivot": pa.array([x[1] for x in out], pa.int64())}, schema=schema)
 
     return run
 
 
+def _star(nodes: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (node, rep, pivot) of all documents of nodes (node, rep, n) with the pivots.
+
+    A node's documents are dealt into chunks, and its pivots go to each of them.
+    """
+    chunks = F.ceil(F.col("n") / CHUNK)
+    left = nodes.select("node", "rep", F.pmod(F.xxhash64("rep"), chunks).alias("chunk")).join(sets, "rep")
+    sizes = nodes.select("node", chunks.alias("k")).distinct()
+    right = pivots.join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("other")), "pivot").join(sizes, "node")
+    right = right.select("node", "pivot", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("chunk"))
+    return left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInArrow(_against(percent), "node long, rep long, pivot long")
+
+
 def _chosen(node, tokens: int):
     """The one or two positions (4/3 on average) along which a node branches."""
     first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(tokens))
@@ -174,7 +192,7 @@ def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataF
     links = []
 
     def leaves(small: DataFrame) -> None:
-        links.append(small.select("node", "rep").join(sets, "rep").groupBy("node").applyInArrow(_leaf(percent), "a long, b long"))
+        links.append(materialize(small.select("node", "rep").join(sets, "rep").groupBy("node").applyInArrow(_leaf(percent), "a long, b long")))
 
     leaves(members.where(f"n <= {LEAF}"))
     state = members.where(f"n > {LEAF}").join(reps, "rep").select("node", "rep", "tokens", "n")
@@ -185,22 +203,24 @@ def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataF
         # pivots are compared with the whole node, so they can leave it
         drawn = (F.xxhash64("rep", "node", F.lit(depth)) / F.lit(2.0**64) + 0.5) < F.lit(float(PIVOTS)) / F.col("n")
         pivots = state.where(drawn).select("node", F.col("rep").alias("pivot"))
-        pivots = pivots.unionByName(state.groupBy("node").agg(F.min("rep").alias("pivot"))).distinct()
-        pivots = pivots.join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("y")), "pivot")
-        pairs = state.select("node", "rep").join(sets, "rep").withColumnRenamed("shingles", "x").join(pivots, "node").where("rep <> pivot")
-        compared = materialize(pairs.select("node", "rep", "pivot", "x", "y").mapInArrow(_compare(percent), "node long, rep long, pivot long, link boolean, likeness double"))
-        links.append(compared.where("link").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        # the pivot with the most links; by the triangle inequality of 1 - likeness, who is
-        # nearer to it than any unlinked document less the distance of a link can't link to one
-        best = compared.groupBy("node", "pivot").agg(F.count_if("link").alias("k"), F.min(F.when(~F.col("link"), 1 - F.col("likeness"))).alias("far"))
-        best = best.groupBy("node").agg(F.max_by(F.struct("pivot", "far"), F.struct("k", "pivot")).alias("b")).select("node", F.col("b.pivot").alias("pivot"), F.col("b.far").alias("far"))
-        rest = compared.join(best, ["node", "pivot"]).where(f"not link or 1 - likeness >= far - {1 - percent / 100} - 1e-9")
-        rest = rest.select("node", "rep", "link").join(pivots.select("node", F.col("pivot").alias("rep")), ["node", "rep"], "left_anti")
-        open_nodes = rest.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("link")).alias("u")).where("n > 1 and u > 0").select("node", "n")
-        rest = materialize(rest.select("node", "rep").join(open_nodes, "node").join(state.select("node", "rep", "tokens"), ["node", "rep"]))
-        leaves(rest.where(f"n <= {LEAF}"))
-        members = _sized(_branch(rest.where(f"n > {LEAF}"), TOKENS))
-        members = materialize(members)
+        pivots = materialize(pivots.unionByName(state.groupBy("node").agg(F.min("rep").alias("pivot"))).distinct())
+        star = materialize(_star(state, pivots, sets, percent))
+        links.append(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        # the pivot with the most links, and the pivots linked to it, have joined who is
+        # linked to any of them; among these no pair needs to be compared
+        best = star.groupBy("node", "pivot").count().groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+        main = star.join(best, ["node", "pivot"]).select("node", F.col("rep").alias("pivot")).join(pivots, ["node", "pivot"])
+        main = main.unionByName(best).distinct()
+        joined = star.join(main, ["node", "pivot"]).select("node", "rep").distinct()
+        apart = state.select("node", "rep").join(joined, ["node", "rep"], "left_anti").join(pivots.withColumnRenamed("pivot", "rep"), ["node", "rep"], "left_anti")
+        apart = materialize(apart)
+        left = apart.groupBy("node").agg(F.count("*").alias("u"))
+        # a few documents that are apart are compared with the whole node, which ends it
+        few = left.where(f"u <= {FEW}")
+        ends = _star(state.join(few, "node").select("node", "rep", "n"), apart.join(few, "node").select("node", F.col("rep").alias("pivot")), sets, percent)
+        links.append(materialize(ends.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))))
+        rest = state.join(left.where(f"u > {FEW}").select("node"), "node").join(pivots.withColumnRenamed("pivot", "rep"), ["node", "rep"], "left_anti")
+        members = materialize(_sized(_branch(rest, TOKENS)))
         leaves(members.where(f"n <= {LEAF}"))
         state = members.where(f"n > {LEAF}").select("node", "rep", "tokens", "n")
     if not state.isEmpty():
