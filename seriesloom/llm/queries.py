@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import find_contamination
+from .linededup import dedup_lines
 from .maintext import extract_main_text
 from .nearcopies import near_duplicates
 from .packing import pack_documents
 from .pitmanyor import pitman_yor_scores
 from .sharding import shard_documents
+from .syncmers import syncmer_fingerprints
 from .toxicity import held_out, toxicity_scores
 
 
@@ -79,6 +81,10 @@ select s.doc_id, len(s.s)::bigint as n_shingles, r.c as component_id, s.doc_id =
 from sets s join (select a, min(b) as c from reach group by a) r on r.a = s.doc_id
 """
 
+def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages"))
 
@@ -88,6 +94,10 @@ def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -99,6 +109,8 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {
+    "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
+    "op7_line_dedup": op7_line_dedup,
     "op5_main_text": op5_main_text,
     "op6_histogram_sharding": op6_histogram_sharding,
     "op10_retrieval_packing": op10_retrieval_packing,
