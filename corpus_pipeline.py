@@ -1,13 +1,66 @@
-"""The corpus pipeline: stages that each call one operator of seriesloom.llm."""
+"""The corpus pipeline: stages that each call one operator of seriesloom.llm.
+
+Language ID, line dedup, near-duplicate removal, benchmark decontamination, packing. Each
+stage gets what the one before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesloom.llm.common import materialize, read_table
+from seriesloom.llm.decontaminate import remove_contamination
+from seriesloom.llm.langid import keep_identified, train_text_model
+from seriesloom.llm.linededup import dedup_lines
+from seriesloom.llm.nearcopies import near_duplicates
+from seriesloom.llm.packing import pack_documents
+from seriesloom.llm.queries import tokenizer_path
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own, which later joins go by."""
+    return materialize(docs.withColumn("row_number", F.monotonically_increasing_id()))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; the others go."""
+    return keep_identified(docs, train_text_model(docs.select("text", "lang")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that earlier ones hold; those left without text go."""
+    rows = _numbered(docs)
+    found = dedup_lines(rows.select(F.col("row_number"), "doc_id", "text"), keep="row_number")
+    changed = found.where("n_removed > 0").select("row_number", F.col("text").alias("new_text"))
+    out = rows.join(changed, "row_number", "left")
+    text = F.when(F.col("new_text").isNull(), F.col("text")).otherwise(F.col("new_text"))
+    out = out.where(F.col("new_text").isNull() | (F.trim("new_text") != "")).withColumn("text", text)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near-duplicates."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the spans of benchmark items; mostly contaminated ones go."""
+    rows = _numbered(docs)
+    found = remove_contamination(rows.select(F.col("row_number").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    found = found.select(F.col("doc_id").alias("row_number"), F.when(F.col("n_hit") > 0, F.col("text")).alias("new_text"))
+    out = rows.join(found, "row_number").withColumn("text", F.coalesce("new_text", "text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return pack_documents(docs, tokenizer_path())
+
 
-STAGES = []
-ORACLE_SQL = None
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+ORACLE_SQL = None  # language ID and packing can't be put in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

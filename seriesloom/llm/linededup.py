@@ -87,8 +87,9 @@ def _by_key():
     return Window.partitionBy("key")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """row columns doc_id, text, n_lines, n_removed: documents without repeated lines.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep: str | None = None) -> DataFrame:
+    """doc_id, text, n_lines and n_removed: documents without repeated lines. `keep`
+    names a column of row numbers to return as well, in place of numbers made here.
 
     A line goes if an earlier one (by doc_id, then by place) is within one edit of it,
     both compared without case, outer blanks and runs of white space. Lines of fewer than
@@ -96,8 +97,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     all go becomes empty. Rows with a null doc_id come first; repeated rows are documents of
     their own, of which the first keeps its lines; extra columns are ignored.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(rows)
+    number = F.col(keep) if keep else F.monotonically_increasing_id()
+    rows = docs.select(number.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows if keep else materialize(rows)
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
     lines = lines.withColumn("line", normalized(F.col("raw"))).where(F.char_length("line") >= max(min_chars, 2 * ENDS))
     # where each distinct line comes first; copies are combined before the shuffle
@@ -113,4 +115,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     out = rows.join(gone, "row", "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    return out.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), "row")
+    return out.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), *([F.col("row").alias(keep)] if keep else []))

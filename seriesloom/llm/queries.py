@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import find_contamination
+from .langid import page_languages, train_text_model
 from .linededup import dedup_lines
 from .maintext import extract_main_text
 from .nearcopies import near_duplicates
@@ -81,6 +82,11 @@ select s.doc_id, len(s.s)::bigint as n_shingles, r.c as component_id, s.doc_id =
 from sets s join (select a, min(b) as c from reach group by a) r on r.a = s.doc_id
 """
 
+def op3_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train_text_model(read_table(spark, sf_dir, "documents").select("text", "lang"))
+    return page_languages(read_table(spark, sf_dir, "pages"), model)
+
+
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmer_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -95,7 +101,7 @@ def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read_table(spark, sf_dir, "documents")).drop("row")
+    return dedup_lines(read_table(spark, sf_dir, "documents"))
 
 
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +115,7 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {
+    "op3_language_evidence": op3_language_evidence,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
     "op7_line_dedup": op7_line_dedup,
     "op5_main_text": op5_main_text,
