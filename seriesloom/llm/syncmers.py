@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S = 12, 6
+K, S = 10, 6
 PIECE = 64  # k-mers in a piece; a substring is looked up within its piece
 SKETCH = 64  # least hashes that make up a fingerprint
 BLOCKS = 256  # blocks of neighbouring doc_ids
@@ -19,16 +19,19 @@ BLOCKS = 256  # blocks of neighbouring doc_ids
 def _anchors_of(piece: Column, k: int, s: int) -> Column:
     """(place in the piece, hash) of the closed syncmers among a piece's k-mers."""
     n = F.char_length(piece)
-    width = k - s + 1
     inner = F.transform(F.sequence(F.lit(1), n - s + 1), lambda i: F.xxhash64(F.substring(piece, i, F.lit(s))))
+    last = k - s
 
     def chosen(hashes: Column) -> Column:
-        window = lambda i: F.slice(hashes, i, width)
-        closed = lambda i: F.array_min(window(i)) == F.least(F.get(hashes, i - 1), F.get(hashes, i + width - 2))
-        return F.filter(F.sequence(F.lit(1), n - k + 1), closed)
+        def closed(i):
+            h = [F.get(hashes, i + j if j else i) for j in range(last + 1)]
+            return F.least(h[0], h[-1]) <= F.least(*h[1:-1]) if last > 2 else F.least(h[0], h[-1]) <= h[last // 2]
 
-    places = F.transform(F.array(inner), chosen)[0]
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.substring(piece, i, F.lit(k))).alias("hash")))
+        found = F.filter(F.sequence(F.lit(0), n - k), closed)
+        # the first and the last s-mer make up the k-mer, as k <= 2 * s
+        return F.transform(found, lambda i: F.struct(i.alias("place"), F.xxhash64(F.get(hashes, i), F.get(hashes, i + last)).alias("hash")))
+
+    return F.transform(F.array(inner), chosen)[0]
 
 
 def _pieces(text: Column, k: int) -> Column:
@@ -36,19 +39,19 @@ def _pieces(text: Column, k: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k},{PIECE + k - 1}}})).{{1,{PIECE}}}"), F.lit(1))
 
 
-def anchor_hashes(text: Column, k: int = K, s: int = S) -> Column:
-    """Hashes of all closed syncmers of a text in order; a text of fewer than k
-    characters has its own hash as the one anchor, an empty or null text none."""
-    inside = F.flatten(F.transform(_pieces(text, k), lambda p: F.transform(_anchors_of(p, k, s), lambda a: a["hash"])))
-    short = F.when(F.char_length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.char_length(text) >= k, inside).otherwise(short)
+def marks(text: Column, k: int = K, s: int = S) -> Column:
+    """(place from 0, hash) of all closed syncmers of a text; a text of fewer than k
+    characters has its own hash as the one anchor, an empty text none."""
+    inside = F.flatten(F.transform(_pieces(text, k), lambda p, j: F.transform(_anchors_of(p, k, s), lambda a: F.struct((j * PIECE + a["place"]).alias("place"), a["hash"].alias("hash")))))
+    one = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(text).alias("hash")))
+    return F.when(F.char_length(text) >= k, inside).when(F.char_length(text) > 0, one).otherwise(F.slice(one, 1, 0))
 
 
 def anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """doc_id, place (from 0) and hash of every closed syncmer, for positional matching."""
     pieces = docs.select("doc_id", F.posexplode(_pieces(F.col("text"), k)).alias("piece", "chars"))
     found = pieces.select("doc_id", "piece", F.explode(_anchors_of(F.col("chars"), k, s)).alias("a"))
-    return found.select("doc_id", (F.col("piece") * PIECE + F.col("a.place") - 1).cast("long").alias("place"), F.col("a.hash").alias("hash"))
+    return found.select("doc_id", (F.col("piece") * PIECE + F.col("a.place")).cast("long").alias("place"), F.col("a.hash").alias("hash"))
 
 
 def positional_matches(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -57,9 +60,9 @@ def positional_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "hash").groupBy("doc_id", "other", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("anchors"))
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH least distinct anchor hashes, in order."""
-    return F.slice(F.sort_array(F.array_distinct(anchor_hashes(text))), 1, SKETCH)
+def sketch(hashes: Column) -> Column:
+    """The SKETCH least distinct hashes, in order."""
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -69,25 +72,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.size(least))
 
 
-def with_next(docs: DataFrame, columns: list[str], blocks: int = BLOCKS) -> DataFrame:
-    """Adds next_* columns: those of the next row by falling doc_id, the first after the last.
-
-    Rows are dealt into blocks of neighbouring doc_ids; only a block's last row looks
-    into the first row of the block below, so no task holds more than a block.
-    """
+def blocked(docs: DataFrame, blocks: int = BLOCKS) -> tuple[DataFrame, list]:
+    """Adds block: docs dealt into blocks of neighbouring doc_ids, null ids in block -1."""
     cuts = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 20 * blocks).alias("p")).first()["p"]
     cuts = sorted(set(cuts or []))
     number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    row = F.struct(*columns)
-    rows = docs.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(number))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64(*columns)]
-    heads = rows.groupBy("block").agg(F.max_by(row, F.struct(F.col("doc_id"), -F.xxhash64(*columns).cast("decimal(20,0)"))).alias("head"))
-    tops = Window.orderBy(F.col("block").desc())
-    below = F.coalesce(F.lead("head").over(tops), F.first("head").over(tops))
-    heads = heads.select("block", below.alias("below"))  # one row for each of `blocks`
-    rows = rows.withColumn("after", F.lead(row).over(Window.partitionBy("block").orderBy(*order)))
-    out = rows.join(heads, "block").withColumn("after", F.coalesce("after", "below"))
-    return out.select(*docs.columns, *(F.col(f"after.{c}").alias(f"next_{c}") for c in columns))
+    return docs.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(number)), cuts
 
 
 def syncmer_fingerprints(docs: DataFrame) -> DataFrame:
@@ -99,18 +89,41 @@ def syncmer_fingerprints(docs: DataFrame) -> DataFrame:
     are empty ones: no anchors, an empty fingerprint; two of these have likeness 1. Rows
     with a null doc_id come last; ties and repeated rows follow one another in the order
     of their texts' hashes; a single row is its own next; extra columns are ignored.
+
+    Rows are dealt into blocks of neighbouring doc_ids; only a block's last row looks into
+    the first row of the block below, so no task holds more than a block. Anchors are free
+    of context, so those of the edited text are the text's own in the part that stays, the
+    next text's in the part that came, and those across the seam.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("marks", sketch(F.col("text"))), ["text", "marks"])
+    rows, _ = blocked(rows)
+    # the first row of each block (null ids: the least hash), then that of the block below
+    top = F.struct("doc_id", (-F.xxhash64("text").cast("decimal(20,0)")).alias("h"))
+    first = rows.groupBy("block").agg(F.max(top).alias("top"))
+    heads = rows.join(first, "block").where(top.eqNullSafe(F.col("top"))).groupBy("block").agg(F.max("text").alias("head"))
+    heads = heads.withColumn("head_marks", sketch(marks(F.col("head"))["hash"]))
+    down = Window.orderBy(F.col("block").desc())  # one row for each of the blocks
+    heads = heads.select("block", *(F.coalesce(F.lead(c).over(down), F.first(c).over(down)).alias(f"below_{c}") for c in ("head", "head_marks")))
+    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    rows = rows.withColumn("after", F.lead("text").over(order)).join(heads, "block").withColumn("after", F.coalesce("after", "below_head"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "marks", "next_marks", F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"))
-    rows = rows.withColumn("edited_marks", sketch(F.col("edited")))
+    rows = rows.select("doc_id", "block", "text", n.alias("n"), (n - half).alias("stay"), F.left("after", half).alias("come"), "below_head_marks")
+    rows = rows.withColumn("a", marks(F.col("text"))).withColumn("b", marks(F.col("come")))
+    edited = F.concat(F.left("text", F.col("stay")), F.col("come"))
+    seam = F.concat(F.right(F.left("text", F.col("stay")), F.lit(K - 1)), F.left("come", F.lit(K - 1)))
+    own = F.filter("a", lambda m: m["place"] <= F.col("stay") - K)["hash"]
+    other = F.when(F.char_length("come") >= K, F.col("b")["hash"]).otherwise(F.slice(F.col("b")["hash"], 1, 0))
+    across = F.when(F.char_length(seam) >= K, marks(seam)["hash"]).otherwise(F.slice(F.col("b")["hash"], 1, 0))
+    mixed = F.when((F.char_length(edited) >= K) & (F.col("n") >= K), F.concat(own, across, other)).otherwise(marks(edited)["hash"])
+    rows = rows.select("doc_id", "block", F.col("n").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), sketch(F.col("a")["hash"]).alias("marks"), sketch(mixed).alias("edited_marks"), "below_head_marks")
+    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "h")
+    rows = rows.withColumn("next_marks", F.coalesce(F.lead("marks").over(order), "below_head_marks"))
     shown = lambda c: F.array_join(F.transform(F.col(c), lambda h: F.lpad(F.hex(h), 16, "0")), "")
     return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "edited_sha256",
         shown("marks").alias("fingerprint"),
         shown("edited_marks").alias("edited_fingerprint"),
         likeness(F.col("marks"), F.col("edited_marks")).cast("double").alias("near_edited"),
