@@ -21,7 +21,7 @@ from .common import as_bytes, word_hashes
 
 END = np.uint64(1)  # the token that ends a text
 START = np.uint64(0)  # the context of a text's first token
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 SWEEPS, BURN_IN = 8, 3
 STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 1.0, 0.6, 10.0
