@@ -140,7 +140,7 @@ class Automaton:
 
 def _merge(a: list, b: list) -> list:
     out: list = []
-    for s, e in sorted([*a, *b]):
+    for s, e in sorted(map(tuple, [*a, *b])):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
