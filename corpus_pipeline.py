@@ -12,17 +12,12 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import materialize, read_table
 from seriesloom.llm.decontaminate import remove_contamination
 from seriesloom.llm.langid import keep_identified, train_text_model
-from seriesloom.llm.linededup import dedup_lines
+from seriesloom.llm.linededup import document_key, remaining, repeated_lines
 from seriesloom.llm.nearcopies import near_duplicates
 from seriesloom.llm.packing import pack_documents
 from seriesloom.llm.queries import tokenizer_path
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own, which later joins go by."""
-    return materialize(docs.withColumn("row_number", F.monotonically_increasing_id()))
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the others go."""
     return keep_identified(docs, train_text_model(docs.select("text", "lang")))
@@ -30,12 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that earlier ones hold; those left without text go."""
-    rows = _numbered(docs)
-    found = dedup_lines(rows.select(F.col("row_number"), "doc_id", "text"), keep="row_number")
-    changed = found.where("n_removed > 0").select("row_number", F.col("text").alias("new_text"))
-    out = rows.join(changed, "row_number", "left")
-    text = F.when(F.col("new_text").isNull(), F.col("text")).otherwise(F.col("new_text"))
-    out = out.where(F.col("new_text").isNull() | (F.trim("new_text") != "")).withColumn("text", text)
+    rows = docs.withColumn("document_key", document_key(docs))
+    gone = repeated_lines(docs).withColumnsRenamed({"doc": "document_key", "gone": "gone_places"})
+    out = rows.join(gone, "document_key", "left").withColumn("text", remaining(F.col("text"), F.col("gone_places")))
+    out = out.where(F.col("gone_places").isNull() | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
@@ -47,10 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans of benchmark items; mostly contaminated ones go."""
-    rows = _numbered(docs)
-    found = remove_contamination(rows.select(F.col("row_number").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    found = found.select(F.col("doc_id").alias("row_number"), F.when(F.col("n_hit") > 0, F.col("text")).alias("new_text"))
-    out = rows.join(found, "row_number").withColumn("text", F.coalesce("new_text", "text"))
+    out = remove_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -211,22 +211,66 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    engines = list(_automata(items, window, block_words))
+    for b, engine in enumerate(engines):
+        last = b == len(engines) - 1
+        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(engine), b == 0, clean or not last), _FOUND)
+    if clean:
+        rows = rows.mapInArrow(_clean, _FOUND)
+    return rows.withColumn("items", F.array_compact("items"))
+
+
+def _automata(items: DataFrame, window: int, block_words: int):
+    """The items' automata, each over a block of a bounded size."""
     named = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // (6 * block_words)))
     for b in range(n_blocks):
         part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
         listed = sorted(((r["item_id"], words_of(r["text"].encode())) for r in part), key=lambda x: (x[0] is None, x[0] or "", x[1]))
-        engine = Automaton([x for x in listed if x[1]], window)
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(engine), b == 0, clean or b < n_blocks - 1), _FOUND)
-    if clean:
-        rows = rows.mapInArrow(_clean, _FOUND)
-    return rows.withColumn("items", F.array_compact("items"))
+        yield Automaton([x for x in listed if x[1]], window)
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """Documents (doc_id, text, n_words, n_hit) without the spans of `window` words or
-    more that benchmark items hold; those of which the spans cover more than
-    `max_coverage` are left out."""
-    found = find_contamination(docs, items, window, clean=True)
-    return found.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)).select("doc_id", "text", "n_words", "n_hit")
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Documents, with all their columns, of which `text` is without the spans that
+    benchmark items hold (windows as in find_contamination); those of which the spans
+    cover more than `max_coverage` of the words are left out. No row is shuffled."""
+    spark = docs.sparkSession
+    at = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # any names, also clashing ones
+    rows = docs.toDF(*names)
+    rows = rows.withColumn(names[at], F.col(names[at]).cast("string")).withColumns({"spans": F.array().cast("array<array<int>>"), "n_words": F.lit(0)})
+    schema = rows.schema
+    for engine in _automata(items, window, block_words):
+        rows = rows.mapInArrow(_mark(spark.sparkContext.broadcast(engine), names[at]), schema)
+    covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s[1] - s[0])
+    rows = rows.where(covered <= F.col("n_words") * F.lit(max_coverage)).drop("n_words")
+    return rows.mapInArrow(_cut_column(names[at]), rows.schema).select(*names).toDF(*docs.columns)
+
+
+def _mark(automaton, text_column: str):
+    def run(batches):
+        engine = automaton.value
+        for batch in batches:
+            spans, counts = [], []
+            for text, old in zip(as_bytes(batch.column(text_column)), batch.column("spans").to_pylist(), strict=True):
+                words = words_of(text)
+                spans.append([list(s) for s in _merge(engine.hits(words)[0], old)])
+                counts.append(len(words))
+            keep = [c for c in batch.schema.names if c not in ("spans", "n_words")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(counts, pa.int32())], names=[*keep, "spans", "n_words"])
+
+    return run
+
+
+def _cut_column(text_column: str):
+    def run(batches):
+        for batch in batches:
+            text = batch.column(text_column)
+            spans = batch.column("spans").to_pylist()
+            if any(spans):
+                text = pa.array([cut(t.encode(), s).decode("utf-8", "replace") if s else t for t, s in zip(text.to_pylist(), spans, strict=True)], pa.string())
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([text if c == text_column else batch.column(c) for c in names], names=names)
+
+    return run

@@ -23,6 +23,7 @@ TEMPER = 0.25  # trigrams overlap, so their evidence counts for less
 STRENGTH = 5.0  # rows that a level of the hierarchy weighs against the level below
 MIN_GRAMS = 3  # texts with fewer trigrams with letters say nothing
 MIN_POSTERIOR = 0.5
+SENT_HOSTS = 100_000  # hosts whose counts are sent to all executors at most
 
 _LETTERS = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -80,18 +81,19 @@ def train_text_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Tex
     return TextModel(languages, np.array(smooth, np.float32))
 
 
-def _score_text(shared, markup: bool):
+def _score_text(shared, markup: bool, text_column: str, kept: list[str]):
+    """Adds likelihood and said (the language of the text alone) to the kept columns."""
+
     def run(batches):
         model = shared.value
         for batch in batches:
             likelihoods, said = [], []
-            for text in as_bytes(batch.column("text")):
+            for text in as_bytes(batch.column(text_column)):
                 n, ll = model.log_likelihoods(_MARKUP.sub(b" ", text) if markup and text else text)
                 ll = (ll - ll.max()) * TEMPER
                 likelihoods.append(ll.tolist())
                 said.append(int(ll.argmax()) if n >= MIN_GRAMS else None)
-            keep = [batch.column(c) for c in ("key", "host", "declared")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(likelihoods, pa.list_(pa.float64())), pa.array(said, pa.int32())], names=["key", "host", "declared", "likelihood", "said"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(likelihoods, pa.list_(pa.float64())), pa.array(said, pa.int32())], names=[*kept, "likelihood", "said"])
 
     return run
 
@@ -104,62 +106,67 @@ def _share(counts: str, parent: Column, languages: int) -> Column:
     return F.transform(F.arrays_zip(own.alias("n"), parent.alias("p")), lambda x: (x["n"] + STRENGTH * x["p"]) / (total + STRENGTH))
 
 
-def identify_languages(rows: DataFrame, model: TextModel, markup: bool = False) -> DataFrame:
-    """key, language, posterior, declared, text_language and host for every row.
+def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[str], markup: bool = False) -> DataFrame:
+    """The kept columns, and language, posterior, declared, text_language and host.
+
+    rows: the text in the column `text`, x_host and x_declared. The text's own verdict is
+    what the host levels and the declarations are counted by; a row's own verdict is
+    taken out of its host's count. A language is null ("not identified") where nothing
+    but the prior speaks: too few letters and no declared language of the model. Null
+    hosts are one host ""; null texts are empty; ties go to the language first in
+    alphabetical order; repeated rows count as often as they are there.
 
-    rows: key, text, host and declared. The text's own verdict is what the host levels
-    and the declarations are counted by; a row's own verdict is taken out of its host's
-    count. A language is null ("not identified") where nothing but the prior speaks: too
-    few letters and no declared language of the model. Null hosts are one host "";
-    null texts are empty; ties go to the language first in alphabetical order; repeated
-    rows count as often as they are there.
+    Texts are scored twice rather than shuffled: for the counts, and beside the rows.
     """
     spark = rows.sparkSession
     k = len(model.languages)
-    host = F.lower(F.coalesce(F.col("host").cast("string"), F.lit("")))
-    rows = rows.select(F.col("key"), F.col("text").cast("string").alias("text"), host.alias("host"), F.lower(F.substring(F.col("declared").cast("string"), 1, 2)).alias("declared"))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, host string, declared string, likelihood array<double>, said int"
-    scored = rows.mapInArrow(_score_text(spark.sparkContext.broadcast(model), markup), schema)
-    scored = scored.withColumn("domain", F.regexp_extract("host", r"([^.]*\.[^.]*)$|^([^.]*)$", 0)).withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0))
-    scored = materialize(scored)
+    host = F.lower(F.coalesce(F.col("x_host").cast("string"), F.lit("")))
+    rows = rows.withColumns({"x_host": host, "x_declared": F.lower(F.substring(F.col("x_declared").cast("string"), 1, 2)), text: F.col(text).cast("string")})
+    shared = spark.sparkContext.broadcast(model)
+    evidence = ", likelihood array<double>, said int"
+    narrow = rows.select("x_host", "x_declared", text).mapInArrow(_score_text(shared, markup, text, ["x_host", "x_declared"]), "x_host string, x_declared string" + evidence)
     # one grouped aggregation counts the verdicts on all levels
-    counts = F.array(*(F.count_if(F.col("said") == i) for i in range(k))).alias("n")
-    by_host = materialize(scored.where("said is not null").groupBy("suffix", "domain", "host").agg(counts))
-    added = F.array(*(F.sum(F.col("n")[i]) for i in range(k)))
-    by_domain = by_host.groupBy("suffix", "domain").agg(added.alias("n_domain"))
-    by_suffix = by_domain.groupBy("suffix").agg(F.array(*(F.sum(F.col("n_domain")[i]) for i in range(k))).alias("n_suffix"))
+    verdicts = F.array(*(F.count_if(F.col("said") == i) for i in range(k))).alias("n")
+    counted = materialize(narrow.where("said is not null").groupBy("x_host", "x_declared").agg(verdicts))
+    added = lambda c: F.array(*(F.sum(F.col(c)[i]) for i in range(k)))
+    domain = F.regexp_extract("x_host", r"([^.]*\.[^.]*)$|^([^.]*)$", 0).alias("domain")
+    by_host = counted.groupBy("x_host", domain, F.regexp_extract("x_host", r"[^.]*$", 0).alias("suffix")).agg(added("n").alias("n_host"))
+    by_domain = by_host.groupBy("suffix", "domain").agg(added("n_host").alias("n_domain"))
+    by_suffix = by_domain.groupBy("suffix").agg(added("n_domain").alias("n_suffix"))
     everything = by_suffix.agg(*(F.coalesce(F.sum(F.col("n_suffix")[i]), F.lit(0)).alias(f"c{i}") for i in range(k))).first()
     top = np.array([everything[f"c{i}"] + 1.0 for i in range(k)])
     overall = F.lit((top / top.sum()).tolist())
     levels = by_host.join(by_domain, ["suffix", "domain"]).join(by_suffix, "suffix")
-    levels = levels.select("host", F.col("n").alias("n_host"), _share("n_domain", _share("n_suffix", overall, k), k).alias("p_domain"))
+    levels = materialize(levels.select("x_host", "n_host", _share("n_domain", _share("n_suffix", overall, k), k).alias("p_domain")))
     # P(declared | language), also by the texts' verdicts
-    declared = scored.where("said is not null and declared is not null").groupBy("declared").agg(counts)
-    told = declared.where(F.col("declared").isin(model.languages)).collect()  # one row for a language
+    told = counted.where(F.col("x_declared").isin(model.languages)).groupBy("x_declared").agg(added("n").alias("n")).collect()
     table = np.full((k, k), 0.5) + 4.5 * np.eye(k)
-    for row in told:
-        table[model.languages.index(row["declared"])] += row["n"]
+    for row in told:  # one row for a language
+        table[model.languages.index(row["x_declared"])] += row["n"]
     says = np.log(table / table.sum(axis=0, keepdims=True))
-    evidence = F.lit([0.0] * k)
+    declared = F.lit([0.0] * k)
     for i, name in enumerate(model.languages):
-        evidence = F.when(F.col("declared") == name, F.lit(says[i].tolist())).otherwise(evidence)
-    out = scored.join(levels, "host", "left").withColumn("p_domain", F.coalesce("p_domain", overall))
+        declared = F.when(F.col("x_declared") == name, F.lit(says[i].tolist())).otherwise(declared)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+    scored = rows.mapInArrow(_score_text(shared, markup, text, [*kept, "x_host", "x_declared"]), f"{names}, x_host string, x_declared string" + evidence)
+    few = levels.limit(SENT_HOSTS + 1).count() <= SENT_HOSTS
+    out = scored.join(F.broadcast(levels) if few else levels, "x_host", "left").withColumn("p_domain", F.coalesce("p_domain", overall))
     own = F.transform(F.coalesce("n_host", F.lit([0] * k)), lambda n, i: n - F.when(F.col("said") == i, 1).otherwise(0))
     out = out.withColumn("n_own", own).withColumn("prior", _share("n_own", F.col("p_domain"), k))
-    text = F.when(F.col("said").isNotNull(), F.col("likelihood")).otherwise(F.lit([0.0] * k))
-    parts = F.arrays_zip(F.col("prior"), text.alias("t"), evidence.alias("d"))
+    likelihood = F.when(F.col("said").isNotNull(), F.col("likelihood")).otherwise(F.lit([0.0] * k))
+    parts = F.arrays_zip(F.col("prior"), likelihood.alias("t"), declared.alias("d"))
     out = out.withColumn("weight", F.transform(parts, lambda x: F.ln(x["prior"]) + x["t"] + x["d"]))
     out = out.withColumn("weight", F.transform("weight", lambda w: F.exp(w - F.array_max("weight"))))
     best = F.array_position("weight", F.array_max("weight")).cast("int")
-    names = F.lit(model.languages)
-    speaks = F.col("said").isNotNull() | F.col("declared").isin(model.languages)
+    known = F.lit(model.languages)
+    speaks = F.col("said").isNotNull() | F.coalesce(F.col("x_declared").isin(model.languages), F.lit(False))
     return out.select(
-        "key",
-        F.when(speaks, F.get(names, best - 1)).alias("language"),
+        *kept,
+        F.when(speaks, F.get(known, best - 1)).alias("language"),
         F.round(F.array_max("weight") / F.aggregate("weight", F.lit(0.0), lambda a, x: a + x), 9).alias("posterior"),
-        F.when(F.col("declared").isin(model.languages), F.col("declared")).alias("declared"),
-        F.get(names, F.col("said")).alias("text_language"),
-        "host",
+        F.when(F.col("x_declared").isin(model.languages), F.col("x_declared")).alias("declared"),
+        F.get(known, F.col("said")).alias("text_language"),
+        F.col("x_host").alias("host"),
     )
 
 
@@ -171,10 +178,8 @@ def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
     """
     declared = F.nullif(F.regexp_extract("html", r"(?is)^.{0,4096}?<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1), F.lit(""))
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
-    key = F.struct(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    rows = pages.select(key.alias("key"), F.col("html").cast("string").alias("text"), host.alias("host"), declared.alias("declared"))
-    found = identify_languages(rows, model, markup=True)
-    return found.select("key.*", *(c for c in found.columns if c != "key"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("x_host"), declared.alias("x_declared"))
+    return identify_languages(rows, model, "html", ["page_id", "url"], markup=True)
 
 
 def keep_identified(docs: DataFrame, model: TextModel, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
@@ -185,10 +190,7 @@ def keep_identified(docs: DataFrame, model: TextModel, min_posterior: float = MI
     `min_posterior`. Columns are those of `docs`.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]  # any names, also clashing ones
-    plain = docs.toDF(*names)
     at = {c: names[i] for i, c in reversed(list(enumerate(docs.columns)))}
-    numbered = materialize(plain.withColumn("row", F.monotonically_increasing_id()))
-    rows = numbered.select(F.col("row").alias("key"), F.col(at["text"]).alias("text"), F.col(at["source"]).alias("host"), F.col(at["lang"]).alias("declared"))
-    found = identify_languages(rows, model)
-    good = found.where(F.col("text_language").isNotNull() & (F.col("posterior") >= min_posterior)).select(F.col("key").alias("row"))
-    return numbered.join(good, "row", "left_semi").select(*names).toDF(*docs.columns)
+    rows = docs.toDF(*names).withColumns({"x_host": F.col(at["source"]), "x_declared": F.col(at["lang"])})
+    found = identify_languages(rows, model, at["text"], names)
+    return found.where(F.col("text_language").isNotNull() & (F.col("posterior") >= min_posterior)).select(*names).toDF(*docs.columns)

@@ -9,13 +9,14 @@ edit distance is verified.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 MIN_CHARS = 20  # shorter lines are left alone
-ENDS = 4  # characters at either end whose deletions are emitted
+ENDS = 3  # characters at either end whose deletions are emitted
+SENT_IDS = 200_000  # hashes of lines that are sent to all executors at most
 CROWD = 64  # lines of one key, beyond which all deletion variants of these lines are used
 
 
@@ -56,63 +57,69 @@ def _all_deletions(line: Column) -> Column:
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
-    """(later, earlier) line ids of equal keys, from rows (key, id)."""
-    a = keyed.select("key", F.col("id").alias("later"))
-    b = keyed.select("key", F.col("id").alias("earlier"))
-    return a.join(b, "key").where("earlier < later").select("later", "earlier").distinct()
+    """(a, b), a < b, of equal keys, from rows (key, h)."""
+    other = keyed.select("key", F.col("h").alias("b"))
+    return keyed.select("key", F.col("h").alias("a")).join(other, "key").where("a < b").select("a", "b").distinct()
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
-    """Ids of lines (id, line) within one edit of a line of a lesser id.
+def _only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the ids, which are sent to all if they are few."""
+    return rows.join(F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids, key, "left_semi")
 
-    Lines are distinct, of at least 2 * ENDS characters; ids order them.
+
+def document_key(docs: DataFrame) -> Column:
+    """Hash of doc_id and text; repeated rows are one document."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc (see document_key) and gone: the places of the lines to be removed.
+
+    Lines are known by two hashes; texts of lines are fetched only of those that share a
+    key with another line.
     """
-    keyed = lines.select("id", F.explode(_keys(F.col("line"))).alias("key"))
-    crowd = F.count("*").over(_by_key()).alias("crowd")
-    shared = materialize(keyed.select("id", "key", crowd).where("crowd > 1"))
-    few = _pairs(shared.where(F.col("crowd") <= CROWD))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", document_key(rows).alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    lines = rows.select("doc_id", "doc", "place", normalized(F.col("raw")).alias("line")).where(F.char_length("line") >= max(min_chars, 2 * ENDS))
+    names = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g")]
+    spot = F.struct("doc_id", "doc", "place")
+    # where each distinct line comes first; copies are combined before the shuffle
+    places = lines.select("doc_id", "doc", "place", *names)
+    first = materialize(places.groupBy("h", "g").agg(F.min(spot).alias("first"), F.count("*").alias("copies")))
+    again = places.join(first.where("copies > 1").select("h", "g", "first"), ["h", "g"]).where(~spot.eqNullSafe(F.col("first"))).select("doc", "place")
+    keyed = lines.select(names[0], F.explode(_keys(F.col("line"))).alias("key")).repartition("key").distinct()
+    crowd = F.count("*").over(Window.partitionBy("key"))
+    shared = materialize(keyed.select("h", "key", crowd.alias("crowd")).where("crowd > 1"))
+    few = materialize(_pairs(shared.where(F.col("crowd") <= CROWD).select("key", "h")))
     # who shares a key with many gets all deletion variants, which only true neighbours share
-    many = shared.where(F.col("crowd") > CROWD).select("id").distinct()
-    full = lines.join(many, "id", "left_semi").select("id", F.explode(_all_deletions(F.col("line"))).alias("key"))
+    many = shared.where(F.col("crowd") > CROWD).select("h").distinct()
+    wanted = few.select(F.col("a").alias("h")).unionByName(few.select(F.col("b").alias("h"))).unionByName(many).distinct()
+    texts = materialize(_only(lines.select(*names, "line"), materialize(wanted), "h").dropDuplicates(["h", "g"]))
+    full = texts.join(many, "h", "left_semi").select("h", F.explode(_all_deletions(F.col("line"))).alias("key"))
     pairs = few.unionByName(_pairs(full)).distinct()
-    later = lines.select(F.col("id").alias("later"), F.col("line").alias("line"))
-    earlier = lines.select(F.col("id").alias("earlier"), F.col("line").alias("other"))
-    near = pairs.join(later, "later").join(earlier, "earlier").where(F.levenshtein("line", "other", 1).between(0, 1))
-    return near.select(F.col("later").alias("id")).distinct()
-
+    spots = texts.join(first, ["h", "g"]).select("h", "line", "first")
+    one, two = (spots.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}")) for x in "ab")
+    near = pairs.join(one, "a").join(two, "b").where(F.levenshtein("line_a", "line_b", 1).between(0, 1))
+    near = near.select(F.greatest("first_a", "first_b").alias("later")).select(F.col("later.doc").alias("doc"), F.col("later.place").alias("place"))
+    return again.unionByName(near).groupBy("doc").agg(F.collect_set("place").alias("gone"))
 
-def _by_key():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("key")
+def remaining(text: Column, gone: Column) -> Column:
+    """The text without the lines at these places."""
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep: str | None = None) -> DataFrame:
-    """doc_id, text, n_lines and n_removed: documents without repeated lines. `keep`
-    names a column of row numbers to return as well, in place of numbers made here.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, text, n_lines and n_removed: documents without repeated lines.
 
     A line goes if an earlier one (by doc_id, then by place) is within one edit of it,
     both compared without case, outer blanks and runs of white space. Lines of fewer than
     `min_chars` characters stay. Null texts have no lines and stay null; a text whose lines
-    all go becomes empty. Rows with a null doc_id come first; repeated rows are documents of
-    their own, of which the first keeps its lines; extra columns are ignored.
+    all go becomes empty. Rows with a null doc_id come first; rows that repeat doc_id and
+    text are one document and get the same result; extra columns are ignored.
     """
-    number = F.col(keep) if keep else F.monotonically_increasing_id()
-    rows = docs.select(number.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows if keep else materialize(rows)
-    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    lines = lines.withColumn("line", normalized(F.col("raw"))).where(F.char_length("line") >= max(min_chars, 2 * ENDS))
-    # where each distinct line comes first; copies are combined before the shuffle
-    spot = F.struct("doc_id", "row", "place")
-    first = lines.groupBy("line").agg(F.min(spot).alias("first"), F.count("*").alias("copies"))
-    first = materialize(first)
-    # ids in the order of the places: line ids sort as (doc_id, row, place) do
-    near = repeated_lines(first.select(F.col("first").alias("id"), "line"))
-    spare = near.select(F.col("id.row").alias("row"), F.col("id.place").alias("place"))
-    again = lines.join(first.where("copies > 1").select("line", F.col("first").alias("kept")), "line").where(~F.struct("doc_id", "row", "place").eqNullSafe(F.col("kept")))
-    gone = spare.unionByName(again.select("row", "place")).distinct().groupBy("row").agg(F.collect_list("place").alias("gone"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
-    out = rows.join(gone, "row", "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    return out.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), *([F.col("row").alias(keep)] if keep else []))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = rows.withColumn("doc", document_key(rows)).join(repeated_lines(docs, min_chars), "doc", "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", remaining(F.col("text"), F.col("gone")).alias("text"), n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
