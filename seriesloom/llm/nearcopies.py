@@ -124,31 +124,46 @@ def _leaf(percent: int):
 
 
 def _against(percent: int):
-    """Compare a chunk of a node's documents with the node's pivots."""
+    """Compare a chunk of a node's documents with the node's pivots, as far as they haven't
+    joined; documents that are known to have joined (side 1) are one from the start."""
     schema = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("pivot", pa.int64())])
 
     def run(chunk: pa.Table, pivots: pa.Table) -> pa.Table:
+        root: dict = {}
+
+        def find(x):
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = root.setdefault(y, y)
+                x = root[x]
+            return x
+
         out: list = []
-        others = [(i, np.frombuffer(x, np.uint64)) for i, x in zip(pivots.column("pivot").to_pylist(), pivots.column("other").to_pylist(), strict=True)]
-        for rep, x in zip(chunk.column("rep").to_pylist(), chunk.column("shingles").to_pylist(), strict=True):
+        others = sorted((i, x) for i, x in zip(pivots.column("pivot").to_pylist(), pivots.column("other").to_pylist(), strict=True))
+        others = [(i, np.frombuffer(x, np.uint64)) for i, x in others]
+        rows = sorted(zip(chunk.column("rep").to_pylist(), chunk.column("side").to_pylist(), chunk.column("shingles").to_pylist(), strict=True))
+        for rep, side, _ in rows:
+            if side:
+                root[find(rep)] = find("joined")
+        for rep, _, x in rows:
             own = np.frombuffer(x, np.uint64)
-            out += [(rep, i) for i, other in others if i != rep and linked(own, other, percent)[0]]
+            for i, other in others:
+                if i != rep and find(rep) != find(i) and linked(own, other, percent)[0]:
+                    root[find(rep)] = find(i)
+                    out.append((rep, i))
         node = chunk.column("node")[0].as_py() if chunk.num_rows else 0
         return pa.table({"node": pa.array([node] * len(out), pa.int64()), "rep": pa.array([x[0] for x in out], pa.int64()), "pivot": pa.array([x[1] for x in out], pa.int64())}, schema=schema)
 
     return run
 
 
-def _star(nodes: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (node, rep, pivot) of all documents of nodes (node, rep, n) with the pivots.
-
-    A node's documents are dealt into chunks, and its pivots go to each of them.
-    """
+def _star(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (node, rep, pivot) that join documents of nodes (node, rep, n, side, is_pivot)
+    with the pivots among them. A node's documents are dealt into chunks, and its pivots
+    go to each of them; the sets are shuffled once."""
     chunks = F.ceil(F.col("n") / CHUNK)
-    left = nodes.select("node", "rep", F.pmod(F.xxhash64("rep"), chunks).alias("chunk")).join(sets, "rep")
-    sizes = nodes.select("node", chunks.alias("k")).distinct()
-    right = pivots.join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("other")), "pivot").join(sizes, "node")
-    right = right.select("node", "pivot", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("chunk"))
+    full = nodes.join(sets, "rep")
+    left = full.select("node", "rep", "side", "shingles", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
+    right = full.where("is_pivot").select("node", F.col("rep").alias("pivot"), F.col("shingles").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
     return left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInArrow(_against(percent), "node long, rep long, pivot long")
 
 
@@ -197,27 +212,33 @@ def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataF
     leaves(members.where(f"n <= {LEAF}"))
     state = members.where(f"n > {LEAF}").join(reps, "rep").select("node", "rep", "tokens", "n")
     state = materialize(state)
+    if not state.isEmpty():
+        sets = materialize(sets.join(state.select("rep").distinct(), "rep", "left_semi"))
     for depth in range(MAX_DEPTH):
         if state.isEmpty():
             break
         # pivots are compared with the whole node, so they can leave it
         drawn = (F.xxhash64("rep", "node", F.lit(depth)) / F.lit(2.0**64) + 0.5) < F.lit(float(PIVOTS)) / F.col("n")
-        pivots = state.where(drawn).select("node", F.col("rep").alias("pivot"))
-        pivots = materialize(pivots.unionByName(state.groupBy("node").agg(F.min("rep").alias("pivot"))).distinct())
-        star = materialize(_star(state, pivots, sets, percent))
+        least = state.groupBy("node").agg(F.min("rep").alias("least"))
+        flagged = materialize(state.join(least, "node").select("node", "rep", "n", F.lit(0).alias("side"), (drawn | (F.col("rep") == F.col("least"))).alias("is_pivot")))
+        pivots = flagged.where("is_pivot").select("node", F.col("rep").alias("pivot"))
+        star = materialize(_star(flagged, sets, percent))
         links.append(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        # the pivot with the most links, and the pivots linked to it, have joined who is
-        # linked to any of them; among these no pair needs to be compared
+        # the pivot with the most links, and the pivots that a document links to it, have
+        # joined who is linked to any of them; among these no pair needs to be compared
         best = star.groupBy("node", "pivot").count().groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-        main = star.join(best, ["node", "pivot"]).select("node", F.col("rep").alias("pivot")).join(pivots, ["node", "pivot"])
-        main = main.unionByName(best).distinct()
+        linked_to = star.join(best, ["node", "pivot"]).select("node", "rep")
+        main = linked_to.select("node", F.col("rep").alias("pivot")).join(pivots, ["node", "pivot"])
+        main = main.unionByName(star.join(linked_to, ["node", "rep"]).select("node", "pivot")).unionByName(best).distinct()
         joined = star.join(main, ["node", "pivot"]).select("node", "rep").distinct()
         apart = state.select("node", "rep").join(joined, ["node", "rep"], "left_anti").join(pivots.withColumnRenamed("pivot", "rep"), ["node", "rep"], "left_anti")
         apart = materialize(apart)
         left = apart.groupBy("node").agg(F.count("*").alias("u"))
         # a few documents that are apart are compared with the whole node, which ends it
         few = left.where(f"u <= {FEW}")
-        ends = _star(state.join(few, "node").select("node", "rep", "n"), apart.join(few, "node").select("node", F.col("rep").alias("pivot")), sets, percent)
+        sides = state.join(few, "node").join(joined.withColumn("side", F.lit(1)), ["node", "rep"], "left")
+        sides = sides.join(apart.withColumn("is_pivot", F.lit(True)), ["node", "rep"], "left")
+        ends = _star(sides.select("node", "rep", "n", F.coalesce("side", F.lit(0)).alias("side"), F.coalesce("is_pivot", F.lit(False)).alias("is_pivot")), sets, percent)
         links.append(materialize(ends.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))))
         rest = state.join(left.where(f"u > {FEW}").select("node"), "node").join(pivots.withColumnRenamed("pivot", "rep"), ["node", "rep"], "left_anti")
         members = materialize(_sized(_branch(rest, TOKENS)))
