@@ -163,8 +163,8 @@ def _star(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     chunks = F.ceil(F.col("n") / CHUNK)
     full = nodes.join(sets, "rep")
     left = full.select("node", "rep", "side", "shingles", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
-    right = full.where("is_pivot").select("node", F.col("rep").alias("pivot"), F.col("shingles").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
-    return left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInArrow(_against(percent), "node long, rep long, pivot long")
+    right = full.where("is_pivot").select(F.col("node").alias("to"), F.col("rep").alias("pivot"), F.col("shingles").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("part"))
+    return left.groupBy("node", "chunk").cogroup(right.groupBy("to", "part")).applyInArrow(_against(percent), "node long, rep long, pivot long")
 
 
 def _chosen(node, tokens: int):
