@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import audit, federated, lifetime, metrics, runlog, sampling, trajectories, windows
+from ..operators import audit, federated, lifetime, metrics, roles, runlog, sampling, trajectories, windows
 from . import tables as T
 
 QUERIES: dict = {}
@@ -486,3 +486,39 @@ def series_ids(spark: SparkSession, d: str) -> DataFrame:
         V.short_trajectory_id(train, None, F.col("user_id")).alias("short_id"),
         V.sample_key("s", F.concat(F.lit("FD"), F.col("event_type")), train, V.source_split(train), F.col("user_id"), F.col("user_id")).alias("sample_key"),
     )
+
+
+@query(f"""with {_TILES}, s as (select split, count(*) as n_source from obs group by 1), c as (select o.split, count(distinct (t.unit, t.w_start + t.w_pos)) as n_covered, count(*) as n_valid from tiles t join (select distinct unit, split from obs) o on o.unit = t.unit group by 1)
+select s.split, n_source, n_covered, n_valid, n_source - n_covered as n_dropped from s join c on c.split = s.split""")
+def window_accounting(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.event_rows(spark, d)
+    return roles.row_accounting(rows, windows.tile(rows, ["unit"], 64, 32), ["split"])
+
+
+@query("""with w as (select l_suppkey as unit, l_orderkey % 200 as w_idx, 0 as channel, count(*) as n, coalesce(var_pop(round(l_discount, 1)), 0) as v from lineitem group by 1, 2
+union all select l_suppkey, l_orderkey % 200, 1, count(*), coalesce(var_pop(round(l_tax)), 0) from lineitem group by 1, 2), f as (select * from w where n >= 2 and v < 1e-6), m as (select unit, min(w_idx) as w_idx from f group by 1)
+select channel, count(distinct f.unit) as n_trajectories from f join m on m.unit = f.unit and m.w_idx = f.w_idx group by 1""")
+def constant_channels(spark: SparkSession, d: str) -> DataFrame:
+    li = T.read(spark, d, "lineitem")
+    rows = li.select(F.col("l_suppkey").alias("unit"), (F.col("l_orderkey") % 200).alias("w_idx"), F.monotonically_increasing_id().alias("w_pos"), F.array(F.round("l_discount", 1), F.round("l_tax", 0)).alias("x"))
+    return roles.constant_channels(windows.normalize(rows, ["unit", "w_idx"]))
+
+
+@query(f"with {T.NATIONS} select client, dataset, round(patches / sum(patches) over (), 9) as share from nations")
+def fallback_plan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(roles.fallback_plan(T.nation_table(spark, d)), 9)
+
+
+@query(f"with {T.NATIONS} select dataset, case when client = 'ASIA' then 'target' end as role from nations where client = 'ASIA' or client = 'EUROPE'")
+def plan_guard(spark: SparkSession, d: str) -> DataFrame:
+    n = T.nation_table(spark, d)
+    listed = n.where("client <> 'EUROPE'").select("dataset", F.when(F.col("client") == "ASIA", "target").otherwise("source").alias("role"))
+    return roles.not_sources(n, listed)
+
+
+@query("""with a as (select l_returnflag as split, count(*) as n from lineitem group by 1), b as (select l_returnflag as split, count(*) as n from lineitem where l_returnflag <> 'A' and l_quantity > 0 group by 1)
+select split, a.n as n_preview, b.n as n_written from a full join b using (split) where a.n is distinct from b.n""")
+def written_counts(spark: SparkSession, d: str) -> DataFrame:
+    li = T.read(spark, d, "lineitem").withColumnRenamed("l_returnflag", "split")
+    count = lambda df: df.groupBy("split").agg(F.count("*").alias("n"))
+    return roles.count_differences(count(li), count(li.where("split <> 'A' and l_quantity > 0")), ["split"], ["n"])

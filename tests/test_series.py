@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions import values as V
-from seriesloom.operators import audit, federated, lifetime, metrics, runlog, sampling, trajectories, windows
+from seriesloom.operators import audit, federated, lifetime, metrics, roles, runlog, sampling, trajectories, windows
 from seriesloom.sources import records, samples, sensors
 from seriesloom.streaming import follow
 
@@ -308,3 +308,25 @@ def test_roles_and_target_kinds(spark):
     kind = lambda name, t, n, k, lo, hi, w: spark.range(1).select(V.target_kind(name, t, *map(F.lit, (n, k, lo, hi, w)))).first()[0]
     assert kind("RUL", "double", 5, 5, 0.0, 9.0, True) == "rul" and kind("y", "double", 9, 30, 0.0, 99.0, True) == "regression_or_rul"
     assert kind("y", "int", 9, 5, 0, 9, True) == "multiclass" and kind("y", "int", 0, 0, 0, 0, True) == "sin_etiqueta"
+
+
+def test_column_roles(spark):
+    df = spark.createDataFrame([(1, 5, 0.5, True, "a", 1), (1, 6, 0.6, False, "b", 0), (1, 7, 0.7, True, "c", 0)], "machine int, cycle int, s1 double, s2 boolean, name string, fault int")
+    r = roles.detect_roles(df)
+    assert (r.unit, r.time, r.target, r.signals) == ("machine", "cycle", "fault", ["s1", "s2"])
+    assert roles.role_differences(r, "fault", None, 2) == [] and len(roles.role_differences(r, "y", None, 3)) == 2
+    obs = roles.observations(df, r, "d", F.lit("train"), "cycle")
+    assert obs.orderBy("pos").first().x == [0.5, 1.0] and audit.shape(obs).first().n_rows == 3
+
+
+def test_lookups(spark):
+    tasks = spark.createDataFrame([("a", "ready", "target", "rul"), ("b", "planned", "target", "cls")], "dataset string, status string, role string, task_type string")
+    assert roles.runnable(tasks, "target").count() == 1
+    m = spark.createDataFrame([("a", 40)], "dataset string, n_channels int")
+    got = {r.dataset: (r.source, r.batch_size) for r in roles.batch_sizes(tasks.select("dataset"), m, m.where("false"), 8, 32, 128).collect()}
+    assert got == {"a": ("manifest", 3), "b": ("fallback", 16)}
+    named = roles.with_domain(tasks, spark.createDataFrame([("a", "bearing")], "dataset string, domain string"))
+    assert {r.domain for r in named.collect()} == {"bearing", "misc"}
+    assert roles.clients_of_round(spark.createDataFrame([("x",), ("y",)], "client string"), spark.createDataFrame([("y",), ("z",), ("x",)], "client string"), 1).first().client == "x"
+    kinds = spark.createDataFrame([("RUL head",), ("classes",)], "t string").select(roles.task_kind(F.col("t")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["regression", "classification"]
