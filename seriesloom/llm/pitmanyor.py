@@ -21,7 +21,7 @@ from .common import as_bytes, word_hashes
 
 END = np.uint64(1)  # the token that ends a text
 START = np.uint64(0)  # the context of a text's first token
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 SWEEPS, BURN_IN = 8, 3
 STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 1.0, 0.6, 10.0
@@ -84,8 +84,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _PACK, strict=True)], schema=_PACK)
 
     ids, texts, train, size = [], [], [], 0
-    for batch in batches:
-        for i, x, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+    for part in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+        for i, x, t in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
             ids.append(i)
             texts.append(x or b"")
             train.append(bool(t))
@@ -139,11 +139,11 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _send(buckets: int):
-    """Packed blocks to messages, by bucket of the word: the words with their counts in
-    training texts, and the dishes and counts of each word's restaurant as a context."""
+    """Rows to messages of their blocks, by bucket of the word: the words with their counts
+    in training texts, and the dishes and counts of each word's restaurant as a context."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _pack(batches):
             for row in batch.to_pylist():
                 block = _Block(row)
                 n = np.int64(len(block.words))
@@ -166,6 +166,8 @@ def _send(buckets: int):
                         rows.append((DISHES, b, row["block"], b, None, _planes(lengths[i:j]), words[s:e].tobytes(), _planes(counts[s:e])))
                 del block, pairs, words
                 yield from _table(rows).to_batches()
+                del rows
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -336,7 +338,7 @@ def pitman_yor_scores(docs: DataFrame, train: Column, seed: int = 1) -> DataFram
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-size // BUCKET_BYTES))
     packs = rows.mapInArrow(_pack, PACK)
-    sent = packs.mapInArrow(_send(buckets), MESSAGE)
+    sent = rows.mapInArrow(_send(buckets), MESSAGE)
     seated = sent.groupBy("dest").applyInArrow(_restaurants(buckets, seed), MESSAGE)
     root = seated.where(F.col("kind").isin(WORDS, TABLES)).groupBy("dest").applyInArrow(_root(buckets, seed), MESSAGE)
     doubles = F.udf(lambda x: np.frombuffer(x, np.float64).tolist(), "array<double>")
