@@ -37,7 +37,7 @@ def order_faults(rows: DataFrame) -> DataFrame:
 
 def read_official_life(spark: SparkSession, path: str, subset: str) -> DataFrame:
     """One whole number of at least 0 a line; line i is unit i."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s*\n\s*")).alias("i", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s*\n\s*")).alias("i", "text"))
     rul = F.when(F.col("text").rlike(r"^\d+(\.0+)?$"), F.col("text").cast("double").cast("int"))
     return lines.select(F.lit(subset).alias("fd"), (F.col("i") + 1).cast("long").alias("unit_id"), rul.alias("rul"), F.when(rul.isNull(), "rul").alias("fault"))
 

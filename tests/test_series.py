@@ -127,7 +127,7 @@ def water(weights, caps):
 
 
 def test_caps_equal_iteration(spark):
-    w = {f"d{i}": x for i, x in enumerate((50.0, 20, 10, 8, 5, 3, 2, 1, 0.5, 0.5))}
+    w = {f"d{i}": x for i, x in enumerate((50.0, 20.0, 10.0, 8.0, 5.0, 3.0, 2.0, 1.0, 0.5, 0.5))}
     df = sampling.normalized(spark.createDataFrame(list(w.items()), "dataset string, patches double"), "patches", out="w")
     got = {r.dataset: r.capped for r in sampling.cap_weights(df, "w", F.lit(0.15), "dataset").collect()}
     want = water({k: x / 100 for k, x in w.items()}, dict.fromkeys(w, 0.15))
