@@ -16,10 +16,10 @@ SKETCH = 64  # least hashes that make up a fingerprint
 BLOCKS = 256  # blocks of neighbouring doc_ids
 
 
-def _anchors_of(piece: Column, k: int, s: int) -> Column:
-    """(place in the piece, hash) of the closed syncmers among a piece's k-mers."""
+def _chosen(piece: Column, k: int, s: int, make) -> Column:
+    """make(place in the piece, hash) for the closed syncmers among a piece's k-mers."""
     n = F.char_length(piece)
-    inner = F.transform(F.sequence(F.lit(1), n - s + 1), lambda i: F.xxhash64(F.substring(piece, i, F.lit(s))))
+    hashes_of = F.transform(F.sequence(F.lit(1), n - s + 1), lambda i: F.xxhash64(F.substring(piece, i, F.lit(s))))
     last = k - s
 
     def chosen(hashes: Column) -> Column:
@@ -29,9 +29,9 @@ def _anchors_of(piece: Column, k: int, s: int) -> Column:
 
         found = F.filter(F.sequence(F.lit(0), n - k), closed)
         # the first and the last s-mer make up the k-mer, as k <= 2 * s
-        return F.transform(found, lambda i: F.struct(i.alias("place"), F.xxhash64(F.get(hashes, i), F.get(hashes, i + last)).alias("hash")))
+        return F.transform(found, lambda i: make(i, F.xxhash64(F.get(hashes, i), F.get(hashes, i + last))))
 
-    return F.transform(F.array(inner), chosen)[0]
+    return F.transform(F.array(hashes_of), chosen)[0]
 
 
 def _pieces(text: Column, k: int) -> Column:
@@ -39,18 +39,28 @@ def _pieces(text: Column, k: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k},{PIECE + k - 1}}})).{{1,{PIECE}}}"), F.lit(1))
 
 
-def marks(text: Column, k: int = K, s: int = S) -> Column:
-    """(place from 0, hash) of all closed syncmers of a text; a text of fewer than k
-    characters has its own hash as the one anchor, an empty text none."""
-    inside = F.flatten(F.transform(_pieces(text, k), lambda p, j: F.transform(_anchors_of(p, k, s), lambda a: F.struct((j * PIECE + a["place"]).alias("place"), a["hash"].alias("hash")))))
-    one = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(text).alias("hash")))
+def inner(text: Column, k: int = K, s: int = S) -> Column:
+    """Hashes of all closed syncmers of a text in order; none for fewer than k characters."""
+    return F.flatten(F.transform(_pieces(text, k), lambda p: _chosen(p, k, s, lambda i, h: h)))
+
+
+def across(left: Column, right: Column, k: int = K) -> Column:
+    """Hashes of the closed syncmers that begin in one text and end in the next."""
+    return inner(F.concat(F.right(left, F.lit(k - 1)), F.left(right, F.lit(k - 1))), k)
+
+
+def marks(text: Column, inside: Column | None = None, k: int = K, s: int = S) -> Column:
+    """Anchor hashes of a text: those inside, or the text's own hash as the one anchor of
+    a text of fewer than k characters; an empty text has none."""
+    one = F.array(F.xxhash64(text))
+    inside = inner(text, k, s) if inside is None else inside
     return F.when(F.char_length(text) >= k, inside).when(F.char_length(text) > 0, one).otherwise(F.slice(one, 1, 0))
 
 
 def anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """doc_id, place (from 0) and hash of every closed syncmer, for positional matching."""
     pieces = docs.select("doc_id", F.posexplode(_pieces(F.col("text"), k)).alias("piece", "chars"))
-    found = pieces.select("doc_id", "piece", F.explode(_anchors_of(F.col("chars"), k, s)).alias("a"))
+    found = pieces.select("doc_id", "piece", F.explode(_chosen(F.col("chars"), k, s, lambda i, h: F.struct(i.alias("place"), h.alias("hash")))).alias("a"))
     return found.select("doc_id", (F.col("piece") * PIECE + F.col("a.place")).cast("long").alias("place"), F.col("a.hash").alias("hash"))
 
 
@@ -101,22 +111,20 @@ def syncmer_fingerprints(docs: DataFrame) -> DataFrame:
     top = F.struct("doc_id", (-F.xxhash64("text").cast("decimal(20,0)")).alias("h"))
     first = rows.groupBy("block").agg(F.max(top).alias("top"))
     heads = rows.join(first, "block").where(top.eqNullSafe(F.col("top"))).groupBy("block").agg(F.max("text").alias("head"))
-    heads = heads.withColumn("head_marks", sketch(marks(F.col("head"))["hash"]))
+    heads = heads.withColumn("head_marks", sketch(marks(F.col("head"))))
     down = Window.orderBy(F.col("block").desc())  # one row for each of the blocks
     heads = heads.select("block", *(F.coalesce(F.lead(c).over(down), F.first(c).over(down)).alias(f"below_{c}") for c in ("head", "head_marks")))
     order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     rows = rows.withColumn("after", F.lead("text").over(order)).join(heads, "block").withColumn("after", F.coalesce("after", "below_head"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", "block", "text", n.alias("n"), (n - half).alias("stay"), F.left("after", half).alias("come"), "below_head_marks")
-    rows = rows.withColumn("a", marks(F.col("text"))).withColumn("b", marks(F.col("come")))
-    edited = F.concat(F.left("text", F.col("stay")), F.col("come"))
-    seam = F.concat(F.right(F.left("text", F.col("stay")), F.lit(K - 1)), F.left("come", F.lit(K - 1)))
-    own = F.filter("a", lambda m: m["place"] <= F.col("stay") - K)["hash"]
-    other = F.when(F.char_length("come") >= K, F.col("b")["hash"]).otherwise(F.slice(F.col("b")["hash"], 1, 0))
-    across = F.when(F.char_length(seam) >= K, marks(seam)["hash"]).otherwise(F.slice(F.col("b")["hash"], 1, 0))
-    mixed = F.when((F.char_length(edited) >= K) & (F.col("n") >= K), F.concat(own, across, other)).otherwise(marks(edited)["hash"])
-    rows = rows.select("doc_id", "block", F.col("n").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), sketch(F.col("a")["hash"]).alias("marks"), sketch(mixed).alias("edited_marks"), "below_head_marks")
+    stay, rest, come = F.left("text", n - half), F.right("text", half), F.left("after", half)
+    rows = rows.select("doc_id", "block", "text", stay.alias("stay"), rest.alias("rest"), come.alias("come"), "below_head_marks")
+    rows = rows.withColumns({"a": inner(F.col("stay")), "b": inner(F.col("rest")), "c": inner(F.col("come"))})
+    own = F.concat("a", across(F.col("stay"), F.col("rest")), "b")
+    mixed = F.concat("a", across(F.col("stay"), F.col("come")), "c")
+    edited = F.concat("stay", "come")
+    rows = rows.select("doc_id", "block", n.cast("long").alias("n_chars"), F.xxhash64("text").alias("h"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), sketch(marks(F.col("text"), own)).alias("marks"), sketch(marks(edited, mixed)).alias("edited_marks"), "below_head_marks")
     order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "h")
     rows = rows.withColumn("next_marks", F.coalesce(F.lead("marks").over(order), "below_head_marks"))
     shown = lambda c: F.array_join(F.transform(F.col(c), lambda h: F.lpad(F.hex(h), 16, "0")), "")

@@ -116,7 +116,7 @@ def test_edited_fingerprints(spark, table, odd):
     for k, (i, t) in enumerate(order):
         half = len(t) // 2
         edited.append((i, t[: len(t) - half] + order[(k + 1) % len(order)][1][:half]))
-    direct = spark.createDataFrame(edited, "doc_id long, t string").select("doc_id", F.array_join(F.transform(sketch(marks(F.col("t"))["hash"]), lambda h: F.lpad(F.hex(h), 16, "0")), "").alias("f"), F.sha2("t", 256).alias("s"))
+    direct = spark.createDataFrame(edited, "doc_id long, t string").select("doc_id", F.array_join(F.transform(sketch(marks(F.col("t"))), lambda h: F.lpad(F.hex(h), 16, "0")), "").alias("f"), F.sha2("t", 256).alias("s"))
     for r in direct.collect():
         assert got[r.doc_id].edited_fingerprint == r.f and got[r.doc_id].edited_sha256 == r.s
     assert got[5].fingerprint == got[6].fingerprint and got[2].fingerprint == got[3].fingerprint == ""
