@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# fixed names, in the order in which they are looked for
-UNIT_NAMES = ["unit", "unit_id", "id", "engine_id", "machine_id", "bearing_id", "run_id", "file_id"]
-TIME_NAMES = ["time", "timestamp", "cycle", "t", "time_cycles", "step"]
-TARGET_NAMES = ["rul", "RUL", "label", "target", "y", "fault", "class", "state", "anomaly", "health", "condition"]
+# fixed values: column names of each role, in the order in which they are looked for
+UNIT_NAMES = ["unit", "unit_id", "id", "engine_id", "machine_id", "experiment", "series_id", "unit_number"]
+TIME_NAMES = ["time", "cycle", "timestamp", "time_in_cycles", "t", "step"]
+TARGET_NAMES = ["rul", "RUL", "target", "label", "class", "fault", "state", "condition", "anomaly", "y", "wear"]
 
 
 @dataclass

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.values import stable_rank_key
 
-UNIT_NAMES = ["unit", "unit_id", "user_id", "machine_id", "engine_id", "id", "run", "trajectory"]
-
 
 def ordered(obs: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """pos: place of a row in its trajectory, from 0; the last order column is unique."""
