@@ -21,32 +21,30 @@ CROWD = 64  # lines of one key, beyond which all deletion variants of these line
 
 
 def normalized(line: Column) -> Column:
-    """Trimmed, A-Z lower-cased, white space runs as one blank."""
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
-
-
-def _deletions(part: Column, n: Column) -> Column:
-    """The variants of `part` with one of its first n characters left out."""
-    at = F.sequence(F.lit(1), n)
-    return F.transform(at, lambda i: F.concat(F.substring(part, F.lit(1), i - 1), F.substring(part, i + 1, n)))
+    """Trimmed, in lower case, white space runs as one blank."""
+    lower = F.lower(line)
+    odd = F.contains(lower, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(lower, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")).otherwise(lower))
 
 
 def _keys(line: Column) -> Column:
-    """Keys that lines of at least 2 * ENDS characters share if one edit apart."""
+    """Keys that lines of at least 2 * ENDS characters share if one edit apart.
+
+    Written out without lambdas, so that the halves' hashes are computed once.
+    """
     n = F.char_length(line)
-    head, tail = F.substring(line, 1, ENDS), F.right(line, F.lit(ENDS))
-    front = _deletions(head, F.lit(ENDS))
-    back = _deletions(F.reverse(tail), F.lit(ENDS))
 
-    def of(half: Column) -> Column:
-        left, right = F.left(line, half), F.right(line, half)
-        first = F.transform(front, lambda v: F.xxhash64(F.lit(1), half, right, v))
-        last = F.transform(back, lambda v: F.xxhash64(F.lit(2), half, left, v))
-        return F.concat(first, last)
+    def deletions(end: Column) -> list[Column]:
+        return [F.concat(F.substring(end, 1, i), F.substring(end, i + 2, ENDS)) for i in range(ENDS)]
 
-    half, other = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.when(half == other, of(half)).otherwise(F.concat(of(half), of(other))))
+    front, back = deletions(F.substring(line, 1, ENDS)), deletions(F.right(line, F.lit(ENDS)))
+    keys = []
+    for half in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
+        left, right = F.xxhash64(F.left(line, half)), F.xxhash64(F.right(line, half))
+        keys += [F.xxhash64(F.lit(1), half, right, v) for v in front] + [F.xxhash64(F.lit(2), half, left, v) for v in back]
+    return F.array_distinct(F.array(*keys))
 
 
 def _all_deletions(line: Column) -> Column:
@@ -84,7 +82,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     names = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g")]
     spot = F.struct("doc_id", "doc", "place")
     # where each distinct line comes first; copies are combined before the shuffle
-    places = lines.select("doc_id", "doc", "place", *names)
+    places = materialize(lines.select("doc_id", "doc", "place", *names))
     first = materialize(places.groupBy("h", "g").agg(F.min(spot).alias("first"), F.count("*").alias("copies")))
     again = places.join(first.where("copies > 1").select("h", "g", "first"), ["h", "g"]).where(~spot.eqNullSafe(F.col("first"))).select("doc", "place")
     keyed = lines.select(names[0], F.explode(_keys(F.col("line"))).alias("key")).repartition("key").distinct()

@@ -18,8 +18,6 @@ SMALL = "/root/testdata/sf0.001"
 
 # lines
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
 
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
@@ -45,7 +43,7 @@ def test_line_dedup_equals_brute_force(spark, table, least):
     for i, t in docs:
         keep = []
         for line in t.split("\n"):
-            n = re.sub(r"[\x20\x09-\x0D]+", " ", line.translate(LOWER)).strip(" ")
+            n = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
             if len(n) < least or not any(n == m or one_edit(n, m) for m in seen):
                 keep.append(line)
             if len(n) >= least:
