@@ -77,8 +77,13 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     key with another line.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", document_key(rows).alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    lines = rows.select("doc_id", "doc", "place", normalized(F.col("raw")).alias("line")).where(F.char_length("line") >= max(min_chars, 2 * ENDS))
+    rows = rows.withColumn("doc", document_key(rows))
+
+    def lines_of(some: DataFrame) -> DataFrame:
+        cut_up = some.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+        return cut_up.select("doc_id", "doc", "place", normalized(F.col("raw")).alias("line")).where(F.char_length("line") >= max(min_chars, 2 * ENDS))
+
+    lines = lines_of(rows)
     names = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g")]
     spot = F.struct("doc_id", "doc", "place")
     # where each distinct line comes first; copies are combined before the shuffle
@@ -92,7 +97,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # who shares a key with many gets all deletion variants, which only true neighbours share
     many = shared.where(F.col("crowd") > CROWD).select("h").distinct()
     wanted = few.select(F.col("a").alias("h")).unionByName(few.select(F.col("b").alias("h"))).unionByName(many).distinct()
-    texts = materialize(_only(lines.select(*names, "line"), materialize(wanted), "h").dropDuplicates(["h", "g"]))
+    wanted = materialize(wanted)
+    holders = materialize(first.join(wanted, "h", "left_semi").select("first.doc").distinct())
+    texts = lines_of(_only(rows, holders, "doc")).select(*names, "line")
+    texts = materialize(_only(texts, wanted, "h").dropDuplicates(["h", "g"]))
     full = texts.join(many, "h", "left_semi").select("h", F.explode(_all_deletions(F.col("line"))).alias("key"))
     pairs = few.unionByName(_pairs(full)).distinct()
     spots = texts.join(first, ["h", "g"]).select("h", "line", "first")
