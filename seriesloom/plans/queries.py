@@ -251,7 +251,7 @@ def rolling_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {T.NATIONS}, r as (select dataset, patches / sum(patches) over () as w, 0.05 as cap from nations), o as (select *, sum(cap) over (order by cap / w, dataset) - cap as before, sum(w) over (order by cap / w desc, dataset desc) as rest, row_number() over (order by cap / w, dataset) as i from r),
 f as (select *, (1 - before) / rest as f, (1 - before) / rest * w <= cap + 1e-12 as free from o), k as (select arg_min(f, i) as f from f where free)
-select dataset, round(w, 9) as raw, round(least(cap, k.f * w), 9) as capped from f, k""")
+select dataset, round(w, 9) as raw, round(case when cap * count(*) over () < 1 - 1e-12 then 1.0 / count(*) over () else least(cap, k.f * w) end, 9) as capped from f, k""")
 def capped_weights(spark: SparkSession, d: str) -> DataFrame:
     t = sampling.normalized(T.nation_table(spark, d), "patches", out="raw")
     return rounded(sampling.cap_weights(t, "raw", F.lit(0.05), "dataset").select("dataset", "raw", "capped"), 9)
