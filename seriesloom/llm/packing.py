@@ -19,7 +19,6 @@ from .common import as_bytes, materialize
 WINDOW = 1024
 END_ID = 0
 SHARD_TEXTS = 4096  # texts in one index
-QUERY_TERMS = 24  # rarest terms of a seed that are looked up
 K1, B = 1.2, 0.75
 CACHE_WORDS = 400_000  # words whose ids a worker remembers
 N_IDS = 1 << 16
@@ -78,71 +77,101 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-_TOKENS = "row long, doc_id long, doc_tokens long, full array<long>, rest binary, signature long"
+_TOKENS = "row long, doc_id long, doc_tokens long, full array<long>, rest binary, terms binary, counts binary"
+_DEALT = "row long, doc_id long, doc_tokens long, full array<long>, rest binary, terms binary, counts binary, rarest int, next int"
 
 
 def _tokenize(path: str):
-    """Per document: its tokens, checksums of its whole windows, and the ids of the rest."""
+    """Per document: its tokens, checksums of its whole windows, the ids of the rest, and
+    the distinct ids of all of it with their counts where the rest isn't all."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         enc = encoder(path)
         end = array("H", [END_ID]).tobytes()
         for batch in batches:
-            totals, full, rest, signature = [], [], [], []
+            totals, full, rest, terms, counts = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 ids = np.frombuffer(enc.encode(text or "") + end, np.uint16)
                 whole = len(ids) - len(ids) % WINDOW
                 totals.append(len(ids))
                 full.append([_crc(ids[i : i + WINDOW]) for i in range(0, whole, WINDOW)])
                 rest.append(ids[whole:].tobytes())
-                signature.append(int(ids[whole:].max(initial=0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(signature, pa.int64())], names=["row", "doc_id", "doc_tokens", "full", "rest", "signature"])
+                some, n = np.unique(ids, return_counts=True) if whole else (None, None)
+                terms.append(some.tobytes() if whole else None)
+                counts.append(n.astype(np.uint32).tobytes() if whole else None)
+            columns = [pa.array(totals, pa.int64()), pa.array(full, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (rest, terms, counts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "doc_tokens", "full", "rest", "terms", "counts"])
 
     return run
 
 
+def _bag(rest: bytes, terms: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a whole document, and how often it has them."""
+    if terms is None:
+        return np.unique(np.frombuffer(rest, np.uint16), return_counts=True)
+    return np.frombuffer(terms, np.uint16), np.frombuffer(counts, np.uint32)
+
+
 def _terms(batches):
     """Partial document frequencies of token ids."""
     count = np.zeros(N_IDS, np.int64)
     size = texts = 0
     for batch in batches:
-        for rest in batch.column(0).to_pylist():
-            ids = np.frombuffer(rest, np.uint16)
-            count[np.unique(ids)] += 1
-            size += len(ids)
+        for tokens, *bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            count[_bag(*bag)[0]] += 1
+            size += tokens
             texts += 1
     some = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int64()), pa.array([*count[some].tolist(), texts, size], pa.int64())], names=["term", "n"])
 
 
+def _rarest(shared):
+    """The two rarest ids of each document among those that other documents have too."""
+
+    def run(batches):
+        idf, _, alone = shared.value
+        rank = np.where(alone, -1.0, idf)
+        for batch in batches:
+            first, second = [], []
+            for bag in zip(*(batch.column(k).to_pylist() for k in ("rest", "terms", "counts")), strict=True):
+                ids = _bag(*bag)[0]
+                best = ids[np.lexsort((ids, -rank[ids]))[:2]]
+                first.append(int(best[0]))
+                second.append(int(best[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=[*batch.schema.names, "rarest", "next"])
+
+    return run
+
+
 class _Index:
-    """BM25 over the texts of a shard; the frequencies are those of all texts."""
-
-    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.idf = idf
-        self.unique = [np.unique(t, return_counts=True) for t in texts]
-        term = np.concatenate([u for u, _ in self.unique]).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), [len(u) for u, _ in self.unique])
-        tf = np.concatenate([c for _, c in self.unique]).astype(np.float64)
-        length = np.array([len(t) for t in texts], np.float64)[owner]
+    """BM25 over the whole documents of a shard; the frequencies are those of all documents."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float):
+        self.unique = [u for u, _ in bags]
+        term = np.concatenate(self.unique).astype(np.int64)
+        owner = np.repeat(np.arange(len(bags)), [len(u) for u in self.unique])
+        tf = np.concatenate([c for _, c in bags]).astype(np.float64)
+        length = np.array([c.sum() for _, c in bags], np.float64)[owner]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order].astype(np.int32), weight[order].astype(np.float32)
         self.start = np.searchsorted(term[order], np.arange(N_IDS + 1))
 
-    def neighbours(self, seed: int, free: np.ndarray, most: int) -> np.ndarray:
-        """Free texts by falling score for the seed's rarest terms, `most` at the most."""
-        terms = self.unique[seed][0]
-        terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
-        cuts = [slice(self.start[t], self.start[t + 1]) for t in terms.tolist()]
+    def scores(self, seed: int) -> np.ndarray:
+        """Scores of all documents of the shard for all terms of the seed."""
+        cuts = [slice(self.start[t], self.start[t + 1]) for t in self.unique[seed].tolist()]
         owners = np.concatenate([self.owner[c] for c in cuts])
-        score = np.bincount(owners, np.concatenate([self.weight[c] for c in cuts]), len(free))
-        score[~free] = 0
-        if int((score > 0).sum()) > most:
-            best = np.argpartition(-score, most)[:most]
-        else:
-            best = np.flatnonzero(score > 0)
-        return best[np.lexsort((best, -score[best]))]
+        return np.bincount(owners, np.concatenate([self.weight[c] for c in cuts]), len(self.unique))
+
+
+def _best(score: np.ndarray, free: np.ndarray, most: int) -> np.ndarray:
+    """Free texts by falling score, `most` at the most."""
+    score = np.where(free, score, 0)
+    if int((score > 0).sum()) > most:
+        best = np.argpartition(-score, most)[:most]
+    else:
+        best = np.flatnonzero(score > 0)
+    return best[np.lexsort((best, -score[best]))]
 
 
 def _fill(rows: list, idf: np.ndarray, mean: float, first: int) -> tuple[list, int]:
@@ -157,7 +186,7 @@ def _fill(rows: list, idf: np.ndarray, mean: float, first: int) -> tuple[list, i
     begin = np.array([len(r["full"]) * WINDOW for r in rows])
     used = np.zeros(len(rows), np.int64)  # ids of the rest that have a place
     free = np.array([len(t) > 0 for t in texts], bool)
-    index = _Index(texts, idf, mean)
+    index = _Index([_bag(r["rest"], r["terms"], r["counts"]) for r in rows], idf, mean)
     seed = 0
 
     def place(k: int, room: int, offset: int) -> int:
@@ -173,8 +202,9 @@ def _fill(rows: list, idf: np.ndarray, mean: float, first: int) -> tuple[list, i
         if seed == len(rows):
             break
         offset = place(seed, WINDOW, 0)
+        score = index.scores(seed) if offset < WINDOW else None
         while offset < WINDOW:
-            near = index.neighbours(seed, free, 32)
+            near = _best(score, free, 32)
             if not len(near):  # nothing in common: the next free texts
                 near = np.flatnonzero(free)[:32]
                 if not len(near):
@@ -195,7 +225,7 @@ def _pack(shared):
     def run(batches):
         from pyspark import TaskContext
 
-        idf, mean = shared.value
+        idf, mean, _ = shared.value
         sequence = TaskContext.get().partitionId() << 40
         rows: list = []
 
@@ -223,8 +253,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset for each
     piece. A document's ids are those of the tokenizer file, then id 0; its whole windows
-    are sequences, and the rest of it is one text of a BM25 index over token ids. Texts
-    are dealt by range of (rarest id, doc_id) into shards of at most SHARD_TEXTS; each
+    are sequences, and the rest of it is to be placed. Documents are indexed and looked up
+    with all their ids (BM25 over token ids). They are dealt by range of (the two rarest
+    ids that other documents have too, doc_id) into shards of at most SHARD_TEXTS; each
     seed takes its unused neighbours by falling score, the last is cut where the window
     ends and its remainder stays to be used, so only a shard's last sequence has room.
 
@@ -234,14 +265,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = materialize(rows.mapInArrow(_tokenize(tokenizer_path), _TOKENS))
-    count = dict(tokens.select("rest").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # one row for an id
+    count = dict(tokens.select("doc_tokens", "rest", "terms", "counts").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # one row for an id
     n = count.pop(-1, 0)
     mean = count.pop(-2, 0) / max(n, 1)
     df = np.zeros(N_IDS)
     for term, k in count.items():
         df[term] = k
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shared = spark.sparkContext.broadcast((idf, mean))
+    shared = spark.sparkContext.broadcast((idf, mean, df < 2))
     n_shards = max(1, -(-n // SHARD_TEXTS))
-    dealt = tokens.repartitionByRange(n_shards, "signature", "doc_id", "row").sortWithinPartitions("signature", "doc_id", "row")
-    return dealt.select("doc_id", "doc_tokens", "full", "rest").mapInArrow(_pack(shared), PIECES)
+    keys = ["rarest", "next", "doc_id", "row"]
+    dealt = tokens.mapInArrow(_rarest(shared), _DEALT).repartitionByRange(n_shards, *keys).sortWithinPartitions(*keys)
+    return dealt.select("doc_id", "doc_tokens", "full", "rest", "terms", "counts").mapInArrow(_pack(shared), PIECES)

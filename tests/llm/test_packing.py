@@ -39,3 +39,29 @@ def test_neighbours_share_a_window(spark, table):
     got = pack_documents(table(rows), PATH).toPandas()
     pure = [len({int(i) % 2 for i in s.doc_id}) == 1 for _, s in got.groupby("sequence_id")]
     assert np.mean(pure) > 0.8
+
+
+def test_neighbours_are_found_by_whole_documents(spark, table):
+    heads = ["alpha beta gamma " * 300, "quartz zebra violin " * 230]
+    full = Tokenizer.from_file(PATH)
+    rows = []
+    for i in range(60):
+        head = full.decode(full.encode(heads[i % 2], add_special_tokens=False).ids[:900])
+        rows.append((i, head + " and so on" * 100))  # the rest is the same in all
+    got = pack_documents(table(rows), PATH).toPandas()
+    assert (got.doc_tokens > WINDOW).all()
+    rests = got[got.start >= WINDOW]
+    pure = [len({int(i) % 2 for i in s.doc_id}) == 1 for _, s in rests.groupby("sequence_id")]
+    assert np.mean(pure) > 0.8
+
+
+def test_documents_with_a_rare_word_in_common_share_a_shard(spark, table, monkeypatch):
+    full = Tokenizer.from_file(PATH)
+    ids = [i for i in range(5000, 12000) if (t := full.decode([i])).startswith(" ") and t.strip().isalpha() and full.encode(t, add_special_tokens=False).ids == [i]]
+    common = full.decode([max(i for i in range(40000, 50000) if full.decode([i]).strip().isalpha())])
+    rows = [(i, (" plain text" + common) * 5 + full.decode([ids[7 * (i % 40)]]) * 3) for i in range(80)]
+    monkeypatch.setattr("seriesloom.llm.packing.SHARD_TEXTS", 20)
+    got = pack_documents(table(rows), PATH).toPandas()
+    shard = {int(r.doc_id): r.sequence_id >> 40 for r in got.itertuples()}
+    assert len(set(shard.values())) > 1
+    assert np.mean([shard[i] == shard[i + 40] for i in range(40)]) > 0.8
