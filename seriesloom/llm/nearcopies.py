@@ -13,8 +13,11 @@ from .components import connected_components
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-TOKENS = 32  # minwise tokens a document is embedded into
-ROOT_PATHS = 10  # positions that the root nodes of all trees choose
+TOKENS = 64  # minwise tokens a document is embedded into
+# positions that the root nodes of all trees choose; with two positions for each large node
+# below, a link of the least similarity is lost with a chance of 1e-5 even if all that its
+# documents agree in is frequent and all six levels are needed (see the tests)
+ROOT_PATHS = 16
 LEAF = 64  # nodes of at most so many documents are compared exhaustively
 PIVOTS = 8  # documents of a large node that are compared with the whole node
 FEW = 32  # documents that no pivot joins, and that are then compared with the whole node
@@ -168,11 +171,11 @@ def _star(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _chosen(node, tokens: int):
-    """The one or two positions (4/3 on average) along which a node branches."""
+    """The two positions along which a node branches: at a similarity of 0.75 a link is in
+    1.5 children on average, so it doesn't die out with the levels."""
     first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(tokens))
-    second = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(tokens))
-    third = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(3)) == 0
-    return F.when(third & (first != second), F.array(first, second)).otherwise(F.array(first))
+    step = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(tokens - 1)) + 1
+    return F.array(first, F.pmod(first + step, F.lit(tokens)))
 
 
 def _branch(state: DataFrame, tokens: int) -> DataFrame:
@@ -182,10 +185,15 @@ def _branch(state: DataFrame, tokens: int) -> DataFrame:
     return rows.select(F.xxhash64("node", "at", F.get("tokens", F.col("at").cast("int"))).alias("node"), "rep", "tokens")
 
 
+def _contents(members: DataFrame) -> DataFrame:
+    """Size of each node, and sums that are equal where the documents are."""
+    return members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(7)).cast("decimal(20,0)")).alias("y"))
+
+
 def _sized(members: DataFrame) -> DataFrame:
     """Members of nodes of two or more, with the node's size; small nodes that hold
     the same documents count once."""
-    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(7)).cast("double")).alias("y")).where("n > 1")
+    sizes = _contents(members).where("n > 1")
     small = sizes.where(f"n <= {LEAF}").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
     large = sizes.where(f"n > {LEAF}").select("node", "n")
     return members.join(small.unionByName(large), "node")
@@ -245,7 +253,8 @@ def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataF
         leaves(members.where(f"n <= {LEAF}"))
         state = members.where(f"n > {LEAF}").select("node", "rep", "tokens", "n")
     if not state.isEmpty():
-        # what is still large is compared exhaustively, block by block
+        # what is still large is compared exhaustively, block by block, equal nodes once
+        state = state.join(_contents(state).groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
         blocks = F.ceil(F.col("n") / LEAF)
         own = state.select("node", "rep", blocks.alias("k"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
         dealt = own.select("node", "rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("with"))

@@ -1,6 +1,10 @@
 import itertools
+import math
 import random
 
+from pyspark.sql import functions as F
+
+from seriesloom.llm import nearcopies
 from seriesloom.llm.components import connected_components
 from seriesloom.llm.nearcopies import near_duplicates
 
@@ -58,3 +62,32 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 40), (50, 50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 31)) and got[40] == got[41] == 40 and 50 not in got
+
+
+def test_chance_to_miss_a_link(spark):
+    """All that two documents agree in is frequent: a root path and each of the levels below
+    keeps their link with the share of equal tokens, the last level compares all."""
+    drawn = spark.range(2000).select(F.size(F.array_distinct(nearcopies._chosen(F.col("id"), nearcopies.TOKENS))).alias("n")).groupBy("n").count().collect()
+    branches = {r.n: r["count"] / 2000 for r in drawn}
+    tokens, roots, missed = nearcopies.TOKENS, nearcopies.ROOT_PATHS, 0.0
+    for equal in range(tokens + 1):
+        share, lost = equal / tokens, 0.0
+        for _ in range(nearcopies.MAX_DEPTH):
+            one = 1 - share + share * lost
+            lost = sum(p * one**n for n, p in branches.items())
+        hits = [math.comb(equal, r) * math.comb(tokens - equal, roots - r) / math.comb(tokens, roots) * lost**r for r in range(roots + 1)]
+        missed += math.comb(tokens, equal) * 0.75**equal * 0.25 ** (tokens - equal) * sum(hits)
+    assert missed < 1.1e-5
+
+
+def test_links_within_a_template_equal_brute_force(spark, table):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, rows = fresh(100), []
+    for i in range(0, 400, 2):  # 0.68 alike through the template, pairs just over 0.75
+        both = fresh(8)
+        rows += [(k, " ".join(template + both + fresh(14))) for k in (i, i + 1)]
+    want, _ = groups(rows)
+    assert len(set(want.values())) == 200
+    got = near_duplicates(table(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
