@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 K, S = 10, 6
 PIECE = 64  # k-mers in a piece; a substring is looked up within its piece
-SKETCH = 64  # least hashes that make up a fingerprint
+SKETCH = 64  # least hashes that a fingerprint has at least
+LEAST = -(1 << 63) + (1 << 61)  # it has all hashes below, an eighth of a text's anchors
 BLOCKS = 256  # blocks of neighbouring doc_ids
 
 
@@ -70,14 +71,21 @@ def positional_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "hash").groupBy("doc_id", "other", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("anchors"))
 
 
+def _low(hashes: Column) -> Column:
+    """All hashes below LEAST, or the SKETCH least if these are more, in order."""
+    cut = lambda a: F.slice(a, F.lit(1), F.greatest(F.lit(SKETCH), F.size(F.filter(a, lambda h: h < LEAST))))
+    return F.transform(F.array(F.sort_array(hashes)), cut)[0]
+
+
 def sketch(hashes: Column) -> Column:
-    """The SKETCH least distinct hashes, in order."""
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    """An eighth of the distinct hashes and SKETCH at least, so it grows with the text."""
+    return _low(F.array_distinct(hashes))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the least hashes of both that both have; 1 if neither has any."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    """Share of the low hashes of both that both have; 1 if neither has any. As far as they
+    go, both sketches are whole."""
+    least = _low(F.array_union(a, b))
     both = F.size(F.array_intersect(F.array_intersect(least, a), b))
     return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.size(least))
 

@@ -97,6 +97,17 @@ def brute_syncmers(text):
     return out
 
 
+def test_fingerprints_grow_with_the_text(spark, table):
+    rng = random.Random(2)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = fresh(60)
+    rows = [(i, fresh(2500) + " " + passage + " " + fresh(2500)) for i in (1, 2)]
+    got = {r.doc_id: r for r in syncmer_fingerprints(table(rows)).collect()}
+    one, two = ({t[i : i + K] for i in brute_syncmers(t)} for _, t in rows)
+    assert 0.05 < len(got[1].fingerprint) / 16 / len(one) < 0.25
+    assert abs(got[2].near_next - len(one & two) / len(one | two)) < 0.004 and got[2].near_next > 0
+
+
 def test_closed_syncmers_equal_brute_force(spark, table):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abcé \n🙂") for _ in range(n)) for n in (9, 10, 11, 63, 64, 65, 75, 200, 500)]
