@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.values import finite, nonfinite_kind
 
 
-def in_buckets(log: DataFrame, buckets: list[tuple[int, int]], step: str = "step") -> DataFrame:
-    """bucket: the first half-open range that holds the step; rows in none are dropped."""
+def in_buckets(log: DataFrame, buckets: list[tuple[int, int | None]], step: str = "step") -> DataFrame:
+    """bucket: the first half-open range that holds the step; rows in none are dropped.
+    A range without a high end holds all later steps."""
     found = None
     for low, high in buckets:
-        hit, name = (F.col(step) >= low) & (F.col(step) < high), f"{low}-{high}"
+        hit, name = F.col(step) >= low, f"{low}-" if high is None else f"{low}-{high}"
+        hit = hit if high is None else hit & (F.col(step) < high)
         found = F.when(hit, name) if found is None else found.when(hit, name)
     return log.withColumn("bucket", found).where("bucket is not null")
 
@@ -71,8 +73,10 @@ def diagnosis(trends: DataFrame, statistics: DataFrame, least: int = 5) -> DataF
     return trends.agg(F.bool_or(F.col("n_multi") >= least).alias("enough_trajectories")).crossJoin(statistics.agg(F.bool_or(F.col("n_negative") > 0).alias("any_negative")))
 
 
-def histogram(values: DataFrame, value: str, low: float, high: float, bins: int, *by: str) -> DataFrame:
-    at = F.least(F.lit(bins), F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)))
+def histogram(values: DataFrame, value: str, low: float, high: float, bins: int, *by: str, beyond: bool = False) -> DataFrame:
+    """Values by bin from 1. Those under `low` are in bin 0; those from `high` on are in the
+    last bin, or with `beyond` in one of their own after it."""
+    at = F.least(F.lit(bins + beyond), F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)))
     return values.where(F.col(value).isNotNull()).groupBy(*by, at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 

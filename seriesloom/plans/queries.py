@@ -367,6 +367,14 @@ def log_buckets(spark: SparkSession, d: str) -> DataFrame:
     return rounded(runlog.loss_statistics(log, "bucket"))
 
 
+@query(f"""with {T.LOG}, b as (select *, case when step < 100 then '0-100' when step < 1000 then '100-1000' when step < 5000 then '1000-5000' else '5000-' end as bucket from fin)
+select bucket, count(x) as n, round(avg(x), 6) as mean, round(quantile_cont(x, 0.1), 6) as p10, round(quantile_cont(x, 0.5), 6) as median, round(quantile_cont(x, 0.9), 6) as p90, round(min(x), 6) as low, round(max(x), 6) as high,
+  round(avg(x) filter (coalesce(optimizer_applied, true) and not coalesce(bad_gradient, false)), 6) as clean_mean from b group by 1""")
+def log_buckets_all(spark: SparkSession, d: str) -> DataFrame:
+    log = runlog.in_buckets(T.log_rows(spark, d), [(0, 100), (100, 1000), (1000, 5000), (5000, None)])
+    return rounded(runlog.loss_statistics(log, "bucket"))
+
+
 @query(f"with {T.LOG}, k as (select dataset, case when isnan(loss) then 'nan' when isinf(loss) then 'inf' else noted end as kind from log) select dataset, kind, count(*) as n from k where kind is not null group by 1, 2")
 def log_nonfinite(spark: SparkSession, d: str) -> DataFrame:
     return runlog.nonfinite_counts(T.log_rows(spark, d), ["loss"], "dataset", "noted")
@@ -402,6 +410,12 @@ def value_histogram(spark: SparkSession, d: str) -> DataFrame:
     return runlog.histogram(e.withColumnRenamed("event_type", "target"), "value", 0.0, 500.0, 20, "target")
 
 
+@query("select event_type as target, greatest(0, least(21, floor(value / 25)::bigint + 1)) as bin, count(*) as n from events where value is not null group by 1, 2")
+def value_histogram_all(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read(spark, d, "events")
+    return runlog.histogram(e.withColumnRenamed("event_type", "target"), "value", 0.0, 500.0, 20, "target", beyond=True)
+
+
 _MODES = "rows as (select o_orderpriority as dataset, o_orderstatus as mode, ascii(o_orderstatus) as mode_order, avg(o_totalprice) / 1e6 as macro_f1 from orders group by all)"
 
 

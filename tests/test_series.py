@@ -330,3 +330,23 @@ def test_lookups(spark):
     assert roles.clients_of_round(spark.createDataFrame([("x",), ("y",)], "client string"), spark.createDataFrame([("y",), ("z",), ("x",)], "client string"), 1).first().client == "x"
     kinds = spark.createDataFrame([("RUL head",), ("classes",)], "t string").select(roles.task_kind(F.col("t")).alias("k"))
     assert [r.k for r in kinds.collect()] == ["regression", "classification"]
+
+
+def test_log_buckets_and_histograms_keep_all_rows(spark):
+    log = spark.createDataFrame([(5,), (99,), (5000,), (10**6,)], "step long")
+    got = {r.step: r.bucket for r in runlog.in_buckets(log, [(0, 100), (100, None)]).collect()}
+    assert got == {5: "0-100", 99: "0-100", 5000: "100-", 10**6: "100-"}
+    values = spark.createDataFrame([(-1.0,), (0.0,), (9.9,), (10.0,), (700.0,), (None,)], "v double")
+    got = {r.bin: r.n for r in runlog.histogram(values, "v", 0.0, 10.0, 2, beyond=True).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2}
+
+
+def test_queries_of_logs_keep_all_events(spark):
+    from seriesloom.plans import queries as Q
+    from seriesloom.plans import tables as T
+
+    d = "/root/testdata/sf0.01"
+    e = T.read(spark, d, "events")
+    finite = T.log_rows(spark, d).where("not isnan(loss) and loss < double('inf')").count()
+    assert Q.log_buckets_all(spark, d).agg(F.sum("n")).first()[0] == finite
+    assert Q.value_histogram_all(spark, d).agg(F.sum("n")).first()[0] == e.where("value is not null").count()
