@@ -216,6 +216,30 @@ def window_patches(spark: SparkSession, d: str) -> DataFrame:
     return rounded(one.select("unit", F.col("w_idx").cast("long").alias("w_idx"), F.col("patch").cast("long").alias("patch"), F.size("c.values").alias("width"), (total + 0.0).alias("total"), F.col("c.valid_patch").alias("valid"), real.cast("long").alias("n_valid")))
 
 
+_CHANNEL_TILES = f"{_TILES}, l as (select unit, w_idx, w_pos, 0 as channel, x0 as value from tiles union all select unit, w_idx, w_pos, 1, x1 from tiles)"
+
+
+@query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3)
+select l.unit, l.w_idx, w_pos, l.channel, round(case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end, 6) as z, n >= 2 and v < 1e-6 as constant from l join s on s.unit = l.unit and s.w_idx = l.w_idx and s.channel = l.channel""")
+def normalized_windows_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = windows.tile(T.event_rows(spark, d), ["unit"], 64, 32)
+    out = windows.normalize(rows, ["unit", "w_idx"])
+    return rounded(out.select("unit", F.col("w_idx").cast("long").alias("w_idx"), F.col("w_pos").cast("long").alias("w_pos"), "channel", "z", "constant"))
+
+
+@query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(*) as r, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3),
+z as (select l.unit, l.w_idx, l.channel, w_pos // 8 as p, sum(case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end) as z from l join s on s.unit = l.unit and s.w_idx = l.w_idx and s.channel = l.channel group by 1, 2, 3, 4)
+select s.unit, s.w_idx, s.channel, k.p as patch, 8 as width, round(coalesce(z.z, 0), 6) + 0.0 as total, r > k.p * 8 as valid, greatest(0, least(8, r - k.p * 8)) as n_valid from s cross join range(8) k(p) left join z on z.unit = s.unit and z.w_idx = s.w_idx and z.channel = s.channel and z.p = k.p""")
+def window_patches_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = windows.tile(T.event_rows(spark, d), ["unit"], 64, 32)
+    p = windows.patches(windows.normalize(rows, ["unit", "w_idx"]), ["unit", "w_idx"], 64, 8)
+    each = p.select("unit", "w_idx", "valid_time", "valid_patch", F.posexplode("patches").alias("channel", "values"))
+    one = each.select("unit", "w_idx", "channel", "valid_time", F.posexplode(F.arrays_zip("values", "valid_patch")).alias("patch", "c"))
+    total = F.aggregate("c.values", F.lit(0.0), lambda a, x: a + x)
+    real = F.size(F.filter(F.slice("valid_time", F.col("patch") * 8 + 1, 8), lambda x: x))
+    return rounded(one.select("unit", F.col("w_idx").cast("long").alias("w_idx"), "channel", F.col("patch").cast("long").alias("patch"), F.size("c.values").alias("width"), (total + 0.0).alias("total"), F.col("c.valid_patch").alias("valid"), real.cast("long").alias("n_valid")))
+
+
 _LIFE = f"{T.EVENTS}, life as (select *, max(pos) over (partition by unit) - pos as rul, unit % 4 as subset, split as part, count(*) over (partition by unit) as n from obs)"
 
 
@@ -456,6 +480,12 @@ def mean_parameters(spark: SparkSession, d: str) -> DataFrame:
     return rounded(federated.mean_state(states, _client_weights(states)))
 
 
+@query(f"with {T.ALL_STATES} select param, idx, round(value, 6) as value from center")
+def mean_parameters_all(spark: SparkSession, d: str) -> DataFrame:
+    states = T.all_states(spark, d)
+    return rounded(federated.mean_state(states, _client_weights(states)))
+
+
 def _client_weights(states: DataFrame) -> DataFrame:
     return states.select("client").distinct().select("client", (F.col("client") + 1).cast("double").alias("w"))
 
@@ -467,6 +497,13 @@ def parameter_norms(spark: SparkSession, d: str) -> DataFrame:
     return rounded(federated.norm(states, "client").join(drift, "client"))
 
 
+@query(f"""with {T.ALL_STATES} select client, round(sqrt(sum(s.value ** 2)), 6) as l2, round(sqrt(sum((s.value - c.value) ** 2)), 6) as drift from states s join center c on c.param = s.param and c.idx = s.idx group by 1""")
+def parameter_norms_all(spark: SparkSession, d: str) -> DataFrame:
+    states = T.all_states(spark, d)
+    drift = federated.drift(states, federated.mean_state(states, _client_weights(states))).withColumnRenamed("l2", "drift")
+    return rounded(federated.norm(states, "client").join(drift, "client"))
+
+
 @query(f"""with {T.STATES}, a as (select param, idx, value from states where client = 0), d as (select a.param, a.idx, a.value, c.value - a.value as d, a.value * 0.1 as v0 from a join center c on c.param = a.param and c.idx = a.idx)
 select param, idx, round(value + d + 0.9 * (0.9 * v0 + d), 6) as value, round(0.9 * v0 + d, 6) as velocity from d""")
 def server_momentum(spark: SparkSession, d: str) -> DataFrame:
@@ -476,6 +513,15 @@ def server_momentum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(federated.momentum(own, own.select("param", "idx", (F.col("value") * 0.1).alias("velocity")), change, 0.9, nesterov=True))
 
 
+@query(f"""with {T.ALL_STATES}, a as (select param, idx, value from states where client = 0), d as (select a.param, a.idx, a.value, c.value - a.value as d, a.value * 0.1 as v0 from a join center c on c.param = a.param and c.idx = a.idx)
+select param, idx, round(value + d + 0.9 * (0.9 * v0 + d), 6) as value, round(0.9 * v0 + d, 6) as velocity from d""")
+def server_momentum_all(spark: SparkSession, d: str) -> DataFrame:
+    states = T.all_states(spark, d)
+    own = states.where("client = 0").select("param", "idx", "value")
+    change = federated.delta(federated.mean_state(states, _client_weights(states)), own)
+    return rounded(federated.momentum(own, own.select("param", "idx", (F.col("value") * 0.1).alias("velocity")), change, 0.9, nesterov=True))
+
+
 @query("""with r as (select l_linenumber as round, l_suppkey % 5 as client, avg(l_quantity) as loss, sum(l_tax) as norm, count(*)::double as w from lineitem group by 1, 2), s as (select round, count(*) as n_clients, sum(w * loss) / sum(w) as loss, avg(norm) as norm_mean, stddev_pop(norm) as norm_std, 2.0 * 800000 * 4 * 5 / 1048576 as mb from r group by 1)
 select round, n_clients, round(loss, 6) as loss, round(norm_mean, 6) as norm_mean, round(norm_std, 6) as norm_std, round(mb, 6) as mb, round(sum(mb) over (order by round), 6) as mb_total from s""")
 def round_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -120,6 +120,13 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.select(F.col("label").alias("client"), "param", F.posexplode("embedding").alias("idx", "v")).select("client", "param", "idx", F.col("v").cast("double").alias("value"))
 
 
+def all_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as client parameters: each label is a client, its one parameter the mean of
+    all its rows, so every client has it and no row is left out."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("label").alias("client"), F.posexplode("embedding").alias("idx", "v"))
+    return e.groupBy("client", F.lit(0).cast("long").alias("param"), "idx").agg(F.avg(F.col("v").cast("double")).alias("value"))
+
+
 STATES = """
 ranked as (select label as client, row_number() over (partition by label order by vec_id) as param, embedding from embeddings),
 states as (
@@ -128,3 +135,10 @@ states as (
 ), weights as (select client, (client + 1)::double as w from (select distinct client from states)),
 center as (select param, idx, sum(w * value) / sum(w) as value from states join weights using (client) group by 1, 2)
 """
+
+ALL_STATES = """
+cells as (select label as client, unnest(range(len(embedding))) as idx, unnest(embedding)::double as v from embeddings),
+states as (select client, 0 as param, idx, avg(v) as value from cells group by all),
+weights as (select client, (client + 1)::double as w from (select distinct client from states)),
+center as (select param, idx, sum(w * value) / sum(w) as value from states join weights using (client) group by 1, 2)
+"""

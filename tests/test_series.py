@@ -350,3 +350,15 @@ def test_queries_of_logs_keep_all_events(spark):
     finite = T.log_rows(spark, d).where("not isnan(loss) and loss < double('inf')").count()
     assert Q.log_buckets_all(spark, d).agg(F.sum("n")).first()[0] == finite
     assert Q.value_histogram_all(spark, d).agg(F.sum("n")).first()[0] == e.where("value is not null").count()
+
+
+def test_window_and_federated_queries_use_all_channels_and_rows(spark, tmp_path):
+    from seriesloom.plans import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    for name in ("normalized_windows_all", "window_patches_all"):
+        assert {r.channel for r in Q.QUERIES[name](spark, d).select("channel").distinct().collect()} == {0, 1}
+    rows = [(i, 0, [float(i), 1.0]) for i in range(9)] + [(9, 1, [5.0, 3.0])]  # a label of one row
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.idx: r.value for r in Q.QUERIES["mean_parameters_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: round((4 + 2 * 5) / 3, 6), 1: round((1 + 2 * 3) / 3, 6)}
