@@ -173,10 +173,12 @@ def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[
 def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
     """page_id, url and the evidence and verdict for web pages (page_id, url, html).
 
-    The declared language is the html element's lang, the host that of the url. Pages
+    The declared language is the lang of the first html tag outside comments, wherever it
+    begins; the host is that of the url. Pages
     without both, null pages and null ids get what the other evidence says.
     """
-    declared = F.nullif(F.regexp_extract("html", r"(?is)^.{0,4096}?<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1), F.lit(""))
+    tag = F.regexp_extract(F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", ""), r"(?i)<html\b[^>]*", 0)
+    declared = F.nullif(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?([a-z]{2})", 1), F.lit(""))
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("x_host"), declared.alias("x_declared"))
     return identify_languages(rows, model, "html", ["page_id", "url"], markup=True)

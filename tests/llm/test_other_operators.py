@@ -224,3 +224,12 @@ def test_toxicity_odd_rows(spark, table, odd):
     assert got.count() == len(odd) and got.where("score is null or score < 0 or score > 1").count() == 0
     assert {r.score for r in toxicity_scores(table(odd), labels.where("false")).collect()} == {0.5}
     assert toxicity_scores(table([]), labels).count() == 0
+
+
+def test_declared_language_after_a_long_comment(spark):
+    model = train_text_model(spark.createDataFrame([("the cat sat on the mat", "en"), ("die Katze sitzt auf der Matte", "de")] * 20, "text string, lang string"))
+    comment = '<!-- <html lang="en"> ' + "x" * 5000 + " -->"
+    heads = {1: comment + '\n<!DOCTYPE html><html class="a" LANG="de">', 2: " " * 9000 + "<html lang='de'>", 3: '<html lang="de">', 4: '<html><p>said: <html lang="de">', 5: comment}
+    pages = spark.createDataFrame([(i, "http://a.example/", h + "<body>1</body>") for i, h in heads.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.declared for r in page_languages(pages, model).collect()}
+    assert got == {1: "de", 2: "de", 3: "de", 4: None, 5: None}
