@@ -68,6 +68,16 @@ def target_trends(samples: DataFrame, by: str = "split", unit: str = "unit", ind
     return per.groupBy(by).agg(F.count("*").alias("n_multi"), F.count_if(F.col("d") < -still).alias("falling"), F.count_if(F.col("d") > still).alias("rising"), F.count_if(F.abs("d") <= still).alias("flat"))
 
 
+def padding_statistics(samples: DataFrame, padding: str = "padding", by: str = "split", unit: str = "unit") -> DataFrame:
+    """Mean and maximum of the samples' padding, and the share of trajectories with more
+    than one window; samples without a unit count for the padding only."""
+    x = finite(F.col(padding))
+    per = samples.groupBy(by, unit).agg(F.sum(x).alias("s"), F.count(x).alias("c"), F.max(x).alias("high"), F.count("*").alias("n"))
+    known = F.col(unit).isNotNull()
+    share = F.coalesce(F.count_if(known & (F.col("n") > 1)) / F.nullif(F.count_if(known), F.lit(0)), F.lit(0.0))
+    return per.groupBy(by).agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("padding_mean"), F.max("high").alias("padding_max"), share.alias("multi_window_share"))
+
+
 def diagnosis(trends: DataFrame, statistics: DataFrame, least: int = 5) -> DataFrame:
     """Whether some group has enough trajectories, and whether any target is negative."""
     return trends.agg(F.bool_or(F.col("n_multi") >= least).alias("enough_trajectories")).crossJoin(statistics.agg(F.bool_or(F.col("n_negative") > 0).alias("any_negative")))
@@ -117,6 +127,12 @@ def pending(runs: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return runs.alias("a").join(done.alias("b"), same, "left_anti")
 
 
+def suite_caveats(results: DataFrame, *by: str) -> DataFrame:
+    """The distinct caveats of a suite's runs in order, each with its dataset."""
+    named = F.when(F.col("caveat") != "", F.concat(F.coalesce("dataset", F.lit("")), F.lit(": "), "caveat"))
+    return results.groupBy(*by).agg(F.array_sort(F.collect_set(named)).alias("caveats"))
+
+
 def suite_summary(results: DataFrame, *by: str) -> DataFrame:
     """Counts by status; ok if any run is ok or partial, else failed if any is, else skipped."""
     n = {s: F.count_if(F.col("status") == s) for s in ("ok", "partial", "failed", "skipped")}

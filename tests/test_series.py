@@ -362,3 +362,11 @@ def test_window_and_federated_queries_use_all_channels_and_rows(spark, tmp_path)
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.idx: r.value for r in Q.QUERIES["mean_parameters_all"](spark, str(tmp_path)).collect()}
     assert got == {0: round((4 + 2 * 5) / 3, 6), 1: round((1 + 2 * 3) / 3, 6)}
+
+
+def test_padding_statistics_and_caveats(spark):
+    rows = [("a", "u", 0.5), ("a", "u", 0.0), ("a", "v", None), ("a", None, 1.0), ("a", None, 0.5), ("b", None, None)]
+    got = {r.split: tuple(r)[1:] for r in runlog.padding_statistics(spark.createDataFrame(rows, "split string, unit string, padding double")).collect()}
+    assert got == {"a": (0.5, 1.0, 0.5), "b": (None, None, 0.0)}
+    runs = spark.createDataFrame([("s", "d", "few rows"), ("s", "d", "few rows"), ("s", "c", "old"), ("s", "c", ""), ("t", "c", None)], "suite string, dataset string, caveat string")
+    assert {r.suite: r.caveats for r in runlog.suite_caveats(runs, "suite").collect()} == {"s": ["c: old", "d: few rows"], "t": []}
