@@ -1,28 +1,40 @@
-"""MinHash near-duplicates by a chosen-path similarity join over word shingles."""
+"""MinHash near-duplicates by a chosen-path similarity join over word shingles.
+
+Every distinct shingle set is one document of the join. A tree's root deals documents by
+a minwise token; nodes branch along further chosen tokens until they are small, and small
+nodes are compared exhaustively: first by sketches of 128 minwise bytes, then on the full
+sets of those that the sketches don't rule out. Documents that are known to be joined
+carry one label, and no pair of one label is compared again, so a group of near copies
+costs its members and not its pairs.
+"""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, mix, word_hashes
+from .common import as_bytes, deltas, discard, materialize, mix, undeltas, word_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-TOKENS = 64  # minwise tokens a document is embedded into
-# positions that the root nodes of all trees choose; with two positions for each large node
-# below, a link of the least similarity is lost with a chance of 1e-5 even if all that its
-# documents agree in is frequent and all six levels are needed (see the tests)
-ROOT_PATHS = 16
-LEAF = 64  # nodes of at most so many documents are compared exhaustively
-PIVOTS = 8  # documents of a large node that are compared with the whole node
-FEW = 32  # documents that no pivot joins, and that are then compared with the whole node
-CHUNK = 512
+# trees; with two branches for each large node below, a link of the least similarity is
+# lost with a chance of 1e-5 even if all that its documents agree in is frequent and all
+# levels are needed (see the tests)
+TREES = 16
+SKETCH = 128  # minwise bytes of a sketch, along which nodes branch
+LEAF = 1024  # nodes of at most so many documents are compared exhaustively
+PIVOTS = 8  # documents of a large node, on average, that are compared with all of it
+FEW = 512  # documents outside of a node's largest group that are compared with all of it
 MAX_DEPTH = 6
+COLLAPSING = 2  # trees whose links are used to leave out pairs in the others
+SENT = 500_000  # documents whose keys are sent to all executors at most
 
 
 def shingle_set(text: bytes | None, k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -43,227 +55,281 @@ def shingle_set(text: bytes | None, k: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(s)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> tuple[bool, float]:
-    """Whether two sets reach the similarity, and the similarity (0 if they can't)."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not len(small) or 100 * len(small) < percent * len(large):
-        return False, 0.0
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
-    union = len(a) + len(b) - both
-    return 100 * both >= percent * union, both / union
+def least_agreement(percent: int = PERCENT) -> int:
+    """Equal bytes of two sketches under which a pair is ruled out: 5.3 standard deviations
+    below the mean at the least similarity, a chance of 2e-7."""
+    p = percent / 100
+    return max(1, math.floor(SKETCH * p - 5.3 * math.sqrt(SKETCH * p * (1 - p))))
 
 
-def _signer(tokens: int):
-    odd = mix(np.arange(1, tokens + 1, dtype=np.uint64)) | np.uint64(1)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def _digest(s: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
 
-    def run(batches):
-        for batch in batches:
-            sizes, d1, d2, minima = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                s = shingle_set(text)
-                sizes.append(len(s))
-                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                d1.append(digest[0])
-                d2.append(digest[1])
-                if not len(s):
-                    minima.append([])
-                    continue
-                low = np.full(tokens, np.uint64(2**64 - 1))
-                for i in range(0, len(s), 4096):
-                    low = np.minimum(low, (s[i : i + 4096, None] * odd).min(axis=0))
-                minima.append(low.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(minima, pa.list_(pa.int64()))], schema=schema)
 
-    return run
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("roots", pa.list_(pa.int64())), ("sketch", pa.binary())])
+SIGNED = "doc_id long, key long, n_shingles long, d1 long, d2 long, roots array<long>, sketch binary"
+
+
+def _sign(batches):
+    """Size, digest, root tokens and sketch of each text's shingle set."""
+    wide = mix(np.arange(1, TREES + 1, dtype=np.uint64)) | np.uint64(1)
+    narrow = (mix(np.arange(1000, 1000 + SKETCH, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    odd, add = narrow | np.uint32(1), narrow[::-1].copy()
+    for batch in batches:
+        sizes, first, second, roots, sketches = [], [], [], [], []
+        for text in as_bytes(batch.column(2)):
+            s = shingle_set(text)
+            d = _digest(s)
+            sizes.append(len(s))
+            first.append(d[0])
+            second.append(d[1])
+            if not len(s):
+                roots.append([])
+                sketches.append(b"")
+                continue
+            top = np.full(TREES, np.uint64(2**64 - 1))
+            low = np.full(SKETCH, np.uint32(2**32 - 1))
+            half = (s >> np.uint64(32)).astype(np.uint32)
+            for i in range(0, len(s), 1024):
+                top = np.minimum(top, (s[i : i + 1024, None] * wide).min(axis=0))
+                low = np.minimum(low, (half[i : i + 1024, None] * odd + add).min(axis=0))
+            roots.append(top.view(np.int64))
+            sketches.append((mix(low.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes())
+        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, first, second)), pa.array(roots, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, schema=_SIGNED)
 
 
 def _sets(batches):
+    """Sets of the texts (sid, d1, d2, text), each once for a partition."""
+    seen = set()
     for batch in batches:
-        sets = [shingle_set(x).tobytes() for x in as_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+        found = []
+        for sid, d1, d2, text in zip(*(batch.column(k).to_pylist() for k in range(3)), as_bytes(batch.column(3)), strict=True):
+            if sid not in seen:
+                s = shingle_set(text)
+                if tuple(_digest(s)) == (d1, d2):
+                    seen.add(sid)
+                    found.append((sid, deltas(s)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["sid", "shingles"])
 
 
-def _forest(ids: list, sets: list, percent: int, other: list | None = None) -> list:
-    """Edges that join what is linked: pairs already joined aren't compared.
+class _Group:
+    """Documents of one part of a node, by size, and the pairs that may be linked."""
 
-    other: which of two blocks a document is of; pairs within a block are then left out
-    unless all are of one block.
-    """
-    root = list(range(len(ids)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    edges = []
-    for i in range(len(ids)):
-        for j in range(i):
-            if other is not None and other[i] == other[j]:
-                continue
-            if (x := find(i)) != (y := find(j)) and linked(sets[i], sets[j], percent)[0]:
-                root[x] = y
-                edges.append((ids[i], ids[j]))
-    return edges
+    def __init__(self, table: pa.Table, percent: int):
+        sid = table.column("sid").to_numpy()
+        size = table.column("size").to_numpy()
+        _, once = np.unique(sid, return_index=True)
+        order = once[np.lexsort((sid[once], size[once]))]
+        self.table = table.take(pa.array(order))
+        self.sid, self.size, self.label = sid[order], size[order], table.column("label").to_numpy()[order].copy()
+        self.sketch = np.frombuffer(b"".join(self.table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        self.percent, self.agree = percent, least_agreement(percent)
 
+    def partners(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Smaller documents of other labels that a sketch doesn't rule out, and agreements."""
+        low = np.searchsorted(100 * self.size[:i], self.percent * self.size[i])
+        at = low + np.flatnonzero(self.label[low:i] != self.label[i])
+        if not len(at):
+            return at, at
+        some = self.sketch[low:i] if len(at) == i - low else self.sketch[at]
+        agreed = np.count_nonzero(some == self.sketch[i], axis=1)
+        likely = agreed >= self.agree
+        return at[likely], agreed[likely]
 
-def _leaf(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        sides = table.column("side").to_pylist() if "side" in table.column_names else None
-        if sides is not None and len(set(sides)) == 1:
-            sides = None
-        edges = _forest(ids, sets, percent, sides)
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())}, schema=schema)
+_MEMBER = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("sid", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+MEMBER = "node long, part long, sid long, label long, size long, sketch binary"
 
-    return run
 
+def _likely(percent: int):
+    """Documents of a group that may be linked to one of another label."""
 
-def _against(percent: int):
-    """Compare a chunk of a node's documents with the node's pivots, as far as they haven't
-    joined; documents that are known to have joined (side 1) are one from the start."""
-    schema = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("pivot", pa.int64())])
-
-    def run(chunk: pa.Table, pivots: pa.Table) -> pa.Table:
-        root: dict = {}
-
-        def find(x):
-            while (y := root.setdefault(x, x)) != x:
-                root[x] = root.setdefault(y, y)
-                x = root[x]
-            return x
-
-        out: list = []
-        others = sorted((i, x) for i, x in zip(pivots.column("pivot").to_pylist(), pivots.column("other").to_pylist(), strict=True))
-        others = [(i, np.frombuffer(x, np.uint64)) for i, x in others]
-        rows = sorted(zip(chunk.column("rep").to_pylist(), chunk.column("side").to_pylist(), chunk.column("shingles").to_pylist(), strict=True))
-        for rep, side, _ in rows:
-            if side:
-                root[find(rep)] = find("joined")
-        for rep, _, x in rows:
-            own = np.frombuffer(x, np.uint64)
-            for i, other in others:
-                if i != rep and find(rep) != find(i) and linked(own, other, percent)[0]:
-                    root[find(rep)] = find(i)
-                    out.append((rep, i))
-        node = chunk.column("node")[0].as_py() if chunk.num_rows else 0
-        return pa.table({"node": pa.array([node] * len(out), pa.int64()), "rep": pa.array([x[0] for x in out], pa.int64()), "pivot": pa.array([x[1] for x in out], pa.int64())}, schema=schema)
+    def run(table: pa.Table) -> pa.Table:
+        group = _Group(table, percent)
+        wanted = np.zeros(len(group.sid), bool)
+        for i in range(1, len(group.sid)):
+            at, _ = group.partners(i)
+            wanted[at] = True
+            wanted[i] |= len(at) > 0
+        return group.table.filter(pa.array(wanted)).select(_MEMBER.names).cast(_MEMBER)
 
     return run
 
 
-def _star(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (node, rep, pivot) that join documents of nodes (node, rep, n, side, is_pivot)
-    with the pivots among them. A node's documents are dealt into chunks, and its pivots
-    go to each of them; the sets are shuffled once."""
-    chunks = F.ceil(F.col("n") / CHUNK)
-    full = nodes.join(sets, "rep")
-    left = full.select("node", "rep", "side", "shingles", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
-    right = full.where("is_pivot").select(F.col("node").alias("to"), F.col("rep").alias("pivot"), F.col("shingles").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("part"))
-    return left.groupBy("node", "chunk").cogroup(right.groupBy("to", "part")).applyInArrow(_against(percent), "node long, rep long, pivot long")
+class _Sets:
+    """Sets of a group as numbers of its distinct shingles, one after the other."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        words, self.number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(words), bool)
 
-def _chosen(node, tokens: int):
-    """The two positions along which a node branches: at a similarity of 0.75 a link is in
-    1.5 children on average, so it doesn't die out with the levels."""
-    first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(tokens))
-    step = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(tokens - 1)) + 1
-    return F.array(first, F.pmod(first + step, F.lit(tokens)))
+    def linked(self, i: int, at: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the sets `at` reach the similarity with set i."""
+        own = self.number[self.start[i] : self.start[i] + self.size[i]]
+        self.mark[own] = True
+        size = self.size[at]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) + np.repeat(self.start[at] - first, size)
+        both = np.add.reduceat(self.mark[self.number[place]], first, dtype=np.int64)
+        self.mark[own] = False
+        return 100 * both >= percent * (size + len(own) - both)
 
 
-def _branch(state: DataFrame, tokens: int) -> DataFrame:
-    """Children of large nodes: documents that agree in a chosen minwise token."""
-    at = F.explode(_chosen(F.col("node"), tokens)).alias("at")
-    rows = state.select("node", "rep", "tokens", at)
-    return rows.select(F.xxhash64("node", "at", F.get("tokens", F.col("at").cast("int"))).alias("node"), "rep", "tokens")
+def _verified(percent: int):
+    """Links (a, b) on full sets that join what is linked in a group."""
 
+    def run(table: pa.Table) -> pa.Table:
+        group = _Group(table, percent)
+        sets = _Sets([undeltas(x) for x in group.table.column("shingles").to_pylist()])
+        label, a, b = group.label, [], []
+        for i in range(1, len(label)):
+            at, agreed = group.partners(i)
+            at = at[np.argsort(-agreed, kind="stable")]
+            step = 8  # the likeliest first: mostly one of them joins the rest
+            while len(at):
+                some, at = at[:step], at[step:]
+                some = some[sets.linked(i, some, percent)]
+                for j in some.tolist():
+                    if label[j] != label[i]:
+                        a.append(group.sid[i])
+                        b.append(group.sid[j])
+                        label[label == label[j]] = label[i]
+                at = at[label[at] != label[i]]
+                step = 1024
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def _contents(members: DataFrame) -> DataFrame:
-    """Size of each node, and sums that are equal where the documents are."""
-    return members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(7)).cast("decimal(20,0)")).alias("y"))
+    return run
 
 
-def _sized(members: DataFrame) -> DataFrame:
-    """Members of nodes of two or more, with the node's size; small nodes that hold
-    the same documents count once."""
-    sizes = _contents(members).where("n > 1")
-    small = sizes.where(f"n <= {LEAF}").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
-    large = sizes.where(f"n > {LEAF}").select("node", "n")
-    return members.join(small.unionByName(large), "node")
+def _chosen(node):
+    """The two places along which a node branches: at a similarity of 0.75 a link is in
+    1.5 children on average, so it doesn't die out with the levels."""
+    first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(SKETCH))
+    step = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(SKETCH - 1)) + 1
+    return F.array(first, F.pmod(first + step, F.lit(SKETCH)))
+
+
+def _branch(state: DataFrame) -> DataFrame:
+    """Children of nodes: documents that agree in a chosen byte of the sketch."""
+    rows = state.select("node", "sid", "sketch", F.explode(_chosen(F.col("node"))).alias("at"))
+    return rows.select(F.xxhash64("node", "at", F.substring("sketch", F.col("at").cast("int") + 1, F.lit(1))).alias("node"), "sid")
+
+
+def _parts(state: DataFrame, pivot) -> DataFrame:
+    """Nodes dealt into parts of LEAF documents, and their pivots sent to each part."""
+    parts = F.ceil(F.col("n") / LEAF)
+    columns = ["sid", "label", "size", "sketch"]
+    rows = state.select("node", F.pmod(F.xxhash64("sid", F.lit(11)), parts).alias("part"), *columns)
+    sent = state.where((F.col("n") > LEAF) & pivot).select("node", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *columns)
+    return rows.unionByName(sent)
+
+
+def _pairs_of_parts(state: DataFrame) -> DataFrame:
+    """Nodes dealt so that any two of their documents meet."""
+    parts = F.ceil(2 * F.col("n") / LEAF)
+    own = state.withColumn("own", F.pmod(F.xxhash64("sid", F.lit(11)), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return own.select("node", (F.least("own", "with") * parts + F.greatest("own", "with")).alias("part"), "sid", "label", "size", "sketch")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+class _Join:
+    """The similarity join of the distinct sets `reps` of `docs`."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
+        self.docs, self.reps, self.percent = docs, reps, percent
+        self.links: list[DataFrame] = []
+        self.labels: DataFrame | None = None
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return members.withColumn("label", F.col("sid"))
+        return members.join(self.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+    def relabel(self) -> None:
+        old = self.labels
+        self.labels = materialize(connected_components(_union(self.links)).toDF("sid", "label"))
+        if old is not None:
+            discard(old)
+
+    def state(self, members: DataFrame) -> DataFrame:
+        """Members (node, sid) of nodes with several labels, with all that is compared;
+        small nodes that hold the same documents count once."""
+        members = materialize(self.labelled(members))
+        own = F.xxhash64("sid")
+        sums = [F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(own).alias("x"), F.sum(F.xxhash64("sid", F.lit(7)).cast("decimal(20,0)")).alias("y")]
+        nodes = members.groupBy("node").agg(*sums).where("low <> high")
+        small = nodes.where(f"n <= {LEAF}").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
+        rows = members.join(small.unionByName(nodes.where(f"n > {LEAF}").select("node", "n")), "node")
+        full = materialize(rows.join(self.reps.select("sid", F.col("n_shingles").alias("size"), "sketch"), "sid").select("node", "n", "sid", "label", "size", "sketch"))
+        discard(members)
+        return full
+
+    def collapse(self, members: DataFrame) -> DataFrame:
+        """Join most of what is near in these nodes: small ones are compared exhaustively,
+        large ones within their parts and with pivots. Returns the large ones' members."""
+        state = self.state(members)
+        drawn = (F.xxhash64("sid", "node") / F.lit(2.0**64) + 0.5) < F.lit(float(PIVOTS)) / F.col("n")
+        self.verify(_parts(state, drawn))
+        self.relabel()
+        return state.where(f"n > {LEAF}").select("node", "sid")
+
+    def descend(self, members: DataFrame) -> None:
+        """Branch large nodes until they are small, then compare all nodes exhaustively."""
+        groups = []
+        for depth in range(MAX_DEPTH + 1):
+            state = self.state(members)
+            if state.isEmpty():
+                break
+            groups.append(_parts(state.where(f"n <= {LEAF}"), F.lit(False)))
+            large = state.where(f"n > {LEAF}")
+            if large.isEmpty():
+                break
+            sizes = large.groupBy("node", "label").count()
+            sizes = sizes.groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("top"), (F.sum("count") - F.max("count")).alias("others"))
+            large = materialize(large.join(sizes, "node"))
+            # a few documents outside of the largest group are compared with all, which ends the node
+            groups.append(_parts(large.where(f"others <= {FEW}"), F.col("label") != F.col("top")))
+            rest = large.where(f"others > {FEW}")
+            if depth == MAX_DEPTH:
+                groups.append(_pairs_of_parts(rest))
+            members = _branch(rest)
+        if groups:
+            self.verify(_union(groups))
+
+    def verify(self, groups: DataFrame) -> None:
+        likely = materialize(groups.groupBy("node", "part").applyInArrow(_likely(self.percent), MEMBER))
+        needed = materialize(likely.select("sid").distinct().join(self.reps, "sid").select("sid", "key", "d1", "d2"))
+        few = needed.limit(SENT + 1).count() <= SENT
+        texts = self.docs.join(F.broadcast(needed) if few else needed, "key").select("sid", "d1", "d2", "text")
+        sets = texts.mapInArrow(_sets, "sid long, shingles binary")
+        self.links.append(materialize(likely.join(sets, "sid").groupBy("node", "part").applyInArrow(_verified(self.percent), "a long, b long")))
+        discard(likely, needed)
+
+
+def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed, reps, links): a row for each document, one for each distinct shingle set
+    (sid), and links (a, b) between sids, enough to join all that is linked."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    signed = materialize(docs.select("doc_id", "key", "text").mapInArrow(_sign, SIGNED))
+    reps = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n_shingles", "roots", "sketch")))
+    reps = materialize(reps.withColumn("sid", F.monotonically_increasing_id()))
+    join = _Join(docs, reps, percent)
 
+    def roots(trees: range) -> DataFrame:
+        rows = reps.select("sid", "roots", F.explode(F.array(*map(F.lit, trees))).alias("at"))
+        return rows.select(F.xxhash64("at", F.get("roots", F.col("at"))).alias("node"), "sid")
 
-def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(signatures, links): one signature row per document, and links (a, b) between
-    the least doc_ids of distinct shingle sets, enough to join all that is linked."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_signer(TOKENS), "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>"))
-    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"))
-    positions = F.explode(F.sequence(F.lit(0), F.lit(ROOT_PATHS - 1))).alias("at")
-    top = reps.select("rep", "tokens", positions).select(F.xxhash64("at", F.get("tokens", F.col("at"))).alias("node"), "rep", "tokens")
-    members = materialize(_sized(top.select("node", "rep")))
-    needed = members.select("rep").distinct()
-    # equal doc_ids with several texts: one of them stands for the id
-    texts = docs.join(needed, docs.doc_id == needed.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
-    sets = materialize(texts.mapInArrow(_sets, "rep long, shingles binary"))
-    links = []
-
-    def leaves(small: DataFrame) -> None:
-        links.append(materialize(small.select("node", "rep").join(sets, "rep").groupBy("node").applyInArrow(_leaf(percent), "a long, b long")))
-
-    leaves(members.where(f"n <= {LEAF}"))
-    state = members.where(f"n > {LEAF}").join(reps, "rep").select("node", "rep", "tokens", "n")
-    state = materialize(state)
-    if not state.isEmpty():
-        sets = materialize(sets.join(state.select("rep").distinct(), "rep", "left_semi"))
-    for depth in range(MAX_DEPTH):
-        if state.isEmpty():
-            break
-        # pivots are compared with the whole node, so they can leave it
-        drawn = (F.xxhash64("rep", "node", F.lit(depth)) / F.lit(2.0**64) + 0.5) < F.lit(float(PIVOTS)) / F.col("n")
-        least = state.groupBy("node").agg(F.min("rep").alias("least"))
-        flagged = materialize(state.join(least, "node").select("node", "rep", "n", F.lit(0).alias("side"), (drawn | (F.col("rep") == F.col("least"))).alias("is_pivot")))
-        pivots = flagged.where("is_pivot").select("node", F.col("rep").alias("pivot"))
-        star = materialize(_star(flagged, sets, percent))
-        links.append(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        # the pivot with the most links, and the pivots that a document links to it, have
-        # joined who is linked to any of them; among these no pair needs to be compared
-        best = star.groupBy("node", "pivot").count().groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-        linked_to = star.join(best, ["node", "pivot"]).select("node", "rep")
-        main = linked_to.select("node", F.col("rep").alias("pivot")).join(pivots, ["node", "pivot"])
-        main = main.unionByName(star.join(linked_to, ["node", "rep"]).select("node", "pivot")).unionByName(best).distinct()
-        joined = star.join(main, ["node", "pivot"]).select("node", "rep").distinct()
-        apart = state.select("node", "rep").join(joined, ["node", "rep"], "left_anti").join(pivots.withColumnRenamed("pivot", "rep"), ["node", "rep"], "left_anti")
-        apart = materialize(apart)
-        left = apart.groupBy("node").agg(F.count("*").alias("u"))
-        # a few documents that are apart are compared with the whole node, which ends it
-        few = left.where(f"u <= {FEW}")
-        sides = state.join(few, "node").join(joined.withColumn("side", F.lit(1)), ["node", "rep"], "left")
-        sides = sides.join(apart.withColumn("is_pivot", F.lit(True)), ["node", "rep"], "left")
-        ends = _star(sides.select("node", "rep", "n", F.coalesce("side", F.lit(0)).alias("side"), F.coalesce("is_pivot", F.lit(False)).alias("is_pivot")), sets, percent)
-        links.append(materialize(ends.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))))
-        rest = state.join(left.where(f"u > {FEW}").select("node"), "node").join(pivots.withColumnRenamed("pivot", "rep"), ["node", "rep"], "left_anti")
-        members = materialize(_sized(_branch(rest, TOKENS)))
-        leaves(members.where(f"n <= {LEAF}"))
-        state = members.where(f"n > {LEAF}").select("node", "rep", "tokens", "n")
-    if not state.isEmpty():
-        # what is still large is compared exhaustively, block by block, equal nodes once
-        state = state.join(_contents(state).groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
-        blocks = F.ceil(F.col("n") / LEAF)
-        own = state.select("node", "rep", blocks.alias("k"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-        dealt = own.select("node", "rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("with"))
-        dealt = dealt.select("node", "rep", F.col("block").alias("side"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-        links.append(dealt.join(sets, "rep").groupBy("node", "i", "j").applyInArrow(_leaf(percent), "a long, b long"))
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return signed, found
+    # the first trees join most of what is near, so that the others have little left
+    large = [join.collapse(roots(range(t, t + 1))) for t in range(COLLAPSING)]
+    join.descend(_union([roots(range(COLLAPSING, TREES)), *large]))
+    return signed, reps, _union(join.links)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -271,16 +337,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Documents whose sets of distinct 5-word shingles have a similarity of `percent` or
     more are linked; component_id is the least doc_id reachable and kept marks it.
-    Equal sets are one node of the search (however many copies there are). Null, empty
-    and wordless texts have no shingles and stay alone. Rows with a null doc_id take
-    part as copies of others only. Repeated rows give repeated results; extra columns
-    are ignored; an empty table gives an empty result.
+    Equal sets are one document of the join, however many copies there are. Null, empty
+    and wordless texts have no shingles and stay alone. A text is taken whole, however
+    long. A doc_id with several texts is one document with the links of all of them, and
+    gets a row for each. Rows with a null doc_id take part; where a group has no doc_id
+    at all, its component_id is null and all its rows are kept. Repeated rows give repeated
+    results; extra columns, of whatever names, are ignored; an empty table gives an empty
+    result.
     """
-    signed, links = near_duplicate_links(docs, percent)
-    component = connected_components(links).withColumnRenamed("node", "rep")
-    reps = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    groups = reps.join(component, "rep", "left").where("copies > 1 or component is not null")
-    groups = groups.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    signed, reps, links = near_duplicate_links(docs, percent)
+    # texts of one doc_id belong together
+    of = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.struct("d1", "d2").alias("s"))
+    several = of.groupBy("doc_id").agg(F.min("s").alias("one"), F.max("s").alias("last")).where("one <> last").select("doc_id", "one")
+    also = of.join(several, "doc_id").where("s <> one").select("s", "one").distinct()
+    named = reps.select(F.struct("d1", "d2").alias("s"), "sid")
+    also = also.join(named.withColumnRenamed("sid", "a"), "s").drop("s").join(named.toDF("one", "b"), "one").select("a", "b")
+    component = connected_components(links.unionByName(also)).toDF("sid", "component")
+    members = reps.join(component, "sid", "left").where("copies > 1 or component is not null")
+    members = members.select("d1", "d2", "doc_id", F.coalesce("component", "sid").alias("component"))
+    least = members.groupBy("component").agg(F.min("doc_id").alias("least"), F.lit(True).alias("grouped"))
+    groups = members.join(least, "component").select("d1", "d2", "least", "grouped")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    own = F.when(F.col("grouped") & (F.col("n_shingles") > 0), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))

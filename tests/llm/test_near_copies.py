@@ -29,22 +29,27 @@ def groups(rows, percent=75):
     return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
-def test_large_group_equals_brute_force(spark, table):
+def edited(rng, base, most):
+    w = list(base)
+    for _ in range(rng.randrange(most + 1)):
+        w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_groups_equal_brute_force_at_any_leaf_size(spark, table, monkeypatch):
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
-    rows = []
-    for i in range(180):  # larger than a leaf: near copies of one text
-        w = list(base)
-        for _ in range(rng.choice((0, 1, 2, 3))):
-            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
-        rows.append((i, " ".join(w)))
+    rows = [(i, edited(rng, base, 3)) for i in range(180)]
     for i in range(200, 260):
         rows.append((i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((2, 5, 40))))))
     want, sizes = groups(rows)
-    got = near_duplicates(table(rows)).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
-    assert {r.doc_id: r.n_shingles for r in got} == sizes
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    for leaf, few in ((1024, 64), (16, 4)):
+        monkeypatch.setattr(nearcopies, "LEAF", leaf)
+        monkeypatch.setattr(nearcopies, "FEW", few)
+        got = near_duplicates(table(rows)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+        assert {r.doc_id: r.n_shingles for r in got} == sizes
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
 def test_odd_rows(spark, table, odd):
@@ -58,6 +63,23 @@ def test_odd_rows(spark, table, odd):
     assert near_duplicates(table([(1, None)])).first().kept
 
 
+def test_doc_ids_with_several_texts_keep_all_links(spark, table):
+    rng = random.Random(9)
+    a, c = ([f"{k}{i}" for i in range(60)] for k in "ac")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(c)), (2, near(a)), (3, near(c)), (4, "alone " * 9)]
+    rng.shuffle(rows)
+    got = near_duplicates(table(rows + rows)).collect()
+    assert len(got) == 10
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_rows_without_doc_id_are_linked(spark, table):
+    w = [f"v{i}" for i in range(60)]
+    got = near_duplicates(table([(None, " ".join(w)), (7, " ".join(w[:-1])), (None, "x y z " * 4), (None, "x y z " * 4)])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (0, 7, False), (7, 7, True)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 40), (50, 50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -65,22 +87,25 @@ def test_components(spark):
 
 
 def test_chance_to_miss_a_link(spark):
-    """All that two documents agree in is frequent: a root path and each of the levels below
-    keeps their link with the share of equal tokens, the last level compares all."""
-    drawn = spark.range(2000).select(F.size(F.array_distinct(nearcopies._chosen(F.col("id"), nearcopies.TOKENS))).alias("n")).groupBy("n").count().collect()
+    """All that two documents agree in is frequent: a tree's root and each of the levels below
+    keeps their link with the chance of an equal token, the last level compares all."""
+    drawn = spark.range(2000).select(F.size(F.array_distinct(nearcopies._chosen(F.col("id")))).alias("n")).groupBy("n").count().collect()
     branches = {r.n: r["count"] / 2000 for r in drawn}
-    tokens, roots, missed = nearcopies.TOKENS, nearcopies.ROOT_PATHS, 0.0
-    for equal in range(tokens + 1):
-        share, lost = equal / tokens, 0.0
+    missed, ruled_out = 0.0, 0.0
+    for equal in range(nearcopies.SKETCH + 1):
+        chance = math.comb(nearcopies.SKETCH, equal) * 0.75**equal * 0.25 ** (nearcopies.SKETCH - equal)
+        share, lost = equal / nearcopies.SKETCH, 0.0
         for _ in range(nearcopies.MAX_DEPTH):
             one = 1 - share + share * lost
             lost = sum(p * one**n for n, p in branches.items())
-        hits = [math.comb(equal, r) * math.comb(tokens - equal, roots - r) / math.comb(tokens, roots) * lost**r for r in range(roots + 1)]
-        missed += math.comb(tokens, equal) * 0.75**equal * 0.25 ** (tokens - equal) * sum(hits)
+        missed += chance * (0.25 + 0.75 * lost) ** nearcopies.TREES
+        ruled_out += chance * (equal < nearcopies.least_agreement())
     assert missed < 1.1e-5
+    assert ruled_out < 1e-6
 
 
-def test_links_within_a_template_equal_brute_force(spark, table):
+def test_links_within_a_template_equal_brute_force(spark, table, monkeypatch):
+    """Recall in nodes that branch over several levels."""
     rng = random.Random(5)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     template, rows = fresh(100), []
@@ -89,5 +114,17 @@ def test_links_within_a_template_equal_brute_force(spark, table):
         rows += [(k, " ".join(template + both + fresh(14))) for k in (i, i + 1)]
     want, _ = groups(rows)
     assert len(set(want.values())) == 200
+    monkeypatch.setattr(nearcopies, "LEAF", 32)
+    monkeypatch.setattr(nearcopies, "FEW", 4)
+    got = near_duplicates(table(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_a_large_group_of_near_copies_equals_brute_force(spark, table, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, edited(rng, base, 4)) for i in range(1200)]
+    want, _ = groups(rows)
+    monkeypatch.setattr(nearcopies, "LEAF", 256)
     got = near_duplicates(table(rows)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
