@@ -20,20 +20,15 @@ WINDOW = 1024
 END_ID = 0
 SHARD_TEXTS = 4096  # texts in one index
 K1, B = 1.2, 0.75
-CACHE_WORDS = 400_000  # words whose ids a worker remembers
 N_IDS = 1 << 16
 
-# white space other than single blanks and single line ends between other characters
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|<\|")
+# white space beyond the ASCII one and marks of special tokens: the tokenizer file's own code
+_ODD = re.compile(r"[^\S \n\t\r]|[\u180e\u200b\ufeff]|<\|")
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as little-endian 16-bit bytes, as the tokenizer file gives them.
-
-    In a text whose white space is single blanks and line ends, each piece between them
-    (with the blank before it) is encoded by itself, so ids of pieces are remembered.
-    """
+    """Ids of texts as little-endian 16-bit bytes, as the tokenizer file gives them."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -44,26 +39,10 @@ class Encoder:
         with open(path[: -len(".json")] + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.line = array("H", self.fast("\n")).tobytes()
-        self.seen: dict[str, bytes] = {}
-
-    def piece(self, text: str) -> bytes:
-        if len(self.seen) >= CACHE_WORDS:
-            self.seen.clear()
-        ids = self.seen[text] = array("H", self.fast(text)).tobytes()
-        return ids
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return array("H", self.full.encode(text, add_special_tokens=False).ids).tobytes()
-        get, make = self.seen.get, self.piece
-        out = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            out.append(b"".join([get(head) or make(head), *[get(w) or make(w) for w in map(" ".__add__, rest)]]))
-        return self.line.join(out)
+        ids = self.full.encode(text, add_special_tokens=False).ids if _ODD.search(text) else self.fast(text)
+        return array("H", ids).tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -153,15 +132,27 @@ class _Index:
         tf = np.concatenate([c for _, c in bags]).astype(np.float64)
         length = np.array([c.sum() for _, c in bags], np.float64)[owner]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
+        # terms of a quarter of the shard's documents or more are rows of a matrix
+        often = np.bincount(term, minlength=N_IDS) * 4 >= len(bags)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), len(bags)), np.float32)
+        dense = often[term]
+        self.rows[self.row[term[dense]], owner[dense]] = weight[dense]
+        term, owner, weight = term[~dense], owner[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order].astype(np.int32), weight[order].astype(np.float32)
         self.start = np.searchsorted(term[order], np.arange(N_IDS + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """Scores of all documents of the shard for all terms of the seed."""
-        cuts = [slice(self.start[t], self.start[t + 1]) for t in self.unique[seed].tolist()]
-        owners = np.concatenate([self.owner[c] for c in cuts])
-        return np.bincount(owners, np.concatenate([self.weight[c] for c in cuts]), len(self.unique))
+        terms = self.unique[seed]
+        row = self.row[terms]
+        cuts = [slice(self.start[t], self.start[t + 1]) for t in terms[row < 0].tolist()]
+        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        if cuts:
+            owners = np.concatenate([self.owner[c] for c in cuts])
+            score += np.bincount(owners, np.concatenate([self.weight[c] for c in cuts]), len(score))
+        return score
 
 
 def _best(score: np.ndarray, free: np.ndarray, most: int) -> np.ndarray:

@@ -65,3 +65,47 @@ def test_documents_with_a_rare_word_in_common_share_a_shard(spark, table, monkey
     shard = {int(r.doc_id): r.sequence_id >> 40 for r in got.itertuples()}
     assert len(set(shard.values())) > 1
     assert np.mean([shard[i] == shard[i + 40] for i in range(40)]) > 0.8
+
+
+def test_neighbours_equal_brute_force_bm25():
+    import math
+
+    import numpy as np
+
+    from seriesloom.llm import packing
+
+    rng = np.random.default_rng(4)
+    docs = [np.minimum(rng.zipf(1.3, rng.integers(5, 80)), 500).astype(np.uint16) for _ in range(60)]
+    bags = [np.unique(d, return_counts=True) for d in docs]
+    df = np.bincount(np.concatenate([u for u, _ in bags]), minlength=packing.N_IDS)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+    mean = sum(map(len, docs)) / len(docs)
+    index = packing._Index(bags, idf, mean)
+    for seed in range(0, 60, 7):
+        want = []
+        for d in docs:
+            length, score = len(d), 0.0
+            for t in set(docs[seed].tolist()):
+                tf = (d == t).sum()
+                score += math.log(1 + (60 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+            want.append(score)
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+        best = packing._best(index.scores(seed), np.arange(60) != seed, 5)[:5]
+        assert np.allclose(np.sort([want[k] for k in best]), np.sort(np.delete(want, seed))[-5:], rtol=1e-4)
+
+
+def test_ids_are_those_of_the_tokenizer_file():
+    import random
+
+    import numpy as np
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from seriesloom.llm.packing import encoder
+
+    rng = random.Random(1)
+    pieces = ["a", "B", "é", "  ", " ", "\n", "\n\n", "\t", "\r\n", "'s", "'", "1", "23", ".", "!!", "中", "́", "😀", "don't", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "<|endoftext|>", "<|", "᠎", ""]
+    full, own = Tokenizer.from_file(path("byte_bpe_50k.json")), encoder(path("byte_bpe_50k.json"))
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
+        assert np.frombuffer(own.encode(text), np.uint16).tolist() == full.encode(text, add_special_tokens=False).ids
