@@ -1,23 +1,26 @@
-"""Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
+"""Line dedup by a deletion-neighbourhood join.
 
-Two lines one edit apart agree in the half that the edit isn't in, and share a variant of
-the other half's outer characters with one of them deleted. So a line's keys are, for
-each half, the half as it is together with the deletion variants of the characters at the
-other end; short lines give all their deletion variants. Equal keys are joined and the
-edit distance is verified.
+Two lines one edit apart share a variant: one with a character deleted, at the same place
+where one character was replaced, or the shorter line itself where one was put in. Every
+line that can have a neighbour emits all its variants as hashed keys with the deleted
+place; equal keys are joined and the edit distance is verified. Lines that agree with no
+other line in a half can't have a neighbour and emit none.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, mix
 
 MIN_CHARS = 20  # shorter lines are left alone
-ENDS = 3  # characters at either end whose deletions are emitted
-SENT_IDS = 200_000  # hashes of lines that are sent to all executors at most
-CROWD = 64  # lines of one key, beyond which all deletion variants of these lines are used
+SENT_IDS = 500_000  # hashes that are sent to all executors at most
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def normalized(line: Column) -> Column:
@@ -29,35 +32,75 @@ def normalized(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")).otherwise(lower))
 
 
-def _keys(line: Column) -> Column:
-    """Keys that lines of at least 2 * ENDS characters share if one edit apart.
+def _halves(line: Column) -> list[Column]:
+    """Hashes of halves: of two lines one edit apart, one half is the same.
 
-    Written out without lambdas, so that the halves' hashes are computed once.
+    A line of n characters is cut as one of n, and as the longer of a pair with n - 1.
     """
     n = F.char_length(line)
-
-    def deletions(end: Column) -> list[Column]:
-        return [F.concat(F.substring(end, 1, i), F.substring(end, i + 2, ENDS)) for i in range(ENDS)]
-
-    front, back = deletions(F.substring(line, 1, ENDS)), deletions(F.right(line, F.lit(ENDS)))
-    keys = []
-    for half in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        left, right = F.xxhash64(F.left(line, half)), F.xxhash64(F.right(line, half))
-        keys += [F.xxhash64(F.lit(1), half, right, v) for v in front] + [F.xxhash64(F.lit(2), half, left, v) for v in back]
-    return F.array_distinct(F.array(*keys))
-
-
-def _all_deletions(line: Column) -> Column:
-    """The line and all variants with one character left out, as hashes."""
-    n = F.char_length(line)
-    variants = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n))))
-    return F.array_distinct(F.concat(F.array(F.xxhash64(line)), variants))
-
-
-def _pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b), a < b, of equal keys, from rows (key, h)."""
-    other = keyed.select("key", F.col("h").alias("b"))
-    return keyed.select("key", F.col("h").alias("a")).join(other, "key").where("a < b").select("a", "b").distinct()
+    short, long = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return [
+        F.xxhash64(F.lit(1), n, F.left(line, long)),
+        F.xxhash64(F.lit(2), n, F.right(line, n - long)),
+        F.xxhash64(F.lit(1), n - 1, F.left(line, short)),
+        F.xxhash64(F.lit(2), n - 1, F.right(line, n - 1 - short)),
+    ]
+
+
+def variants(line: str) -> tuple[int, np.ndarray]:
+    """Hash of a line, and those of the line without each of its characters, by prefix sums."""
+    codes = mix(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    power = np.cumprod(np.full(len(codes), np.uint64(_BASE)), dtype=np.uint64)
+    sums = np.cumsum(codes * power, dtype=np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), sums[:-1]])
+    return int(sums[-1]), before + (sums[-1] - sums) * np.uint64(_INVERSE)
+
+
+_VARIANT = pa.schema([("variant", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
+
+
+def _emit(batches):
+    """Lines (h, line) to their variants; `at` is the place deleted, -1 for the line itself."""
+    for batch in batches:
+        keys, places, owners, size = [], [], [], 0
+
+        def out():
+            columns = [pa.array(np.concatenate(x)) for x in (keys, places, owners)]
+            for x in (keys, places, owners):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=_VARIANT)
+
+        for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own, deleted = variants(line)
+            keys += [np.array([own], np.uint64).view(np.int64), deleted.view(np.int64)]
+            places += [np.arange(-1, len(deleted), dtype=np.int32)]
+            owners += [np.full(len(deleted) + 1, h, np.int64)]
+            size += len(deleted)
+            if size > 1 << 18:
+                yield out()
+                size = 0
+        if keys:
+            yield out()
+
+
+def _neighbours(texts: DataFrame) -> DataFrame:
+    """(h, other): lines of `texts` (h, line, first) and the earliest one that shares a
+    variant with them, if it is earlier. All lines that have one variant by deletion at one
+    place differ in that place only, so no pairs among them are needed."""
+    keyed = texts.select("h", "line").mapInArrow(_emit, "variant long, at int, h long")
+    # a variant's lines differ in one character: at most length times alphabet of them
+    each = Window.partitionBy("variant")
+    keyed = keyed.withColumns({"low": F.min("h").over(each), "high": F.max("h").over(each)}).where("low <> high").select("variant", "at", "h")
+    keyed = materialize(keyed).join(texts.select("h", "first"), "h")
+    spot = F.struct("first", "h")
+    least = keyed.groupBy("variant", "at").agg(F.min(spot).alias("least"))
+    replaced = keyed.where("at >= 0").join(least, ["variant", "at"]).select("h", "first", "least")
+    whole = least.where("at = -1").select("variant", "least")
+    longer = least.where("at >= 0").groupBy("variant").agg(F.min("least").alias("least"))
+    put_in = keyed.where("at >= 0").join(whole, "variant").select("h", "first", "least")
+    left_out = keyed.where("at = -1").join(longer, "variant").select("h", "first", "least")
+    found = replaced.unionByName(put_in).unionByName(left_out).where("least.first < first")
+    return found.select("h", F.col("least.h").alias("other")).distinct()
 
 
 def _only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -73,41 +116,36 @@ def document_key(docs: DataFrame) -> Column:
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc (see document_key) and gone: the places of the lines to be removed.
 
-    Lines are known by two hashes; texts of lines are fetched only of those that share a
-    key with another line.
+    Lines are known by two hashes; texts of lines are fetched only of those that agree with
+    another line in a half.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("doc", document_key(rows))
 
     def lines_of(some: DataFrame) -> DataFrame:
         cut_up = some.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-        return cut_up.select("doc_id", "doc", "place", normalized(F.col("raw")).alias("line")).where(F.char_length("line") >= max(min_chars, 2 * ENDS))
+        return cut_up.select("doc_id", "doc", "place", normalized(F.col("raw")).alias("line")).where(F.char_length("line") >= max(min_chars, 2))
 
-    lines = lines_of(rows)
     names = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g")]
     spot = F.struct("doc_id", "doc", "place")
+    halves = F.array(*_halves(F.col("line"))).alias("halves")
+    places = materialize(lines_of(rows).select("doc_id", "doc", "place", *names, halves))
     # where each distinct line comes first; copies are combined before the shuffle
-    places = materialize(lines.select("doc_id", "doc", "place", *names))
     first = materialize(places.groupBy("h", "g").agg(F.min(spot).alias("first"), F.count("*").alias("copies")))
     again = places.join(first.where("copies > 1").select("h", "g", "first"), ["h", "g"]).where(~spot.eqNullSafe(F.col("first"))).select("doc", "place")
-    keyed = lines.select(names[0], F.explode(_keys(F.col("line"))).alias("key")).repartition("key").distinct()
-    crowd = F.count("*").over(Window.partitionBy("key"))
-    shared = materialize(keyed.select("h", "key", crowd.alias("crowd")).where("crowd > 1"))
-    few = materialize(_pairs(shared.where(F.col("crowd") <= CROWD).select("key", "h")))
-    # who shares a key with many gets all deletion variants, which only true neighbours share
-    many = shared.where(F.col("crowd") > CROWD).select("h").distinct()
-    wanted = few.select(F.col("a").alias("h")).unionByName(few.select(F.col("b").alias("h"))).unionByName(many).distinct()
-    wanted = materialize(wanted)
-    holders = materialize(first.join(wanted, "h", "left_semi").select("first.doc").distinct())
-    texts = lines_of(_only(rows, holders, "doc")).select(*names, "line")
-    texts = materialize(_only(texts, wanted, "h").dropDuplicates(["h", "g"]))
-    full = texts.join(many, "h", "left_semi").select("h", F.explode(_all_deletions(F.col("line"))).alias("key"))
-    pairs = few.unionByName(_pairs(full)).distinct()
-    spots = texts.join(first, ["h", "g"]).select("h", "line", "first")
-    one, two = (spots.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}")) for x in "ab")
-    near = pairs.join(one, "a").join(two, "b").where(F.levenshtein("line_a", "line_b", 1).between(0, 1))
-    near = near.select(F.greatest("first_a", "first_b").alias("later")).select(F.col("later.doc").alias("doc"), F.col("later.place").alias("place"))
-    return again.unionByName(near).groupBy("doc").agg(F.collect_set("place").alias("gone"))
+    halved = places.select("h", F.explode("halves").alias("half"))
+    shared = materialize(halved.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half"))
+    wanted = materialize(_only(halved, shared, "half").select("h").distinct())
+    spots = materialize(_only(first, wanted, "h"))
+    holders = materialize(spots.select("first.doc").distinct())
+    texts = _only(lines_of(_only(rows, holders, "doc")).select(*names, "line"), wanted, "h").dropDuplicates(["h", "g"])
+    texts = materialize(texts.join(spots, ["h", "g"]).select("h", "line", "first"))
+    one, two = (texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}")) for x in ("h", "other"))
+    near = _neighbours(texts).join(one, "h").join(two, "other").where((F.levenshtein("line_h", "line_other", 1) == 1) & (F.col("first_other") < F.col("first_h")))
+    near = near.select(F.col("first_h.doc").alias("doc"), F.col("first_h.place").alias("place"))
+    gone = materialize(again.unionByName(near).groupBy("doc").agg(F.collect_set("place").alias("gone")))
+    discard(places, first, shared, wanted, spots, holders, texts)
+    return gone
 
 
 def remaining(text: Column, gone: Column) -> Column:
