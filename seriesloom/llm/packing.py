@@ -24,6 +24,8 @@ N_IDS = 1 << 16
 
 # white space beyond the ASCII one and marks of special tokens: the tokenizer file's own code
 _ODD = re.compile(r"[^\S \n\t\r]|[\u180e\u200b\ufeff]|<\|")
+# without white space next to white space the pattern needs no look ahead, which is faster
+_RUNS = re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -38,10 +40,14 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         with open(path[: -len(".json")] + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        plain = PATTERN.replace(r"\s+(?!\S)|\s+", r"\s+")
+        self.runs, self.fast = (tiktoken.Encoding("byte_bpe_50k", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, plain))
 
     def encode(self, text: str) -> bytes:
-        ids = self.full.encode(text, add_special_tokens=False).ids if _ODD.search(text) else self.fast(text)
+        if _ODD.search(text):
+            ids = self.full.encode(text, add_special_tokens=False).ids
+        else:
+            ids = (self.runs if _RUNS.search(text) else self.fast)(text)
         return array("H", ids).tobytes()
 
 
