@@ -177,7 +177,7 @@ def _pass(automaton, first: bool, clean: bool):
                 out["n_hit"].append(sum(e - s for s, e in spans))
                 out["longest"].append(longest)
                 out["spans"].append([list(x) for x in spans])
-                out["items"].append(sorted(names))
+                out["items"].append(sorted(x for x in names if x is not None))
             types = {"spans": pa.list_(pa.list_(pa.int32())), "items": pa.list_(pa.string())}
             text = batch.column("text") if clean else pa.nulls(batch.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text.cast(pa.string()), *(pa.array(v, types.get(k, pa.int64())) for k, v in out.items())], names=["doc_id", "text", *out])
@@ -217,7 +217,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(engine), b == 0, clean or not last), _FOUND)
     if clean:
         rows = rows.mapInArrow(_clean, _FOUND)
-    return rows.withColumn("items", F.array_compact("items"))
+    return rows
 
 
 def _automata(items: DataFrame, window: int, block_words: int):

@@ -121,7 +121,9 @@ def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[
     spark = rows.sparkSession
     k = len(model.languages)
     host = F.lower(F.coalesce(F.col("x_host").cast("string"), F.lit("")))
-    rows = rows.withColumns({"x_host": host, "x_declared": F.lower(F.substring(F.col("x_declared").cast("string"), 1, 2)), text: F.col(text).cast("string")})
+    # the whole primary tag: "est" isn't "es"
+    tag = F.lower(F.regexp_extract(F.col("x_declared").cast("string"), r"^\s*([A-Za-z]+)", 1))
+    rows = rows.withColumns({"x_host": host, "x_declared": F.when(tag.isin(model.languages), tag), text: F.col(text).cast("string")})
     shared = spark.sparkContext.broadcast(model)
     evidence = ", likelihood array<double>, said int"
     narrow = rows.select("x_host", "x_declared", text).mapInArrow(_score_text(shared, markup, text, ["x_host", "x_declared"]), "x_host string, x_declared string" + evidence)
@@ -139,7 +141,7 @@ def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[
     levels = by_host.join(by_domain, ["suffix", "domain"]).join(by_suffix, "suffix")
     levels = materialize(levels.select("x_host", "n_host", _share("n_domain", _share("n_suffix", overall, k), k).alias("p_domain")))
     # P(declared | language), also by the texts' verdicts
-    told = counted.where(F.col("x_declared").isin(model.languages)).groupBy("x_declared").agg(added("n").alias("n")).collect()
+    told = counted.where("x_declared is not null").groupBy("x_declared").agg(added("n").alias("n")).collect()
     table = np.full((k, k), 0.5) + 4.5 * np.eye(k)
     for row in told:  # one row for a language
         table[model.languages.index(row["x_declared"])] += row["n"]
@@ -159,12 +161,12 @@ def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[
     out = out.withColumn("weight", F.transform("weight", lambda w: F.exp(w - F.array_max("weight"))))
     best = F.array_position("weight", F.array_max("weight")).cast("int")
     known = F.lit(model.languages)
-    speaks = F.col("said").isNotNull() | F.coalesce(F.col("x_declared").isin(model.languages), F.lit(False))
+    speaks = F.col("said").isNotNull() | F.col("x_declared").isNotNull()
     return out.select(
         *kept,
         F.when(speaks, F.get(known, best - 1)).alias("language"),
         F.round(F.array_max("weight") / F.aggregate("weight", F.lit(0.0), lambda a, x: a + x), 9).alias("posterior"),
-        F.when(F.col("x_declared").isin(model.languages), F.col("x_declared")).alias("declared"),
+        F.col("x_declared").alias("declared"),
         F.get(known, F.col("said")).alias("text_language"),
         F.col("x_host").alias("host"),
     )
@@ -178,7 +180,7 @@ def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
     without both, null pages and null ids get what the other evidence says.
     """
     tag = F.regexp_extract(F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", ""), r"(?i)<html\b[^>]*", 0)
-    declared = F.nullif(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?([a-z]{2})", 1), F.lit(""))
+    declared = F.nullif(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?\s*([a-z]+)", 1), F.lit(""))
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("x_host"), declared.alias("x_declared"))
     return identify_languages(rows, model, "html", ["page_id", "url"], markup=True)

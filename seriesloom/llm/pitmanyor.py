@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, word_hashes
+from .common import as_bytes, deltas, planes, undeltas, unplanes, word_hashes
 
 END = np.uint64(1)  # the token that ends a text
 START = np.uint64(0)  # the context of a text's first token
@@ -32,25 +32,6 @@ PACK, MESSAGE = "block long, ids binary, nulls binary, train binary, lengths bin
 DISHES, WORDS, SEATED, TABLES, KNOWN, TOTALS = range(6)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane, which the shuffle's compression shrinks."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
-
-
-def _unplanes(data: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype)[:, 0]
-
-
-def _deltas(x: np.ndarray) -> bytes:
-    """Sorted hashes as their differences."""
-    return _planes(np.diff(x, prepend=np.uint64(0)))
-
-
-def _hashes(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(data, np.uint64), dtype=np.uint64)
-
-
 def _coded(p: np.ndarray) -> bytes:
     """Probabilities in 16 bits: steps of 0.07 per cent down to 2^-63, and zero."""
     with np.errstate(divide="ignore"):
@@ -67,7 +48,11 @@ def _codec() -> pa.Codec:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, train) to blocks of some MB of compressed text."""
+    """Rows (doc_id, text, train) to blocks of some MB of compressed text, named by their
+    partition, their number there and their content."""
+    from pyspark import TaskContext
+
+    partition, made = TaskContext.get().partitionId(), 0
 
     def block(ids, texts, train):
         text = b"".join(texts)
@@ -75,7 +60,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array([x is not None for x in ids], bool)
         numbers = np.array([x or 0 for x in ids], np.int64)
         flags = np.array(train, bool)
-        name = xxhash.xxh3_64(numbers.tobytes())
+        nonlocal made
+        name = xxhash.xxh3_64(np.array([partition, made], np.int64).tobytes() + numbers.tobytes())
+        made += 1
         name.update(lengths.tobytes())
         name.update(text)
         key = np.array([name.intdigest()], np.uint64).view(np.int64)[0]
@@ -161,9 +148,9 @@ def _send(buckets: int):
                     i, j = cut[b], cut[b + 1]
                     if i < j:
                         s, e = starts[i], starts[j]
-                        names, known = _deltas(block.words[i:j]), _planes(total[i:j])
+                        names, known = deltas(block.words[i:j]), planes(total[i:j])
                         rows.append((WORDS, b, row["block"], b, names, known, None, None))
-                        rows.append((DISHES, b, row["block"], b, None, _planes(lengths[i:j]), words[s:e].tobytes(), _planes(counts[s:e])))
+                        rows.append((DISHES, b, row["block"], b, None, planes(lengths[i:j]), words[s:e].tobytes(), planes(counts[s:e])))
                 del block, pairs, words
                 yield from _table(rows).to_batches()
                 del rows
@@ -198,19 +185,19 @@ def _restaurants(buckets: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"]))
         out = [(WORDS, r["dest"], r["block"], r["part"], r["a"], r["b"], None, None) for r in rows if r["kind"] == WORDS]
-        names = [_hashes(r["a"]) for r in rows if r["kind"] == WORDS]
+        names = [undeltas(r["a"]) for r in rows if r["kind"] == WORDS]
         rows = [r for r in rows if r["kind"] == DISHES]
         part, blocks = rows[0]["part"], [r["block"] for r in rows]
         n_contexts = [len(x) for x in names]
         contexts, at_context = np.unique(np.concatenate(names), return_inverse=True)
-        lengths = np.concatenate([_unplanes(r["b"], np.uint32) for r in rows])
+        lengths = np.concatenate([unplanes(r["b"], np.uint32) for r in rows])
         n_dishes = [len(r["c"]) // 8 for r in rows]
         words, at_word = np.unique(np.concatenate([np.frombuffer(r["c"], np.uint64) for r in rows]), return_inverse=True)
         key = np.repeat(at_context, lengths) * np.int64(len(words)) + at_word
         del at_word, names
         dishes, at_dish = np.unique(key, return_inverse=True)
         del key
-        count = np.bincount(at_dish, np.concatenate([_unplanes(r["d"], np.uint32) for r in rows]), len(dishes))
+        count = np.bincount(at_dish, np.concatenate([unplanes(r["d"], np.uint32) for r in rows]), len(dishes))
         del rows
         used = np.flatnonzero(count)
         c = count[used].astype(np.int64)
@@ -249,7 +236,7 @@ def _restaurants(buckets: int, seed: int):
         for b in range(buckets):
             i, j = cut[b], cut[b + 1]
             if i < j:
-                out.append((TABLES, b, part, b, _deltas(words[i:j]), _planes(sent[i:j]), None, None))
+                out.append((TABLES, b, part, b, deltas(words[i:j]), planes(sent[i:j]), None, None))
         return _table(out)
 
     return run
@@ -262,12 +249,12 @@ def _root(buckets: int, seed: int):
         rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"]))
         asked = [r for r in rows if r["kind"] == WORDS]
         tables = [r for r in rows if r["kind"] == TABLES]
-        names = [_hashes(r["a"]) for r in asked]
+        names = [undeltas(r["a"]) for r in asked]
         words, at = np.unique(np.concatenate(names), return_inverse=True)
-        count = np.bincount(at, np.concatenate([_unplanes(r["b"], np.uint32) for r in asked]), len(words)).astype(np.int64)
+        count = np.bincount(at, np.concatenate([unplanes(r["b"], np.uint32) for r in asked]), len(words)).astype(np.int64)
         sent = np.zeros(len(words), np.int64)
         for r in tables:
-            sent[np.searchsorted(words, _hashes(r["a"]))] += _unplanes(r["b"], np.uint32)
+            sent[np.searchsorted(words, undeltas(r["a"]))] += unplanes(r["b"], np.uint32)
         root, mean = np.where(sent > 0, 1.0, 0.0), np.zeros(len(words))
         rng = np.random.default_rng([seed, 1, asked[0]["part"]])
         uniform = 1.0 / (buckets * max(1, int((count > 0).sum())) + 1)
@@ -281,7 +268,7 @@ def _root(buckets: int, seed: int):
         for r, name in zip(asked, names, strict=True):
             k = at[last : last + len(name)]
             last += len(k)
-            out.append((KNOWN, r["block"], r["block"], r["part"], _planes(count[k].astype(np.uint32)), _planes(own[k]), None, None))
+            out.append((KNOWN, r["block"], r["block"], r["part"], planes(count[k].astype(np.uint32)), planes(own[k]), None, None))
         totals = np.array([count.sum(), (count > 0).sum(), sent.sum(), mean.sum()], np.float64)
         out.append((TOTALS, 0, 0, asked[0]["part"], totals.tobytes(), None, None, None))
         return _table(out)
@@ -289,6 +276,13 @@ def _root(buckets: int, seed: int):
     return run
 
 
+def _doubles(batches):
+    """The four totals of each bucket as columns."""
+    for batch in batches:
+        rows = np.array([np.frombuffer(x, np.float64) for x in batch.column("a").to_pylist()]).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], names=["n_train", "n_words", "customers", "tables"])
+
+
 def _score(packs: pa.Table, answers: pa.Table) -> pa.Table:
     """Per text: its tokens, the known ones, the score of the add-one model and its own."""
     out = {k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score", "train_tokens")}
@@ -301,8 +295,8 @@ def _score(packs: pa.Table, answers: pa.Table) -> pa.Table:
     if packs.num_rows:
         own = np.concatenate([_decoded(r["a"]) for r in seated])
         back = np.concatenate([np.frombuffer(r["b"], np.float32) for r in seated])
-        count = np.concatenate([_unplanes(r["a"], np.uint32) for r in known]).astype(np.float64)
-        base = np.concatenate([_unplanes(r["b"], np.float32) for r in known]).astype(np.float64)
+        count = np.concatenate([unplanes(r["a"], np.uint32) for r in known]).astype(np.float64)
+        base = np.concatenate([unplanes(r["b"], np.float32) for r in known]).astype(np.float64)
     for row in packs.to_pylist():
         block = _Block(row)
         n_train, n_words, customers, tables = (row[k] for k in ("n_train", "n_words", "customers", "tables"))
@@ -341,9 +335,8 @@ def pitman_yor_scores(docs: DataFrame, train: Column, seed: int = 1) -> DataFram
     sent = rows.mapInArrow(_send(buckets), MESSAGE)
     seated = sent.groupBy("dest").applyInArrow(_restaurants(buckets, seed), MESSAGE)
     root = seated.where(F.col("kind").isin(WORDS, TABLES)).groupBy("dest").applyInArrow(_root(buckets, seed), MESSAGE)
-    doubles = F.udf(lambda x: np.frombuffer(x, np.float64).tolist(), "array<double>")
-    totals = root.where(F.col("kind") == TOTALS).select(doubles("a").alias("x"))
-    totals = totals.agg(*(F.coalesce(F.sum(F.col("x")[i]), F.lit(0.0)).alias(k) for i, k in enumerate(("n_train", "n_words", "customers", "tables"))))
+    totals = root.where(F.col("kind") == TOTALS).mapInArrow(_doubles, "n_train double, n_words double, customers double, tables double")
+    totals = totals.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in totals.columns))
     answers = seated.where(F.col("kind") == SEATED).unionByName(root.where(F.col("kind") == KNOWN))
     packs = packs.crossJoin(F.broadcast(totals))  # one row
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long"

@@ -52,3 +52,10 @@ def test_spans_are_removed(spark, table):
 def test_no_items_and_no_documents(spark, table, odd):
     assert find_contamination(table(odd), items(spark, [])).where("n_hit > 0").count() == 0
     assert find_contamination(table([]), items(spark, [(1, "a")])).count() == 0
+
+
+def test_items_without_a_name_beside_named_ones(spark, table):
+    items = spark.createDataFrame([(None, "one two three four"), ("b", "five six seven"), ("a", "eight nine ten")], "item_id string, text string")
+    for words in (200_000, 1):
+        got = find_contamination(table([(1, "x one two three four y eight nine ten five six seven")]), items, block_words=words).first()
+        assert (got.n_hit, got.items) == (10, ["a", "b"])

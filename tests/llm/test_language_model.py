@@ -46,3 +46,11 @@ def test_seating_has_at_least_one_table_and_at_most_one_a_customer():
     tables = seat(customers, np.full(6, 0.5), 0.7, rng)
     assert (tables >= 1).all() and (tables <= customers).all() and tables[0] == 1
     assert seat(customers, np.full(6, 1e9), 0.7, rng)[3] == 5
+
+
+def test_equal_partitions_each_get_their_own_scores(spark, table):
+    rows = [(i, f"the cat {i % 3} sat on the mat " * 3) for i in range(40)]
+    df = table(rows).coalesce(1)
+    got = pitman_yor_scores(df.union(df), ~held_out("doc_id", 7, 2)).collect()
+    assert sorted(r.doc_id for r in got) == sorted([i for i, _ in rows] * 2)
+    assert len({(r.doc_id, round(r.base_score, 9)) for r in got}) == 40

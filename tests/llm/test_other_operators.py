@@ -233,3 +233,12 @@ def test_declared_language_after_a_long_comment(spark):
     pages = spark.createDataFrame([(i, "http://a.example/", h + "<body>1</body>") for i, h in heads.items()], "page_id long, url string, html string")
     got = {r.page_id: r.declared for r in page_languages(pages, model).collect()}
     assert got == {1: "de", 2: "de", 3: "de", 4: None, 5: None}
+
+
+def test_declared_language_is_the_whole_primary_tag(spark):
+    from seriesloom.llm.langid import TextModel, page_languages
+
+    model = TextModel(["es", "fr"], np.full((2, 1 << 16), -1.0, np.float32))
+    pages = [(i, None, f"<!-- {'x' * 5000} --><html lang={t}><p>a") for i, t in enumerate(("'est'", '"frp"', "es", "'fr-CA'", "ES_mx", '" fr"'))]
+    got = page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()
+    assert [r.declared for r in sorted(got, key=lambda r: r.page_id)] == [None, None, "es", "fr", "es", "fr"]
