@@ -9,7 +9,8 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -70,6 +71,11 @@ def undeltas(data: bytes) -> np.ndarray:
     return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """Hash of doc_id and text; repeated rows have one key."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def as_bytes(column: pa.Array) -> list:
     """The UTF-8 bytes of a string column, None for null."""
     return column.cast(pa.binary()).to_pylist()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix
+from .common import discard, document_key, materialize, mix
 
 MIN_CHARS = 20  # shorter lines are left alone
 SENT_IDS = 500_000  # hashes that are sent to all executors at most
@@ -108,11 +108,6 @@ def _only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids, key, "left_semi")
 
 
-def document_key(docs: DataFrame) -> Column:
-    """Hash of doc_id and text; repeated rows are one document."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc (see document_key) and gone: the places of the lines to be removed.
 
@@ -120,7 +115,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     another line in a half.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("doc", document_key(rows))
+    rows = rows.withColumn("doc", document_key(F.col("doc_id"), F.col("text")))
 
     def lines_of(some: DataFrame) -> DataFrame:
         cut_up = some.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
@@ -164,6 +159,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     text are one document and get the same result; extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.withColumn("doc", document_key(rows)).join(repeated_lines(docs, min_chars), "doc", "left")
+    out = rows.withColumn("doc", document_key(F.col("doc_id"), F.col("text"))).join(repeated_lines(docs, min_chars), "doc", "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     return out.select("doc_id", remaining(F.col("text"), F.col("gone")).alias("text"), n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))

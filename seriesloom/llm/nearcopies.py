@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, deltas, discard, materialize, mix, undeltas, word_hashes
+from .common import as_bytes, deltas, discard, document_key, materialize, mix, undeltas, word_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -316,7 +316,7 @@ def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataF
     """(signed, reps, links): a row for each document, one for each distinct shingle set
     (sid), and links (a, b) between sids, enough to join all that is linked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("key", document_key(F.col("doc_id"), F.col("text")))
     signed = materialize(docs.select("doc_id", "key", "text").mapInArrow(_sign, SIGNED))
     reps = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n_shingles", "roots", "sketch")))
     reps = materialize(reps.withColumn("sid", F.monotonically_increasing_id()))
@@ -333,7 +333,7 @@ def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataF
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: near-duplicate groups of documents.
+    """doc_id, n_shingles, component_id, kept, text_key: near-duplicate groups of documents.
 
     Documents whose sets of distinct 5-word shingles have a similarity of `percent` or
     more are linked; component_id is the least doc_id reachable and kept marks it.
@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gets a row for each. Rows with a null doc_id take part; where a group has no doc_id
     at all, its component_id is null and all its rows are kept. Repeated rows give repeated
     results; extra columns, of whatever names, are ignored; an empty table gives an empty
-    result.
+    result. text_key is the row's document_key, of doc_id and text.
     """
     signed, reps, links = near_duplicate_links(docs, percent)
     # texts of one doc_id belong together
@@ -357,6 +357,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = members.select("d1", "d2", "doc_id", F.coalesce("component", "sid").alias("component"))
     least = members.groupBy("component").agg(F.min("doc_id").alias("least"), F.lit(True).alias("grouped"))
     groups = members.join(least, "component").select("d1", "d2", "least", "grouped")
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")
+    out = signed.select("doc_id", "n_shingles", "key", "d1", "d2").join(groups, ["d1", "d2"], "left")
     own = F.when(F.col("grouped") & (F.col("n_shingles") > 0), F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), F.col("key").alias("text_key"))

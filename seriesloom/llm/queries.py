@@ -60,7 +60,7 @@ def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 OP8_SQL = r"""
