@@ -191,10 +191,13 @@ def warnings(audit: DataFrame, rules: dict[str, Column], key: str = "dataset") -
 
 
 def shares(table: DataFrame, measures: list[str], where: Column | None = None, digits: int = 6) -> DataFrame:
-    """w_<measure>: each row's share of the total, over the rows where the filter holds."""
+    """w_<measure>: each row's share of the total, over the rows where the filter holds.
+
+    Shares are null where the total is zero.
+    """
     table = table.where(where) if where is not None else table
     total = Window.partitionBy(F.lit(1))  # one row for each dataset
-    return table.select("*", *(F.round(F.col(m) / F.sum(m).over(total), digits).alias(f"w_{m}") for m in measures))
+    return table.select("*", *(F.round(F.try_divide(F.col(m), F.sum(m).over(total)), digits).alias(f"w_{m}") for m in measures))
 
 
 def group_clients(sources: DataFrame, fusible: list[str]) -> DataFrame:
@@ -208,7 +211,7 @@ def client_summary(grouped: DataFrame, measures: list[str]) -> DataFrame:
     item = F.struct(*(F.col(m) for m in measures), F.col("dataset"))
     out = grouped.groupBy("client").agg(F.count("*").alias("n_datasets"), *(F.sum(m).alias(m) for m in measures), F.sort_array(F.collect_list(item), asc=False).alias("datasets"))
     total = Window.partitionBy(F.lit(1))  # one row for each client
-    return out.select("*", *(F.round(F.col(m) * 100 / F.sum(m).over(total), 2).alias(f"{m}_pct") for m in measures))
+    return out.select("*", *(F.round(F.try_divide(F.col(m) * 100, F.sum(m).over(total)), 2).alias(f"{m}_pct") for m in measures))
 
 
 def compare_audits(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -19,36 +19,46 @@ _EPS = 1e-12
 def cap_weights(table: DataFrame, weight: str, cap: Column, key: str, by: list[str] | None = None, total: Column | None = None, out: str = "capped") -> DataFrame:
     """Weights of each group scaled to `total` (1) with none above its cap.
 
-    If the caps don't sum up to the total, the weights are equal.
+    If the caps don't sum up to the total, the weights are equal. Rows of weight 0 get
+    nothing unless all others are at their caps: then they share what is left equally.
+    Where all weights are 0 they stay so.
     """
     group = [F.col(c) for c in by] if by else [F.lit(1)]
     whole = total if total is not None else F.lit(1.0)
     everything = Window.partitionBy(*group)
-    order = everything.orderBy(F.col("_cap") / F.col(weight), key)
-    t = table.withColumn("_cap", cap).withColumn("_total", whole)
-    before = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing))
-    t = t.withColumn("_factor", (F.col("_total") - before) / rest)
-    free = F.col("_factor") * F.col(weight) <= F.col("_cap") + _EPS
-    t = t.withColumn("_first", F.min(F.when(free, F.struct((F.col("_cap") / F.col(weight)).alias("r"), F.col(key).alias("k"), F.col("_factor").alias("f")))).over(everything))
-    n, room = F.count("*").over(everything), F.sum("_cap").over(everything)
+    ratio = F.coalesce(F.try_divide(F.col("_cap"), F.col(weight)), F.lit(float("inf")))
+    t = table.withColumn("_cap", cap).withColumn("_total", whole).withColumn("_ratio", ratio)
+    # running sums from both ends
+    t = t.withColumn("_before", F.sum("_cap").over(everything.orderBy("_ratio", key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cap"))
+    t = t.withColumn("_rest", F.sum(weight).over(everything.orderBy(F.desc("_ratio"), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("_factor", F.try_divide(F.col("_total") - F.col("_before"), F.col("_rest")))
+    free = (F.col(weight) > 0) & (F.col("_factor") * F.col(weight) <= F.col("_cap") + _EPS)
+    t = t.withColumn("_first", F.min(F.when(free, F.struct(F.col("_ratio").alias("r"), F.col(key).alias("k"), F.col("_factor").alias("f")))).over(everything))
+    n, room, sums = F.count("*").over(everything), F.sum("_cap").over(everything), F.sum(weight).over(everything)
+    idle = F.col(weight) <= 0
+    left = F.col("_total") - F.sum(F.when(~idle, F.col("_cap"))).over(everything)
+    share = F.least(F.col("_cap"), F.greatest(left, F.lit(0.0)) / F.count_if(idle).over(everything))
     scaled = F.least(F.col("_cap"), F.col("_first.f") * F.col(weight))
-    value = F.when(room < F.col("_total") - _EPS, F.col("_total") / n).otherwise(F.coalesce(scaled, F.col("_cap")))
-    return t.withColumn(out, value).drop("_cap", "_total", "_factor", "_first")
+    value = F.when(room < F.col("_total") - _EPS, F.col("_total") / n).when(sums <= 0, 0.0)
+    value = value.when(idle, F.when(F.col("_first").isNull(), share).otherwise(0.0)).otherwise(F.coalesce(scaled, F.col("_cap")))
+    return t.withColumn(out, value).drop("_cap", "_total", "_ratio", "_before", "_rest", "_factor", "_first")
 
 
 def floor_weights(table: DataFrame, weight: str, floor: float, key: str, by: list[str] | None = None, out: str = "floored") -> DataFrame:
-    """Weights of each group summing to 1 with none below the floor; the others shrink."""
+    """Weights of each group summing to 1 with none below the floor; the others shrink.
+
+    Where all weights are 0 they stay so.
+    """
     group = [F.col(c) for c in by] if by else [F.lit(1)]
     everything = Window.partitionBy(*group)
     order = everything.orderBy(F.col(weight), key)
     n_before = F.row_number().over(order) - 1
-    rest = F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing))
-    t = table.withColumn("_factor", (1.0 - n_before * floor) / rest)
+    rest = F.sum(weight).over(everything.orderBy(F.desc(weight), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0))
+    t = table.withColumn("_factor", F.try_divide(1.0 - n_before * floor, rest))
     free = F.col("_factor") * F.col(weight) >= floor - _EPS
     t = t.withColumn("_first", F.min(F.when(free, F.struct(F.col(weight).alias("w"), F.col(key).alias("k"), F.col("_factor").alias("f")))).over(everything))
     n = F.count("*").over(everything)
-    value = F.when(F.lit(floor) * n > 1, 1.0 / n).otherwise(F.greatest(F.lit(floor), F.coalesce(F.col("_first.f") * F.col(weight), F.lit(floor))))
+    value = F.when(F.sum(weight).over(everything) <= 0, 0.0).when(F.lit(floor) * n > 1, 1.0 / n).otherwise(F.greatest(F.lit(floor), F.coalesce(F.col("_first.f") * F.col(weight), F.lit(floor))))
     return t.withColumn(out, value).drop("_factor", "_first")
 
 

@@ -25,16 +25,18 @@ def interpolate(obs: DataFrame, key: list[str], columns: list[str], order: str =
 
     At the ends the nearest value is taken; a trajectory without values stays missing.
     """
+    # running frames in both directions: one pass each, however long a trajectory is
     before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    out = obs
+    after = Window.partitionBy(*key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(order).alias("p"))) for c in columns}
+    out = obs.withColumns({f"_{c}_0": F.last(k, ignorenulls=True).over(before) for c, k in known.items()})
+    out = out.withColumns({f"_{c}_1": F.last(k, ignorenulls=True).over(after) for c, k in known.items()})
+    filled = {}
     for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.col(order))
-        v0, p0 = F.last(c, ignorenulls=True).over(before), F.last(at, ignorenulls=True).over(before)
-        v1, p1 = F.first(c, ignorenulls=True).over(after), F.first(at, ignorenulls=True).over(after)
-        line = v0 + (v1 - v0) * (F.col(order) - p0) / (p1 - p0)
-        out = out.withColumn(f"{c}_filled", F.coalesce(F.col(c), line, v0, v1))
-    return out
+        v0, p0, v1, p1 = (F.col(f"_{c}_{side}.{part}") for side in "01" for part in "vp")
+        line = v0 + F.try_divide((v1 - v0) * (F.col(order) - p0), p1 - p0)
+        filled[f"{c}_filled"] = F.coalesce(F.col(c), line, v0, v1)
+    return out.withColumns(filled).drop(*(f"_{c}_{side}" for c in columns for side in "01"))
 
 
 def hold_out(units: DataFrame, key: list[str], share: float, seed: int, by: list[str] | None = None) -> DataFrame:

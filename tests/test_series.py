@@ -3,6 +3,7 @@
 import json
 import math
 import tarfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -370,3 +371,26 @@ def test_padding_statistics_and_caveats(spark):
     assert got == {"a": (0.5, 1.0, 0.5), "b": (None, None, 0.0)}
     runs = spark.createDataFrame([("s", "d", "few rows"), ("s", "d", "few rows"), ("s", "c", "old"), ("s", "c", ""), ("t", "c", None)], "suite string, dataset string, caveat string")
     assert {r.suite: r.caveats for r in runlog.suite_caveats(runs, "suite").collect()} == {"s": ["c: old", "d: few rows"], "t": []}
+
+
+def test_weights_of_zero(spark):
+    schema = "dataset string, client string, patches long"
+    plan = sampling.sampling_plan(spark.createDataFrame([*((f"d{i}", f"c{i % 5}", 10 * i) for i in range(20))], schema)).collect()
+    by = {r.dataset: r.final_dataset_weight for r in plan}
+    assert by["d0"] == 0 and abs(sum(by.values()) - 1) < 1e-9
+    rows = spark.createDataFrame([("a", 0.7), ("b", 0.3), ("c", 0.0), ("d", 0.0)], "dataset string, w double")
+    capped = {r.dataset: round(r.capped, 9) for r in sampling.cap_weights(rows, "w", F.lit(0.3), "dataset").collect()}
+    assert capped == {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.2}  # what is left goes to the others equally
+    none = rows.withColumn("w", F.lit(0.0))
+    assert {r.capped for r in sampling.cap_weights(none, "w", F.lit(0.3), "dataset").collect()} == {0.0}
+    assert {r.floored for r in sampling.floor_weights(none, "w", 0.1, "dataset").collect()} == {0.0}
+    assert {r.w_w for r in audit.shares(none, ["w"]).collect()} == {None}
+
+
+def test_interpolation_of_a_long_unit(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.lit("u").alias("unit"), F.col("id").alias("pos"), F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).alias("v"))
+    began = time.time()
+    filled = trajectories.interpolate(rows, ["unit"], ["v"])
+    off = filled.where((F.col("pos") < n - 10) & (F.abs(F.col("v_filled") - F.col("pos")) > 1e-6)).count()
+    assert off == 0 and time.time() - began < 20
