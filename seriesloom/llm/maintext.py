@@ -1,7 +1,9 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A block's features are its words and link density, those of the blocks before and after
-it, and which containers it is in; the tree is trained on the small labelled pages below.
+it, what kind of element it is, and which sectioning elements it is in. Names of classes
+and ids play no part. The tree is trained on the labelled pages below, which are built
+from a few layouts with and without sectioning elements.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _RAW = re.compile(r"</(script|style|noscript|template|textarea|svg|iframe|select|button|title)", re.I)
-_HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_UNWANTED = re.compile(r"(?<![a-z])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|foot\w*|header|masthead|cookie\w*|consent|notice\w*|alert|comment\w*|disqus|respon[ds]\w*|reply|share|sharing|social|related|newsletter|subscri\w*|sign-?up|login|pop-?up|modal|widget|pagination|pager|copyright|legal|search|complementary|contentinfo|navigation)(?![a-z])", re.I)
-_WANTED = re.compile(r"(?<![a-z])(?:article\w*|post|post-?(?:body|content|text)|entry\w*|story\w*|content|main|body-?text)(?![a-z])", re.I)
+_ROLE = re.compile(r"""\brole\s*=\s*["']?([a-z]+)""", re.I)
+_HREF = re.compile(r"\bhref\b", re.I)
+# landmark roles and the elements they stand for
+ROLES = {"banner": "header", "complementary": "aside", "contentinfo": "footer", "dialog": "dialog", "form": "form", "main": "main", "menu": "menu", "navigation": "nav", "search": "form", "article": "article"}
 SKIPPED = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "button", "title"}
 UNWANTED = {"nav", "footer", "aside", "form", "dialog", "menu", "head"}
 WANTED = {"article", "main"}
@@ -26,23 +29,27 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = HEADINGS | UNWANTED | WANTED | set("html body header p div section ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr address fieldset legend details summary center".split())
 # elements that end when their parent does; only what can hold blocks is kept open
 HOLDERS = BLOCKS - HEADINGS - {"p", "hr", "pre"}
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "wanted", "unwanted", "heading", "list_item"]
+FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "nested_article", "boilerplate", "heading", "paragraph", "list_item"]
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """The page's non-empty blocks (text, features), in order."""
+    """The page's non-empty blocks (text, features), in order.
+
+    article: 1 in an article or main element, -1 outside of those that the page has.
+    """
     out: list[list] = []
     text: list[str] = []
     linked = 0
-    in_link = heading = item = False
-    stack: list[tuple[str, int, int]] = []  # element, open wanted and unwanted holders
+    in_link = heading = paragraph = item = articles = False
+    link_depth = 0
+    stack: list[tuple[str, int, int]] = []  # element, whether it is wanted and unwanted
     wanted = unwanted = 0
 
     def flush() -> None:
         nonlocal text, linked
         words = html.unescape("".join(text)).split()
         if words:
-            out.append([" ".join(words), len(words), min(1.0, linked / len(words)), float(wanted > 0), float(unwanted > 0), float(heading), float(item)])
+            out.append([" ".join(words), len(words), min(1.0, linked / len(words)), float(wanted > 0), float(wanted > 1), float(unwanted > 0), float(heading), float(paragraph), float(item)])
         text, linked = [], 0
 
     def add(piece: str) -> None:
@@ -84,8 +91,9 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 tail = page.find(">", stop.end()) if stop else -1
                 at = tail + 1 if tail >= 0 else end
             continue
-        if name == "a":
-            in_link = not closing
+        if name == "a":  # a link goes on through the blocks that it holds
+            in_link = not closing and bool(_HREF.search(rest))
+            link_depth = len(stack)
             continue
         if name == "br":
             text.append(" ")
@@ -93,8 +101,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if name not in BLOCKS:
             continue
         flush()
-        in_link = False
         heading = name in HEADINGS and not closing
+        paragraph = name in ("p", "pre", "blockquote") and not closing
         if name == "li":
             item = not closing
         if name not in HOLDERS:
@@ -105,10 +113,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 wanted -= sum(s[1] for s in stack[k:])
                 unwanted -= sum(s[2] for s in stack[k:])
                 del stack[k:]
+                in_link = in_link and len(stack) >= link_depth
             continue
-        hints = " ".join(filter(None, (x for h in _HINT.findall(rest) for x in h)))
-        good = name in WANTED or bool(hints and _WANTED.search(hints) and not _UNWANTED.search(hints))
-        bad = name in UNWANTED or (name == "header" and not wanted) or bool(hints and name not in ("html", "body") and _UNWANTED.search(hints))
+        role = _ROLE.search(rest)
+        means = ROLES.get(role[1].lower(), name) if role else name
+        good = means in WANTED and not (means == "article" and stack and stack[-1][0] == "main")
+        bad = means in UNWANTED or (means == "header" and not wanted)
         if name == "body":
             unwanted -= sum(s[2] for s in stack)
             wanted -= sum(s[1] for s in stack)
@@ -116,35 +126,42 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         stack.append((name, int(good), int(bad)))
         wanted += good
         unwanted += bad
+        articles |= good
     flush()
     found = []
-    for i, (words, n, density, good, bad, head, li) in enumerate(out):
+    for i, (words, n, density, inside, nested, bad, head, par, li) in enumerate(out):
         before = out[i - 1][1:3] if i else [0, 0.0]
         after = out[i + 1][1:3] if i + 1 < len(out) else [0, 0.0]
-        found.append((words, [float(n), density, *map(float, before), *map(float, after), good, bad, head, li]))
+        place = inside if inside or not articles else -1.0
+        found.append((words, [float(n), density, *map(float, before), *map(float, after), place, nested, bad, head, par, li]))
     return found
 
 
-# Labelled pages: the blocks that begin with "Main" are the main text.
-_LONG = "a sentence of the text that tells the reader about the matter at some length and ends here. " * 2
-_MENU = '<nav><ul><li><a href="/a">Home</a><li><a href="/b">News and sport</a></ul></nav>'
-LABELLED = [
-    f"<body>{_MENU}<article><h1>Main title</h1><p>Main {_LONG}</p><p>Main.</p><p>Main {_LONG}</p></article><footer>&copy; site, {_LONG}</footer>",
-    f'<body><header><a href="/">Site</a> slogan {_LONG}</header><main><h1>Main</h1><p>Main one.</p><p>Main two <a href="x">with a link</a>.</p><div class="ad">Buy {_LONG}</div><p>Main {_LONG}</p></main><aside>Teaser {_LONG}</aside>',
-    f'<body>{_MENU}<div class="ad">Short ad.</div><article><p>Main.</p></article><section id="comments"><p>I say {_LONG}</p><p>Me too.</p></section>',
-    f'<body><div id="menu"><a href="1">One</a> <a href="2">Two</a></div><div><h2>Main heading</h2><p>Main {_LONG}</p><p>Main {_LONG}</p></div><div><a href="3">Terms</a> <a href="4">Help</a></div>',
-    f'<body><div><a href="1">Front page</a></div><div>Main {_LONG} {_LONG}</div><div>Main {_LONG}</div><div>Site 2020</div>',
-    f'<body><table><tr><td><a href="1">Links</a> <a href="2">More links of it</a></td><td>Main {_LONG} {_LONG}</td></tr></table><div class="cookie-notice">We use {_LONG}</div>',
-    f"<body><article><header><h1>Main title of it</h1></header><p>Main short.</p><ul><li>Main point</li><li>Main <a href='z'>linked point</a></li></ul><form>Your mail {_LONG}</form></article>",
-    f'<body><div class="sidebar"><p>About us {_LONG}</p><ul><li><a href="q">Old posts</a></ul></div><div class="post-content"><p>Main {_LONG}</p><p>Main yes.</p><div class="share">Tell a friend</div></div>',
-    f'<body><ul><li><a href="a">Alpha</a></li><li><a href="b">Beta</a></li></ul><p>Main {_LONG}</p><p>Main {_LONG}</p><p><a href="c">Next page of the list of pages that are here to be read by all</a></p>',
-    f"<body>{_MENU}<article><h1>Main</h1><p>Main {_LONG}</p><p>Main.</p><p>Main {_LONG}</p><p>Main so.</p><p>Main it is.</p><p>Main {_LONG}</p><p>Main we say.</p><p>Main {_LONG}",
-    f"<body>{_MENU}<article><p>Main {_LONG} {_LONG}</p><p>Main all of this is so</p><p>Main.</p><p>Main {_LONG} {_LONG}</p><p>Main then.</p><p>Main two of these words</p></article>",
-    f"<body><article><p>Main.</p><p>Main {_LONG}</p><p><a href='u'>Main linked words</a></p><p>Main {_LONG}</p><p>Main it.</p><p>Main.</p></article><p>Top of page</p><p>All rights held</p>",
-    f"<body><p>Welcome here</p><p>Today</p><div>Main {_LONG}</div><p>Top</p><p>Our site and what it is for</p><div>Main {_LONG}</div><p>Back to the top</p>",
-    f"<body><div><a href='1'>Read {_LONG}</a></div><div>Main {_LONG}</div><div><a href='2'>Or {_LONG}</a></div><div>Main {_LONG}</div>",
-    f"<body><p>Skip to it</p><article><p>Main a.</p><p>Main b.</p><p>Main c {_LONG}</p></article><p>Site map</p><p>Imprint</p>",
-]
+def _text(n: int, main: bool = False) -> str:
+    words = ("it tells the reader of the matter and of what came of it in the end " * (n // 15 + 1)).split()
+    return " ".join([*(["Main"] if main else []), *words][:n])
+
+
+def labelled_pages() -> list[str]:
+    """Small pages of several layouts; the blocks that begin with "Main" are the main text."""
+    p = lambda n: f"<p>{_text(n, True)}</p>"
+    link = lambda n: f'<a href="/x">{_text(n)}</a>'
+    links = lambda k, n: "<ul>" + f"<li>{link(n)}</li>" * k + "</ul>"
+    pages = []
+    for k, lengths in enumerate([(1,), (2, 60), (40, 1, 30), (90, 3, 2, 70), (25, 120), (3, 4, 2, 1), (35, 12, 50, 8), (150,), (20, 1, 1, 45)]):
+        body, title = "".join(map(p, lengths)), f"<h1>{_text(4 + k, True)}</h1>"
+        # with sectioning elements
+        nav, foot = f"<nav>{links(4, 1 + k % 3)}</nav>", f"<footer>&copy; {_text(3 + 5 * k)}</footer>"
+        pages.append(f"<body>{nav}<div>{_text(8)}</div><article>{title}{body}</article>{foot}")
+        pages.append(f"<body><header>{link(2)} {_text(20)}</header>{nav}<main>{title}{body}<ul><li>{_text(6, True)}</li><li>{_text(9, True)}</li></ul></main><aside><p>{_text(40)}</p></aside><p>{_text(7)}</p>")
+        pages.append(f"<body><p>{_text(5)}</p><article><header>{title}</header>{body}<form>{_text(25)}</form><article><p>{_text(30)}</p><p>{_text(3)}</p></article></article><section><p>{_text(35)}</p><p>{_text(4)}</p></section>")
+        pages.append(f"<body>{nav}<p>{_text(60)}</p><div>{_text(30)}</div><main>{title}{body}<p>{_text(9, True)} {link(2)}</p></main><div>{_text(45)}</div>{foot}")
+        # without: lengths and links of a block and of its neighbours have to tell
+        between = f"<p>{_text(30 + k, True)}</p><p>{_text(2 + k, True)}</p><p>{_text(50, True)}</p><p>{_text(1 + k % 4, True)}</p><p>{_text(28, True)}</p>"
+        pages.append(f"<body><div>{link(2)} {link(1)} {link(2)}</div><h1>{_text(5, True)}</h1>{between}<div>{link(1)} {link(3)}</div><p>{_text(3 + k)}</p>")
+        pages.append(f"<body>{links(5, 2)}<div>{_text(4)}</div><div>{link(3)}</div><div>{_text(80 + k, True)}</div><div>{_text(60, True)}</div>{links(3, 4 + k)}<div>{_text(6)}</div>")
+        pages.append(f"<body><table><tr><td>{link(2)}</td><td>{link(3)}</td></tr><tr><td>{_text(70 + k, True)}</td></tr><tr><td>{link(12 + k)}</td></tr></table>{links(2, 20)}<p>{_text(5)}</p>")
+    return pages
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
@@ -171,8 +188,8 @@ def decide(tree: tuple, x: list[float]) -> int:
     return tree[0]
 
 
-def train(pages: list[str] = LABELLED) -> tuple:
-    rows = [(f, text.startswith("Main")) for page in pages for text, f in blocks(page)]
+def train(pages: list[str] | None = None) -> tuple:
+    rows = [(f, text.startswith("Main")) for page in pages or labelled_pages() for text, f in blocks(page)]
     return grow(np.array([f for f, _ in rows]), np.array([y for _, y in rows], float))
 
 
@@ -185,7 +202,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Main blocks are joined by one line end in page order; white space in a block is one
     blank; character references are decoded. Null, empty and textless pages give an
-    empty text. Null ids, repeated rows and extra columns are passed over row by row.
+    empty text; a page is read whole, however long. Every row is judged by itself, also with
+    a null id or if it is repeated; extra columns, of whatever names, are ignored. Without
+    sectioning elements the main text is told by lengths and links alone.
     """
     tree = train()
 

@@ -29,7 +29,7 @@ PERCENT = 75
 # levels are needed (see the tests)
 TREES = 16
 SKETCH = 128  # minwise bytes of a sketch, along which nodes branch
-LEAF = 1024  # nodes of at most so many documents are compared exhaustively
+LEAF = 2048  # nodes of at most so many documents are compared exhaustively
 PIVOTS = 8  # documents of a large node, on average, that are compared with all of it
 FEW = 512  # documents outside of a node's largest group that are compared with all of it
 MAX_DEPTH = 6
