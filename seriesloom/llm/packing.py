@@ -4,7 +4,6 @@ text, and these fill its window of tokens."""
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,10 +21,6 @@ SHARD_TEXTS = 4096  # texts in one index
 K1, B = 1.2, 0.75
 N_IDS = 1 << 16
 
-# white space beyond the ASCII one and marks of special tokens: the tokenizer file's own code
-_ODD = re.compile(r"[^\S \n\t\r]|[\u180e\u200b\ufeff]|<\|")
-# without white space next to white space the pattern needs no look ahead, which is faster
-_RUNS = re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -44,10 +39,14 @@ class Encoder:
         self.runs, self.fast = (tiktoken.Encoding("byte_bpe_50k", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, plain))
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        words = text.split()
+        spaces = sum(map(text.count, " \n\t\r"))
+        # other white space and marks of special tokens need the tokenizer file's own code
+        if len(text) - spaces != len("".join(words)) or "<|" in text or "\u180e" in text:
             ids = self.full.encode(text, add_special_tokens=False).ids
-        else:
-            ids = (self.runs if _RUNS.search(text) else self.fast)(text)
+        else:  # without white space next to white space no look ahead is needed
+            between = len(words) - 1 + text[:1].isspace() + text[-1:].isspace()
+            ids = (self.fast if spaces <= between else self.runs)(text)
         return array("H", ids).tobytes()
 
 
@@ -138,8 +137,8 @@ class _Index:
         tf = np.concatenate([c for _, c in bags]).astype(np.float64)
         length = np.array([c.sum() for _, c in bags], np.float64)[owner]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
-        # terms of a quarter of the shard's documents or more are rows of a matrix
-        often = np.bincount(term, minlength=N_IDS) * 4 >= len(bags)
+        # terms of an eighth of the shard's documents or more are rows of a matrix
+        often = np.bincount(term, minlength=N_IDS) * 8 >= len(bags)
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.rows = np.zeros((int(often.sum()), len(bags)), np.float32)
         dense = often[term]
@@ -153,8 +152,9 @@ class _Index:
         """Scores of all documents of the shard for all terms of the seed."""
         terms = self.unique[seed]
         row = self.row[terms]
-        cuts = [slice(self.start[t], self.start[t + 1]) for t in terms[row < 0].tolist()]
-        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        score = np.add.reduce(self.rows[row[row >= 0]], axis=0).astype(np.float64)
+        rare = terms[row < 0]
+        cuts = [slice(i, j) for i, j in zip(self.start[rare].tolist(), self.start[rare.astype(np.int64) + 1].tolist(), strict=True)]
         if cuts:
             owners = np.concatenate([self.owner[c] for c in cuts])
             score += np.bincount(owners, np.concatenate([self.weight[c] for c in cuts]), len(score))

@@ -101,12 +101,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     """
     spark = docs.sparkSession
     at, values, bias = train_toxicity(docs, labels, sample_rows)
-    dense = np.zeros(1 << BITS, np.float32)
-    dense[at] = values
-    model = spark.sparkContext.broadcast(dense)  # of a fixed size
+    model = spark.sparkContext.broadcast((at, values.astype(np.float32)))  # the weights that aren't zero
 
     def run(batches):
-        weights = model.value
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[model.value[0]] = model.value[1]
         for batch in batches:
             scores = []
             for text in as_bytes(batch.column(1)):
