@@ -221,3 +221,47 @@ def compare_audits(before: DataFrame, now: DataFrame) -> DataFrame:
     change = F.when(F.col("patches_before") != 0, (F.col("patches_now") - F.col("patches_before")) * 100.0 / F.col("patches_before"))
     out = a.join(b, "dataset").select("*", (F.col("windows_now") - F.col("windows_before")).alias("delta_windows"), change.alias("patch_change_pct"))
     return out.orderBy(F.desc_nulls_last("patch_change_pct"), "dataset")
+
+
+def corpus_totals(parts: DataFrame, audit: DataFrame, measures: list[str]) -> DataFrame:
+    """One row for each measure: its total over the parts and over the audit, and whether
+    they agree."""
+    sums = [F.struct(F.lit(m).alias("measure"), F.sum(m).cast("double").alias("total")).alias(f"s{i}") for i, m in enumerate(measures)]
+    found, expected = (t.agg(*sums).select(F.inline(F.array(*(f"s{i}" for i in range(len(measures)))))) for t in (parts, audit))
+    out = found.join(expected.withColumnRenamed("total", "expected"), "measure")  # a row for each measure
+    return out.withColumn("passed", F.col("total").eqNullSafe(F.col("expected")))
+
+
+def with_excluded(audit: DataFrame, excluded: DataFrame, role: str = "EXCLUDED") -> DataFrame:
+    """The audit with the datasets that weren't audited; what isn't known of them is null."""
+    return audit.unionByName(excluded.withColumn("role", F.lit(role)), allowMissingColumns=True)
+
+
+def audit_order(audit: DataFrame) -> DataFrame:
+    """By role, domain and dataset."""
+    return audit.orderBy(F.asc_nulls_last("role"), F.asc_nulls_last("domain"), "dataset")
+
+
+def smallest_first(plan: DataFrame, size: str = "size", key: str = "dataset") -> DataFrame:
+    """A work plan by rising size, unknown sizes last."""
+    return plan.orderBy(F.asc_nulls_last(size), key)
+
+
+def file_states(files: DataFrame) -> DataFrame:
+    """Files and bytes by dataset and state, and each state's share of the dataset's files."""
+    per = files.groupBy("dataset", "state").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("n_bytes"))
+    all_of = F.sum("n_files").over(Window.partitionBy("dataset"))  # a row for each state
+    return per.withColumn("share", F.col("n_files") / all_of)
+
+
+def largest_files(files: DataFrame, most: int = 10) -> DataFrame:
+    """The largest files with a known size."""
+    return files.where("bytes is not null").orderBy(F.desc("bytes"), "file").limit(most)
+
+
+def top_by_measure(table: DataFrame, measures: list[str], most: int = 10, key: str = "dataset") -> DataFrame:
+    """measure, dataset, value and place: the largest rows by each of the measures."""
+    values = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))
+    rows = table.select(key, F.inline(values))
+    place = F.row_number().over(Window.partitionBy("measure").orderBy(F.desc("value"), key))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("measure", key, "value", "place")

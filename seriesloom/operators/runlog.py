@@ -138,3 +138,9 @@ def suite_summary(results: DataFrame, *by: str) -> DataFrame:
     n = {s: F.count_if(F.col("status") == s) for s in ("ok", "partial", "failed", "skipped")}
     overall = F.when(n["ok"] + n["partial"] > 0, "ok").when(n["failed"] > 0, "failed").otherwise("skipped")
     return results.groupBy(*by).agg(*(c.alias(f"n_{k}") for k, c in n.items()), overall.alias("status"))
+
+
+def ranked(table: DataFrame, order: list[str], column: str = "mode") -> DataFrame:
+    """Adds place: a value's place in a given order (from 1); others come last, by name."""
+    known = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    return table.withColumn("place", F.when(known > 0, known).otherwise(F.lit(len(order) + 1))).orderBy("place", column)

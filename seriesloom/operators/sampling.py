@@ -141,3 +141,27 @@ def draw_shares(drawn: DataFrame, plan: DataFrame, weight: str = "share") -> Dat
     seen = counts.select("dataset", (F.col("n") / total).alias("observed"))
     out = plan.select("dataset", F.col(weight).alias("expected")).join(seen, "dataset", "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
     return out.withColumn("error", F.abs(F.col("observed") - F.col("expected")))
+
+
+def plan_checks(plan: DataFrame, n_datasets: int, n_clients: int, cap_dataset: float = 0.10, cap_client: float = 0.25, min_client: float = 0.005, excluded: list[str] | None = None) -> DataFrame:
+    """Checks (name, observed, passed) of a plan (dataset, client, final_dataset_weight)."""
+    clients = plan.groupBy("client").agg(F.sum("final_dataset_weight").alias("w"))
+    whole = plan.agg(F.count_distinct("dataset").alias("datasets"), F.sum("final_dataset_weight").alias("total"), F.max("final_dataset_weight").alias("largest"), F.count_if(F.col("dataset").isin(excluded or [])).alias("targets"))
+    whole = whole.crossJoin(clients.agg(F.count("*").alias("clients"), F.max("w").alias("largest_client"), F.min("w").alias("least_client")))  # one row each
+
+    def check(name: str, observed: str, passed: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.round(F.col(observed).cast("double"), 9).alias("observed"), F.coalesce(passed, F.lit(False)).alias("passed"))
+
+    return whole.select(
+        F.inline(
+            F.array(
+                check("datasets", "datasets", F.col("datasets") == n_datasets),
+                check("clients", "clients", F.col("clients") == n_clients),
+                check("weights sum to 1", "total", F.abs(F.col("total") - 1) < 1e-9),
+                check("dataset cap", "largest", F.col("largest") <= cap_dataset + 1e-9),
+                check("client cap", "largest_client", F.col("largest_client") <= cap_client + 1e-9),
+                check("client floor", "least_client", F.col("least_client") >= min_client - 1e-9),
+                check("no target dataset", "targets", F.col("targets") == 0),
+            )
+        )
+    )

@@ -81,3 +81,26 @@ def checks(**named: tuple[Column, Column]) -> list[Column]:
 def check_table(totals: DataFrame, **named: tuple[Column, Column]) -> DataFrame:
     """One row for each check over a table of one row."""
     return totals.select(F.inline(F.array(*checks(**named))))
+
+
+def split_statistics(samples: DataFrame) -> DataFrame:
+    """Per dataset and split: samples, units and the range of the target."""
+    return samples.groupBy("dataset", "split").agg(
+        F.count("*").alias("n_samples"), F.count_distinct("unit").alias("n_units"), F.min("target").alias("target_min"), F.max("target").alias("target_max")
+    )
+
+
+def unit_lengths(obs: DataFrame) -> DataFrame:
+    """Per dataset and split: the units' lengths in order of the units, as a list."""
+    per = obs.groupBy("dataset", "split", "unit").agg(F.count("*").alias("n"))
+    units = F.sort_array(F.collect_list(F.struct("unit", "n")))  # two numbers for each unit
+    return per.groupBy("dataset", "split").agg(F.sum("n").alias("n_rows"), units.alias("u")).select("dataset", "split", "n_rows", F.transform("u", lambda x: x["n"]).alias("lengths"))
+
+
+def join_splits(**splits: DataFrame) -> DataFrame:
+    """One table of several splits, each row with its split's name; missing columns are null."""
+    named = [table.withColumn("split", F.lit(name)) for name, table in splits.items()]
+    out = named[0]
+    for table in named[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out

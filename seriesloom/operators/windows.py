@@ -173,3 +173,13 @@ def pool(tokens: DataFrame, key: list[str]) -> DataFrame:
     per = tokens.groupBy(*key, "channel", "dim").agg(F.avg(F.when(F.col("valid"), F.col("value"))).alias("v"), F.max("constant").alias("constant"))
     varied = F.avg(F.when(~F.col("constant"), F.col("v")))
     return per.groupBy(*key, "dim").agg(F.coalesce(varied, F.avg("v"), F.lit(0.0)).alias("value"))
+
+
+def channel_vector(settings: list[str], sensors: list[str]) -> Column:
+    """The channels of a row: operating settings, then sensors."""
+    return F.array(*(F.col(c).cast("double") for c in [*settings, *sensors]))
+
+
+def patch_time_mask(valid: Column, n_patches: int, patch: int) -> Column:
+    """valid_time cut into patches: for each of `n_patches` its `patch` steps' validity."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_patches - 1)), lambda i: F.slice(valid, i * patch + 1, F.lit(patch)))

@@ -582,3 +582,111 @@ def written_counts(spark: SparkSession, d: str) -> DataFrame:
     li = T.read(spark, d, "lineitem").withColumnRenamed("l_returnflag", "split")
     count = lambda df: df.groupBy("split").agg(F.count("*").alias("n"))
     return roles.count_differences(count(li), count(li.where("split <> 'A' and l_quantity > 0")), ["split"], ["n"])
+
+
+@query(f"""with {T.EVENTS} select dataset, split, count(*) as n_samples, count(distinct unit) as n_units, min(value) as target_min, max(value) as target_max from obs group by 1, 2""")
+def split_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return trajectories.split_statistics(T.event_rows(spark, d).withColumn("target", F.col("value")))
+
+
+@query(f"""with {T.EVENTS}, n as (select dataset, split, unit, count(*) as n from obs group by all)
+select dataset, split, sum(n)::bigint as n_rows, string_agg(n::varchar, ',' order by unit) as lengths from n group by 1, 2""")
+def unit_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return trajectories.unit_lengths(T.event_rows(spark, d)).withColumn("lengths", F.array_join(F.transform("lengths", lambda n: n.cast("string")), ","))
+
+
+@query("""select l_orderkey as unit, l_linenumber as pos, case when l_returnflag = 'R' then 'returned' else 'sold' end as split, case when l_returnflag = 'R' then l_discount end as discount from lineitem""")
+def joined_splits(spark: SparkSession, d: str) -> DataFrame:
+    li = T.read(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "unit", "l_linenumber": "pos", "l_discount": "discount"})
+    out = trajectories.join_splits(returned=li.where("l_returnflag = 'R'").select("unit", "pos", "discount"), sold=li.where("l_returnflag <> 'R'").select("unit", "pos"))
+    return out.select("unit", "pos", "split", "discount")
+
+
+@query("""select l_orderkey, l_partkey, l_linenumber, l_discount::double || ';' || l_tax::double || ';' || l_quantity::double || ';' || l_extendedprice::double as channels from lineitem""")
+def channel_vectors(spark: SparkSession, d: str) -> DataFrame:
+    li = T.read(spark, d, "lineitem").withColumn("x", windows.channel_vector(["l_discount", "l_tax"], ["l_quantity", "l_extendedprice"]))
+    shown = F.array_join(F.transform("x", lambda v: F.format_string("%s", v)), ";")
+    return li.select("l_orderkey", "l_partkey", "l_linenumber", shown.alias("channels"))
+
+
+@query(f"""with {T.EVENTS}, w as (select unit, pos // 16 as w_idx, list((x0 is not null)::int order by pos) as v from obs group by 1, 2)
+select unit, w_idx, i as patch, coalesce(list_sum(v[i * 4 + 1:i * 4 + 4]), 0)::bigint as n_valid, len(v[i * 4 + 1:i * 4 + 4]) as n_steps from w, unnest(range(4)) as t(i)""")
+def patch_masks(spark: SparkSession, d: str) -> DataFrame:
+    o = T.event_rows(spark, d).withColumn("w_idx", F.floor(F.col("pos") / 16))
+    valid = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x")[0].isNotNull().cast("int").alias("v")))), lambda s: s["v"])
+    masks = o.groupBy("unit", "w_idx").agg(valid.alias("v")).withColumn("m", windows.patch_time_mask(F.col("v"), 4, 4))
+    rows = masks.select("unit", "w_idx", F.posexplode("m").alias("patch", "steps"))
+    total = F.aggregate("steps", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("unit", "w_idx", "patch", total.alias("n_valid"), F.size("steps").cast("long").alias("n_steps"))
+
+
+@query(f"""with {T.NATIONS}, p as (select dataset, client, patches::double / sum(patches) over () as w from nations), c as (select client, sum(w) as w from p group by 1),
+v as (select count(distinct dataset) as d, sum(w) as t, max(w) as m, count(*) filter (dataset in ('NATION_3')) as x from p), k as (select count(*) as n, max(w) as m, min(w) as l from c)
+select 'datasets' as name, round(d::double, 9) as observed, d = 25 as passed from v union all select 'clients', round(n::double, 9), n = 5 from k
+union all select 'weights sum to 1', round(t, 9), abs(t - 1) < 1e-9 from v union all select 'dataset cap', round(m, 9), m <= 0.1 + 1e-9 from v
+union all select 'client cap', round(m, 9), m <= 0.25 + 1e-9 from k union all select 'client floor', round(l, 9), l >= 0.005 - 1e-9 from k
+union all select 'no target dataset', round(x::double, 9), x = 0 from v""")
+def plan_checks(spark: SparkSession, d: str) -> DataFrame:
+    plan = sampling.normalized(T.nation_table(spark, d), "patches", out="final_dataset_weight")
+    return sampling.plan_checks(plan, 25, 5, excluded=["NATION_3"])
+
+
+@query(f"""with {T.NATIONS}, a as (select sum(patches)::double as p, sum(n_units)::double as u from nations), b as (select count(*)::double as p, count(distinct l_suppkey)::double as u from lineitem join supplier on s_suppkey = l_suppkey)
+select 'patches' as measure, b.p as total, a.p as expected, a.p = b.p as passed from a, b union all select 'n_units', b.u, a.u, a.u = b.u from a, b""")
+def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
+    li, s = T.read(spark, d, "lineitem"), T.read(spark, d, "supplier")
+    parts = li.join(s, li.l_suppkey == s.s_suppkey).groupBy("l_suppkey").agg(F.count("*").alias("patches")).withColumn("n_units", F.lit(1))
+    return audit.corpus_totals(parts, T.nation_table(spark, d), ["patches", "n_units"])
+
+
+@query(f"""with {T.NATIONS}, a as (select dataset, client as domain, patches, 'SOURCE' as role from nations where client <> 'ASIA' union all select dataset, client, null, 'EXCLUDED' from nations where client = 'ASIA')
+select *, row_number() over (order by role, domain, dataset) as place from a""")
+def audit_listing(spark: SparkSession, d: str) -> DataFrame:
+    n = T.nation_table(spark, d).select("dataset", F.col("client").alias("domain"), "patches")
+    whole = audit.with_excluded(n.where("domain <> 'ASIA'").withColumn("role", F.lit("SOURCE")), n.where("domain = 'ASIA'").drop("patches"))
+    return _placed(audit.audit_order(whole)).select("dataset", "domain", "patches", "role", "place")
+
+
+def _placed(listed: DataFrame) -> DataFrame:
+    """Adds the place in the order of a small table (a row for each dataset)."""
+    rows = listed.agg(F.collect_list(F.struct(*listed.columns)).alias("rows"))
+    return rows.select(F.posexplode("rows").alias("at", "r")).select("r.*", (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query(f"""with {T.NATIONS}, s as (select dataset, case when client <> 'ASIA' then patches end as size from nations) select *, row_number() over (order by size nulls last, dataset) as place from s""")
+def work_plan(spark: SparkSession, d: str) -> DataFrame:
+    n = T.nation_table(spark, d).select("dataset", F.when(F.col("client") != "ASIA", F.col("patches")).alias("size"))
+    return _placed(audit.smallest_first(n))
+
+
+_FILES = """files as (select p_brand as dataset, p_name || '-' || p_partkey as file, case when p_size % 7 = 0 then 'missing' when p_size % 5 = 0 then 'partial' else 'done' end as state,
+  case when p_size % 7 <> 0 then (p_retailprice * 100)::bigint end as bytes from part)"""
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    state = F.when(size % 7 == 0, "missing").when(size % 5 == 0, "partial").otherwise("done")
+    name = F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string"))
+    return T.read(spark, d, "part").select(F.col("p_brand").alias("dataset"), name.alias("file"), state.alias("state"), F.when(size % 7 != 0, F.round(F.col("p_retailprice") * 100).cast("long")).alias("bytes"))
+
+
+@query(f"""with {_FILES} select dataset, state, count(*) as n_files, coalesce(sum(bytes), 0)::bigint as n_bytes, round(count(*) / sum(count(*)) over (partition by dataset), 6) as share from files group by 1, 2""")
+def file_states(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(audit.file_states(_files(spark, d)))
+
+
+@query(f"""with {_FILES} select dataset, file, state, bytes from files where bytes is not null order by bytes desc, file limit 10""")
+def largest_files(spark: SparkSession, d: str) -> DataFrame:
+    return audit.largest_files(_files(spark, d))
+
+
+@query("""select event_type as mode, count(*) as n, round(avg(value), 6) as score, coalesce(list_position(['purchase', 'click'], event_type), 3)::int as place from events group by 1""")
+def mode_order(spark: SparkSession, d: str) -> DataFrame:
+    per = T.read(spark, d, "events").groupBy(F.col("event_type").alias("mode")).agg(F.count("*").alias("n"), F.avg("value").alias("score"))
+    return runlog.ranked(rounded(per), ["purchase", "click"])
+
+
+@query(f"""with {T.NATIONS}, m as (select dataset, unnest(['patches', 'channel_patches', 'n_units', 'length_median']) as measure, unnest([patches::double, channel_patches::double, n_units::double, length_median::double]) as value from nations)
+select measure, dataset, round(value, 6) as value, place from (select *, row_number() over (partition by measure order by value desc, dataset) as place from m) where place <= 10""")
+def top_by_measure(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(audit.top_by_measure(T.nation_table(spark, d), ["patches", "channel_patches", "n_units", "length_median"]))
