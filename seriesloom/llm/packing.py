@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import materialize, planes, unplanes
 
 WINDOW = 1024
 END_ID = 0
@@ -67,7 +67,7 @@ _DEALT = "row long, doc_id long, doc_tokens long, full array<long>, rest binary,
 
 def _tokenize(path: str):
     """Per document: its tokens, checksums of its whole windows, the ids of the rest, and
-    the distinct ids of all of it with their counts where the rest isn't all."""
+    the distinct ids of all of it with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         enc = encoder(path)
@@ -80,31 +80,24 @@ def _tokenize(path: str):
                 totals.append(len(ids))
                 full.append([_crc(ids[i : i + WINDOW]) for i in range(0, whole, WINDOW)])
                 rest.append(ids[whole:].tobytes())
-                some, n = np.unique(ids, return_counts=True) if whole else (None, None)
-                terms.append(some.tobytes() if whole else None)
-                counts.append(n.astype(np.uint32).tobytes() if whole else None)
+                some, n = np.unique(ids, return_counts=True)
+                terms.append(some.tobytes())
+                counts.append(planes(n.astype(np.uint32)))
             columns = [pa.array(totals, pa.int64()), pa.array(full, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (rest, terms, counts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "doc_tokens", "full", "rest", "terms", "counts"])
 
     return run
 
 
-def _bag(rest: bytes, terms: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a whole document, and how often it has them."""
-    if terms is None:
-        return np.unique(np.frombuffer(rest, np.uint16), return_counts=True)
-    return np.frombuffer(terms, np.uint16), np.frombuffer(counts, np.uint32)
-
-
 def _terms(batches):
     """Partial document frequencies of token ids."""
     count = np.zeros(N_IDS, np.int64)
     size = texts = 0
     for batch in batches:
-        for tokens, *bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            count[_bag(*bag)[0]] += 1
-            size += tokens
-            texts += 1
+        for terms in batch.column(1).to_pylist():
+            count[np.frombuffer(terms, np.uint16)] += 1
+        size += sum(batch.column(0).to_pylist())
+        texts += batch.num_rows
     some = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int64()), pa.array([*count[some].tolist(), texts, size], pa.int64())], names=["term", "n"])
 
@@ -117,8 +110,8 @@ def _rarest(shared):
         rank = np.where(alone, -1.0, idf)
         for batch in batches:
             first, second = [], []
-            for bag in zip(*(batch.column(k).to_pylist() for k in ("rest", "terms", "counts")), strict=True):
-                ids = _bag(*bag)[0]
+            for terms in batch.column("terms").to_pylist():
+                ids = np.frombuffer(terms, np.uint16)
                 best = ids[np.lexsort((ids, -rank[ids]))[:2]]
                 first.append(int(best[0]))
                 second.append(int(best[-1]))
@@ -137,8 +130,8 @@ class _Index:
         tf = np.concatenate([c for _, c in bags]).astype(np.float64)
         length = np.array([c.sum() for _, c in bags], np.float64)[owner]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
-        # terms of an eighth of the shard's documents or more are rows of a matrix
-        often = np.bincount(term, minlength=N_IDS) * 8 >= len(bags)
+        # terms of a quarter of the shard's documents or more are rows of a matrix
+        often = np.bincount(term, minlength=N_IDS) * 4 >= len(bags)
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.rows = np.zeros((int(often.sum()), len(bags)), np.float32)
         dense = often[term]
@@ -183,7 +176,7 @@ def _fill(rows: list, idf: np.ndarray, mean: float, first: int) -> tuple[list, i
     begin = np.array([len(r["full"]) * WINDOW for r in rows])
     used = np.zeros(len(rows), np.int64)  # ids of the rest that have a place
     free = np.array([len(t) > 0 for t in texts], bool)
-    index = _Index([_bag(r["rest"], r["terms"], r["counts"]) for r in rows], idf, mean)
+    index = _Index([(np.frombuffer(r["terms"], np.uint16), unplanes(r["counts"], np.uint32)) for r in rows], idf, mean)
     seed = 0
 
     def place(k: int, room: int, offset: int) -> int:
@@ -262,7 +255,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = materialize(rows.mapInArrow(_tokenize(tokenizer_path), _TOKENS))
-    count = dict(tokens.select("doc_tokens", "rest", "terms", "counts").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # one row for an id
+    count = dict(tokens.select("doc_tokens", "terms").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # one row for an id
     n = count.pop(-1, 0)
     mean = count.pop(-2, 0) / max(n, 1)
     df = np.zeros(N_IDS)
