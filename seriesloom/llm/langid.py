@@ -23,7 +23,7 @@ TEMPER = 0.25  # trigrams overlap, so their evidence counts for less
 STRENGTH = 5.0  # rows that a level of the hierarchy weighs against the level below
 MIN_GRAMS = 3  # texts with fewer trigrams with letters say nothing
 MIN_POSTERIOR = 0.5
-SENT_HOSTS = 100_000  # hosts whose counts are sent to all executors at most
+SENT_HOSTS = 100_000  # hosts whose counts are sent to all executors, at most
 
 _LETTERS = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -106,6 +106,19 @@ def _share(counts: str, parent: Column, languages: int) -> Column:
     return F.transform(F.arrays_zip(own.alias("n"), parent.alias("p")), lambda x: (x["n"] + STRENGTH * x["p"]) / (total + STRENGTH))
 
 
+def _beside_hosts(rows: DataFrame, levels: DataFrame, score) -> DataFrame:
+    """score(rows), each row once, with its host's n_host and p_domain."""
+    found = levels.agg(F.count("*").alias("hosts"), F.sum("n_rows").alias("rows")).first()
+    common = F.col("n_rows") * SENT_HOSTS >= found["rows"]  # SENT_HOSTS at most
+    priors = lambda some: some.select("x_host", "n_host", "p_domain")
+    if found["hosts"] <= SENT_HOSTS:
+        return score(rows).join(F.broadcast(priors(levels)), "x_host", "left")
+    sent = F.broadcast(priors(levels.where(common)))
+    near = score(rows.join(sent.select("x_host"), "x_host", "left_semi")).join(sent, "x_host")
+    far = score(rows.join(sent.select("x_host"), "x_host", "left_anti")).join(priors(levels.where(~common)), "x_host", "left")
+    return near.unionByName(far)
+
+
 def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[str], markup: bool = False) -> DataFrame:
     """The kept columns, and language, posterior, declared, text_language and host.
 
@@ -116,7 +129,9 @@ def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[
     hosts are one host ""; null texts are empty; ties go to the language first in
     alphabetical order; repeated rows count as often as they are there.
 
-    Texts are scored twice rather than shuffled: for the counts, and beside the rows.
+    Texts are scored twice rather than shuffled: for the counts, and beside the rows. Up
+    to SENT_HOSTS hosts are sent to the rows; of more, those that hold one row in
+    SENT_HOSTS or more, and only the rows of the others are shuffled, so no key is hot.
     """
     spark = rows.sparkSession
     k = len(model.languages)
@@ -129,17 +144,17 @@ def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[
     narrow = rows.select("x_host", "x_declared", text).mapInArrow(_score_text(shared, markup, text, ["x_host", "x_declared"]), "x_host string, x_declared string" + evidence)
     # one grouped aggregation counts the verdicts on all levels
     verdicts = F.array(*(F.count_if(F.col("said") == i) for i in range(k))).alias("n")
-    counted = materialize(narrow.where("said is not null").groupBy("x_host", "x_declared").agg(verdicts))
+    counted = materialize(narrow.groupBy("x_host", "x_declared").agg(verdicts, F.count("*").alias("n_rows")))
     added = lambda c: F.array(*(F.sum(F.col(c)[i]) for i in range(k)))
     domain = F.regexp_extract("x_host", r"([^.]*\.[^.]*)$|^([^.]*)$", 0).alias("domain")
-    by_host = counted.groupBy("x_host", domain, F.regexp_extract("x_host", r"[^.]*$", 0).alias("suffix")).agg(added("n").alias("n_host"))
+    by_host = counted.groupBy("x_host", domain, F.regexp_extract("x_host", r"[^.]*$", 0).alias("suffix")).agg(added("n").alias("n_host"), F.sum("n_rows").alias("n_rows"))
     by_domain = by_host.groupBy("suffix", "domain").agg(added("n_host").alias("n_domain"))
     by_suffix = by_domain.groupBy("suffix").agg(added("n_domain").alias("n_suffix"))
     everything = by_suffix.agg(*(F.coalesce(F.sum(F.col("n_suffix")[i]), F.lit(0)).alias(f"c{i}") for i in range(k))).first()
     top = np.array([everything[f"c{i}"] + 1.0 for i in range(k)])
     overall = F.lit((top / top.sum()).tolist())
     levels = by_host.join(by_domain, ["suffix", "domain"]).join(by_suffix, "suffix")
-    levels = materialize(levels.select("x_host", "n_host", _share("n_domain", _share("n_suffix", overall, k), k).alias("p_domain")))
+    levels = materialize(levels.select("x_host", "n_rows", "n_host", _share("n_domain", _share("n_suffix", overall, k), k).alias("p_domain")))
     # P(declared | language), also by the texts' verdicts
     told = counted.where("x_declared is not null").groupBy("x_declared").agg(added("n").alias("n")).collect()
     table = np.full((k, k), 0.5) + 4.5 * np.eye(k)
@@ -150,9 +165,8 @@ def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[
     for i, name in enumerate(model.languages):
         declared = F.when(F.col("x_declared") == name, F.lit(says[i].tolist())).otherwise(declared)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    scored = rows.mapInArrow(_score_text(shared, markup, text, [*kept, "x_host", "x_declared"]), f"{names}, x_host string, x_declared string" + evidence)
-    few = levels.limit(SENT_HOSTS + 1).count() <= SENT_HOSTS
-    out = scored.join(F.broadcast(levels) if few else levels, "x_host", "left").withColumn("p_domain", F.coalesce("p_domain", overall))
+    scorer, schema = _score_text(shared, markup, text, [*kept, "x_host", "x_declared"]), f"{names}, x_host string, x_declared string" + evidence
+    out = _beside_hosts(rows, levels, lambda some: some.mapInArrow(scorer, schema)).withColumn("p_domain", F.coalesce("p_domain", overall))
     own = F.transform(F.coalesce("n_host", F.lit([0] * k)), lambda n, i: n - F.when(F.col("said") == i, 1).otherwise(0))
     out = out.withColumn("n_own", own).withColumn("prior", _share("n_own", F.col("p_domain"), k))
     likelihood = F.when(F.col("said").isNotNull(), F.col("likelihood")).otherwise(F.lit([0.0] * k))

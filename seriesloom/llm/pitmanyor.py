@@ -24,6 +24,7 @@ START = np.uint64(0)  # the context of a text's first token
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 SWEEPS, BURN_IN = 8, 3
+EXACT = 16  # customers of a dish whose tables are drawn exactly
 STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 1.0, 0.6, 10.0
 
 _PACK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("train", pa.binary()), ("lengths", pa.binary()), ("text", pa.binary())])
@@ -159,21 +160,43 @@ def _send(buckets: int):
     return run
 
 
-def seat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after seating its customers one by one.
+def _seatings(most: int, discount: float) -> np.ndarray:
+    """[c, t]: the weight of all ways to seat c customers at t tables, without what each
+    new table brings: S(c + 1, t) = S(c, t - 1) + (c - discount * t) * S(c, t)."""
+    ways = np.zeros((most + 1, most + 1))
+    ways[0, 0] = 1.0
+    t = np.arange(most + 1)
+    for c in range(most):
+        ways[c + 1] = (c - discount * t) * ways[c]
+        ways[c + 1, 1:] += ways[c, :-1]
+    return ways
 
-    rate: the weight of a new table (the restaurant's strength and other tables times the
-    parent's probability of the dish). Beyond 16 customers of a dish they come in groups.
+
+def seat(customers: np.ndarray, rest: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish, drawn by Gibbs given the tables of the restaurant's others.
+
+    rest: the restaurant's strength and discount times the other dishes' tables; parent:
+    the parent's probability of the dish. Up to EXACT customers of a dish the number of
+    tables is drawn from its exact conditional, P(t) in proportion to the ways to seat them
+    at t tables times the product of (rest + discount * i) * parent for i < t; those beyond
+    EXACT are seated after these, in groups.
     """
     tables = np.ones(len(customers))
-    live = np.flatnonzero(customers > 1)
-    seated = 1
+    first = np.minimum(customers, EXACT)
+    ways = _seatings(EXACT, discount)
+    for c in range(2, EXACT + 1):
+        at = np.flatnonzero(first == c)
+        if len(at):
+            opened = (rest[at, None] + discount * np.arange(c)) * np.asarray(parent)[at, None]
+            weight = np.cumsum(np.cumprod(opened, axis=1) * ways[c, 1 : c + 1], axis=1)
+            tables[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
+    live, seated = np.flatnonzero(customers > EXACT), EXACT
     while len(live):
-        step = 1 if seated < 16 else seated // 4
+        step = seated // 4
         left = np.minimum(customers[live] - seated, step)
-        weight = rate[live]
+        weight = (rest[live] + discount * tables[live]) * parent[live]
         chance = weight / (weight + np.maximum(seated + (left - 1) / 2 - discount * tables[live], 1e-9))
-        tables[live] += rng.random(len(live)) < chance if step == 1 else rng.binomial(left, chance)
+        tables[live] += rng.binomial(left, chance)
         seated += step
         live = live[customers[live] > seated]
     return tables
@@ -213,11 +236,11 @@ def _restaurants(buckets: int, seed: int):
             root = np.ones(len(words))
             for sweep in range(SWEEPS):
                 sent = np.bincount(w, tables, len(words)).astype(np.int64)
-                rate = (ROOT_STRENGTH + ROOT_DISCOUNT * (root.sum() - root)) * uniform
-                root = np.where(sent > 0, seat(sent, rate, ROOT_DISCOUNT, rng), 0)
+                rest = ROOT_STRENGTH + ROOT_DISCOUNT * (root.sum() - root)
+                root = np.where(sent > 0, seat(sent, rest, np.full(len(words), uniform), ROOT_DISCOUNT, rng), 0)
                 parent = (sent - ROOT_DISCOUNT * root + (ROOT_STRENGTH + ROOT_DISCOUNT * root.sum()) * uniform) / (ROOT_STRENGTH + sent.sum())
                 others = np.bincount(u, tables, len(contexts))[u] - tables
-                tables = seat(c, (STRENGTH + discount * others) * parent[w], discount, rng)
+                tables = seat(c, STRENGTH + discount * others, parent[w], discount, rng)
                 if sweep >= BURN_IN:
                     mean += tables / (SWEEPS - BURN_IN)
             sent = np.bincount(w, tables, len(words)).astype(np.uint32)
@@ -259,8 +282,8 @@ def _root(buckets: int, seed: int):
         rng = np.random.default_rng([seed, 1, asked[0]["part"]])
         uniform = 1.0 / (buckets * max(1, int((count > 0).sum())) + 1)
         for sweep in range(SWEEPS):
-            rate = (ROOT_STRENGTH + ROOT_DISCOUNT * buckets * (root.sum() - root)) * uniform
-            root = np.where(sent > 0, seat(sent, rate, ROOT_DISCOUNT, rng), 0)
+            rest = ROOT_STRENGTH + ROOT_DISCOUNT * buckets * (root.sum() - root)
+            root = np.where(sent > 0, seat(sent, rest, np.full(len(words), uniform), ROOT_DISCOUNT, rng), 0)
             if sweep >= BURN_IN:
                 mean += root / (SWEEPS - BURN_IN)
         own = np.maximum(sent - ROOT_DISCOUNT * mean, 0).astype(np.float32)

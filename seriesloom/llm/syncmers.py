@@ -7,6 +7,8 @@ same passage gives the same anchors wherever it stands.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ K, S = 10, 6
 PIECE = 64  # k-mers in a piece; a substring is looked up within its piece
 SKETCH = 64  # least hashes that a fingerprint has at least
 LEAST = -(1 << 63) + (1 << 61)  # it has all hashes below, an eighth of a text's anchors
-BLOCKS = 256  # blocks of neighbouring doc_ids
+BLOCKS, BLOCK_BYTES = 256, 1 << 30  # blocks of neighbouring doc_ids: so many, and more for more text
 
 
 def _chosen(piece: Column, k: int, s: int, make) -> Column:
@@ -90,11 +92,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.size(least))
 
 
-def blocked(docs: DataFrame, blocks: int = BLOCKS) -> tuple[DataFrame, list]:
+def _below(cuts: list, value: Column) -> Column:
+    """How many of the sorted cuts are below the value: by every so many-th, then near it."""
+    step = isqrt(len(cuts)) + 1
+    under = lambda a: F.size(F.filter(a, lambda c: c < value))
+    whole = under(F.lit(cuts[step - 1 :: step])) * step if len(cuts) >= step else F.lit(0)
+    return whole + under(F.slice(F.lit(cuts), whole + 1, F.lit(step)))
+
+
+def blocked(docs: DataFrame, blocks: int | None = None) -> tuple[DataFrame, list]:
     """Adds block: docs dealt into blocks of neighbouring doc_ids, null ids in block -1."""
+    if blocks is None:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        blocks = max(BLOCKS, -(-size // BLOCK_BYTES))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 20 * blocks).alias("p")).first()["p"]
     cuts = sorted(set(cuts or []))
-    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    number = _below(cuts, F.col("doc_id")) if cuts else F.lit(0)
     return docs.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(number)), cuts
 
 

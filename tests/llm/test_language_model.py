@@ -43,9 +43,31 @@ def test_model_beats_base_on_held_out_texts(spark):
 def test_seating_has_at_least_one_table_and_at_most_one_a_customer():
     rng = np.random.default_rng(0)
     customers = np.array([1, 1, 2, 5, 1000, 10**6])
-    tables = seat(customers, np.full(6, 0.5), 0.7, rng)
+    tables = seat(customers, np.full(6, 1.0), np.full(6, 0.5), 0.7, rng)
     assert (tables >= 1).all() and (tables <= customers).all() and tables[0] == 1
-    assert seat(customers, np.full(6, 1e9), 0.7, rng)[3] == 5
+    assert seat(customers, np.full(6, 1e9), np.full(6, 1.0), 0.7, rng)[3] == 5
+
+
+def gibbs_by_customer(c, rest, parent, discount, rng, sweeps):
+    """Table counts of one dish: customers removed and added one by one."""
+    at, seen = [0] * c, []
+    for _ in range(sweeps):
+        for i in range(c):
+            at[i] = None
+            sizes = Counter(k for k in at if k is not None)
+            options = [*sizes, max(sizes, default=0) + 1]
+            weights = np.array([*(n - discount for n in sizes.values()), (rest + discount * len(sizes)) * parent])
+            at[i] = options[rng.choice(len(options), p=weights / weights.sum())]
+        seen.append(len(set(at)))
+    return np.array(seen)
+
+
+def test_seating_agrees_with_customers_seated_one_by_one():
+    rng = np.random.default_rng(3)
+    for c, rest, parent, discount in [(2, 1.0, 0.3, 0.7), (4, 3.0, 0.2, 0.5), (7, 10.0, 0.05, 0.8)]:
+        plain = np.bincount(gibbs_by_customer(c, rest, parent, discount, rng, 5000), minlength=c + 1) / 5000
+        drawn = seat(np.full(50_000, c), np.full(50_000, rest), np.full(50_000, parent), discount, rng).astype(int)
+        assert np.abs(plain - np.bincount(drawn, minlength=c + 1) / 50_000).max() < 0.035
 
 
 def test_equal_partitions_each_get_their_own_scores(spark, table):

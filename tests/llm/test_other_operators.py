@@ -276,3 +276,24 @@ def test_declared_language_is_the_whole_primary_tag(spark):
     pages = [(i, None, f"<!-- {'x' * 5000} --><html lang={t}><p>a") for i, t in enumerate(("'est'", '"frp"', "es", "'fr-CA'", "ES_mx", '" fr"'))]
     got = page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()
     assert [r.declared for r in sorted(got, key=lambda r: r.page_id)] == [None, None, "es", "fr", "es", "fr"]
+
+
+def test_many_hosts_get_the_verdicts_of_few(spark, monkeypatch):
+    from seriesloom.llm import langid
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("source", F.concat(F.when(F.col("doc_id") % 3 == 0, "hot").otherwise((F.col("doc_id") % 40).cast("string")), F.lit(".example.com")))
+    model = train_text_model(docs.select("text", "lang"))
+    rows = docs.withColumns({"x_host": F.col("source"), "x_declared": F.col("lang")})
+    found = lambda: sorted(map(tuple, langid.identify_languages(rows, model, "text", ["doc_id"]).collect()))
+    want = found()
+    monkeypatch.setattr(langid, "SENT_HOSTS", 10)
+    assert found() == want and len(want) == docs.count()
+
+
+def test_blocks_are_counts_of_cuts_below(spark):
+    from seriesloom.llm.syncmers import blocked
+
+    docs = spark.range(0, 3000, 7).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for blocks in (2, 3, 50):
+        rows, cuts = blocked(docs, blocks)
+        assert all(r.block == sum(c < r.doc_id for c in cuts) for r in rows.collect())
