@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import audit, federated, lifetime, metrics, roles, runlog, sampling, trajectories, windows
+from ..sources import records, samples
 from . import tables as T
 
 QUERIES: dict = {}
@@ -240,6 +241,81 @@ def window_patches_all(spark: SparkSession, d: str) -> DataFrame:
     return rounded(one.select("unit", F.col("w_idx").cast("long").alias("w_idx"), "channel", F.col("patch").cast("long").alias("patch"), F.size("c.values").alias("width"), (total + 0.0).alias("total"), F.col("c.valid_patch").alias("valid"), real.cast("long").alias("n_valid")))
 
 
+_CONFIG = {"window": 64, "stride": 32, "patch": 8}
+
+
+def _event_samples(spark: SparkSession, d: str, by: str = "'events'") -> DataFrame:
+    rows = windows.tile(T.event_rows(spark, d).withColumn("dataset", F.expr(by)), ["unit"], 64, 32)
+    return windows.sample_rows(rows, 64, 8)
+
+
+@query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(*) as r, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3),
+d as (select *, case when n < 2 then 0.0 else m end as mean, case when n < 2 or v < 1e-6 then 1.0 else sqrt(v) end as dev from s),
+z as (select l.unit, l.w_idx, l.channel, sum((value - mean) / dev) as total from l join d on d.unit = l.unit and d.w_idx = l.w_idx and d.channel = l.channel group by 1, 2, 3),
+w as (select unit, w_idx, any_value(w_start) as start, arg_max(target, w_pos) as label from tiles group by 1, 2)
+select 'events-' || case when d.unit % 10 < 7 then 'train' when d.unit % 10 < 9 then 'val' else 'test' end || '-' || d.unit || '-' || d.w_idx as key, d.channel, round(mean, 6) + 0.0 as mean, round(dev, 6) as std_used, n >= 2 and v < 1e-6 as constant,
+  round(coalesce(total, 0), 6) + 0.0 as total, r as n_rows, ceil(r / 8)::int as n_patches, start, label
+from d join z on z.unit = d.unit and z.w_idx = d.w_idx and z.channel = d.channel join w on w.unit = d.unit and w.w_idx = d.w_idx""")
+def written_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples from rows to files and back, a row for each sample and channel."""
+    path = T.scratch(spark)
+    samples.write_samples(_event_samples(spark, d), path)
+    back = samples.read_samples(spark, path)
+    each = back.select("*", F.posexplode(F.arrays_zip("patches", "mean", "std_used", "constant")).alias("channel", "c"))
+    total = F.aggregate(F.flatten("c.patches"), F.lit(0.0), lambda a, x: a + x)
+    valid = lambda c: F.size(F.filter(c, lambda x: x))
+    counts = [valid("valid_time_mask").cast("long").alias("n_rows"), valid("valid_patch_mask").alias("n_patches")]
+    return rounded(each.select("key", "channel", "c.mean", "c.std_used", "c.constant", total.alias("total"), *counts, F.col("meta.start").alias("start"), F.col("target.label").alias("label")))
+
+
+def _samples_at_rest(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of four datasets, written once."""
+    path = T.scratch(spark)
+    samples.write_samples(_event_samples(spark, d, "concat('client', unit % 4)"), path)
+    return samples.read_samples(spark, path)
+
+
+_SPLITS = f"""{_TILES}, w as (select 'client' || unit % 4 as dataset, case when unit % 10 < 7 then 'train' when unit % 10 < 9 then 'val' else 'test' end as split, unit, w_idx, arg_max(target, w_pos) as label from tiles group by all)"""
+
+
+@query(f"""with {_SPLITS} select dataset, split, count(*) as n_samples, count(distinct unit) as n_units, min(label) as least, max(label) as greatest, case when dataset = 'client3' then 1 else 2 end as n_written from w group by 1, 2""")
+def sample_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests after four datasets are written, asked for again, and three of them are
+    written in another configuration; n_written is how often a dataset was written."""
+    path, rows = T.scratch(spark), _samples_at_rest(spark, d)
+    other = _CONFIG | {"seed": 1}
+    samples.write_pending(rows, path, _CONFIG, V.config_hash(_CONFIG))
+    samples.write_pending(rows, path, _CONFIG, V.config_hash(_CONFIG))
+    samples.write_pending(rows.where("dataset <> 'client3'"), path, other, V.config_hash(other))
+    all_of = spark.read.parquet(f"{path}/manifest")
+    last = samples.latest_manifests(all_of).join(all_of.groupBy("dataset").agg(F.count("*").alias("n_written")), "dataset")
+    per = last.select("dataset", "n_written", F.explode("splits").alias("split", "s"))
+    return per.select("dataset", "split", "s.n_samples", "s.n_units", F.col("s.target_min.label").alias("least"), F.col("s.target_max.label").alias("greatest"), "n_written")
+
+
+@query("""select 'client' || user_id % 4 as dataset, case min(user_id % 4) when 0 then 'SKIP' when 3 then 'PROCESS' else 'STALE' end as action from events group by 1""")
+def planned_writes(spark: SparkSession, d: str) -> DataFrame:
+    """What is to be done for datasets that stand, have another configuration or none."""
+    path, rows = T.scratch(spark), _samples_at_rest(spark, d)
+    other = _CONFIG | {"seed": 1}
+    samples.write_pending(rows.where("dataset in ('client0', 'client1', 'client2')"), path, _CONFIG, V.config_hash(_CONFIG))
+    samples.write_pending(rows.where("dataset in ('client1', 'client2')"), path, other, V.config_hash(other))
+    wanted = T.event_rows(spark, d).select(F.concat(F.lit("client"), F.col("unit") % 4).alias("dataset"), F.lit(V.config_hash(_CONFIG)).alias("config_hash")).distinct()
+    return samples.planned_actions(wanted, spark.read.parquet(f"{path}/manifest")).drop("reason")
+
+
+@query("""select event_id as step, event_type as dataset, case when event_id % 101 = 0 then 'NaN' when event_id % 103 = 0 then 'Infinity' end as nonfinite, case when event_id % 101 <> 0 and event_id % 103 <> 0 then round(value, 6) end as loss, event_id % 5 <> 0 as optimizer_applied from events""")
+def logged_steps(spark: SparkSession, d: str) -> DataFrame:
+    """A training log as lines of JSON, written and read again."""
+    path = T.scratch(spark)
+    k = F.col("event_id")
+    loss = F.when(k % 101 == 0, F.lit(float("nan"))).when(k % 103 == 0, F.lit(float("inf"))).otherwise(F.round("value", 6))
+    T.read(spark, d, "events").select(k.alias("step"), F.col("event_type").alias("dataset"), loss.alias("loss"), (k % 5 != 0).alias("optimizer_applied")).write.json(path)
+    back = records.read_log(spark, path)
+    finite = V.finite(F.col("loss"))
+    return back.where("broken is null").select("step", "dataset", F.when(finite.isNull(), F.col("loss").cast("string")).alias("nonfinite"), finite.alias("loss"), "optimizer_applied")
+
+
 _LIFE = f"{T.EVENTS}, life as (select *, max(pos) over (partition by unit) - pos as rul, unit % 4 as subset, split as part, count(*) over (partition by unit) as n from obs)"
 
 

@@ -7,6 +7,7 @@ import json
 import tarfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,25 @@ def import_archives(spark: SparkSession, pattern: str, strict: bool = True) -> D
     return files.mapInArrow(run, schema)
 
 
+def decode_samples(archived: DataFrame) -> DataFrame:
+    """Imported samples (archive, key, fields) with their arrays: patches (C, N, P), masks
+    over time and patches, and the text of their metadata."""
+    schema = "archive string, key string, patches array<array<array<double>>>, valid_time_mask array<boolean>, valid_patch_mask array<boolean>, meta string"
+    types = [pa.list_(pa.list_(pa.list_(pa.float64()))), pa.list_(pa.bool_()), pa.list_(pa.bool_())]
+
+    def array(fields: dict, name: str, kind: type) -> list:
+        return np.load(io.BytesIO(fields[name]), allow_pickle=False).astype(kind).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = [dict(x) for x in batch.column("fields").to_pylist()]
+            arrays = [pa.array([array(f, n, k) for f in fields], t) for n, k, t in zip(FIELDS, (float, bool, bool), types, strict=False)]
+            meta = pa.array([f["meta.json"].decode() for f in fields], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("archive"), batch.column("key"), *arrays, meta], names=["archive", "key", "patches", "valid_time_mask", "valid_patch_mask", "meta"])
+
+    return archived.select("archive", "key", "fields").mapInArrow(run, schema)
+
+
 def manifest(samples: DataFrame, config: dict, config_hash: str) -> DataFrame:
     """A row for each dataset: samples, units, and target range of each split."""
     per = samples.groupBy("dataset", "split").agg(F.count("*").alias("n_samples"), F.count_distinct("unit").alias("n_units"), F.min("target").alias("target_min"), F.max("target").alias("target_max"))
@@ -113,25 +133,44 @@ def manifest_differences(manifests: DataFrame, expected: DataFrame, metrics: lis
 
 def planned_actions(wanted: DataFrame, manifests: DataFrame, force: bool = False) -> DataFrame:
     """FORCE, PROCESS, STALE or SKIP for each dataset (dataset, config_hash), and why."""
-    there = manifests.select("dataset", F.col("config_hash").alias("old"))
+    last = latest_manifests(manifests) if "written" in manifests.columns else manifests
+    there = last.select("dataset", F.col("config_hash").alias("old"))
     out = wanted.join(there, "dataset", "left")
     action = F.when(F.lit(force), "FORCE").when(F.col("old").isNull(), "PROCESS").when(F.col("old") != F.col("config_hash"), "STALE").otherwise("SKIP")
     reason = F.when(F.lit(force), "asked for").when(F.col("old").isNull(), "no manifest").when(F.col("old") != F.col("config_hash"), "another configuration").otherwise("up to date")
     return out.select("dataset", action.alias("action"), reason.alias("reason"))
 
 
+def latest_manifests(manifests: DataFrame) -> DataFrame:
+    """The row of each dataset that was written last."""
+    return manifests.groupBy("dataset").agg(F.max_by(F.struct(*manifests.columns), "written").alias("m")).select("m.*")
+
+
+def standing(manifests: DataFrame, samples: DataFrame, config_hash: str) -> DataFrame:
+    """Datasets that need no writing: the last manifest is of this configuration, and each
+    split has as many samples at rest as it says, and there are no others."""
+    last = latest_manifests(manifests).where(F.col("config_hash") == config_hash)
+    said = last.select("dataset", F.explode("splits").alias("split", "s")).select("dataset", "split", F.col("s.n_samples").alias("said"))
+    there = samples.groupBy("dataset", "split").agg(F.count("*").alias("there")).join(F.broadcast(last.select("dataset")), "dataset", "left_semi")
+    both = said.join(there, ["dataset", "split"], "full")
+    return both.groupBy("dataset").agg(F.bool_and(F.col("said").eqNullSafe(F.col("there"))).alias("same")).where("same").select("dataset")
+
+
 def write_pending(samples: DataFrame, path: str, config: dict, config_hash: str) -> int:
-    """Write the datasets that have no manifest of this configuration; the manifest rows
-    come last, so a run that breaks off is done again. Returns how many were written."""
+    """Write the datasets that don't stand in this configuration; the manifest rows come
+    last, so a run that breaks off is done again. Returns how many were written."""
     spark = samples.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        done = spark.read.parquet(f"{path}/manifest").where(F.col("config_hash") == config_hash).select("dataset")
-        samples = samples.join(F.broadcast(done), "dataset", "left_anti")
-    rows = manifest(samples, config, config_hash)
-    write_samples(samples, f"{path}/samples")
-    rows.write.mode("append").parquet(f"{path}/manifest")
-    return rows.count()
+        # the partitions' names are text; without a schema a split "1" would be read as a number
+        done = standing(spark.read.parquet(f"{path}/manifest"), spark.read.schema(samples.schema).parquet(f"{path}/samples"), config_hash)
+        samples = samples.join(F.broadcast(done), "dataset", "left_anti")  # a row for each dataset
+    rows = manifest(samples, config, config_hash).withColumn("written", F.current_timestamp()).collect()
+    if rows:
+        write_samples(samples, f"{path}/samples")
+        schema = manifest(samples, config, config_hash).withColumn("written", F.current_timestamp()).schema
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return len(rows)
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import tarfile
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,11 @@ def test_samples_are_written_once(spark, tmp_path):
     wanted = spark.createDataFrame([("d", V.config_hash(config)), ("e", "x")], "dataset string, config_hash string")
     assert {r.dataset: r.action for r in samples.planned_actions(wanted, m).collect()} == {"d": "SKIP", "e": "PROCESS"}
     assert samples.manifest_differences(m, m, ["n_samples"]).count() == 0
+    # files that were lost, or another configuration in between, are written again
+    other = {"window": 64}
+    assert samples.write_pending(df, path, other, V.config_hash(other)) == 1 and samples.write_pending(df, path, config, V.config_hash(config)) == 1
+    samples.write_samples(df.where("split <> 'val' or key = 'k.val0'"), f"{path}/samples")
+    assert samples.write_pending(df, path, config, V.config_hash(config)) == 1 and samples.read_samples(spark, f"{path}/samples").count() == 6
     assert samples.mixed_batches(df.withColumn("batch", F.lit(0))).count() == 0
     assert samples.inspect(df, 2).count() == 2
 
@@ -277,6 +283,18 @@ def test_archives(spark, tmp_path):
         samples.import_archives(spark, str(tmp_path / "b.tar")).collect()
 
 
+def test_archived_arrays(spark, tmp_path):
+    arrays = {"patches.npy": np.arange(24.0).reshape(2, 3, 4), "valid_time_mask.npy": np.ones(12, bool), "valid_patch_mask.npy": np.array([True, True, False])}
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        for name, a in arrays.items():
+            np.save(tmp_path / name, a)
+            t.add(tmp_path / name, arcname=f"k.1.{name}")
+        (tmp_path / "m").write_text('{"unit": 1}')
+        t.add(tmp_path / "m", arcname="k.1.meta.json")
+    row = samples.decode_samples(samples.import_archives(spark, str(tmp_path / "a.tar"))).first()
+    assert row.key == "k.1" and row.patches == arrays["patches.npy"].tolist() and row.valid_patch_mask == [True, True, False] and json.loads(row.meta) == {"unit": 1}
+
+
 def test_results_and_inventory(spark, tmp_path):
     for d, m, best in (("A", "linear", "0.5"), ("A", "scratch", "none")):
         (tmp_path / "runs" / d / m).mkdir(parents=True)
