@@ -13,6 +13,7 @@ from .maintext import extract_main_text
 from .nearcopies import near_duplicates
 from .packing import pack_documents
 from .pitmanyor import pitman_yor_scores
+from .resampling import importance_resample
 from .sharding import shard_documents
 from .syncmers import syncmer_fingerprints
 from .toxicity import held_out, toxicity_scores
@@ -114,6 +115,41 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = r"""
+with table_ as materialized (
+  select list(c order by i) as t from (
+    select i, list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(0, 256) r(i))
+), d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+), b as (
+  select list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark
+), dw as materialized (select doc_id, z, count(*) as n from (select doc_id, unnest(w) as z from d) group by all),
+bw as materialized (select z, count(*) as n from (select unnest(w) as z from b) group by all),
+crc as materialized (
+  select z, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 as k
+  from (select z, hex(encode(z)) as x from (select z from dw union select z from bw)), table_
+), totals as (
+  select k, coalesce(sum(s), 0) as s, coalesce(sum(t), 0) as t
+  from (select k, n as s, 0 as t from dw join crc using (z) union all select k, 0, n from bw join crc using (z)) group by k
+), gain as materialized (
+  select k, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as g from totals
+), weights as (select doc_id, sum(n * g)::bigint as weight from dw join crc using (z) join gain using (k) group by doc_id),
+scored as (
+  select d.doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296.0)))::bigint as score
+  from d left join weights using (doc_id)
+), placed as (
+  select doc_id, row_number() over (order by score desc, doc_id)::bigint as rank, count(*) over () as n from scored where n_features >= 20
+)
+select s.doc_id, n_features, weight, score, case when rank <= n * 10 // 100 then rank end as rank from scored s left join placed p on s.doc_id = p.doc_id
+"""
+
+
 QUERIES = {
     "op3_language_evidence": op3_language_evidence,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
@@ -124,7 +160,11 @@ QUERIES = {
     "op1_pitman_yor_scores": op1_pitman_yor_scores,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op9_toxicity_scores": op9_toxicity_scores,
-    "op8_minhash_near_duplicates": op8_minhash_near_duplicates}
+    "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
+    "op11_importance_resampling": op11_importance_resampling,
+}
 ORACLE_SQL = {
     "op2_benchmark_decontamination": OP2_SQL,
-    "op8_minhash_near_duplicates": OP8_SQL}
+    "op8_minhash_near_duplicates": OP8_SQL,
+    "op11_importance_resampling": OP11_SQL,
+}
