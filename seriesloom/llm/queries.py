@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import find_contamination
+from .hardnegatives import mine_hard_negatives
 from .langid import page_languages, train_text_model
 from .linededup import dedup_lines
 from .maintext import extract_main_text
@@ -150,6 +151,26 @@ select s.doc_id, n_features, weight, score, case when rank <= n * 10 // 100 then
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
+OP12_SQL = """
+with v as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as materialized (
+  select a.vec_id as anchor_id, v.vec_id as id, v.label = a.label as same, list_inner_product(a.e, v.e)::bigint as score from v a join v on a.vec_id <> v.vec_id where a.vec_id % 100 = 0
+), p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, positive_id, (row_number() over (partition by p.anchor_id, positive_id order by score desc, id))::int as rank, id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
+
 QUERIES = {
     "op3_language_evidence": op3_language_evidence,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
@@ -162,9 +183,11 @@ QUERIES = {
     "op9_toxicity_scores": op9_toxicity_scores,
     "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLE_SQL = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op8_minhash_near_duplicates": OP8_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
