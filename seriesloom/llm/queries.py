@@ -14,6 +14,7 @@ from .maintext import extract_main_text
 from .nearcopies import near_duplicates
 from .packing import pack_documents
 from .pitmanyor import pitman_yor_scores
+from .repeats import remove_repeats
 from .resampling import importance_resample
 from .sharding import shard_documents
 from .syncmers import syncmer_fingerprints
@@ -171,6 +172,27 @@ qualify rank <= 5
 """
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as materialized (select doc_id, i, substr(x, 2 * i + 1, 100) as z from (select doc_id, x, unnest(range(0, length(x) // 2 - 49)) as i from d)),
+f as (select z, min(doc_id) as least from w group by z having min(doc_id) <> max(doc_id)),
+gone as (select doc_id, i from w join f using (z) where least < doc_id),
+marked as (select doc_id, i, max(i) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as before from gone),
+numbered as (select doc_id, i, sum(case when before is null or before + 50 < i then 1 else 0 end) over (partition by doc_id order by i) as run from marked),
+spans as (select doc_id, run, min(i) as a, max(i) + 50 as b from numbered group by all),
+placed as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as e from spans),
+cut as (select p.doc_id, count(*) as n, sum(b - a) as removed, string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' order by a) || substr(any_value(x), 2 * max(b) + 1) as kept from placed p join d on p.doc_id = d.doc_id group by p.doc_id)
+select d.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256
+from d left join cut on d.doc_id = cut.doc_id
+"""
+
+
 QUERIES = {
     "op3_language_evidence": op3_language_evidence,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
@@ -184,10 +206,12 @@ QUERIES = {
     "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLE_SQL = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op8_minhash_near_duplicates": OP8_SQL,
     "op11_importance_resampling": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
