@@ -146,33 +146,6 @@ def latest_manifests(manifests: DataFrame) -> DataFrame:
     return manifests.groupBy("dataset").agg(F.max_by(F.struct(*manifests.columns), "written").alias("m")).select("m.*")
 
 
-def standing(manifests: DataFrame, samples: DataFrame, config_hash: str) -> DataFrame:
-    """Datasets that need no writing: the last manifest is of this configuration, and each
-    split has as many samples at rest as it says, and there are no others."""
-    last = latest_manifests(manifests).where(F.col("config_hash") == config_hash)
-    said = last.select("dataset", F.explode("splits").alias("split", "s")).select("dataset", "split", F.col("s.n_samples").alias("said"))
-    there = samples.groupBy("dataset", "split").agg(F.count("*").alias("there")).join(F.broadcast(last.select("dataset")), "dataset", "left_semi")
-    both = said.join(there, ["dataset", "split"], "full")
-    return both.groupBy("dataset").agg(F.bool_and(F.col("said").eqNullSafe(F.col("there"))).alias("same")).where("same").select("dataset")
-
-
-def write_pending(samples: DataFrame, path: str, config: dict, config_hash: str) -> int:
-    """Write the datasets that don't stand in this configuration; the manifest rows come
-    last, so a run that breaks off is done again. Returns how many were written."""
-    spark = samples.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        # the partitions' names are text; without a schema a split "1" would be read as a number
-        done = standing(spark.read.parquet(f"{path}/manifest"), spark.read.schema(samples.schema).parquet(f"{path}/samples"), config_hash)
-        samples = samples.join(F.broadcast(done), "dataset", "left_anti")  # a row for each dataset
-    rows = manifest(samples, config, config_hash).withColumn("written", F.current_timestamp()).collect()
-    if rows:
-        write_samples(samples, f"{path}/samples")
-        schema = manifest(samples, config, config_hash).withColumn("written", F.current_timestamp()).schema
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-    return len(rows)
-
-
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """name, size and SHA-256 of files; the content stays in the tasks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import values as V
 from seriesloom.operators import audit, federated, lifetime, metrics, roles, runlog, sampling, trajectories, windows
-from seriesloom.sources import records, samples, sensors
+from seriesloom.sources import records, samples, sensors, store
 from seriesloom.streaming import follow
 
 
@@ -247,23 +247,55 @@ def sample_rows(spark, c=2, n=4, p=8):
     return spark.createDataFrame(rows, "dataset string, split string, key string, unit string, target double, patches array<array<array<double>>>, valid_time_mask array<boolean>")
 
 
-def test_samples_are_written_once(spark, tmp_path):
+def test_store_of_versions(spark, tmp_path):
     path, df = str(tmp_path / "out"), sample_rows(spark)
-    config = {"window": 32}
-    assert samples.write_pending(df, path, config, V.config_hash(config)) == 1
-    assert samples.write_pending(df, path, config, V.config_hash(config)) == 0
-    back = samples.read_samples(spark, f"{path}/samples", "d", "val")
+    config, other = {"window": 32}, {"window": 64}
+    publish = lambda rows, c, **more: store.publish(rows, path, c, V.config_hash(c), **more)
+    with pytest.raises(ValueError, match="nothing"):
+        store.history(spark, path)
+    assert [publish(df, config), publish(df, config)] == [1, 0]
+    back = store.read(spark, path, df.schema, "d", "val")
     assert back.count() == 3 and tuple(samples.check_shapes(back, 2, 4, 8).first()) == (3, 0, 0, 0) and samples.check_shapes(back, 3, 4, 8).first().n_shape == 3
-    m = spark.read.parquet(f"{path}/manifest")
-    assert samples.manifest_summary(m).first().n_units == 4
+    m = store.history(spark, path)
+    assert samples.manifest_summary(m).first().n_units == 4 and samples.manifest_differences(m, m, ["n_samples"]).count() == 0
     wanted = spark.createDataFrame([("d", V.config_hash(config)), ("e", "x")], "dataset string, config_hash string")
     assert {r.dataset: r.action for r in samples.planned_actions(wanted, m).collect()} == {"d": "SKIP", "e": "PROCESS"}
-    assert samples.manifest_differences(m, m, ["n_samples"]).count() == 0
-    # files that were lost, or another configuration in between, are written again
-    other = {"window": 64}
-    assert samples.write_pending(df, path, other, V.config_hash(other)) == 1 and samples.write_pending(df, path, config, V.config_hash(config)) == 1
-    samples.write_samples(df.where("split <> 'val' or key = 'k.val0'"), f"{path}/samples")
-    assert samples.write_pending(df, path, config, V.config_hash(config)) == 1 and samples.read_samples(spark, f"{path}/samples").count() == 6
+    assert {r.dataset: (r.action, r.reason) for r in store.actions(spark, path, wanted).collect()} == {"d": ("SKIP", "up to date"), "e": ("PROCESS", "no manifest")}
+    # a split that is dropped is gone, and this settles
+    assert [publish(df.where("split = 'train'"), other) for _ in range(3)] == [1, 0, 0]
+    assert {r.split for r in store.read(spark, path, df.schema).collect()} == {"train"} and store.read(spark, path, df.schema, version=1).count() == 6
+    # a run that broke off shows nothing, and does no harm
+    store.stage(df, path, "broken")
+    assert store.read(spark, path, df.schema).count() == 3 and store.damaged_files(spark, path).count() == 0
+    assert publish(df.where("split = 'train'"), other) == 0
+    with pytest.raises(ValueError, match="another configuration"):
+        publish(df, config, strict=True)
+    assert publish(df, other, force=True) == 1 and store.read(spark, path, df.schema).count() == 6
+    assert {(r.version, r.n_units, r.n_files, r.n_warnings) for r in store.summary(store.history(spark, path)).collect()} == {(3, 4, 2, 0)}
+    assert store.expire(spark, path, keep=2, also_runs=["broken"]) == 2
+    assert store.read(spark, path, df.schema, version=2).count() == 3
+
+
+def test_store_names_lost_and_changed_files(spark, tmp_path):
+    path, df = str(tmp_path / "out"), sample_rows(spark).withColumn("dataset", F.when(F.col("split") == "val", "a b/c").otherwise("d"))
+    config = {"window": 32}
+    metrics = lambda x: spark.createDataFrame([("d", {"n": x}), ("a b/c", {"other": 1.0})], "dataset string, metrics map<string, double>")
+    publish = lambda **more: store.publish(df, path, config, V.config_hash(config), **more)
+    assert [publish(metrics=metrics(7.0)), publish(metrics=metrics(7.0009)), publish(metrics=metrics(7.002)), publish(metrics=metrics(7.002))] == [2, 0, 1, 0]
+    assert {r.dataset: r.version for r in store.current(store.history(spark, path)).collect()} == {"d": 2, "a b/c": 1}
+    run = store.current(store.history(spark, path)).where("dataset = 'd'").first().run
+    (file,) = (tmp_path / "out" / "data" / f"run={run}" / "dataset=d" / "split=train").glob("*.parquet")
+    content = file.read_bytes()
+    spark.createDataFrame(df.where("dataset = 'd'").drop("dataset", "split").withColumn("target", F.lit(9.0)).collect(), df.drop("dataset", "split").schema).coalesce(1).write.parquet(str(tmp_path / "x"))
+    file.with_name(f".{file.name}.crc").unlink()
+    file.write_bytes(next((tmp_path / "x").glob("*.parquet")).read_bytes())
+    assert {(r.dataset, r.fault) for r in store.damaged_files(spark, path, True, df.schema).collect()} >= {("d", "content")}
+    file.write_bytes(content[:-1])
+    assert {(r.dataset, r.fault) for r in store.damaged_files(spark, path).collect()} == {("d", "size")}
+    file.unlink()
+    (file.parent / "more.parquet").write_bytes(content)
+    assert sorted((r.dataset, r.split, r.fault) for r in store.damaged_files(spark, path).collect()) == [("d", "train", "missing"), ("d", "train", "not listed")]
+    assert publish() == 1 and publish() == 0 and store.read(spark, path, df.schema).count() == 6
     assert samples.mixed_batches(df.withColumn("batch", F.lit(0))).count() == 0
     assert samples.inspect(df, 2).count() == 2
 
