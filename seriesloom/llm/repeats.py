@@ -11,7 +11,6 @@ window, and the least document that has it is sent back to the passages' blocks.
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shared_dir
+from .common import materialize, mix, shared_dir, word_hashes
 from .suffixsort import sorted_suffixes
 
 WINDOW = 50
@@ -85,32 +84,32 @@ class Block:
         self.doc = self.ids.fill_null(LAST).to_numpy()  # rows without an id come after all others
         self.texts = table.column("text").to_pylist()
         self.ends = np.cumsum([len(t) for t in self.texts]).astype(np.int64)
-        self.text = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.raw = b"".join(self.texts)
+        self.text = np.frombuffer(self.raw, np.uint8)
         self.first, self.stop, self.anchor = passages(self.text, self.ends, window)
         self.owner = np.searchsorted(self.ends, self.first, "right")
         self.window = window
 
-    def string(self, first: int, stop: int) -> bytes:
-        return self.text[first : stop - 1 + self.window].tobytes()
-
-    def items(self, anchors: np.ndarray, hot: np.ndarray) -> tuple[list[bytes], list[tuple[int, int, int]]]:
-        """What is dealt of the passages of these anchors: (places, anchor or hash) of
-        passages, and of single windows where the anchor is hot; with their bytes."""
-        strings, where = [], []
+    def items(self, anchors: np.ndarray, hot: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """What is dealt of the passages of these anchors: strings, their places, owners and
+        keys (anchor or hash). A hot anchor's windows are single strings."""
         order = np.argsort(anchors)
-        at = np.searchsorted(anchors[order], self.anchor)
-        some = at < len(order)
-        some[some] = anchors[order][at[some]] == self.anchor[some]
-        for i in np.flatnonzero(some).tolist():
-            a, b = int(self.first[i]), int(self.stop[i])
-            if hot[order[at[i]]]:
-                for j in range(a, b):
-                    strings.append(self.string(j, j + 1))
-                    where.append((i, j, xxhash.xxh3_64_intdigest(strings[-1], 1)))
-            else:
-                strings.append(self.string(a, b))
-                where.append((i, a, int(self.anchor[i])))
-        return strings, where
+        anchors, hot = anchors[order], hot[order]
+        at = np.searchsorted(anchors, self.anchor)
+        some = np.flatnonzero(at < len(anchors))
+        some = some[anchors[at[some]] == self.anchor[some]]
+        single = hot[at[some]]
+        count = np.where(single, self.stop[some] - self.first[some], 1)
+        row = np.repeat(some, count)
+        single = np.repeat(single, count)
+        place = self.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        stop = np.where(single, place + 1, self.stop[row]) - 1 + self.window
+        raw = self.raw
+        strings = [raw[a:b] for a, b in zip(place.tolist(), stop.tolist(), strict=True)]
+        key = self.anchor[row]
+        alone = np.flatnonzero(single)
+        key[alone] = np.fromiter((xxhash.xxh3_64_intdigest(strings[i], 1) for i in alone.tolist()), np.uint64, len(alone))
+        return strings, place, self.owner[row], key
 
 
 def _signed(x) -> np.ndarray:
@@ -156,16 +155,16 @@ def _dealt(window):
         if not docs.num_rows or not asked.num_rows:
             return schema.empty_table()
         block = Block(docs, window)
-        strings, where = block.items(asked.column("anchor").to_numpy().view(np.uint64), asked.column("hot").to_numpy())
-        found: dict[tuple[int, int], list] = {}
-        for string, (i, _, anchor) in zip(strings, where, strict=True):
-            doc = int(block.doc[block.owner[i]])
-            item = found.setdefault((anchor, xxhash.xxh3_64_intdigest(string)), [string, doc, doc])
-            item[1], item[2] = min(item[1], doc), max(item[2], doc)
-        keys = np.array(list(found), np.uint64).reshape(-1, 2)
-        columns = [pa.array(_signed(keys[:, 0])), pa.array(_signed(keys[:, 1])), pa.array([x[0] for x in found.values()], pa.binary())]
-        columns += [pa.array(np.full(len(found), docs.column("block")[0].as_py()), pa.int64()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in (1, 2))]
-        return pa.table(columns, schema=schema)
+        strings, _, owner, key = block.items(asked.column("anchor").to_numpy().view(np.uint64), asked.column("hot").to_numpy(zero_copy_only=False))
+        if not strings:
+            return schema.empty_table()
+        name = word_hashes(strings)
+        order = np.lexsort((name, key))
+        key, name, doc = key[order], name[order], block.doc[owner[order]]
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
+        columns = [_signed(key[start]), _signed(name[start]), [strings[i] for i in order[start].tolist()]]
+        columns += [np.full(len(start), docs.column("block")[0].as_py()), np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -204,8 +203,10 @@ def _sort_shard(window):
         if table is None or not table.num_rows:
             return
         keys = np.stack([table.column(c).to_numpy() for c in ("anchor", "name")], axis=1)
-        _, at, of = np.unique(keys, axis=0, return_index=True, return_inverse=True)
-        of = of.reshape(-1)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        new = np.r_[True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1)]
+        at, of = order[new], np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
         strings = table.column("string").take(pa.array(at)).to_pylist()
         ends = np.cumsum([len(s) for s in strings]).astype(np.int64)
         least = np.full(len(strings), LAST)
@@ -237,6 +238,23 @@ def _sort_shard(window):
     return run
 
 
+def _ranges(pairs: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted pairs, where each asked one begins and ends."""
+    low, high = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+    start = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+    stop = np.append(start[1:], len(pairs))
+    # by name alone, which is a hash; of the few that share a name the anchor decides
+    by = np.argsort(pairs["n"][start], kind="stable")
+    names, anchors = pairs["n"][start][by], pairs["a"][start][by]
+    first, last = np.searchsorted(names, asked["n"], "left"), np.searchsorted(names, asked["n"], "right")
+    for step in range(int((last - first).max(initial=0))):
+        at = first + step
+        some = np.flatnonzero(at < last)
+        some = some[anchors[at[some]] == asked["a"][some]]
+        low[some], high[some] = start[by[at[some]]], stop[by[at[some]]]
+    return low, high
+
+
 def _cut_out(window):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", spans_type), ("kept", pa.binary())])
@@ -250,18 +268,22 @@ def _cut_out(window):
             block = Block(docs, window)
             anchors, first = found.column("anchor").to_numpy(), found.column("first").to_numpy()
             single = first < 0  # says that the anchor is dealt window by window
-            runs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-            columns = [found.column(c).to_numpy() for c in ("anchor", "name", "first", "stop", "doc")]
-            for anchor, name, a, b, doc in zip(*(c.view(np.uint64).tolist() if k < 2 else c.tolist() for k, c in enumerate(columns)), strict=True):
-                runs[anchor, name].append((a, b, doc))
             asked = np.unique(anchors.view(np.uint64))
-            strings, where = block.items(asked, np.isin(asked, anchors[single].view(np.uint64)))
+            strings, place, owner, key = block.items(asked, np.isin(asked, anchors[single].view(np.uint64)))
+            # a string's runs lie together in the order of (anchor, name)
+            runs = {c: found.column(c).to_numpy()[~single] for c in ("anchor", "name", "first", "stop", "doc")}
+            order = np.lexsort((runs["name"], runs["anchor"]))
+            runs = {c: x[order] for c, x in runs.items()}
+            pair = np.stack([runs["anchor"], runs["name"]], axis=1).view([("a", np.int64), ("n", np.int64)])[:, 0]
+            own = np.stack([_signed(key), _signed(word_hashes(strings))], axis=1).view([("a", np.int64), ("n", np.int64)])[:, 0]
+            low, high = _ranges(pair, own)
+            item = np.repeat(np.arange(len(own)), high - low)
+            run = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(len(item))
+            earlier = runs["doc"][run] < block.doc[owner[item]]
+            item, run = item[earlier], run[earlier]
             edges = np.zeros(len(block.text) + 1, np.int64)
-            for string, (i, place, anchor) in zip(strings, where, strict=True):
-                for a, b, doc in runs.get((anchor, xxhash.xxh3_64_intdigest(string)), ()):
-                    if doc < block.doc[block.owner[i]]:
-                        edges[place + a] += 1
-                        edges[place + b - 1 + window] -= 1
+            np.add.at(edges, place[item] + runs["first"][run], 1)
+            np.add.at(edges, place[item] + runs["stop"][run] - 1 + window, -1)
             gone = np.cumsum(edges)[:-1] > 0
             begins = np.concatenate([[0], block.ends[:-1]])
             for k, (a, b) in enumerate(zip(begins.tolist(), block.ends.tolist(), strict=True)):

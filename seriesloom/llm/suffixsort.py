@@ -170,7 +170,7 @@ def by_prefix(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     open_ = np.arange(len(order))
     for at in range(0, depth, width):
         key = words(order[open_] + at)
-        by = np.lexsort((key, low[open_]))
+        by = np.lexsort((key, low[open_])) if at else np.argsort(key, kind="stable")
         order[open_], key = order[open_][by], key[by]
         group = low[open_]
         new = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])] if len(key) else np.zeros(0, bool)
