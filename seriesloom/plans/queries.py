@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import audit, federated, lifetime, metrics, roles, runlog, sampling, trajectories, windows
-from ..sources import records, samples, store
+from ..sources import archives, records, samples, store
 from . import tables as T
 
 QUERIES: dict = {}
@@ -267,6 +267,23 @@ def written_samples(spark: SparkSession, d: str) -> DataFrame:
     counts = [valid("valid_time_mask").cast("long").alias("n_rows"), valid("valid_patch_mask").alias("n_patches")]
     return rounded(each.select("key", "channel", "c.mean", "c.std_used", "c.constant", total.alias("total"), *counts, F.col("meta.start").alias("start"), F.col("target.label").alias("label")))
 
+@query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(*) as r, count(value) as n, var_pop(value) as v from l group by 1, 2, 3),
+w as (select unit, w_idx, any_value(w_start)::bigint as start, arg_max(target, w_pos) as label from tiles group by 1, 2)
+select 'events-' || case when unit % 10 < 7 then 'train' when unit % 10 < 9 then 'val' else 'test' end || '-' || unit || '-' || w_idx as key, channel,
+  label, start, n >= 2 and v < 1e-6 as constant, r as n_rows, ceil(r / 8)::int as n_patches, 8 as n, 8 as p from s join w using (unit, w_idx)""")
+def archived_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples written as archives, read by offsets and decoded, a row for each channel."""
+    path = T.scratch(spark)
+    rows = _event_samples(spark, d)
+    archives.write_archives(rows.withColumn("valid_patch_mask", windows.repeat_mask(F.col("valid_patch_mask"), 2)), path, 500)
+    back = archives.decode_samples(archives.read_archives(spark, path, range_bytes=1 << 20))
+    each = back.select("*", F.posexplode(F.arrays_zip("patches", "valid_patch_mask", "constant")).alias("channel", "c"))
+    valid = lambda c: F.size(F.filter(c, lambda x: x))
+    shape = [F.size("c.patches").alias("n"), F.size(F.col("c.patches")[0]).alias("p")]
+    facts = [F.get_json_object("target", "$.label").alias("label"), F.get_json_object("meta", "$.start").cast("long").alias("start")]
+    return each.select("key", "channel", *facts, "c.constant", valid("valid_time_mask").cast("long").alias("n_rows"), valid("c.valid_patch_mask").alias("n_patches"), *shape)
+
+
 
 def _samples_at_rest(spark: SparkSession, d: str) -> DataFrame:
     """Samples of four datasets, written once."""

@@ -7,13 +7,11 @@ import json
 import tarfile
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIELDS = ("patches.npy", "valid_time_mask.npy", "valid_patch_mask.npy", "meta.json")
-
+from .archives import REQUIRED, split_member
 
 def write_samples(samples: DataFrame, path: str, per_file: int = 5000) -> None:
     """Samples by dataset and split; only the partitions that are written are replaced."""
@@ -52,17 +50,10 @@ def mixed_batches(samples: DataFrame) -> DataFrame:
     return samples.groupBy("dataset", "batch").agg(F.count_distinct(shape).alias("n_shapes")).where("n_shapes > 1")
 
 
-def split_member(name: str) -> tuple[str, str | None]:
-    """(key, field) of an archive member; keys may hold points, the longest field wins."""
-    for field in sorted(FIELDS, key=len, reverse=True):
-        if name.endswith("." + field):
-            return name[: -len(field) - 1], field
-    return name, None
-
-
 def import_archives(spark: SparkSession, pattern: str, strict: bool = True) -> DataFrame:
-    """Samples of TAR archives, a task for each archive: key, fields (name to bytes) and
-    the members that aren't known. A sample without a field is an error if strict."""
+    """Samples of TAR archives of under 2 GB that only Spark can reach, a task for each
+    archive: key, fields (name to bytes) and the members that aren't known. A sample that
+    lacks a required field is an error if strict. `archives.read_archives` splits archives."""
     schema = "archive string, key string, fields map<string, binary>, unknown array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,14 +63,16 @@ def import_archives(spark: SparkSession, pattern: str, strict: bool = True) -> D
                 unknown: list[str] = []
                 with tarfile.open(fileobj=io.BytesIO(content)) as archive:
                     for member in archive:
+                        if not member.isfile():
+                            continue
                         key, field = split_member(member.name)
                         if field is None:
                             unknown.append(member.name)
                         else:
                             samples.setdefault(key, {})[field] = archive.extractfile(member).read()
                 for key, fields in samples.items():
-                    if strict and len(fields) < len(FIELDS):
-                        raise ValueError(f"{path}: {key} lacks {sorted(set(FIELDS) - set(fields))}")
+                    if strict and not set(REQUIRED) <= set(fields):
+                        raise ValueError(f"{path}: {key} lacks {sorted(set(REQUIRED) - set(fields))}")
                 keys = sorted(samples)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array([list(samples[k].items()) for k in keys], pa.map_(pa.string(), pa.binary())), pa.array([unknown] * len(keys), pa.list_(pa.string()))],
@@ -90,25 +83,6 @@ def import_archives(spark: SparkSession, pattern: str, strict: bool = True) -> D
     return files.mapInArrow(run, schema)
 
 
-def decode_samples(archived: DataFrame) -> DataFrame:
-    """Imported samples (archive, key, fields) with their arrays: patches (C, N, P), masks
-    over time and patches, and the text of their metadata."""
-    schema = "archive string, key string, patches array<array<array<double>>>, valid_time_mask array<boolean>, valid_patch_mask array<boolean>, meta string"
-    types = [pa.list_(pa.list_(pa.list_(pa.float64()))), pa.list_(pa.bool_()), pa.list_(pa.bool_())]
-
-    def array(fields: dict, name: str, kind: type) -> list:
-        return np.load(io.BytesIO(fields[name]), allow_pickle=False).astype(kind).tolist()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fields = [dict(x) for x in batch.column("fields").to_pylist()]
-            arrays = [pa.array([array(f, n, k) for f in fields], t) for n, k, t in zip(FIELDS, (float, bool, bool), types, strict=False)]
-            meta = pa.array([f["meta.json"].decode() for f in fields], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("archive"), batch.column("key"), *arrays, meta], names=["archive", "key", "patches", "valid_time_mask", "valid_patch_mask", "meta"])
-
-    return archived.select("archive", "key", "fields").mapInArrow(run, schema)
-
-
 def manifest(samples: DataFrame, config: dict, config_hash: str) -> DataFrame:
     """A row for each dataset: samples, units, and target range of each split."""
     per = samples.groupBy("dataset", "split").agg(F.count("*").alias("n_samples"), F.count_distinct("unit").alias("n_units"), F.min("target").alias("target_min"), F.max("target").alias("target_max"))

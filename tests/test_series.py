@@ -1,9 +1,11 @@
 """Hand-computed cases of the series operators."""
 
+import io
 import json
 import math
 import tarfile
 import time
+import zipfile
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import values as V
 from seriesloom.operators import audit, federated, lifetime, metrics, roles, runlog, sampling, trajectories, windows
-from seriesloom.sources import records, samples, sensors, store
+from seriesloom.sources import archives, records, samples, sensors, store
 from seriesloom.streaming import follow
 
 
@@ -300,31 +302,146 @@ def test_store_names_lost_and_changed_files(spark, tmp_path):
     assert samples.inspect(df, 2).count() == 2
 
 
-def test_archives(spark, tmp_path):
-    def write(name, fields):
-        with tarfile.open(tmp_path / name, "w") as t:
-            for f in fields:
-                (tmp_path / "x").write_bytes(b"1")
-                t.add(tmp_path / "x", arcname=f)
-
-    write("a.tar", [f"k.1.{f}" for f in samples.FIELDS] + ["note.txt"])
-    row = samples.import_archives(spark, str(tmp_path / "a.tar")).first()
-    assert row.key == "k.1" and set(row.fields) == set(samples.FIELDS) and row.unknown == ["note.txt"]
-    write("b.tar", ["k.meta.json"])
+def npy(a):
+    held = io.BytesIO()
+    np.save(held, a)
+    return held.getvalue()
+
+
+def full_sample(key, c=2, n=4, p=8):
+    """A sample as FIXTURES.md has it."""
+    arrays = {
+        "patches": np.zeros((c, n, p), np.float32),
+        "valid_time_mask": np.ones(n * p, bool),
+        "valid_patch_mask": np.ones((c, n), bool),
+        "mean": np.zeros(c, np.float32),
+        "std_used": np.ones(c, np.float32),
+        "canales_constantes_mask": np.zeros(c, bool),
+    }
+    meta = {"dataset": "FAKE", "role": "PRETRAIN_SOURCE", "client": "misc"}
+    return {f"{key}.{k}.npy": npy(a) for k, a in arrays.items()} | {f"{key}.target.json": b'{"target_window": 1.0}', f"{key}.meta.json": json.dumps(meta).encode()}
+
+
+def write_tar(path, members, form=tarfile.PAX_FORMAT):
+    with tarfile.open(path, "w", format=form) as t:
+        for name, data in members:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+
+
+def test_archived_sample_decodes(spark, tmp_path):
+    write_tar(tmp_path / "ds-train-000000.tar", [*full_sample("unit.001_w000001").items(), ("note.txt", b"1")])
+    for rows in (archives.read_archives(spark, str(tmp_path)), samples.import_archives(spark, str(tmp_path / "*.tar"))):
+        got = archives.decode_samples(rows).first()
+        assert got.key == "unit.001_w000001" and np.array(got.patches).shape == (2, 4, 8) and got.valid_patch_mask == [[True] * 4] * 2
+        assert got.valid_time_mask == [True] * 32 and got.mean == [0.0, 0.0] and got.std_used == [1.0, 1.0] and got.constant == [False, False]
+        assert json.loads(got.target) == {"target_window": 1.0} and json.loads(got.meta)["dataset"] == "FAKE" and got.rul_physical is None
+    assert archives.read_archives(spark, str(tmp_path)).where("key is null").first().unknown == ["note.txt"]
+
+
+@pytest.mark.parametrize("form", [tarfile.PAX_FORMAT, tarfile.GNU_FORMAT, tarfile.USTAR_FORMAT])
+def test_archives_are_read_in_ranges(spark, tmp_path, form):
+    keys = ["a.b.c_w000001", "x.y_w000002", "plain_key_w000003", *(f"k{i:03d}" for i in range(40))]
+    keys += [f"{'long.' * 30}{i}" for i in range(3)] if form != tarfile.USTAR_FORMAT else []
+    members = [m for k in keys for m in full_sample(k, n=1 + len(k) % 5).items()]
+    late = full_sample("apart")  # a sample whose last member stands at the end
+    members = [*list(late.items())[:-1], *members[:60], ("readme", b"x" * 5000), *members[60:200], list(late.items())[-1], *members[200:]]
+    path = str(tmp_path / "a.tar")
+    write_tar(path, members, form)
+    ranges = archives.find_ranges(path, 20_000)
+    assert len(ranges) > 3 and ranges[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    write_tar(tmp_path / "b.tar", full_sample("other").items(), form)
+    write_tar(tmp_path / "c.tar", [], form)
+    df = archives.read_archives(spark, str(tmp_path / "*.tar"), range_bytes=20_000)
+    assert df.rdd.getNumPartitions() == len(ranges) + 1
+    want = {}
+    for name, data in [*members, *full_sample("other").items()]:
+        key, field = archives.split_member(name)
+        if field:
+            want.setdefault(key, {})[field] = data
+    got = df.where("key is not null").collect()
+    assert {r.key: {f: bytes(b) for f, b in r.fields.items()} for r in got} == want and len(got) == len(want)
+    assert [r.unknown for r in df.where("key is null").collect()] == [["readme"]]
+    assert archives.decode_samples(df).count() == len(want)
+
+
+def test_archives_that_lack_fields(spark, tmp_path):
+    members = dict(full_sample("k"))
+    del members["k.valid_patch_mask.npy"], members["k.mean.npy"]
+    members["k.rul_physical.npy"] = npy(np.array(7.5))
+    write_tar(tmp_path / "a.tar", members.items())
     with pytest.raises(Exception, match="lacks"):
-        samples.import_archives(spark, str(tmp_path / "b.tar")).collect()
-
-
-def test_archived_arrays(spark, tmp_path):
-    arrays = {"patches.npy": np.arange(24.0).reshape(2, 3, 4), "valid_time_mask.npy": np.ones(12, bool), "valid_patch_mask.npy": np.array([True, True, False])}
-    with tarfile.open(tmp_path / "a.tar", "w") as t:
-        for name, a in arrays.items():
-            np.save(tmp_path / name, a)
-            t.add(tmp_path / name, arcname=f"k.1.{name}")
-        (tmp_path / "m").write_text('{"unit": 1}')
-        t.add(tmp_path / "m", arcname="k.1.meta.json")
-    row = samples.decode_samples(samples.import_archives(spark, str(tmp_path / "a.tar"))).first()
-    assert row.key == "k.1" and row.patches == arrays["patches.npy"].tolist() and row.valid_patch_mask == [True, True, False] and json.loads(row.meta) == {"unit": 1}
+        archives.read_archives(spark, str(tmp_path / "a.tar")).collect()
+    row = archives.decode_samples(archives.read_archives(spark, str(tmp_path / "a.tar"), strict=False)).first()
+    assert row.valid_patch_mask is None and row.mean is None and row.rul_physical == 7.5 and row.std_used == [1.0, 1.0]
+    with pytest.raises(Exception, match="no archive"):
+        archives.read_archives(spark, str(tmp_path / "n*.tar")).collect()
+    write_tar(tmp_path / "d.tar", (full_sample("k") | {"k.valid_patch_mask.npy": npy(np.ones(4, bool))}).items())
+    with pytest.raises(Exception, match="dimensions"):
+        archives.decode_samples(archives.read_archives(spark, str(tmp_path / "d.tar"))).collect()
+
+
+def test_archives_are_written_and_read_back(spark, tmp_path):
+    rows = [("d e", s, f"k.{s}{i}", [[[float(i), 2.0]] * 3] * 2, [True] * 6, [[True, False, True]] * 2, [0.5, 1.0], [1.0, 2.0], [False, True], (3.0,), ("m",)) for s in ("train", "val") for i in range(7)]
+    df = spark.createDataFrame(
+        rows,
+        "dataset string, split string, key string, patches array<array<array<double>>>, valid_time_mask array<boolean>, valid_patch_mask array<array<boolean>>,"
+        " mean array<double>, std_used array<double>, constant array<boolean>, target struct<target_window: double>, meta struct<client: string>",
+    )
+    written = archives.write_archives(df.repartition(3), str(tmp_path / "out"), per_archive=4).collect()
+    assert sum(r.n_samples for r in written) == 14 and all(r.n_samples <= 4 and r.n_bytes > 0 for r in written)
+    assert {r.archive.split("/")[-2] for r in written} == {"train", "val"} and {r.archive.split("/")[-3] for r in written} == {"d e"}
+    back = archives.decode_samples(archives.read_archives(spark, str(tmp_path / "out"))).collect()
+    assert sorted(r.key for r in back) == sorted(r[2] for r in rows)
+    row = next(r for r in back if r.key == "k.val3")
+    assert row.patches == [[[3.0, 2.0]] * 3] * 2 and row.valid_patch_mask == [[True, False, True]] * 2 and row.constant == [False, True]
+    assert json.loads(row.target) == {"target_window": 3.0} and json.loads(row.meta) == {"client": "m"}
+
+
+def sensor_lines(units, cycles):
+    line = lambda u, c: " ".join([str(u), str(c), *(f"{0.1 * i + 0.001 * c:.4f}" for i in range(3)), *(f"{0.5 * (j + 1) + 0.01 * c:.4f}" for j in range(21))])
+    return [line(u, c) for u in range(1, units + 1) for c in range(1, cycles + 1)]
+
+
+def test_paired_archives(spark, tmp_path):
+    def write(train, test, lives):
+        with zipfile.ZipFile(tmp_path / "CMAPSS_train.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("CMAPSS/train/train_FD001.txt", "\n".join(train) + "\n")
+        with zipfile.ZipFile(tmp_path / "CMAPSS_test.zip", "w") as z:
+            z.writestr("CMAPSS/test/test_FD001.txt", "\n".join(test))
+            z.writestr("CMAPSS/test/RUL_FD001.txt", "\n".join(lives) + "\n\n")
+        return archives.read_paired_archives(spark, str(tmp_path), ["FD001"])
+
+    faults = lambda pair: {(r.fd, r.fault) for r in archives.paired_faults(*pair).collect()}
+    good = write(sensor_lines(6, 10), sensor_lines(3, 5), ["10", "20", "30"])
+    assert good[0].groupBy("source_split").count().orderBy("source_split").collect() == [("test", 15), ("train", 60)]
+    assert [(r.unit_id, r.rul) for r in good[1].orderBy("unit_id").collect()] == [(1, 10), (2, 20), (3, 30)] and faults(good) == set()
+    assert faults(write(sensor_lines(6, 10), sensor_lines(3, 5), ["10", "20"])) == {("FD001", "lives and units differ")}
+    swapped = sensor_lines(6, 10)
+    swapped[3], swapped[4] = swapped[4], swapped[3]
+    assert faults(write(swapped, sensor_lines(3, 5)[5:], ["10", "-2", "30"])) == {("FD001", "order"), ("FD001", "life"), ("FD001", "lives and units differ")}
+    with pytest.raises(ValueError, match="FD002"):
+        archives.read_paired_archives(spark, str(tmp_path), ["FD001", "FD002"])
+
+
+def test_lines_keep_their_place_over_splits(spark, tmp_path):
+    lines = sensor_lines(40, 60)
+    lines[1000], lines[1001] = lines[1001], lines[1000]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "train_FD001.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "t" / "b.txt").write_text("\n\nx\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = sensors.numbered_lines(spark, str(tmp_path / "t"))
+        assert got.rdd.getNumPartitions() > 5
+        assert [r.value for r in got.where("file like '%train%'").orderBy("line").collect()] == lines
+        assert [(r.line, r.value) for r in got.where("file like '%b.txt'").orderBy("line").collect()] == [(0, ""), (1, ""), (2, "x")]
+        rows = sensors.read_sensor_text(spark, str(tmp_path / "t" / "train_FD001.txt"), "FD001", "train")
+        assert [(r.unit_id, r.line) for r in sensors.order_faults(rows).collect()] == [(17, 1001)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_results_and_inventory(spark, tmp_path):
