@@ -172,17 +172,19 @@ def _dealt(window):
 def first_documents(text: np.ndarray, ends: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
     """For each window of strings one behind the other (up to `ends`), the least document
     that has it; `docs` has the least one of each string."""
-    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    out = docs[owner]
+    sizes = np.diff(ends, prepend=0)
+    out = np.repeat(docs, sizes)
+    single = np.where(np.repeat(ends, sizes) - np.arange(len(text)) >= window, out, LAST)  # what begins too near the end is no window
     held = np.zeros(0, np.int64)
     fresh = np.zeros(0, bool)
 
     def settle(places: np.ndarray, new: np.ndarray) -> None:
         if len(places):
-            value = np.where(ends[owner[places]] - places >= window, docs[owner[places]], LAST)
             start = np.flatnonzero(new)
-            least = np.minimum.reduceat(value, start)
-            out[places] = np.minimum(out[places], np.repeat(least, np.diff(start, append=len(places))))
+            size = np.diff(start, append=len(places))
+            least = np.minimum.reduceat(single[places], start)
+            several = np.repeat(size > 1, size)
+            out[places[several]] = np.repeat(least, size)[several]
 
     for places, common in sorted_suffixes(text, window):
         places, new = np.concatenate([held, places]), np.concatenate([fresh, common < window])

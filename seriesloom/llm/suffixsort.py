@@ -160,26 +160,41 @@ def _words(text: np.ndarray, bits: int, width: int):
     return wide
 
 
-def by_prefix(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Places sorted by the first `depth` symbols (a few more are looked at); later places
+def _equal_bytes(x: np.ndarray) -> np.ndarray:
+    """Of numbers of 8 symbols that differ by x: how many symbols are equal before."""
+    return sum((x < np.uint64(1 << 8 * k)).astype(np.uint8) for k in range(1, 8))
+
+
+def by_prefix(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by the first `depth` symbols (a few more are looked at), with the
+    symbols that each has in common with the one before, if symbols are bytes; later places
     first where these are equal, so the end of the text sorts before all symbols."""
     bits, width = (8, 8) if text.dtype == np.uint8 else (32, 2)
     words = _words(text, bits, width)
     order = places[::-1].copy()
-    low = np.zeros(len(order), np.int64)  # group of each, in the order
-    open_ = np.arange(len(order))
+    common = np.full(len(order), depth, np.uint8)
+    common[:1] = 0
+    low = np.zeros(len(order), np.int32)  # group of each, in the order
+    open_ = np.arange(len(order), dtype=np.int32)
     for at in range(0, depth, width):
         key = words(order[open_] + at)
-        by = np.lexsort((key, low[open_])) if at else np.argsort(key, kind="stable")
+        by = np.lexsort((key, low[open_])) if at else np.argsort(key)
         order[open_], key = order[open_][by], key[by]
         group = low[open_]
-        new = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])] if len(key) else np.zeros(0, bool)
+        fresh = key[1:] != key[:-1]
+        new = np.r_[True, fresh | (group[1:] != group[:-1])] if len(key) else np.zeros(0, bool)
+        if bits == 8:
+            split = np.flatnonzero(fresh & (group[1:] == group[:-1])) + 1
+            common[open_[split]] = np.minimum(at + _equal_bytes(key[split] ^ key[split - 1]), depth)
         low[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else low[open_]
-        tied = ~(new & np.r_[new[1:], True]) if len(new) else new
-        open_ = open_[tied]
+        open_ = open_[~(new & np.r_[new[1:], True])] if len(new) else open_
         if not len(open_):
             break
-    return order
+    else:
+        order[open_] = order[open_][np.lexsort((-order[open_], low[open_]))]
+    at_end = np.minimum(len(text) - order, depth)
+    common[1:] = np.minimum(common[1:], np.minimum(at_end[1:], at_end[:-1]))
+    return order, common
 
 
 def _names(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
@@ -247,8 +262,9 @@ def sorted_suffixes(text: np.ndarray, depth: int, memory: int = MEMORY, base: in
         return
     rising = _rising(text)
     stars = np.flatnonzero(rising & ~np.r_[True, rising[:-1]])
+    shared = None
     if len(stars) <= base:
-        stars = by_prefix(text, stars, depth)
+        stars, shared = by_prefix(text, stars, depth)
     else:
         names = _names(text, stars)
         if names.max() + 1 < len(names):
@@ -256,9 +272,9 @@ def sorted_suffixes(text: np.ndarray, depth: int, memory: int = MEMORY, base: in
             stars = stars[np.concatenate([p for p, _ in parts])]
         else:
             stars = stars[np.argsort(names)]
-    shared = np.zeros(len(stars), np.uint8)
-    if common and len(stars):
-        for k in range(1, len(stars), STEP):
+    if shared is None:
+        shared = np.zeros(len(stars), np.uint8)
+        for k in range(1, len(stars) if common else 0, STEP):
             shared[k : k + STEP] = common_prefix(text, stars[k - 1 : k - 1 + STEP][: len(stars) - k], stars[k : k + STEP], depth)
     firsts = text[stars]
 
