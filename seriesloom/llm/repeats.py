@@ -147,7 +147,7 @@ def _anchors(window):
 
 
 def _dealt(window):
-    schema = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("string", pa.binary()), ("block", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("string", pa.binary()), ("block", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         """The distinct strings of a block whose anchors other documents have too, with the
@@ -162,7 +162,7 @@ def _dealt(window):
         order = np.lexsort((name, key))
         key, name, doc = key[order], name[order], block.doc[owner[order]]
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-        columns = [_signed(key[start]), _signed(name[start]), [strings[i] for i in order[start].tolist()]]
+        columns = [_signed(key[start]), [strings[i] for i in order[start].tolist()]]
         columns += [np.full(len(start), docs.column("block")[0].as_py()), np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)]
         return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
@@ -204,7 +204,8 @@ def _sort_shard(window):
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        keys = np.stack([table.column(c).to_numpy() for c in ("anchor", "name")], axis=1)
+        names_of = np.concatenate([_signed(word_hashes(c.to_pylist())) for c in table.column("string").chunks])
+        keys = np.stack([table.column("anchor").to_numpy(), names_of], axis=1)
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         new = np.r_[True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1)]
         at, of = order[new], np.empty(len(order), np.int64)
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy("anchor"))  # a row for each block that has the anchor
     asked = materialize(anchors.withColumn("total", total).where("total > 1").select("block", "anchor", (F.col("total") > HOT).alias("hot")))
     shards = int(max(1, -(-size // SHARD_BYTES)))
-    strings = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_dealt(window), "anchor long, name long, string binary, block long, least long, most long")
+    strings = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_dealt(window), "anchor long, string binary, block long, least long, most long")
     found = strings.repartition(shards, "anchor").mapInArrow(_sort_shard(window), "block long, anchor long, name long, first long, stop long, doc long")
     none = F.lit(-1).cast("long")
     single = asked.where("hot").select("block", "anchor", none.alias("name"), none.alias("first"), none.alias("stop"), none.alias("doc"))
