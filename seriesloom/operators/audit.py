@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 SHARD_SAMPLES = 5000
 
 
@@ -20,18 +22,12 @@ def channels(obs: DataFrame, *keep: str) -> DataFrame:
 def shape(obs: DataFrame) -> DataFrame:
     """Rows, units, channels, bytes as float32 and quartiles of lengths of each split."""
     lengths = obs.groupBy("dataset", "split", "unit").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("c"))
-    cut = lambda q: F.percentile("n", F.lit(q)).cast("long")
-    return lengths.groupBy("dataset", "split").agg(
-        F.sum("n").alias("n_rows"),
-        F.count("*").alias("n_units"),
-        F.min("n").alias("len_min"),
-        cut(0.25).alias("len_q25"),
-        cut(0.5).alias("len_median"),
-        cut(0.75).alias("len_q75"),
-        F.max("n").alias("len_max"),
-        F.max("c").alias("n_channels"),
-        (F.sum("n") * F.max("c") * 4).alias("float32_bytes"),
+    totals = lengths.groupBy("dataset", "split").agg(
+        F.sum("n").alias("n_rows"), F.count("*").alias("n_units"), F.min("n").alias("len_min"), F.max("n").alias("len_max"), F.max("c").alias("n_channels"), (F.sum("n") * F.max("c") * 4).alias("float32_bytes")
     )
+    cuts = exact_quantiles(lengths, ["dataset", "split"], F.col("n"), [0.25, 0.5, 0.75]).drop("n")
+    out = totals.join(cuts, ["dataset", "split"])
+    return out.select(*totals.columns, *(F.col("q")[i].cast("long").alias(c) for i, c in enumerate(("len_q25", "len_median", "len_q75"))))
 
 
 def channel_quality(obs: DataFrame, z: float = 5.0) -> DataFrame:
@@ -107,27 +103,25 @@ def time_regularity(obs: DataFrame) -> DataFrame:
     order = Window.partitionBy("dataset", "unit").orderBy("pos")
     steps = obs.select("dataset", "unit", "time", (F.col("time") - F.lag("time").over(order)).alias("d"))
     good = F.when(F.col("d") > 0, F.col("d"))
+    cuts = exact_quantiles(steps, ["dataset", "unit"], good, [0.25, 0.5, 0.75]).select("dataset", "unit", *(F.col("q")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))))
     per = steps.groupBy("dataset", "unit").agg(
         F.count("*").alias("n"),
-        F.percentile(good, F.lit(0.5)).alias("median"),
-        F.percentile(good, F.lit(0.25)).alias("q25"),
-        F.percentile(good, F.lit(0.75)).alias("q75"),
         F.stddev_pop(good).alias("deviation"),
         (F.count("time") - F.count_distinct("time")).alias("duplicates"),
         (F.coalesce(F.min("d"), F.lit(0.0)) > 0).alias("increasing"),
     )
-    per = per.where("n >= 2")
+    per = per.where("n >= 2").join(cuts, ["dataset", "unit"], "left")
     gaps = steps.join(per.select("dataset", "unit", "median"), ["dataset", "unit"]).groupBy("dataset").agg(F.count_if(F.col("d") > 3 * F.col("median")).alias("gaps"), F.max(F.when(F.col("d") > 3 * F.col("median"), F.col("d"))).alias("gap_max"))
+    each = per.select("dataset", F.posexplode(F.array("q25", "median", "q75")).alias("k", "v"))
+    middle = exact_quantiles(each, ["dataset", "k"], F.col("v"), [0.5])
+    middle = middle.groupBy("dataset").agg(*(F.max(F.when(F.col("k") == k, F.col("q")[0])).alias(f"delta_{c}") for k, c in enumerate(("q25", "median", "q75"))))
     out = per.groupBy("dataset").agg(
-        F.percentile("median", F.lit(0.5)).alias("delta_median"),
-        F.percentile("q25", F.lit(0.5)).alias("delta_q25"),
-        F.percentile("q75", F.lit(0.5)).alias("delta_q75"),
         F.avg(F.col("deviation") / F.col("median")).alias("irregularity"),
         F.sum("duplicates").alias("duplicates"),
         (F.avg(F.col("increasing").cast("int")) * 100).alias("increasing_pct"),
     )
     rate = F.when(F.col("irregularity") < 0.05, 1 / F.col("delta_median")).alias("inferred_rate")
-    return out.join(gaps, "dataset").select("*", rate)
+    return out.join(middle, "dataset").join(gaps, "dataset").select("*", rate)
 
 
 def window_counts(length: Column, window: int, stride: int, patch: int, policy: str = "pad") -> dict[str, Column]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import finite, nonfinite_kind
+from .places import join_same
+from .quantiles import exact_quantiles
 
 
 def in_buckets(log: DataFrame, buckets: list[tuple[int, int | None]], step: str = "step") -> DataFrame:
@@ -24,8 +26,8 @@ def loss_statistics(log: DataFrame, *by: str, loss: str = "loss") -> DataFrame:
     (neither skipped by the optimizer nor with a bad gradient; unknown counts as clean)."""
     x = finite(F.col(loss))
     clean = F.coalesce(F.col("optimizer_applied"), F.lit(True)) & ~F.coalesce(F.col("bad_gradient"), F.lit(False))
-    q = F.percentile(x, F.array(*map(F.lit, (0.1, 0.5, 0.9))))
-    out = log.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), q.alias("q"), F.min(x).alias("low"), F.max(x).alias("high"), F.avg(F.when(clean, x)).alias("clean_mean"))
+    out = log.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"), F.avg(F.when(clean, x)).alias("clean_mean"))
+    out = join_same(out, exact_quantiles(log, list(by), x, [0.1, 0.5, 0.9]).drop("n"), list(by), "left")
     return out.select(*by, "n", "mean", *(F.col("q")[i].alias(k) for i, k in enumerate(("p10", "median", "p90"))), "low", "high", "clean_mean")
 
 
@@ -48,17 +50,18 @@ def top_losses(log: DataFrame, n: int = 20, loss: str = "loss", key: str = "step
 
 def target_statistics(samples: DataFrame, target: str = "target", by: str = "split") -> DataFrame:
     x = finite(F.col(target))
-    return samples.groupBy(by).agg(
+    middle = exact_quantiles(samples, [by], x, [0.5]).select(by, F.col("q")[0].alias("median"))
+    out = samples.groupBy(by).agg(
         F.count("*").alias("n_samples"),
         F.count(x).alias("n"),
         (F.count("*") - F.count(x)).alias("n_missing"),
         F.min(x).alias("low"),
         F.max(x).alias("high"),
         F.avg(x).alias("mean"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
         F.count_if(x < 0).alias("n_negative"),
         F.coalesce(F.count_if(x < 0) / F.nullif(F.count(x), F.lit(0)), F.lit(0.0)).alias("negative_share"),
     )
+    return join_same(out, middle, [by], "left")
 
 
 def target_trends(samples: DataFrame, by: str = "split", unit: str = "unit", index: str = "idx", target: str = "target", still: float = 1e-9) -> DataFrame:

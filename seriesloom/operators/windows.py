@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_lengths(obs: DataFrame, key: list[str]) -> DataFrame:
+    return obs if "n_rows" in obs.columns else obs.withColumn("n_rows", F.count("*").over(Window.partitionBy(*key)))
+
+
 def tile(obs: DataFrame, key: list[str], window: int, stride: int, policy: str = "pad") -> DataFrame:
     """Rows of tiling windows: the observations with w_idx, w_start and w_pos.
 
     Starts are 0, stride, ... as far as a window fits; a shorter trajectory is one window;
-    with "pad" the rows after the last full window are one more.
+    with "pad" the rows after the last full window are one more. Rows that have n_rows
+    (`places.place_rows`) are taken as they are; else a trajectory is counted in one task.
     """
-    n = F.count("*").over(Window.partitionBy(*key))
-    rows = obs.withColumn("n_rows", n)
+    rows = _with_lengths(obs, key)
     full = F.when(F.col("n_rows") <= window, 1).otherwise(F.floor((F.col("n_rows") - window) / stride) + 1).cast("int")
     pos = F.col("pos")
     low = F.greatest(F.lit(0), F.floor((pos - window) / stride) + 1).cast("int")
@@ -58,9 +62,9 @@ def roll(obs: DataFrame, key: list[str], window: int, stride: int, least: int |
     """Rows of causal windows that end at emission places, padded at the left.
 
     Adds w_end (the place a window ends at) and w_pos (from 0, counted with the padding).
-    Each row goes to at most ceil(window / stride) + 1 windows.
+    Each row goes to at most ceil(window / stride) + 1 windows; n_rows as in `tile`.
     """
-    rows = obs.withColumn("n_rows", F.count("*").over(Window.partitionBy(*key)).cast("int"))
+    rows = _with_lengths(obs, key).withColumn("n_rows", F.col("n_rows").cast("int"))
     start = max(0, (least or 1) - 1)
     pos = F.col("pos")
     first = F.greatest(F.lit(start), F.lit(start) + F.ceil((pos - start) / F.lit(stride)) * stride).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import audit, federated, lifetime, metrics, roles, runlog, sampling, trajectories, windows
+from ..operators import audit, federated, lifetime, metrics, places, quantiles, roles, runlog, sampling, trajectories, windows
 from ..sources import archives, records, samples, store
 from . import tables as T
 
@@ -808,3 +808,68 @@ def mode_order(spark: SparkSession, d: str) -> DataFrame:
 select measure, dataset, round(value, 6) as value, place from (select *, row_number() over (partition by measure order by value desc, dataset) as place from m) where place <= 10""")
 def top_by_measure(spark: SparkSession, d: str) -> DataFrame:
     return rounded(audit.top_by_measure(T.nation_table(spark, d), ["patches", "channel_patches", "n_units", "length_median"]))
+
+
+@query("""select event_type, user_id % 3 as client, count(value) as n, quantile_cont(value, 0.001) as q001, quantile_cont(value, 0.25) as q25, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.9) as q90, quantile_cont(value, 0.9999) as q9999 from events group by all""")
+def value_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles of all values of each group, in buffers of fixed size."""
+    e = T.read(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("client"), "value")
+    found = quantiles.exact_quantiles(e, ["event_type", "client"], F.col("value"), [0.001, 0.25, 0.5, 0.9, 0.9999])
+    return found.select("event_type", "client", "n", *(F.col("q")[i].alias(c) for i, c in enumerate(("q001", "q25", "q50", "q90", "q9999"))))
+
+
+# A few trajectories that hold all rows: a unit for each type of event.
+_GIANTS = """
+obs as (
+  select event_type as unit, event_id, (epoch_us(ts) - 1704067200000000) / 1e6 as time, case when event_id % 37 not in (0, 1, 2) then value end as x,
+    row_number() over (partition by event_type order by ts, event_id) - 1 as pos, count(*) over (partition by event_type) as n_rows from events
+)
+"""
+
+
+def _giants(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read(spark, d, "events")
+    time = ((T.micros("ts") - T.START_MICROS) / 1e6).alias("time")
+    rows = e.select(F.col("event_type").alias("unit"), "event_id", "ts", time, F.when(~(F.col("event_id") % 37).isin(0, 1, 2), F.col("value")).alias("x"))
+    return places.place_rows(rows, ["unit"], ["ts", "event_id"], T.scratch(spark), 16)
+
+
+@query(f"""with {_GIANTS}, w as (
+  select unit, pos, event_id, x, k as w_idx, case when k * 256 + 512 <= n_rows or k = 0 then k * 256 end as s, k * 256 as start, n_rows,
+    greatest(0, (n_rows - 512) // 256 + 1) as n_full from obs, range(0, (select max(n_rows) // 256 + 2 from obs)) r(k) where k * 256 <= pos and pos < k * 256 + 512
+), full_ as (select unit, w_idx, start, event_id, x, pos from w where w_idx < greatest(n_full, 1)),
+tail as (
+  select unit, greatest(0, (n_rows - 512) // 256 + 1) as w_idx, ((n_rows - 512) // 256) * 256 + 512 as start, event_id, x, pos from obs where n_rows > 512 and pos >= ((n_rows - 512) // 256) * 256 + 512
+)
+select unit, w_idx::int as w_idx, start::int as w_start, count(*) as n_rows, count(x) as n_values, arg_min(event_id, pos) as first_event, arg_max(event_id, pos) as last_event from (select * from full_ union all select * from tail) group by 1, 2, 3""")
+def giant_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Tiling windows of trajectories that are too long for one task."""
+    rows = windows.tile(_giants(spark, d), ["unit"], 512, 256)
+    return rows.groupBy("unit", "w_idx", "w_start").agg(F.count("*").alias("n_rows"), F.count("x").alias("n_values"), F.min_by("event_id", "pos").alias("first_event"), F.max_by("event_id", "pos").alias("last_event"))
+
+
+@query(f"""with {_GIANTS}, ends as (select unit, n_rows, unnest(list_distinct(list_append(range(127, n_rows, 50), n_rows - 1)))::int as w_end from (select distinct unit, n_rows from obs))
+select e.unit, w_end, count(*) as n_rows, count(x) as n_values, min(pos) - w_end + 199 as first_place, arg_min(event_id, pos) as first_event
+from ends e join obs o on o.unit = e.unit and pos <= w_end and pos > w_end - 200 group by e.unit, w_end""")
+def giant_rolls(spark: SparkSession, d: str) -> DataFrame:
+    """Causal windows, padded at the left, of trajectories that are too long for one task."""
+    rows = windows.roll(_giants(spark, d), ["unit"], 200, 50, 128)
+    return rows.groupBy("unit", "w_end").agg(F.count("*").alias("n_rows"), F.count("x").alias("n_values"), F.min("w_pos").cast("long").alias("first_place"), F.min_by("event_id", "pos").alias("first_event"))
+
+
+@query(f"""with {_GIANTS}, near as (
+  select *, last_value(x ignore nulls) over a as v0, last_value(case when x is not null then pos end ignore nulls) over a as p0,
+    first_value(x ignore nulls) over b as v1, first_value(case when x is not null then pos end ignore nulls) over b as p1, time - lag(time) over (partition by unit order by pos) as step from obs
+  window a as (partition by unit order by pos rows between unbounded preceding and current row), b as (partition by unit order by pos rows between current row and unbounded following)
+)
+select unit, pos // 500 as stretch, count(*) as n_rows, count(x) as n_values, round(sum(coalesce(x, v0 + (v1 - v0) * (pos - p0) / (p1 - p0), v0, v1)), 4) as total, count(step) as n_steps, round(sum(step), 3) as span, count(*) filter (step <= 0) as n_back
+from near group by 1, 2""")
+def giant_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Interpolation and steps in time of trajectories that are too long for one task."""
+    placed = _giants(spark, d)
+    filled = places.interpolate_placed(places.row_before(placed, ["unit"], "time", "earlier"), ["unit"], ["x"])
+    step = F.col("time") - F.col("earlier")
+    out = filled.groupBy("unit", F.floor(F.col("pos") / 500).alias("stretch")).agg(
+        F.count("*").alias("n_rows"), F.count("x").alias("n_values"), F.round(F.sum("x_filled"), 4).alias("total"), F.count(step).alias("n_steps"), F.round(F.sum(step), 3).alias("span"), F.count_if(step <= 0).alias("n_back")
+    )
+    return out
