@@ -125,6 +125,46 @@ def draw_schedule(plan: DataFrame, steps: DataFrame, weight: str = "share", stra
     return steps.withColumn("u", u).join(F.broadcast(ranked), hit).select("step", "dataset")
 
 
+CHUNK = 1 << 20
+# Primes under 2**31, which no number of batches is a multiple of.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
+
+
+def count_up(rows: DataFrame, by: str, at: str, chunk: int = CHUNK) -> DataFrame:
+    """nth: how many rows of the group come before, in the order of the whole number `at`.
+
+    Groups are counted in chunks of `at`, whose sizes are bounded as `at` is unique in a
+    group; what is added is one row for each group and chunk.
+    """
+    cut = rows.withColumn("_chunk", F.floor(F.col(at) / chunk))
+    counts = cut.groupBy(by, "_chunk").agg(F.count("*").alias("_n"))
+    before = counts.select(by, "_chunk", (F.sum("_n").over(Window.partitionBy(by).orderBy("_chunk")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(by, "_chunk").orderBy(at)) - 1
+    return cut.withColumn("_inside", inside).join(before, [by, "_chunk"]).withColumn("nth", F.col("_before") + F.col("_inside")).drop("_chunk", "_before", "_inside")
+
+
+def draw_batches(plan: DataFrame, batches: DataFrame, steps: DataFrame, weight: str = "share", strategy: str = "weighted", seed: int = 0) -> DataFrame:
+    """step, dataset, opening and batch: which batch (from 0) of the drawn dataset a step gets.
+
+    `batches` (dataset, n_batches) says how many there are; `steps` has whole numbers `step`.
+    A dataset gives each of its batches once, in an order that the seed and the opening
+    decide, and is then opened again. Datasets without a batch are never drawn; the others'
+    weights count in proportion. The k-th draw of a dataset is arithmetic: no state is kept,
+    and no order of all batches is made.
+    """
+    there = plan.join(batches.where("n_batches > 0").select("dataset", "n_batches"), "dataset")
+    if strategy == "weighted":
+        total = F.sum(weight).over(Window.partitionBy(F.lit(1)))  # a row for each dataset
+        there = there.withColumn(weight, F.col(weight) / total)
+    drawn = count_up(draw_schedule(there.drop("n_batches"), steps, weight, strategy, seed), "dataset", "step")
+    out = drawn.join(there.select("dataset", "n_batches"), "dataset").withColumn("opening", F.floor(F.col("nth") / F.col("n_batches")))
+    h = F.conv(F.substring(stable_rank_key(seed, F.col("dataset"), F.col("opening")), 1, 8), 16, 10).cast("long")
+    # a prime that doesn't divide the number of batches turns their order into another one
+    prime = F.get(F.array(*map(F.lit, PRIMES)), (h % len(PRIMES)).cast("int"))
+    batch = F.pmod(prime * F.pmod("nth", "n_batches") + h, F.col("n_batches"))
+    return out.select("step", "dataset", "opening", batch.alias("batch"))
+
+
 def evaluation_order(batches: DataFrame, per_dataset: int | None = None, most: int | None = None) -> DataFrame:
     """Batches (dataset, batch) in dataset order, at most so many for each and in total."""
     out = batches

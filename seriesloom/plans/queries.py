@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from ..functions import values as V
-from ..operators import audit, federated, lifetime, metrics, places, quantiles, roles, runlog, sampling, trajectories, windows
-from ..sources import archives, records, samples, store
+from ..operators import audit, federated, lifetime, metrics, places, quantiles, roles, rules, runlog, sampling, trajectories, windows
+from ..sources import archives, footers, records, samples, store
 from . import tables as T
 
 QUERIES: dict = {}
@@ -873,3 +874,117 @@ def giant_steps(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("n_rows"), F.count("x").alias("n_values"), F.round(F.sum("x_filled"), 4).alias("total"), F.count(step).alias("n_steps"), F.round(F.sum(step), 3).alias("span"), F.count_if(step <= 0).alias("n_back")
     )
     return out
+
+
+_NESTED = "named_struct('who', user_id, 'kind', event_type, 'inner', named_struct('z', value, 'a', array(value, if(event_id % 7 = 0, double('nan'), 0.5D), null)), 'by', map('y', if(event_id % 5 = 0, double('inf'), value), 'b', -1.0D), 'pipeline_version', event_id % 3)"
+
+
+@query("""with t as (
+  select event_id, user_id, '{"by": {"b": -1.0, "y": ' || case when event_id % 5 = 0 then 'null' else value::varchar end || '}, "inner": {"a": [' || value::varchar || ', ' || case when event_id % 7 = 0 then 'null' else '0.5' end || ', null], "z": ' || value::varchar
+    || '}, "kind": "' || event_type || '"' as head, event_id % 3 as v from events
+)
+select event_id, substr(sha256(head || ', "pipeline_version": ' || v || ', "who": ' || user_id || '}'), 1, 16) as hash, substr(sha256(head || ', "who": ' || user_id || '}'), 1, 16) as semantic,
+  substr(sha256(replace(replace(head || ', "pipeline_version": ' || v || ', "who": ' || user_id || '}', ', ', ','), ': ', ':')), 1, 16) as compact
+from t""")
+def nested_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical hashes of nested rows, of which some leaves aren't finite."""
+    rows = T.read(spark, d, "events").select("event_id", F.expr(_NESTED).alias("row"))
+    kind = rows.schema["row"].dataType
+    forms = {"hash": {}, "semantic": {"without": ("pipeline_version",)}, "compact": {"form": "compact"}}
+    return rows.select("event_id", *(nested.canonical_hash(F.col("row"), kind, **more).alias(c) for c, more in forms.items()))
+
+
+_DRAWS = f"""{T.NATIONS}, b as (select dataset, (patches % 7)::bigint as n_batches from nations), p as (select dataset, patches / sum(patches) over () as share, n_batches from nations join b using (dataset) where n_batches > 0),
+c as (select dataset, n_batches, w, s, sum(w) over (partition by s order by dataset) as upper, row_number() over (partition by s order by dataset) - 1 as i, count(*) over (partition by s) as n
+  from (select *, 'weighted' as s, share as w from p union all select *, 'uniform', 1.0 / count(*) over () from p union all select *, 'round_robin', 0 from p)),
+st as (select event_id as step, ('0x' || substr(md5(concat('5:', event_id)), 1, 8))::bigint / 4294967296.0 as u from events),
+dr as (select s as strategy, step, dataset, n_batches from st join c on case when s = 'round_robin' then step % n = i else (u >= upper - w and u < upper) or (i = n - 1 and u >= upper) end),
+k as (select *, row_number() over (partition by strategy, dataset order by step) - 1 as nth from dr),
+o as (select *, nth // n_batches as opening, ('0x' || substr(md5(concat('5:', dataset, ':', nth // n_batches)), 1, 8))::bigint as h from k)"""
+
+
+@query(f"""with {_DRAWS} select strategy, step, dataset, opening::bigint as opening, (([2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549][h % 6 + 1] * (nth % n_batches) + h) % n_batches)::bigint as batch from o""")
+def drawn_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches by step for the three strategies; some datasets have none, all are opened again."""
+    nations = T.nation_table(spark, d)
+    plan = sampling.normalized(nations, "patches").select("dataset", "share")
+    batches = nations.select("dataset", (F.col("patches") % 7).cast("long").alias("n_batches"))
+    steps = T.read(spark, d, "events").select(F.col("event_id").alias("step"))
+    out = [sampling.draw_batches(plan, batches, steps, strategy=s, seed=5).select(F.lit(s).alias("strategy"), "*") for s in ("weighted", "uniform", "round_robin")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# Suppliers as datasets and nations as clients, with what an audit would say of them.
+_AUDITED = """
+lines as (
+  select l_suppkey as k, count(*) as n_rows, count(*) filter (l_quantity > 45) as dropped, min(l_quantity) - 2 as low, (count(*) filter (l_returnflag = 'R')) / count(*) as padding, count(distinct l_orderkey) as n_orders, sum(l_linenumber) as channel_patches from lineitem group by 1
+), audited as (
+  select 'd' || k as dataset, 'c' || s_nationkey as client, case k % 3 when 0 then 'TRANSFER_TARGET' when 1 then 'PRETRAIN_SOURCE' else 'DROP' end as role, case when k % 2 = 0 then n_orders end as n_windows, k % 9 as n_units,
+    case when k % 4 > 0 then (k % 11) / 100 end as class_balance, low, case k % 5 when 0 then 'rul' when 1 then 'regression' when 2 then 'regression_or_rul' when 3 then 'binary' end as kind, case when k % 8 > 0 then padding end as padding,
+    case when k % 2 = 0 then 'pad' else 'drop' end as policy, n_orders as median, n_rows, case when k % 6 > 0 then dropped end as dropped, n_rows / sum(n_rows) over () as temporal, channel_patches / sum(channel_patches) over () as share, k
+  from lines join supplier on s_suppkey = k
+), per_client as (select client, sum(temporal) as temporal, sum(share) as channel from audited group by 1)
+"""
+
+
+@query(f"""with {_AUDITED}, said as (
+  select dataset, 'tt_n_windows_bajo' as rule from audited where role = 'TRANSFER_TARGET' and n_windows < 100 union all
+  select dataset, 'tt_n_units_bajo' from audited where role = 'TRANSFER_TARGET' and n_units < 5 union all
+  select dataset, 'class_balance_bajo' from audited where class_balance < 0.05 union all
+  select dataset, case when kind = 'regression' then 'negative_target_values' else 'rul_negative_values' end from audited where low < 0 and kind in ('rul', 'regression_or_rul', 'regression') union all
+  select dataset, 'padding_ratio_alto' from audited where padding > 0.15 union all
+  select dataset, 'tt_padding_alto' from audited where role = 'TRANSFER_TARGET' and padding > 0.5 union all
+  select dataset, 'tail_policy_pad_padding_moderado' from audited where role = 'TRANSFER_TARGET' and padding > 0.15 and padding <= 0.5 and policy = 'pad' union all
+  select dataset, 'tt_median_lt_window' from audited where role = 'TRANSFER_TARGET' and median < 512 union all
+  select dataset, 'tail_drop_ratio_alto' from audited where role <> 'DROP' and dropped > 0.05 * n_rows union all
+  select dataset, 'dataset_dominante' from audited where share > 0.2
+)
+select 'dataset' as scope, dataset as name, rule from said
+union all select 'client', client, 'cliente_pequeno_temporal' from per_client where temporal < 0.01
+union all select 'client', client, 'cliente_pequeno_channel' from per_client where channel < 0.01
+union all select 'corpus', 'corpus', 'inconsistencia_conteos' from audited group by all having count(*) <> (select count(distinct l_suppkey) + 1 from lineitem)
+union all select 'corpus', 'corpus', 'inconsistencia_csv' from (select count(*) as n from supplier where s_suppkey % 2 = 0) where n <> (select count(*) + 1 from audited)""")
+def warning_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings of all kinds about suppliers as datasets, nations as clients, and the whole."""
+    li, sup = T.read(spark, d, "lineitem"), T.read(spark, d, "supplier")
+    k = F.col("k")
+    per = li.groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("l_quantity") > 45).alias("d"), (F.min("l_quantity") - 2).alias("target_min"), (F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("p"), F.count_distinct("l_orderkey").alias("n_orders"), F.sum("l_linenumber").alias("channel_patches"))
+    table = per.join(sup, per.k == sup.s_suppkey).select(
+        F.concat(F.lit("d"), k).alias("dataset"), F.concat(F.lit("c"), "s_nationkey").alias("client"), F.when(k % 3 == 0, "TRANSFER_TARGET").when(k % 3 == 1, "PRETRAIN_SOURCE").otherwise("DROP").alias("role"),
+        F.when(k % 2 == 0, F.col("n_orders")).alias("n_windows"), (k % 9).alias("n_units"), F.when(k % 4 > 0, (k % 11) / 100).alias("class_balance"), "target_min",
+        F.get(F.array(*map(F.lit, ("rul", "regression", "regression_or_rul", "binary"))), (k % 5).cast("int")).alias("target_kind"), F.when(k % 8 > 0, F.col("p")).alias("padding_ratio"), F.when(k % 2 == 0, "pad").otherwise("drop").alias("tail_policy"),
+        F.col("n_orders").alias("length_median"), F.lit(512).alias("window_size"), "n_rows", F.when(k % 6 > 0, F.col("d")).alias("dropped_rows"), "channel_patches",
+    )
+    shared = audit.shares(table, ["n_rows", "channel_patches"], digits=15)
+    clients = shared.groupBy("client").agg(F.sum("w_n_rows").alias("w_temporal_patches"), F.sum("w_channel_patches").alias("w_channel_patches"))
+    corpus = table.agg(F.count("*").alias("n_audited"), F.lit(0).alias("n_excluded"), (F.count("*") + 1).alias("n_downloaded")).crossJoin(sup.where("s_suppkey % 2 = 0").agg(F.count("*").alias("n_listed")))  # one row each
+    return rules.all_warnings(shared, clients, corpus).select("scope", "name", "rule")
+
+
+@query("""with s as (select case when l_suppkey % 5 < 3 then 'train' when l_suppkey % 5 = 3 then 'val' else 'test' end as split, l_quantity - 1 as life, least(l_quantity, 40) as capped, l_suppkey from lineitem),
+f as (select split, count(*) as n, min(life)::double as low, max(capped)::double as high, case when split <> 'val' then count(*) + max(l_suppkey) % 2 end as preview from s group by 1)
+select split, 'life is not negative' as "check", low as observed, low >= 0 as passed from f
+union all select split, 'samples as in the preview', n, n = preview from f where preview is not null
+union all select split, 'the last row has life 0', low, low = 0 from f where split <> 'test'
+union all select split, 'lives are capped', high, high <= 30 from f""")
+def writer_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of splits before they are written; some of it doesn't."""
+    k = F.col("l_suppkey") % 5
+    split = F.when(k < 3, "train").when(k == 3, "val").otherwise("test")
+    per = T.read(spark, d, "lineitem").groupBy(split.alias("split")).agg(F.count("*").alias("n_samples"), (F.min("l_quantity") - 1).alias("life_min"), F.max(F.least("l_quantity", F.lit(40))).alias("capped_max"), F.max("l_suppkey").alias("m"))
+    per = per.withColumn("n_preview", F.when(F.col("split") != "val", F.col("n_samples") + F.col("m") % 2))
+    return rules.checked(per, rules.writer_rules(30), "split").select("split", "check", F.col("observed").cast("double").alias("observed"), "passed")
+
+
+@query(f"""with {_SPLITS} select dataset, split, count(*) as n_rows, 'string' as key_type, 0 as n_null, 0 as n_faults from w group by 1, 2""")
+def stored_footers(spark: SparkSession, d: str) -> DataFrame:
+    """Files of samples judged by their footers and the manifest, without reading them."""
+    path, rows = T.scratch(spark), _samples_at_rest(spark, d)
+    store.publish(rows, path, _CONFIG, V.config_hash(_CONFIG))
+    found = footers.read_footers(spark, f"{path}/data")
+    listed = store.current(store.history(spark, path)).select("dataset", F.inline("files"))
+    types = {"key": "string", "unit": "string", "patches[][][]": "double", "valid_time_mask[]": "boolean", "target.label": "string", "meta.start": "int64"}
+    faults = footers.footer_faults(found, types, listed).groupBy("path").agg(F.count("*").alias("n"))
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    keys = found.where("column = 'key'").join(faults, "path", "left")
+    return keys.groupBy(part("dataset"), part("split")).agg(F.sum("n_rows").alias("n_rows"), F.max("type").alias("key_type"), F.sum("n_null").cast("int").alias("n_null"), F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n_faults"))
