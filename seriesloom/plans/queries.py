@@ -9,6 +9,7 @@ from ..functions import nested
 from ..functions import values as V
 from ..operators import audit, federated, lifetime, metrics, places, quantiles, roles, rules, runlog, sampling, trajectories, windows
 from ..sources import archives, footers, records, samples, store
+from ..streaming import follow
 from . import tables as T
 
 QUERIES: dict = {}
@@ -988,3 +989,26 @@ def stored_footers(spark: SparkSession, d: str) -> DataFrame:
     part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
     keys = found.where("column = 'key'").join(faults, "path", "left")
     return keys.groupBy(part("dataset"), part("split")).agg(F.sum("n_rows").alias("n_rows"), F.max("type").alias("key_type"), F.sum("n_null").cast("int").alias("n_null"), F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n_faults"))
+
+
+@query("""with t as (select event_id as step, case when event_id % 101 <> 0 and event_id % 103 <> 0 then case when event_id % 13 = 0 then -value else value end end as x, event_id % 5 <> 0 as clean, case when event_id < 3000 then '0-3000' else '3000-' end as bucket from events where event_id % 17 <> 0),
+b as (select *, case when abs(x) < 1e-9 then 0 else sign(x) * least(2094, floor(ln(abs(x) / 1e-9) / ln(1.02)) + 1) end as bin from t),
+s as (select bucket, count(x) as n, count(*) - count(x) as n_nonfinite, avg(x) as mean, min(x) as low, max(x) as high, avg(case when clean then x end) as clean_mean from t group by 1),
+c as (select bucket, bin, sum(count(*)) over (partition by bucket order by bin) as upto from b where bin is not null group by 1, 2),
+q as (select bucket, min(bin) filter (upto >= ceil(0.1 * n)) as b10, min(bin) filter (upto >= ceil(0.5 * n)) as b50, min(bin) filter (upto >= ceil(0.9 * n)) as b90 from c join s using (bucket) group by 1)
+select bucket, n, n_nonfinite, round(mean, 6) as mean, low, high, round(clean_mean, 6) as clean_mean, round(least(high, greatest(low, sign(b10) * 1e-9 * pow(1.02, abs(b10) - 0.5))), 6) as p10,
+  round(least(high, greatest(low, sign(b50) * 1e-9 * pow(1.02, abs(b50) - 0.5))), 6) as p50, round(least(high, greatest(low, sign(b90) * 1e-9 * pow(1.02, abs(b90) - 0.5))), 6) as p90 from s join q using (bucket)""")
+def followed_log(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of a log that arrives in any order, in several batches, with repeated and
+    broken lines and records of another kind."""
+    path, k = T.scratch(spark), F.col("event_id")
+    value = F.when(k % 13 == 0, -F.col("value")).otherwise(F.col("value"))
+    loss = F.when(k % 101 == 0, F.lit(float("nan"))).when(k % 103 == 0, F.lit(float("inf"))).otherwise(value)
+    lines = T.read(spark, d, "events").select(k.alias("step"), F.when(k % 17 == 0, "distribution").alias("kind"), F.col("event_type").alias("dataset"), loss.alias("loss"), (k % 5 != 0).alias("optimizer_applied"))
+    text = lines.select(F.to_json(F.struct("*")).alias("value"), F.explode(F.when(F.col("step") % 10 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    broken = lines.where("step % 50 = 0").select(F.concat(F.lit('{"step": '), "step").alias("value"), F.lit(1).alias("copy"))
+    text.unionByName(broken).repartition(7, F.hash("value", "copy")).select("value").write.text(f"{path}/in")
+    log = follow.follow_log(spark, f"{path}/in", files_at_once=3)
+    query = follow.bucket_statistics_stream(log, f"{path}/out", [(0, 3000), (3000, None)], f"{path}/checkpoint")
+    query.awaitTermination()
+    return rounded(follow.bucket_statistics(follow.read_pages(spark, f"{path}/out")))
