@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A block's features are its words and link density, those of the blocks before and after
-it, what kind of element it is, and which sectioning elements it is in. Names of classes
-and ids play no part. The tree is trained on the labelled pages below, which are built
-from a few layouts with and without sectioning elements.
+Blocks in elements that hold no main text (navigation, footers, sidebars, forms, and those
+whose role, class or id says so) are no candidates, but count as neighbours. A candidate's
+features are its words and link density, those of the blocks before and after it, what kind
+of element it is, and whether the page's article holds it. The tree is trained on the
+labelled pages below, of layouts with and without sectioning elements.
 """
 
 from __future__ import annotations
@@ -27,20 +28,32 @@ UNWANTED = {"nav", "footer", "aside", "form", "dialog", "menu", "head"}
 WANTED = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = HEADINGS | UNWANTED | WANTED | set("html body header p div section ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr address fieldset legend details summary center".split())
+# parts of names of classes and ids that tell what is no main text
+NAMED = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments disqus reply replies respond nav navbar navigation menu breadcrumb breadcrumbs sidebar footer"
+    " related recommended share sharing social newsletter subscribe subscription signup cookie cookies consent gdpr notice popup modal pagination pager login".split()
+)
+_NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # elements that end when their parent does; only what can hold blocks is kept open
 HOLDERS = BLOCKS - HEADINGS - {"p", "hr", "pre"}
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "nested_article", "boilerplate", "heading", "paragraph", "list_item"]
+FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "nested_article", "heading", "paragraph", "list_item"]
+
+
+def _named(rest: str) -> bool:
+    """Whether a tag's class or id says that it holds no main text."""
+    return any(part.lower() in NAMED for m in _NAMES.finditer(rest) for part in _PART.findall(m[1] or m[2] or m[3] or ""))
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """The page's non-empty blocks (text, features), in order.
+    """The page's candidates (text, features), in order.
 
     article: 1 in an article or main element, -1 outside of those that the page has.
     """
     out: list[list] = []
     text: list[str] = []
     linked = 0
-    in_link = heading = paragraph = item = articles = False
+    in_link = heading = paragraph = item = articles = alone = False
     link_depth = 0
     stack: list[tuple[str, int, int]] = []  # element, whether it is wanted and unwanted
     wanted = unwanted = 0
@@ -49,7 +62,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         nonlocal text, linked
         words = html.unescape("".join(text)).split()
         if words:
-            out.append([" ".join(words), len(words), min(1.0, linked / len(words)), float(wanted > 0), float(wanted > 1), float(unwanted > 0), float(heading), float(paragraph), float(item)])
+            out.append([" ".join(words), len(words), min(1.0, linked / len(words)), float(wanted > 0), float(wanted > 1), float(unwanted > 0 or alone), float(heading), float(paragraph), float(item)])
         text, linked = [], 0
 
     def add(piece: str) -> None:
@@ -102,6 +115,10 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         flush()
         heading = name in HEADINGS and not closing
+        if not closing and name not in HOLDERS:
+            alone = _named(rest)  # a heading or paragraph that names itself
+        elif name not in HOLDERS or not closing:
+            alone = False
         paragraph = name in ("p", "pre", "blockquote") and not closing
         if name == "li":
             item = not closing
@@ -118,7 +135,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         role = _ROLE.search(rest)
         means = ROLES.get(role[1].lower(), name) if role else name
         good = means in WANTED and not (means == "article" and stack and stack[-1][0] == "main")
-        bad = means in UNWANTED or (means == "header" and not wanted)
+        bad = means in UNWANTED or (means == "header" and not wanted) or (name not in ("html", "body", "article", "main") and _named(rest))
         if name == "body":
             unwanted -= sum(s[2] for s in stack)
             wanted -= sum(s[1] for s in stack)
@@ -133,7 +150,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         before = out[i - 1][1:3] if i else [0, 0.0]
         after = out[i + 1][1:3] if i + 1 < len(out) else [0, 0.0]
         place = inside if inside or not articles else -1.0
-        found.append((words, [float(n), density, *map(float, before), *map(float, after), place, nested, bad, head, par, li]))
+        if not bad:
+            found.append((words, [float(n), density, *map(float, before), *map(float, after), place, nested, head, par, li]))
     return found
 
 
@@ -142,29 +160,55 @@ def _text(n: int, main: bool = False) -> str:
     return " ".join([*(["Main"] if main else []), *words][:n])
 
 
-def labelled_pages() -> list[str]:
-    """Small pages of several layouts; the blocks that begin with "Main" are the main text."""
-    p = lambda n: f"<p>{_text(n, True)}</p>"
-    link = lambda n: f'<a href="/x">{_text(n)}</a>'
-    links = lambda k, n: "<ul>" + f"<li>{link(n)}</li>" * k + "</ul>"
-    pages = []
-    for k, lengths in enumerate([(1,), (2, 60), (40, 1, 30), (90, 3, 2, 70), (25, 120), (3, 4, 2, 1), (35, 12, 50, 8), (150,), (20, 1, 1, 45)]):
-        body, title = "".join(map(p, lengths)), f"<h1>{_text(4 + k, True)}</h1>"
+def _p(*lengths: int, tag: str = "p") -> str:
+    """Paragraphs of the main text."""
+    return "".join(f"<{tag}>{_text(n, True)}</{tag}>" for n in lengths)
+
+
+def _h(n: int = 5, level: int = 1) -> str:
+    return f"<h{level}>{_text(n, True)}</h{level}>"
+
+
+def _a(n: int) -> str:
+    return f'<a href="/x">{_text(n)}</a>'
+
+
+def _links(k: int, n: int) -> str:
+    return "<ul>" + f"<li>{_a(n)}</li>" * k + "</ul>"
+
+
+def _layouts(k: int) -> dict[str, str]:
+    """A page of each layout; k varies lengths and counts."""
+    few, some, long = 6 + 2 * k, 15 + 3 * k, 45 + 15 * k
+    return {
         # with sectioning elements
-        nav, foot = f"<nav>{links(4, 1 + k % 3)}</nav>", f"<footer>&copy; {_text(3 + 5 * k)}</footer>"
-        pages.append(f"<body>{nav}<div>{_text(8)}</div><article>{title}{body}</article>{foot}")
-        pages.append(f"<body><header>{link(2)} {_text(20)}</header>{nav}<main>{title}{body}<ul><li>{_text(6, True)}</li><li>{_text(9, True)}</li></ul></main><aside><p>{_text(40)}</p></aside><p>{_text(7)}</p>")
-        pages.append(f"<body><p>{_text(5)}</p><article><header>{title}</header>{body}<form>{_text(25)}</form><article><p>{_text(30)}</p><p>{_text(3)}</p></article></article><section><p>{_text(35)}</p><p>{_text(4)}</p></section>")
-        pages.append(f"<body>{nav}<p>{_text(60)}</p><div>{_text(30)}</div><main>{title}{body}<p>{_text(9, True)} {link(2)}</p></main><div>{_text(45)}</div>{foot}")
+        "blog": f"<nav>{_links(4, 1)}</nav><div>{_text(8)}</div><article>{_h(4 + k)}{_p(1, long, 2, some, 3, long, k + 1)}</article><footer>{_text(9)}</footer>",
+        "news": f"<header>{_a(2)} {_text(20)}</header><main>{_h(9)}{_p(few, some)}<ul><li>{_text(6, True)}</li><li>{_text(3 + k, True)}</li></ul>{_p(long, 2)}{_links(3, 6)}</main><aside>{_text(40)}</aside><p>{_text(7)}</p>",
+        "thread": f"<p>{_text(5)}</p><article><header>{_h()}</header>{_p(some, 4, long)}<article><p>{_text(30)}</p><p>{_text(3)}</p></article></article><section><p>{_text(35)}</p><p>{_text(4 + k)}</p></section>",
+        "wiki": f"<div>{_text(30)}</div><p>{_text(60)}</p><main>{_h(2)}{_p(long)}{_h(3, 2)}{_p(long, some)}<p>{_text(9 + k, True)} {_a(2)}</p><p>{_a(5)} {_a(5)} {_a(4 + k)}</p></main><div>{_text(45)}</div>",
+        "list": f"<article>{_h(6)}<ol>{''.join(f'<li>{_text(2 + (i * k) % 30, True)}</li>' for i in range(6))}</ol>{_p(some)}{_links(4, 9 + k)}</article><div>{_text(12)}</div>",
+        "linked": f"<div>{_links(3, 2)}</div><article>{_h(3)}<p>{_text(20, True)} {_a(12 + 2 * k)}</p>{_p(some)}<p>{_text(8, True)} {_a(6 + k)}</p>{_p(long)}<p>{_text(30, True)} {_a(30)}</p></article>",
         # without: lengths and links of a block and of its neighbours have to tell
-        between = f"<p>{_text(30 + k, True)}</p><p>{_text(2 + k, True)}</p><p>{_text(50, True)}</p><p>{_text(1 + k % 4, True)}</p><p>{_text(28, True)}</p>"
-        pages.append(f"<body><div>{link(2)} {link(1)} {link(2)}</div><h1>{_text(5, True)}</h1>{between}<div>{link(1)} {link(3)}</div><p>{_text(3 + k)}</p>")
-        pages.append(f"<body>{links(5, 2)}<div>{_text(4)}</div><div>{link(3)}</div><div>{_text(80 + k, True)}</div><div>{_text(60, True)}</div>{links(3, 4 + k)}<div>{_text(6)}</div>")
-        pages.append(f"<body><table><tr><td>{link(2)}</td><td>{link(3)}</td></tr><tr><td>{_text(70 + k, True)}</td></tr><tr><td>{link(12 + k)}</td></tr></table>{links(2, 20)}<p>{_text(5)}</p>")
-    return pages
+        "plain": f"{_h()}{_p(*[some] * 8)}",
+        "essay": f"{_h(8)}{_p(*[long] * 6)}<p>{_text(4)}</p>",
+        "notes": f"<div>{_a(2)} {_a(1)} {_a(2)}</div>{_h(4)}{_p(some, few, some + 9, few, few, some, 12 + k)}<div>{_a(1)} {_a(3)}</div><div>{_text(3 + k)}</div>",
+        "mixed": f"<div>{_text(4)}</div>{_links(5, 2)}{_h(3 + k)}{_p(long, few, some)}{_h(3, 2)}{_p(some, long, 9)}{_links(3, 4 + k)}<div>{_text(6)}</div>",
+        "cells": f"<table><tr><td>{_a(2)}</td><td>{_a(3)}</td></tr><tr><td>{_text(70 + k, True)}</td></tr><tr><td>{_text(40 + 5 * k, True)}</td></tr><tr><td>{_a(12 + k)}</td></tr></table>{_links(2, 20)}",
+        "divs": f"<div>{_a(3)}</div><div>{_text(2 + k)}</div><div>{_a(2)}</div>{_h(6)}{_p(some, long, some, long, tag='div')}<div>{_a(4)} {_a(6 + k)}</div><div>{_text(5)}</div>",
+        "portal": f"{_links(8, 2 + k)}<div>{_a(30 + 10 * k)}</div>{_h(5)}{_p(some, some, some)}<div>{_a(50 + 10 * k)}</div>{_links(6, 8)}<div>{_text(4)} {_a(2)}</div>",
+        "weave": f"<div>{_a(2)}</div>{_h(4)}<p>{_text(25, True)} {_a(15 + k)}</p>{_p(some)}<p>{_text(40, True)} {_a(20 + 3 * k)}</p>{_p(long)}{_links(4, 3)}",
+        "index": f"<h2>{_text(2)}</h2>{_links(6, 3 + k)}<h2>{_text(2)}</h2>{_links(5, 10)}<p>{_text(3)} {_a(6)}</p>",
+        "letter": f"<div>{_text(3)}</div><div>{_a(1)}</div>{_p(few, long, some)}<blockquote>{_text(some, True)}</blockquote>{_p(some)}<div>{_a(2)}</div><div>{_text(5 + k)}</div>",
+        "tail": f"{_h(4)}{_p(some, some, long)}<h3>{_text(2)}</h3>{_links(4, 5 + k)}<h3>{_text(1)}</h3>{_links(2, 3)}<div>{_text(7)}</div>",
+    }
+
+
+def labelled_pages() -> dict[str, list[str]]:
+    """Small pages by layout; the blocks that begin with "Main" are the main text."""
+    return {name: [f"<body>{_layouts(k)[name]}" for k in range(6)] for name in _layouts(0)}
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
     """A binary tree by Gini impurity: (feature, threshold, low, high) or a label."""
     if depth == 0 or y.min() == y.max():
         return (int(y.mean() >= 0.5),)
@@ -189,7 +233,8 @@ def decide(tree: tuple, x: list[float]) -> int:
 
 
 def train(pages: list[str] | None = None) -> tuple:
-    rows = [(f, text.startswith("Main")) for page in pages or labelled_pages() for text, f in blocks(page)]
+    pages = pages or [page for layout in labelled_pages().values() for page in layout]
+    rows = [(f, text.startswith("Main")) for page in pages for text, f in blocks(page)]
     return grow(np.array([f for f, _ in rows]), np.array([y for _, y in rows], float))
 
 
@@ -203,8 +248,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Main blocks are joined by one line end in page order; white space in a block is one
     blank; character references are decoded. Null, empty and textless pages give an
     empty text; a page is read whole, however long. Every row is judged by itself, also with
-    a null id or if it is repeated; extra columns, of whatever names, are ignored. Without
-    sectioning elements the main text is told by lengths and links alone.
+    a null id or if it is repeated; extra columns, of whatever names, are ignored. An empty
+    table gives an empty result. Without sectioning elements the main text is told by
+    lengths, links and names alone.
     """
     tree = train()
 
