@@ -72,6 +72,20 @@ def first_target(*columns: Column) -> Column:
     return F.coalesce(*(finite(c) for c in columns))
 
 
+# The targets that samples of remaining life carry.
+TARGET_KEYS = ("rul_physical", "rul_capped_125")
+
+
+def pick_target(key: str, meta: Column, scalar: Column | None = None, sample: Column | None = None) -> Column:
+    """A sample's target: the field target_<key> of its metadata (JSON), else its own scalar.
+    Another key is an error, and so is a sample that has neither."""
+    if key not in TARGET_KEYS:
+        raise ValueError(f"unknown target {key!r}, one of {TARGET_KEYS} is expected")
+    found = [F.get_json_object(meta, f"$.target_{key}").try_cast("double"), *([scalar.cast("double")] if scalar is not None else [])]
+    lacking = F.raise_error(F.concat(F.lit("sample "), F.coalesce(sample.cast("string"), F.lit("?")) if sample is not None else F.lit("?"), F.lit(f" has no target {key}")))
+    return F.coalesce(*found, lacking.cast("double"))
+
+
 def capped(rul: Column, cap: float | None) -> Column:
     """Remaining life of at most `cap`, if that is a positive number."""
     return F.least(rul, F.lit(float(cap))) if cap and cap > 0 else rul

@@ -93,6 +93,16 @@ def labels(obs: DataFrame) -> DataFrame:
     )
 
 
+def target_ranges(obs: DataFrame) -> DataFrame:
+    """Coverage, mean and range of a numeric target of each dataset, to four digits; null
+    and not finite numbers are missing."""
+    x = F.col("target").cast("double")
+    x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return obs.groupBy("dataset").agg(
+        F.round(F.count(x) * 100 / F.count("*"), 4).alias("label_coverage_pct"), F.round(F.min(x), 4).alias("target_min"), F.round(F.max(x), 4).alias("target_max"), F.round(F.avg(x), 4).alias("target_mean")
+    )
+
+
 def time_regularity(obs: DataFrame) -> DataFrame:
     """Regularity of each unit's time column, averaged over units of two rows or more.
 

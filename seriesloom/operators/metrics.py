@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def confusion(pairs: DataFrame, n_classes: int) -> DataFrame:
-    """Counts (y, yhat, n) of all pairs of classes, zeros too; another class is an error."""
+def confusion(pairs: DataFrame, n_classes: int | None = None) -> DataFrame:
+    """Counts (y, yhat, n) of all pairs of classes, zeros too; another class is an error.
+    Without a number of classes the greatest class that is there decides it."""
+    if n_classes is None:
+        n_classes = (pairs.agg(F.max(F.greatest("y", "yhat"))).first()[0] or 0) + 1
     inside = F.col("y").between(0, n_classes - 1) & F.col("yhat").between(0, n_classes - 1)
     counts = pairs.groupBy("y", "yhat").agg(F.count("*").alias("n"))
     counts = counts.where(F.when(inside, True).otherwise(F.raise_error(F.concat(F.lit("class out of range: "), F.to_json(F.struct("y", "yhat"))))))

@@ -147,3 +147,79 @@ def ranked(table: DataFrame, order: list[str], column: str = "mode") -> DataFram
     """Adds place: a value's place in a given order (from 1); others come last, by name."""
     known = F.array_position(F.array(*map(F.lit, order)), F.col(column))
     return table.withColumn("place", F.when(known > 0, known).otherwise(F.lit(len(order) + 1))).orderBy("place", column)
+
+
+# Notes and verdicts by their names.
+UNCAPPED, FORGETTING = "historical_uncapped_batch_v0_1", "catastrophic_forgetting"
+PENDING, CONFIRMED, WEAK, UNCONFIRMED = "PENDIENTE", "CONFIRMADA", "DEBIL", "NO_CONFIRMADA"
+GO, CONDITIONAL, NO_GO = "GO", "CONDITIONAL", "NO-GO"
+
+
+def run_notes(rows: DataFrame, channels: DataFrame, metric: str = "macro_f1", batch: int = 64, cap: int = 512, loss_limit: float = 0.10) -> DataFrame:
+    """rows with notes: UNCAPPED where no effective batch is noted and the usual batch times
+    the dataset's channels is over the cap (unknown channels: no note), FORGETTING where
+    full finetuning lost more than the limit against training from scratch."""
+    scratch = rows.where("mode = 'from_scratch'").groupBy("dataset").agg(F.max(metric).alias("_base"))
+    out = rows.join(channels.select("dataset", F.col("n_channels").alias("_c")), "dataset", "left").join(scratch, "dataset", "left")
+    uncapped = F.col("batch_size_effective").isNull() & (batch * F.col("_c") > cap)
+    forgot = (F.col("mode") == "full_finetuning") & (F.col(metric) < F.col("_base") - loss_limit)
+    notes = F.array_compact(F.array(F.when(uncapped, F.lit(UNCAPPED)), F.when(forgot, F.lit(FORGETTING))))
+    return out.select(*rows.columns, notes.alias("notes"))
+
+
+def transfer_verdict(rows: DataFrame, modes: list[str], metric: str = "rmse", baseline: str = "from_scratch", least: float = 0.01) -> DataFrame:
+    """For each dataset whether the best of the modes (the lowest metric, the first in order
+    of ties) is better than the baseline: verdict, best_mode, best, base, delta, relative."""
+    place = F.array_position(F.array(*map(F.lit, modes)), F.col("mode"))
+    known = F.col(metric).isNotNull()
+    per = rows.groupBy("dataset").agg(
+        F.min(F.when(F.col("mode") == baseline, F.col(metric))).alias("base"),
+        F.min_by(F.struct("mode", F.col(metric).alias("x")), F.when(known & (place > 0), F.struct(metric, place))).alias("b"),
+    )
+    delta = F.col("b.x") - F.col("base")
+    relative = delta / F.greatest(F.lit(1e-9), F.abs("base"))
+    verdict = F.when(F.col("base").isNull() | F.col("b").isNull(), PENDING).when(delta >= 0, UNCONFIRMED).when(relative <= -least, CONFIRMED).otherwise(WEAK)
+    return per.select("dataset", verdict.alias("verdict"), F.col("b.mode").alias("best_mode"), F.col("b.x").alias("best"), "base", delta.alias("delta"), relative.alias("relative"))
+
+
+def decision(rows: DataFrame, before: DataFrame, hard: str, other: str, gain: float = 0.05, some: float = 0.01, recall: float = 0.30, metric: str = "macro_f1") -> DataFrame:
+    """One row: whether a method goes on, by the new rows (dataset, metric, recall_0) and the
+    former ones (dataset, metric). The hard dataset has to gain and its first class has to
+    be found; the other one must not lose what the hard one has to gain."""
+    new = rows.select("dataset", F.col(metric).alias("n"), "recall_0")
+    both = new.join(before.select("dataset", F.col(metric).alias("o")), "dataset", "left")
+    of = lambda name, c: F.max(F.when(F.col("dataset") == name, F.col(c)))
+    facts = both.agg(of(hard, "n").alias("hn"), of(other, "n").alias("on"), (of(hard, "n") - of(hard, "o")).alias("delta_hard"), (of(other, "n") - of(other, "o")).alias("delta_other"), of(hard, "recall_0").alias("recall_0"))
+    missing = F.col("hn").isNull() | F.col("on").isNull()
+    verdict = F.when(missing | (F.col("recall_0") < recall), NO_GO).when((F.col("delta_hard") >= gain) & (F.col("delta_other") >= -gain), GO).otherwise(CONDITIONAL)
+    reason = F.when(missing, "runs are missing").when(F.col("recall_0") < recall, "the first class isn't found").when(verdict == GO, "gains").when(F.col("delta_hard") >= some, "gains little").otherwise("no gain")
+    return facts.select(verdict.alias("verdict"), reason.alias("reason"), "delta_hard", "delta_other", "recall_0")
+
+
+def plot_tables(obs: DataFrame, bins: int = 30) -> DataFrame:
+    """What plots of a dataset show, as one table (plot, dataset, key, low, high, n): lengths
+    of units and numeric targets by bins of their own range, missing values by channel
+    (of n rows: `low`), and the counts of other targets."""
+    lengths = obs.groupBy("dataset", "split", "unit").agg(F.count("*").cast("double").alias("v")).select("dataset", "v")
+    number = finite(F.col("target").cast("string").try_cast("double"))
+    targets = obs.where("target is not null").select("dataset", number.alias("v"), F.col("target").cast("string").alias("text"))
+    numeric = targets.groupBy("dataset").agg(F.bool_and(F.col("v").isNotNull()).alias("numeric"))
+    targets = join_same(targets, numeric, ["dataset"])
+    parts = [_own_bins(lengths, "lengths", bins), _own_bins(targets.where("numeric"), "targets", bins)]
+    none = F.lit(None).cast("double")
+    missing = obs.select("dataset", F.posexplode("x").alias("c", "v")).groupBy("dataset", "c").agg(F.count_if(F.col("v").isNull()).alias("m"), F.count("*").alias("n"))
+    parts.append(missing.select(F.lit("missing").alias("plot"), "dataset", F.col("c").cast("string").alias("key"), F.col("m").cast("double").alias("low"), none.alias("high"), "n"))
+    classes = targets.where("not numeric").groupBy("dataset", "text").agg(F.count("*").alias("n"))
+    parts.append(classes.select(F.lit("classes").alias("plot"), "dataset", F.col("text").alias("key"), none.alias("low"), none.alias("high"), "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _own_bins(values: DataFrame, plot: str, bins: int) -> DataFrame:
+    span = values.groupBy("dataset").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    width = (F.col("b") - F.col("a")) / bins
+    k = F.when(F.col("b") > F.col("a"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("a")) / width))).otherwise(0)
+    per = join_same(values.select("dataset", "v"), span, ["dataset"]).groupBy("dataset", "a", "b", k.alias("k")).agg(F.count("*").alias("n"))
+    return per.select(F.lit(plot).alias("plot"), "dataset", F.col("k").cast("string").alias("key"), (F.col("a") + F.col("k") * width).alias("low"), (F.col("a") + (F.col("k") + 1) * width).alias("high"), "n")

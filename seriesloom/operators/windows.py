@@ -175,19 +175,25 @@ def mask_ratio(cells: DataFrame, *by: str) -> DataFrame:
     return cells.groupBy(*by).agg(F.when(valid > 0, both / valid).otherwise(0.0).alias("mask_ratio"))
 
 
-def reconstruction_error(cells: DataFrame, *by: str) -> DataFrame:
-    """Errors over masked patches' valid time steps.
+def reconstruction_error(cells: DataFrame, *by: str, reduction: str = "mean") -> DataFrame:
+    """Errors over masked patches' valid time steps: their "mean" or "sum"; "none" leaves the
+    cells that count with their squared and absolute error.
 
     cells: one row for each time step (.., target, prediction, masked, valid). Gives mse,
     mae, the steps that count and the padding that was left out; 0 if nothing counts.
     """
     counts = F.col("masked") & F.col("valid")
     d = F.col("prediction") - F.col("target")
-    n = F.sum(counts.cast("int"))
+    if reduction == "none":
+        return cells.where(counts).withColumns({"mse": d * d, "mae": F.abs(d)})
+    if reduction not in ("mean", "sum"):
+        raise ValueError(f"unknown reduction {reduction!r}")
+    n = F.sum(counts.cast("int")) if reduction == "mean" else F.lit(1)
+    elements = F.sum(counts.cast("int"))
     return cells.groupBy(*by).agg(
         (F.coalesce(F.sum(F.when(counts, d * d)), F.lit(0.0)) / F.greatest(n, F.lit(1))).alias("mse"),
         (F.coalesce(F.sum(F.when(counts, F.abs(d))), F.lit(0.0)) / F.greatest(n, F.lit(1))).alias("mae"),
-        F.coalesce(n, F.lit(0)).alias("n_elements"),
+        F.coalesce(elements, F.lit(0)).alias("n_elements"),
         F.count_if(F.col("masked") & ~F.col("valid")).alias("padding_ignored"),
     )
 

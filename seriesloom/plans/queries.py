@@ -1012,3 +1012,58 @@ def followed_log(spark: SparkSession, d: str) -> DataFrame:
     query = follow.bucket_statistics_stream(log, f"{path}/out", [(0, 3000), (3000, None)], f"{path}/checkpoint")
     query.awaitTermination()
     return rounded(follow.bucket_statistics(follow.read_pages(spark, f"{path}/out")))
+
+
+@query(f"""with {T.NATIONS}, r as (select dataset, m as mode, case when hash_ % 11 > 0 then round((patches % 97) / 97.0 + (hash_ % 13) / 50.0, 6) end as macro_f1, case when hash_ % 3 > 0 then 32 end as batch_size_effective
+    from (select dataset, patches::bigint as patches, m, (patches::bigint + 7 * i) as hash_ from nations, (values ('from_scratch', 0), ('linear_probing', 1), ('full_finetuning', 2)) v(m, i))),
+  b as (select dataset, max(macro_f1) as base from r where mode = 'from_scratch' group by 1), c as (select dataset, case when length(dataset) <> 5 then length(dataset) end as n_channels from nations)
+select r.dataset, mode, concat_ws('; ', case when batch_size_effective is null and 64 * n_channels > 512 then 'historical_uncapped_batch_v0_1' end, case when mode = 'full_finetuning' and macro_f1 < base - 0.1 then 'catastrophic_forgetting' end) as notes
+from r left join b on b.dataset = r.dataset left join c on c.dataset = r.dataset""")
+def run_notes(spark: SparkSession, d: str) -> DataFrame:
+    nations = T.nation_table(spark, d).select("dataset", F.col("patches").cast("long").alias("p"))
+    modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(i).alias("i")) for i, m in enumerate(("from_scratch", "linear_probing", "full_finetuning"))))).alias("m")
+    runs = nations.select("dataset", "p", modes).withColumn("h", F.col("p") + 7 * F.col("m.i"))
+    f1 = F.when(F.col("h") % 11 > 0, F.round((F.col("p") % 97) / 97 + (F.col("h") % 13) / 50, 6))
+    runs = runs.select("dataset", "m.mode", f1.alias("macro_f1"), F.when(F.col("h") % 3 > 0, 32).alias("batch_size_effective"))
+    channels = nations.select("dataset", F.when(F.length("dataset") != 5, F.length("dataset")).alias("n_channels"))
+    return runlog.run_notes(runs, channels).select("dataset", "mode", F.array_join("notes", "; ").alias("notes"))
+
+
+@query(f"""with {T.NATIONS}, r as (select dataset, m as mode, case when (patches::bigint + i) % 7 > 0 then round((patches::bigint % 31) + 20 - case when (patches::bigint + i) % 5 = 0 then 3.0 when (patches::bigint + i) % 5 = 1 then 0.05 else -i end, 6) end as rmse
+    from nations, (values ('from_scratch', 0), ('linear_probing', 1), ('full_finetuning', 2)) v(m, i)),
+  f as (select dataset, min(rmse) filter (mode = 'from_scratch') as base, min(rmse) filter (mode <> 'from_scratch') as best, arg_min(mode, rmse + case mode when 'linear_probing' then 0 else 1e-9 end) filter (mode <> 'from_scratch' and rmse is not null) as best_mode from r group by 1)
+select dataset, best_mode, round((best - base)::double, 6) as delta, case when base is null or best is null then 'PENDIENTE' when best >= base then 'NO_CONFIRMADA' when (best - base) / base <= -0.01 then 'CONFIRMADA' else 'DEBIL' end as verdict from f""")
+def transfer_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    nations = T.nation_table(spark, d).select("dataset", F.col("patches").cast("long").alias("p"))
+    modes = ["from_scratch", "linear_probing", "full_finetuning"]
+    runs = nations.select("dataset", "p", F.posexplode(F.array(*map(F.lit, modes))).alias("i", "mode"))
+    k = F.col("p") + F.col("i")
+    off = F.when(k % 5 == 0, 3.0).when(k % 5 == 1, 0.05).otherwise(-F.col("i").cast("double"))
+    runs = runs.select("dataset", "mode", F.when(k % 7 > 0, F.round(F.col("p") % 31 + 20 - off, 6)).alias("rmse"))
+    return rounded(runlog.transfer_verdict(runs, modes[1:]).select("dataset", "best_mode", "delta", "verdict"))
+
+
+@query(f"""with {T.EVENTS}, len as (select split, unit, count(*)::double as v from obs group by 1, 2), span as (select min(v) as a, max(v) as b from len)
+select 'lengths' as plot, case when b > a then least(29, floor((v - a) / ((b - a) / 30))) else 0 end::bigint::varchar as key, count(*) as n from len, span group by 1, 2
+union all select 'classes', target, count(*) from obs group by 1, 2 union all select 'missing', '0', count(*) from obs union all select 'missing', '1', count(*) from obs""")
+def plot_counts(spark: SparkSession, d: str) -> DataFrame:
+    return runlog.plot_tables(T.event_rows(spark, d)).select("plot", "key", "n")
+
+
+@query(f"""with {T.LINEITEM}, p as (select unit, pos, x0::double as v, count(*) over (partition by unit) as n from obs), e as (select unit, n, unnest(list_distinct(list_append(range(19, n, 40), n - 1)))::int as w_end from (select distinct unit, n from p)),
+w as (select e.unit, w_end, pos - w_end + 29 as w_pos, v from e join p on p.unit = e.unit and pos <= w_end and pos > w_end - 30), s as (select unit, w_end, count(*) as k, avg(v) as m, stddev_pop(v) as d from w group by 1, 2)
+select s.unit, s.w_end, round(s.m, 6) as mean, round(case when k < 2 or d <= 1e-4 then 1e-6 else d end, 6) as std_used, k < 2 or d <= 1e-4 as constant, round(sum(case when k < 2 or d <= 1e-4 then 0 else abs(v - m) / d end), 5) as total
+from w join s on s.unit = w.unit and s.w_end = w.w_end group by 1, 2, k, m, d""")
+def rolling_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Instance normalization of causal windows by the policy for remaining life."""
+    rows = T.lineitem_rows(spark, d).withColumn("x", F.array(F.get("x", F.lit(0)).cast("double")))
+    scaled = windows.normalize(windows.roll(rows, ["unit"], 30, 40, 20), ["unit", "w_end"], "rolling")
+    out = scaled.groupBy("unit", "w_end").agg(F.max("mean").alias("mean"), F.max("std_used").alias("std_used"), F.bool_or("constant").alias("constant"), F.sum(F.abs("z")).alias("total"))
+    return out.select("unit", "w_end", F.round("mean", 6).alias("mean"), F.round("std_used", 6).alias("std_used"), "constant", F.round("total", 5).alias("total"))
+
+
+@query("""select event_type as dataset, round(count(x) * 100 / count(*), 4) as label_coverage_pct, round(min(x), 4) as target_min, round(max(x), 4) as target_max, round(avg(x), 4) as target_mean from (select event_type, case when event_id % 9 > 0 then value end as x from events) group by 1""")
+def target_ranges(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    target = F.when(k % 9 == 0, F.when(k % 2 == 0, F.lit(float("nan")))).otherwise(F.col("value"))
+    return audit.target_ranges(T.read(spark, d, "events").select(F.col("event_type").alias("dataset"), target.alias("target")))
