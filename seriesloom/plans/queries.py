@@ -143,13 +143,14 @@ def top_datasets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {T.EVENTS}, m as (select unit, max(m) as m from (select unit, channel, avg((value is null)::int) as m from long group by 1, 2) group by 1),
 k as (select o.* from obs o join m using (unit) where m.m <= 0.05),
-f as (select *, last_value(x0 ignore nulls) over b as v0, last_value(case when x0 is not null then pos end ignore nulls) over b as p0, first_value(x0 ignore nulls) over a as v1, first_value(case when x0 is not null then pos end ignore nulls) over a as p1
+f as (select *, last_value(x0 ignore nulls) over b as v0, last_value(case when x0 is not null then pos end ignore nulls) over b as p0, first_value(x0 ignore nulls) over a as v1, first_value(case when x0 is not null then pos end ignore nulls) over a as p1,
+    last_value(x1 ignore nulls) over b as w0, last_value(case when x1 is not null then pos end ignore nulls) over b as q0, first_value(x1 ignore nulls) over a as w1, first_value(case when x1 is not null then pos end ignore nulls) over a as q1
   from k window b as (partition by unit order by pos rows between unbounded preceding and current row), a as (partition by unit order by pos rows between current row and unbounded following))
-select unit, pos, x0, round(coalesce(x0, v0 + (v1 - v0) * (pos - p0) / (p1 - p0), v0, v1), 6) as x0_filled from f""")
+select unit, pos, x0, x1, round(coalesce(x0, v0 + (v1 - v0) * (pos - p0) / (p1 - p0), v0, v1), 6) as x0_filled, round(coalesce(x1, w0 + (w1 - w0) * (pos - q0) / (q1 - q0), w0, w1), 6) as x1_filled from f""")
 def clean_series(spark: SparkSession, d: str) -> DataFrame:
     kept = trajectories.drop_sparse(T.event_rows(spark, d), ["unit"], 0.05)
-    wide = kept.select("unit", F.col("pos").cast("long").alias("pos"), F.col("x")[0].alias("x0"))
-    return rounded(trajectories.interpolate(wide, ["unit"], ["x0"]))
+    wide = kept.select("unit", F.col("pos").cast("long").alias("pos"), F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+    return rounded(trajectories.interpolate(wide, ["unit"], ["x0", "x1"]))
 
 
 @query(f"""with {T.EVENTS}, u as (select distinct unit, unit % 4 as subset from obs), r as (select *, row_number() over (partition by subset order by md5(concat('42:', subset, ':', unit)), unit) as r, count(*) over (partition by subset) as n from u)
@@ -199,27 +200,30 @@ def tiling_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("unit", F.col("w_idx").cast("long").alias("w_idx"), F.col("w_start").cast("long").alias("w_start")).agg(F.count("*").alias("n_rows"), F.sum("w_pos").alias("pos_sum"), F.max_by("target", "w_pos").alias("target"))
 
 
-@query(f"""with {_TILES}, l as (select unit, w_idx, w_pos, x1 as value from tiles), s as (select unit, w_idx, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2)
-select l.unit, l.w_idx, w_pos, round(case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end, 6) as z, n >= 2 and v < 1e-6 as constant from l join s on s.unit = l.unit and s.w_idx = l.w_idx""")
+_CHANNEL_TILES = f"{_TILES}, l as (select unit, w_idx, w_pos, 0 as channel, x0 as value from tiles union all select unit, w_idx, w_pos, 1, x1 from tiles)"
+
+
+@query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3)
+select l.unit, l.w_idx, l.channel, count(value) as n_values, round(coalesce(sum(abs(case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end)), 0), 5) as size, bool_or(n >= 2 and v < 1e-6) as constant
+from l join s on s.unit = l.unit and s.w_idx = l.w_idx and s.channel = l.channel group by 1, 2, 3""")
 def normalized_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of all windows and channels after normalization."""
     rows = windows.tile(T.event_rows(spark, d), ["unit"], 64, 32)
-    out = windows.normalize(rows, ["unit", "w_idx"]).where("channel = 1")
-    return rounded(out.select("unit", F.col("w_idx").cast("long").alias("w_idx"), F.col("w_pos").cast("long").alias("w_pos"), "z", "constant"))
+    out = windows.normalize(rows, ["unit", "w_idx"]).groupBy("unit", F.col("w_idx").cast("long").alias("w_idx"), "channel")
+    return out.agg(F.count("value").alias("n_values"), F.round(F.coalesce(F.sum(F.abs("z")), F.lit(0.0)), 5).alias("size"), F.bool_or("constant").alias("constant"))
 
 
-@query(f"""with {_TILES}, l as (select unit, w_idx, w_pos, x1 as value from tiles), s as (select unit, w_idx, count(*) as r, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2),
-z as (select l.unit, l.w_idx, w_pos // 8 as p, sum(case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end) as z from l join s on s.unit = l.unit and s.w_idx = l.w_idx group by 1, 2, 3)
-select s.unit, s.w_idx, k.p as patch, 8 as width, round(coalesce(z.z, 0), 6) + 0.0 as total, z.z is not null as valid, greatest(0, least(8, r - k.p * 8)) as n_valid from s cross join range(8) k(p) left join z on z.unit = s.unit and z.w_idx = s.w_idx and z.p = k.p""")
+@query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(*) as r, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3),
+z as (select l.unit, l.w_idx, sum(abs(case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end)) as z from l join s on s.unit = l.unit and s.w_idx = l.w_idx and s.channel = l.channel group by 1, 2)
+select s.unit, s.w_idx, count(*) as n_channels, 8 as n_patches, max(ceil(r / 8))::bigint as n_valid, max(r) as n_rows, round(coalesce(any_value(z), 0), 5) as size from s left join z on z.unit = s.unit and z.w_idx = s.w_idx group by 1, 2""")
 def window_patches(spark: SparkSession, d: str) -> DataFrame:
+    """All windows as patches: channels, valid patches, real rows and the patches' size."""
     rows = windows.tile(T.event_rows(spark, d), ["unit"], 64, 32)
     p = windows.patches(windows.normalize(rows, ["unit", "w_idx"]), ["unit", "w_idx"], 64, 8)
-    one = p.select("unit", "w_idx", "valid_time", F.posexplode(F.arrays_zip(F.col("patches")[1].alias("values"), "valid_patch")).alias("patch", "c"))
-    total = F.aggregate("c.values", F.lit(0.0), lambda a, x: a + x)
-    real = F.size(F.filter(F.slice("valid_time", F.col("patch") * 8 + 1, 8), lambda x: x))
-    return rounded(one.select("unit", F.col("w_idx").cast("long").alias("w_idx"), F.col("patch").cast("long").alias("patch"), F.size("c.values").alias("width"), (total + 0.0).alias("total"), F.col("c.valid_patch").alias("valid"), real.cast("long").alias("n_valid")))
-
-
-_CHANNEL_TILES = f"{_TILES}, l as (select unit, w_idx, w_pos, 0 as channel, x0 as value from tiles union all select unit, w_idx, w_pos, 1, x1 from tiles)"
+    size = F.aggregate(F.flatten(F.flatten("patches")), F.lit(0.0), lambda a, x: a + F.abs(x))
+    true = lambda c: F.size(F.filter(c, lambda x: x)).cast("long")
+    counts = [F.size("patches").cast("long").alias("n_channels"), F.size(F.col("patches")[0]).alias("n_patches"), true("valid_patch").alias("n_valid"), true("valid_time").alias("n_rows")]
+    return p.select("unit", F.col("w_idx").cast("long").alias("w_idx"), *counts, F.round(size, 5).alias("size"))
 
 
 @query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3)
@@ -503,12 +507,12 @@ def weighted_losses(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.weighted_losses(T.log_rows(spark, d)))
 
 
-@query(f"""with {T.LOG}, b as (select *, case when step < 100 then '0-100' when step < 1000 then '100-1000' when step < 5000 then '1000-5000' end as bucket from fin)
-select bucket, count(x) as n, round(avg(x), 6) as mean, round(quantile_cont(x, 0.1), 6) as p10, round(quantile_cont(x, 0.5), 6) as median, round(quantile_cont(x, 0.9), 6) as p90, round(min(x), 6) as low, round(max(x), 6) as high,
-  round(avg(x) filter (coalesce(optimizer_applied, true) and not coalesce(bad_gradient, false)), 6) as clean_mean from b where bucket is not null group by 1""")
+@query(f"""with {T.LOG}, b as (select *, case when step < 200 then '0-200' when step < 2000 then '200-2000' else '2000-' end as bucket from fin)
+select dataset, bucket, count(x) as n, round(avg(x), 6) as mean, round(quantile_cont(x, 0.1), 6) as p10, round(quantile_cont(x, 0.5), 6) as median, round(quantile_cont(x, 0.9), 6) as p90, round(min(x), 6) as low, round(max(x), 6) as high,
+  round(avg(x) filter (coalesce(optimizer_applied, true) and not coalesce(bad_gradient, false)), 6) as clean_mean from b group by 1, 2""")
 def log_buckets(spark: SparkSession, d: str) -> DataFrame:
-    log = runlog.in_buckets(T.log_rows(spark, d), [(0, 100), (100, 1000), (1000, 5000)])
-    return rounded(runlog.loss_statistics(log, "bucket"))
+    log = runlog.in_buckets(T.log_rows(spark, d), [(0, 200), (200, 2000), (2000, None)])
+    return rounded(runlog.loss_statistics(log, "dataset", "bucket"))
 
 
 @query(f"""with {T.LOG}, b as (select *, case when step < 100 then '0-100' when step < 1000 then '100-1000' when step < 5000 then '1000-5000' else '5000-' end as bucket from fin)
@@ -548,9 +552,9 @@ def target_trends(spark: SparkSession, d: str) -> DataFrame:
     return runlog.target_trends(rows)
 
 
-@query("select event_type as target, least(20, floor(value / 25)::bigint + 1) as bin, count(*) as n from events where value < 500 group by 1, 2")
+@query("select event_type as target, greatest(0, least(20, floor(value / 25)::bigint + 1)) as bin, count(*) as n from events where value is not null group by 1, 2")
 def value_histogram(spark: SparkSession, d: str) -> DataFrame:
-    e = T.read(spark, d, "events").where("value < 500")
+    e = T.read(spark, d, "events")
     return runlog.histogram(e.withColumnRenamed("event_type", "target"), "value", 0.0, 500.0, 20, "target")
 
 
@@ -764,19 +768,18 @@ select *, row_number() over (order by role, domain, dataset) as place from a""")
 def audit_listing(spark: SparkSession, d: str) -> DataFrame:
     n = T.nation_table(spark, d).select("dataset", F.col("client").alias("domain"), "patches")
     whole = audit.with_excluded(n.where("domain <> 'ASIA'").withColumn("role", F.lit("SOURCE")), n.where("domain = 'ASIA'").drop("patches"))
-    return _placed(audit.audit_order(whole)).select("dataset", "domain", "patches", "role", "place")
+    return _placed(audit.audit_order(whole), "role, domain, dataset").select("dataset", "domain", "patches", "role", "place")
 
 
-def _placed(listed: DataFrame) -> DataFrame:
+def _placed(listed: DataFrame, order: str) -> DataFrame:
     """Adds the place in the order of a small table (a row for each dataset)."""
-    rows = listed.agg(F.collect_list(F.struct(*listed.columns)).alias("rows"))
-    return rows.select(F.posexplode("rows").alias("at", "r")).select("r.*", (F.col("at") + 1).cast("long").alias("place"))
+    return listed.withColumn("place", F.expr(f"row_number() over (order by {order})").cast("long"))
 
 
 @query(f"""with {T.NATIONS}, s as (select dataset, case when client <> 'ASIA' then patches end as size from nations) select *, row_number() over (order by size nulls last, dataset) as place from s""")
 def work_plan(spark: SparkSession, d: str) -> DataFrame:
     n = T.nation_table(spark, d).select("dataset", F.when(F.col("client") != "ASIA", F.col("patches")).alias("size"))
-    return _placed(audit.smallest_first(n))
+    return _placed(audit.smallest_first(n), "size nulls last, dataset")
 
 
 _FILES = """files as (select p_brand as dataset, p_name || '-' || p_partkey as file, case when p_size % 7 = 0 then 'missing' when p_size % 5 = 0 then 'partial' else 'done' end as state,

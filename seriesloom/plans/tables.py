@@ -126,12 +126,14 @@ log as (
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as client parameters: each label is a client with the same parameters."""
+    """Embeddings as client parameters: each label is a client with the same parameters, as
+    many as the rarest label has rows; the rows of a label are dealt to them in turn."""
     e = read(spark, sf_dir, "embeddings")
     ranked = e.withColumn("param", F.expr("row_number() over (partition by label order by vec_id)"))
     full = ranked.groupBy("label").agg(F.max("param").alias("m")).agg(F.min("m").alias("least"))
-    common = ranked.crossJoin(full).where("param <= least")
-    return common.select(F.col("label").alias("client"), "param", F.posexplode("embedding").alias("idx", "v")).select("client", "param", "idx", F.col("v").cast("double").alias("value"))
+    dealt = ranked.crossJoin(full).withColumn("param", ((F.col("param") - 1) % F.col("least") + 1).cast("int"))  # one row
+    cells = dealt.select(F.col("label").alias("client"), "param", F.posexplode("embedding").alias("idx", "v"))
+    return cells.groupBy("client", "param", "idx").agg(F.avg(F.col("v").cast("double")).alias("value"))
 
 
 def all_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +145,9 @@ def all_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STATES = """
 ranked as (select label as client, row_number() over (partition by label order by vec_id) as param, embedding from embeddings),
+dealt as (select client, (param - 1) % (select min(m) from (select max(param) as m from ranked group by client)) + 1 as param, embedding from ranked),
 states as (
-  select client, param, unnest(range(len(embedding))) as idx, unnest(embedding)::double as value
-  from ranked where param <= (select min(m) from (select max(param) as m from ranked group by client))
+  select client, param, idx, avg(v) as value from (select client, param, unnest(range(len(embedding))) as idx, unnest(embedding)::double as v from dealt) group by all
 ), weights as (select client, (client + 1)::double as w from (select distinct client from states)),
 center as (select param, idx, sum(w * value) / sum(w) as value from states join weights using (client) group by 1, 2)
 """
