@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import stable_rank_key
+from ..functions.values import slug, stable_rank_key, trajectory_id
+from .audit import window_counts
+from .places import join_same
 
 
 def ordered(obs: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -52,6 +54,36 @@ def hold_out(units: DataFrame, key: list[str], share: float, seed: int, by: list
     return units.withColumn("held", rank <= most)
 
 
+def with_validation(rows: DataFrame, share: float = 0.10, seed: int = 42, subset: str | None = None) -> DataFrame:
+    """Rows (dataset, split, unit, ...) where every dataset with training rows has a val split.
+
+    A dataset without one gives a share of its training units, at least one, to val (units of
+    two subsets are two units, if `subset` names their column); datasets that have one, or
+    no training rows, stay. trajectory_id is made anew from the new split where the rows
+    have one.
+    """
+    by = ["dataset", *([subset] if subset else [])]
+    lacking = rows.groupBy("dataset").agg((~F.bool_or(F.col("split") == "val")).alias("lacks")).where("lacks").select("dataset")
+    units = rows.where("split = 'train'").join(lacking, "dataset", "left_semi").select(*by, "unit").distinct()
+    held = hold_out(units, [*by, "unit"], share, seed, ["dataset"]).where("held").withColumn("_held", F.lit(True))
+    out = join_same(rows, held.drop("held"), [*by, "unit"], "left")
+    split = F.when((F.col("split") == "train") & F.col("_held"), "val").otherwise(F.col("split"))
+    out = out.withColumn("split", split).drop("_held")
+    if "trajectory_id" in rows.columns:
+        kinds = dict(rows.dtypes)
+        part = slug(F.col(subset), kinds[subset]) if subset else F.lit("none")
+        out = out.withColumn("trajectory_id", trajectory_id(F.col("dataset"), part, F.col("split"), slug(F.col("unit"), kinds["unit"])))
+    return out.select(*rows.columns)
+
+
+def split_patches(obs: DataFrame, window: int, stride: int, patch: int, policy: str = "pad") -> DataFrame:
+    """Per dataset and split: rows, units, windows and valid patches, from the units'
+    lengths alone."""
+    lengths = obs.groupBy("dataset", "split", "unit").agg(F.count("*").alias("n"))
+    counts = window_counts(F.col("n"), window, stride, patch, policy)
+    return lengths.groupBy("dataset", "split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_units"), F.sum(counts["n_windows"]).alias("n_windows"), F.sum(counts["valid_patches"]).alias("n_valid_patches"))
+
+
 def sample_units(units: DataFrame, key: list[str], most: int, seed: int) -> DataFrame:
     """At most `most` units, by rank of their hash."""
     return units.orderBy(stable_rank_key(seed, *map(F.col, key)), *key).limit(most)

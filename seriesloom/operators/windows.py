@@ -120,16 +120,19 @@ def patches(normalized: DataFrame, window_key: list[str], window: int, patch: in
     return out.select(*window_key, F.transform("c", lambda s: s["cut"]).alias("patches"), "valid_time", F.transform(cut(F.col("valid_time")), lambda p: F.exists(p, lambda x: x)).alias("valid_patch"))
 
 
-def sample_rows(rows: DataFrame, window: int, patch: int, policy: str = "tiling") -> DataFrame:
+def sample_rows(rows: DataFrame, window: int, patch: int, policy: str = "tiling", role: str | None = None, client: str | None = None, target_col: str = "target", target_policy: str = "ultimo_valor_valido") -> DataFrame:
     """A sample for each window of rows (dataset, split, unit, w_idx, w_start, w_pos, x,
-    target): key, patches, masks over time and patches, each channel's mean, std_used and
-    constant flag, the target of the last row, and where the window lies."""
+    target): key, patches, masks over time and over patches (C, N), each channel's mean,
+    std_used and constant flag, the target of the last row that has one, and where the
+    window lies and what it belongs to."""
     key = ["dataset", "split", "unit", "w_idx"]
     scaled = normalize(rows, key, policy)
     per = scaled.groupBy(*key, "channel").agg(*(F.any_value(c).alias(c) for c in ("mean", "std_used", "constant")))
     stats = per.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("channel", "mean", "std_used", "constant"))).alias("s"))
-    where = rows.groupBy(*key).agg(F.min("w_start").alias("start"), F.count("*").alias("n_rows"), F.max_by("target", "w_pos").alias("label"))
+    known = F.when(F.col("target").isNotNull(), F.col("w_pos"))
+    where = rows.groupBy(*key).agg(F.min("w_start").alias("start"), F.count("*").alias("n_rows"), F.max_by("target", known).alias("label"))
     out = patches(scaled, key, window, patch).join(stats, key).join(where, key)
+    said = {"dataset": F.col("dataset"), "role": F.lit(role).cast("string"), "client": F.lit(client).cast("string"), "split": F.col("split"), "trajectory_id": F.concat_ws("__", "dataset", "split", "unit")}
     return out.select(
         F.concat_ws("-", *key).alias("key"),
         "dataset",
@@ -137,10 +140,10 @@ def sample_rows(rows: DataFrame, window: int, patch: int, policy: str = "tiling"
         F.col("unit").cast("string").alias("unit"),
         "patches",
         F.col("valid_time").alias("valid_time_mask"),
-        F.col("valid_patch").alias("valid_patch_mask"),
+        F.array_repeat("valid_patch", F.size("patches")).alias("valid_patch_mask"),
         *(F.col(f"s.{c}").alias(c) for c in ("mean", "std_used", "constant")),
-        F.struct("label").alias("target"),
-        F.struct(F.col("w_idx").cast("long").alias("w_idx"), F.col("start").cast("long").alias("start"), "n_rows").alias("meta"),
+        F.struct("label", F.col("label").alias("target_window"), F.lit(target_col).alias("target_col"), F.lit(target_policy).alias("target_policy")).alias("target"),
+        F.struct(F.col("w_idx").cast("long").alias("w_idx"), F.col("start").cast("long").alias("start"), "n_rows", *(c.alias(n) for n, c in said.items()), F.lit(window).alias("window_size"), F.lit(patch).alias("patch_size")).alias("meta"),
     )
 
 

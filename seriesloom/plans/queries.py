@@ -270,7 +270,7 @@ def written_samples(spark: SparkSession, d: str) -> DataFrame:
     each = back.select("*", F.posexplode(F.arrays_zip("patches", "mean", "std_used", "constant")).alias("channel", "c"))
     total = F.aggregate(F.flatten("c.patches"), F.lit(0.0), lambda a, x: a + x)
     valid = lambda c: F.size(F.filter(c, lambda x: x))
-    counts = [valid("valid_time_mask").cast("long").alias("n_rows"), valid("valid_patch_mask").alias("n_patches")]
+    counts = [valid("valid_time_mask").cast("long").alias("n_rows"), valid(F.col("valid_patch_mask")[0]).alias("n_patches")]
     return rounded(each.select("key", "channel", "c.mean", "c.std_used", "c.constant", total.alias("total"), *counts, F.col("meta.start").alias("start"), F.col("target.label").alias("label")))
 
 @query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(*) as r, count(value) as n, var_pop(value) as v from l group by 1, 2, 3),
@@ -281,7 +281,7 @@ def archived_samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples written as archives, read by offsets and decoded, a row for each channel."""
     path = T.scratch(spark)
     rows = _event_samples(spark, d)
-    archives.write_archives(rows.withColumn("valid_patch_mask", windows.repeat_mask(F.col("valid_patch_mask"), 2)), path, 500)
+    archives.write_archives(rows, path, 500)
     back = archives.decode_samples(archives.read_archives(spark, path, range_bytes=1 << 20))
     each = back.select("*", F.posexplode(F.arrays_zip("patches", "valid_patch_mask", "constant")).alias("channel", "c"))
     valid = lambda c: F.size(F.filter(c, lambda x: x))
@@ -1070,3 +1070,19 @@ def target_ranges(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     target = F.when(k % 9 == 0, F.when(k % 2 == 0, F.lit(float("nan")))).otherwise(F.col("value"))
     return audit.target_ranges(T.read(spark, d, "events").select(F.col("event_type").alias("dataset"), target.alias("target")))
+
+
+@query("""with u as (select distinct event_type as dataset, user_id as unit, case when event_type in ('click', 'view') and user_id % 10 = 9 then 'val' when user_id % 10 < 8 then 'train' else 'test' end as split from events),
+h as (select dataset, unit, row_number() over (partition by dataset order by md5(concat_ws(':', '7', dataset, dataset, unit)), dataset, unit) <= greatest(1, round_even(count(*) over (partition by dataset) * 0.1, 0)) as held from u where split = 'train' and dataset not in (select dataset from u where split = 'val'))
+select u.dataset, u.unit, case when coalesce(held, false) then 'val' else split end as split, u.dataset || '__subset-none__split-' || case when coalesce(held, false) then 'val' else split end || '__unit-' || u.unit as trajectory_id from u left join h on h.dataset = u.dataset and h.unit = u.unit and u.split = 'train'""")
+def validation_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Units of datasets of which some have a val split and the others get one."""
+    last = F.when(F.col("event_type").isin("click", "view") & (F.col("user_id") % 10 == 9), "val").when(F.col("user_id") % 10 < 8, "train").otherwise("test")
+    units = T.read(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").alias("unit"), last.alias("split")).distinct().withColumn("trajectory_id", F.lit(""))
+    return trajectories.with_validation(units, 0.1, 7)
+
+
+@query(f"""with {_TILES} select 'events' as dataset, case when unit % 10 < 7 then 'train' when unit % 10 < 9 then 'val' else 'test' end as split, any_value(r.n) as n_rows, count(distinct unit) as n_units, count(*) as n_windows, sum(ceil(t.n / 8))::bigint as n_valid_patches
+from (select unit, w_idx, count(*) as n from tiles group by 1, 2) t join (select split, count(*) as n from obs group by 1) r on r.split = case when unit % 10 < 7 then 'train' when unit % 10 < 9 then 'val' else 'test' end group by 1, 2""")
+def split_patches(spark: SparkSession, d: str) -> DataFrame:
+    return trajectories.split_patches(T.event_rows(spark, d), 64, 32, 8)
