@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import nested
 from ..functions import values as V
 from ..operators import audit, federated, lifetime, metrics, places, quantiles, roles, rules, runlog, sampling, trajectories, windows
-from ..sources import archives, footers, records, samples, store
+from ..sources import archives, footers, records, samples, sensors, store
 from ..streaming import follow
 from . import tables as T
 
@@ -1086,3 +1086,28 @@ def validation_splits(spark: SparkSession, d: str) -> DataFrame:
 from (select unit, w_idx, count(*) as n from tiles group by 1, 2) t join (select split, count(*) as n from obs group by 1) r on r.split = case when unit % 10 < 7 then 'train' when unit % 10 < 9 then 'val' else 'test' end group by 1, 2""")
 def split_patches(spark: SparkSession, d: str) -> DataFrame:
     return trajectories.split_patches(T.event_rows(spark, d), 64, 32, 8)
+
+
+@query("""with r as (select l_suppkey + 1 as unit_id, l_orderkey as o, l_linenumber as k, l_quantity as q, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as n from lineitem),
+f as (select *, case when o % 50 = 0 then greatest(1, n - 2) else n end as cycle, case when o % 97 = 0 then 'columns' when o % 89 = 0 then 'cycle' end as fault from r),
+g as (select unit_id, n, cycle, lag(cycle) over (partition by unit_id order by n) as before from f where fault is null),
+c as (select unit_id, count(*) as n_rows, count(*) filter (fault = 'columns') as n_columns, count(*) filter (fault = 'cycle') as n_cycles, round(sum(q) filter (fault is null), 2) as total from f group by 1)
+select c.*, (select count(*) from g where g.unit_id = c.unit_id and cycle <= before) as n_order from c""")
+def sensor_text(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as engine sensor text, written and read again: faults of lines, and cycles
+    that don't rise in the order of the file."""
+    path = T.scratch(spark)
+    li = T.read(spark, d, "lineitem")
+    n = F.expr("row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey)")
+    rows = li.select((F.col("l_suppkey") % 8).alias("fd"), (F.col("l_suppkey") + 1).alias("u"), F.col("l_orderkey").alias("o"), F.col("l_quantity").alias("q"), n.alias("n"))
+    cycle = F.when(F.col("o") % 89 == 0, "-1").otherwise(F.when(F.col("o") % 50 == 0, F.greatest(F.lit(1), F.col("n") - 2)).otherwise(F.col("n")).cast("string"))
+    rest = F.when(F.col("o") % 97 == 0, "0.5").otherwise(F.concat_ws(" ", F.format_string("%.2f", F.col("q").cast("double")), F.repeat(F.lit("0.5 "), F.lit(23))))
+    lines = rows.select("fd", "u", "n", F.concat_ws(" ", F.col("u").cast("string"), F.when(F.col("o") % 97 == 0, F.lit("1")).otherwise(cycle), rest).alias("value"))
+    lines.repartition(8, "fd").sortWithinPartitions("fd", "u", "n").select("fd", "value").write.partitionBy("fd").text(path)
+    read = sensors.numbered_lines(spark, path).select(F.regexp_extract("file", "fd=([0-9]+)", 1).alias("fd"), F.lit("train").alias("source_split"), "line", "value")
+    parsed = sensors.parse_sensor_lines(read)
+    fault = lambda kind: F.count_if(F.col("fault") == kind)
+    good = F.when(F.col("fault").isNull(), F.col("op")[0].cast("double"))
+    per = parsed.groupBy("unit_id").agg(F.count("*").alias("n_rows"), fault("columns").alias("n_columns"), fault("cycle").alias("n_cycles"), F.round(F.sum(good), 2).alias("total"))
+    order = sensors.order_faults(parsed.where("fault is null")).groupBy("unit_id").agg(F.count("*").alias("n_order"))
+    return per.join(order, "unit_id", "left").withColumn("n_order", F.coalesce("n_order", F.lit(0).cast("long")))
