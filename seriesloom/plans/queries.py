@@ -405,7 +405,31 @@ def capped_weights(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sampling.cap_weights(t, "raw", F.lit(0.05), "dataset").select("dataset", "raw", "capped"), 9)
 
 
-@query()
+def _halved(name: str, table: str, by: str, total: str, value: str) -> str:
+    """SQL that finds by halving the factor x with which the sum of `value` is `total`."""
+    key, comma = (by, by + ", ") if by else ("1", "")
+    return f"""{name}({comma}k, lo, hi) as (
+  select {f'distinct {by}, ' if by else ''}0, 0.0::double, 1e6::double {f'from {table}' if by else ''} union all
+  select {comma}k + 1, case when s < t then x else lo end, case when s < t then hi else x end
+  from (select {f'b.{by}, ' if by else ''}k, lo, hi, (lo + hi) / 2 as x, sum({value}) as s, max({total}) as t from {name} b join {table} v on {f'v.{by} = b.{by}' if by else 'true'} where k < 110 group by {f'b.{by}, ' if by else ''}k, lo, hi)
+)"""
+
+
+@query(f"""with recursive {T.NATIONS}, raw as (select dataset, client, patches, patches / sum(patches) over () as w from nations),
+{_halved('b1', 'raw', '', '1.0', 'least(0.1, (lo + hi) / 2 * w)')},
+capped as (select raw.*, least(0.1, hi * w) as c from raw, b1 where k = 110),
+sums as (select client, sum(c) as s, count(*) as n, sum(w) as r, least(0.25, 0.1 * count(*)) as cap from capped group by 1),
+{_halved('b2', 'sums', '', '1.0', 'least(cap, (lo + hi) / 2 * v.s)')},
+limited as (select sums.*, least(cap, hi * s) as cc from sums, b2 where k = 110),
+{_halved('b3', 'limited', '', '1.0', 'greatest(0.005, (lo + hi) / 2 * cc)')},
+targets as (select limited.*, greatest(0.005, hi * cc) as goal from limited, b3 where k = 110),
+wanted as (select capped.*, goal from capped join targets using (client)),
+{_halved('b4', 'wanted', 'client', 'goal', 'least(0.1, (lo + hi) / 2 * c)')},
+last as (select wanted.*, least(0.1, hi * c) as f from wanted join b4 on b4.client = wanted.client where k = 110),
+shares as (select *, f / sum(f) over () as share from last)
+select dataset, s.client, patches, round(w, 9) as raw_dataset_weight, round(c, 9) as capped_dataset_weight, round(share, 9) as final_dataset_weight, round(r, 9) as raw_client_weight, round(sum(share) over (partition by s.client), 9) as final_client_weight,
+  round(share * 1000, 9) as expected_batches, c < w - 1e-9 as dataset_capped, false as dataset_lifted, cc < t.s - 1e-9 as client_capped, goal_ > cc + 1e-9 as client_lifted
+from shares s join (select client, r, cc, s, goal as goal_ from targets) t on t.client = s.client""")
 def sampling_plan(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sampling.sampling_plan(T.nation_table(spark, d), steps=1000), 9)
 
