@@ -207,7 +207,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     Items are dealt into blocks of about `block_words` words; each has an automaton of its
     own, so what is broadcast has a bound. Null and empty texts have no words; null item
     ids are windows without a name; repeated rows and ties count once per document row;
-    without items nothing is hit.
+    without items nothing is hit. Texts are read whole, however long; no documents give no
+    rows; extra columns, of whatever names, are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -234,7 +235,9 @@ def _automata(items: DataFrame, window: int, block_words: int):
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents, with all their columns, of which `text` is without the spans that
     benchmark items hold (windows as in find_contamination); those of which the spans
-    cover more than `max_coverage` of the words are left out. No row is shuffled."""
+    cover more than `max_coverage` of the words are left out. No row is shuffled. Null and
+    empty texts stay, every row (also one without a doc_id, or repeated) is judged by itself,
+    a text is read whole, and an empty table stays empty."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
     names = [f"c{i}" for i in range(len(docs.columns))]  # any names, also clashing ones

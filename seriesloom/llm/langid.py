@@ -65,7 +65,10 @@ def _count(batches):
 
 
 def train_text_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fit on (text, lang): at most `sample_rows` rows, drawn by hash of the text."""
+    """Fit on (text, lang): at most `sample_rows` rows, drawn by hash of the text.
+
+    Rows without a text or a language teach nothing; repeated texts are drawn together;
+    without rows the model knows no language."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     drawn = F.xxhash64("text", "lang") / F.lit(2.0**64) + 0.5
     total = rows.count()
@@ -190,8 +193,10 @@ def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
     """page_id, url and the evidence and verdict for web pages (page_id, url, html).
 
     The declared language is the lang of the first html tag outside comments, wherever it
-    begins; the host is that of the url. Pages
-    without both, null pages and null ids get what the other evidence says.
+    begins; the host is that of the url. Pages without both, null pages and null ids get
+    what the other evidence says; ties go to the first language by name. Pages are read
+    whole, however long; every repeated row gets its verdict; an empty table gives an empty
+    result; extra columns, of whatever names, are ignored.
     """
     tag = F.regexp_extract(F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", ""), r"(?i)<html\b[^>]*", 0)
     declared = F.nullif(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?\s*([a-z]+)", 1), F.lit(""))
@@ -205,7 +210,9 @@ def keep_identified(docs: DataFrame, model: TextModel, min_posterior: float = MI
 
     The lang column is the declared language and the source stands for the host.
     Rejected are texts without enough letters, and those whose posterior is below
-    `min_posterior`. Columns are those of `docs`.
+    `min_posterior`; so null and empty texts go. Null languages and sources are no evidence,
+    ties go to the first language, repeated rows get one verdict, texts are read whole, an
+    empty table stays empty. Columns are those of `docs`, whatever their names.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]  # any names, also clashing ones
     at = {c: names[i] for i, c in reversed(list(enumerate(docs.columns)))}

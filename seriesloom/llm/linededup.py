@@ -156,7 +156,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     both compared without case, outer blanks and runs of white space. Lines of fewer than
     `min_chars` characters stay. Null texts have no lines and stay null; a text whose lines
     all go becomes empty. Rows with a null doc_id come first; rows that repeat doc_id and
-    text are one document and get the same result; extra columns are ignored.
+    text are one document and get the same result; texts and lines of any length are read
+    whole; an empty table gives an empty result; extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.withColumn("doc", document_key(F.col("doc_id"), F.col("text"))).join(repeated_lines(docs, min_chars), "doc", "left")

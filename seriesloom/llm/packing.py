@@ -249,7 +249,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     seed takes its unused neighbours by falling score, the last is cut where the window
     ends and its remainder stays to be used, so only a shard's last sequence has room.
 
-    Null and empty texts are the one id 0; null doc_ids, ties and repeated rows are
+    Texts are read whole, however long. Null and empty texts are the one id 0; null doc_ids, ties and repeated rows are
     packed as any other row; extra columns are ignored; an empty table gives no pieces.
     """
     spark = docs.sparkSession

@@ -348,8 +348,8 @@ def pitman_yor_scores(docs: DataFrame, train: Column, seed: int = 1) -> DataFram
     are log10 probabilities, base_score is that of the add-one unigram model. Tokens are
     the words (split at ASCII white space, A-Z lower-cased) and one end. A null text is
     an empty one (its only token is the end); null doc_ids, ties, repeated rows and extra
-    columns do no harm, each row gets its own result; an empty table gives an empty
-    result. Without training texts every score is that of the uniform base.
+    columns do no harm, each row gets its own result; a text is scored whole, however long;
+    an empty table gives an empty result. Without training texts every score is that of the uniform base.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

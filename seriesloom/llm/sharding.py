@@ -120,7 +120,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
 
     A shard is a range of keys (hash of the text, doc_id, row), so copies of a text lie
     together and yet split where the bytes ask for it. Sizes are UTF-8 bytes plus 16; a
-    null text has no bytes and the checksum of the empty text. Slots count from 0 in key
+    null text has no bytes and the checksum of the empty text; texts are counted whole. Slots count from 0 in key
     order. Null doc_ids sort first; repeated rows get slots of their own; extra columns
     are ignored; an empty table gives an empty result.
     """

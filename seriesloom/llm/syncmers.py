@@ -119,7 +119,8 @@ def syncmer_fingerprints(docs: DataFrame) -> DataFrame:
     edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. Null texts
     are empty ones: no anchors, an empty fingerprint; two of these have likeness 1. Rows
     with a null doc_id come last; ties and repeated rows follow one another in the order
-    of their texts' hashes; a single row is its own next; extra columns are ignored.
+    of their texts' hashes; a single row is its own next; texts are read whole, however long;
+    an empty table gives an empty result; extra columns are ignored.
 
     Rows are dealt into blocks of neighbouring doc_ids; only a block's last row looks into
     the first row of the block below, so no task holds more than a block. Anchors are free

@@ -97,7 +97,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
     Only the text enters a score. Null, empty and wordless texts get the bias alone;
     without usable labels every score is 0.5. Null doc_ids are scored and never trained
-    on; every repeated row is scored; extra columns are ignored.
+    on; every repeated row is scored; texts are read whole; an empty table gives an empty
+    result; extra columns are ignored.
     """
     spark = docs.sparkSession
     at, values, bias = train_toxicity(docs, labels, sample_rows)
