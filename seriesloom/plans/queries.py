@@ -1135,3 +1135,110 @@ def sensor_text(spark: SparkSession, d: str) -> DataFrame:
     per = parsed.groupBy("unit_id").agg(F.count("*").alias("n_rows"), fault("columns").alias("n_columns"), fault("cycle").alias("n_cycles"), F.round(F.sum(good), 2).alias("total"))
     order = sensors.order_faults(parsed.where("fault is null")).groupBy("unit_id").agg(F.count("*").alias("n_order"))
     return per.join(order, "unit_id", "left").withColumn("n_order", F.coalesce("n_order", F.lit(0).cast("long")))
+
+
+@query(f"""with {T.NATIONS}, a as (select dataset as name, patches::bigint as size, md5(dataset) as sha256 from nations where length(dataset) % 5 > 0), b as (select dataset as name, patches::bigint as size, md5(case when patches::bigint % 3 = 0 then 'x' else dataset end) as sha256 from nations where patches::bigint % 4 > 0)
+select coalesce(a.name, b.name) as name, case when a.name is null then 'missing' when a.sha256 = b.sha256 then 'identical' when a.size > 2500 then 'too large' when b.name is null then 'to copy' else 'different' end as status from a full join b on a.name = b.name""")
+def copy_states(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a source against those of its copy."""
+    n = T.nation_table(spark, d).select(F.col("dataset").alias("name"), F.col("patches").cast("long").alias("size"))
+    source = n.where("length(name) % 5 > 0").withColumn("sha256", F.md5("name"))
+    copy = n.where("size % 4 > 0").withColumn("sha256", F.md5(F.when(F.col("size") % 3 == 0, "x").otherwise(F.col("name"))))
+    return samples.copy_status(source, copy, largest=2500)
+
+
+@query(f"""with {T.NATIONS} select dataset as name, patches::bigint as size, case when patches::bigint % 3 = 0 then 'pending' when patches::bigint % 3 = 1 then 'done' else 'retry' end as status from nations""")
+def download_states(spark: SparkSession, d: str) -> DataFrame:
+    n = T.nation_table(spark, d).select(F.col("dataset").alias("name"), F.col("patches").cast("long").alias("size"))
+    files = n.where("size % 3 > 0").withColumn("size", F.when(F.col("size") % 3 == 1, F.col("size")).otherwise(F.col("size") - 1))
+    return samples.download_status(n, files)
+
+
+@query(f"""with {T.NATIONS} select client, dataset, case when client in ('AFRICA', 'ASIA') then 0 else patches::bigint end as n_windows, case when client in ('AFRICA', 'ASIA') then 0 else n_units end as n_temporal_patches, 0 as n_channel_patches from nations""")
+def group_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Groups as JSON in their three shapes, flattened again."""
+    n = T.nation_table(spark, d).select("client", "dataset", F.col("patches").cast("long").alias("w"), "n_units")
+    per = n.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("dataset", "w", "n_units"))).alias("d"))  # a client's datasets
+    counts = lambda x: F.struct(x["w"].alias("n_windows"), x["n_units"].alias("n_temporal_patches"))
+    listed = F.to_json(F.transform("d", lambda x: F.struct(x["dataset"].alias("dataset"), x["w"].alias("n_windows"), x["n_units"].alias("n_temporal_patches"))))
+    mapped = F.to_json(F.map_from_entries(F.transform("d", lambda x: F.struct(x["dataset"], counts(x)))))
+    named = F.to_json(F.transform("d", lambda x: x["dataset"]))
+    shape = F.when(F.col("client").isin("AFRICA", "ASIA"), named).when(F.col("client") == "EUROPE", mapped).otherwise(listed)
+    text = F.concat(F.lit('{"clients": {'), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('"'), "client", F.lit('": {"datasets": '), shape, F.lit("}")))), ", "), F.lit("}}"))
+    return records.flatten_groups(per.agg(text.alias("json")))
+
+
+@query("""with c as (select o_orderpriority as p, o_orderstatus as s, count(*) as n, avg(o_totalprice) as v, o_custkey % 7 as k from orders group by all)
+select p || '/' || k as experiment_id, concat_ws(',', case when k = 0 then 'dataset' end, case when s = 'P' then 'mode' end, case when n < 3 then 'status' end) as missing from c where k = 0 or s = 'P' or n < 3""")
+def lacking_results(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows that lack required fields, and which."""
+    k = (F.col("o_custkey") % 7).alias("k")
+    c = T.read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), k).agg(F.count("*").alias("n"))
+    rows = c.select(F.concat_ws("/", "p", "k").alias("experiment_id"), F.when(F.col("k") != 0, F.col("p")).alias("dataset"), F.when(F.col("s") != "P", F.col("s")).alias("mode"), F.when(F.col("n") >= 3, "ok").alias("status"), F.lit("f1").alias("primary_metric_name"))
+    return records.missing_fields(rows).select("experiment_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""select 'value' as name, case when count(distinct value) > 20 and min(value) >= 0 and max(value) > 10 then 'regression_or_rul' else 'regression' end as kind from events
+union all select 'rul_value', case when count(value) = 0 then 'sin_etiqueta' else 'rul' end from events
+union all select 'anomaly', case when count(value) = 0 then 'sin_etiqueta' else 'anomaly' end from events
+union all select 'event_type', case when count(distinct event_type) = 2 then 'binary' when count(distinct event_type) <= 100 then 'multiclass' else 'regression' end from events
+union all select 'user_id', case when count(distinct user_id) = 2 then 'binary' when count(distinct user_id) <= 100 then 'multiclass' else 'regression' end from events
+union all select 'odd', 'binary' union all select 'nothing', 'sin_etiqueta'""")
+def target_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What columns of the events would be as targets."""
+    e = T.read(spark, d, "events")
+    columns = {"value": F.col("value"), "rul_value": F.col("value"), "anomaly": F.col("value"), "event_type": F.col("event_type"), "user_id": F.col("user_id"), "odd": F.col("event_id") % 2 == 1, "nothing": F.lit(None).cast("double")}
+    kinds = dict(e.select(*(c.alias(n) for n, c in columns.items())).dtypes)
+    facts = []
+    for name, c in columns.items():
+        number = c.cast("double") if kinds[name] not in ("string",) else F.lit(None).cast("double")
+        facts.append(F.struct(F.count(c).alias("n"), F.count_distinct(c).alias("k"), F.min(number).alias("low"), F.max(number).alias("high"), F.coalesce(F.bool_and(number == F.floor(number)), F.lit(False)).alias("whole")).alias(name))
+    row = e.agg(*facts)
+    each = [F.struct(F.lit(n).alias("name"), V.target_kind(n, kinds[n], *(F.col(f"{n}.{x}") for x in ("n", "k", "low", "high", "whole"))).alias("kind")) for n in columns]
+    return row.select(F.inline(F.array(*each)))
+
+
+@query("""with b as (select event_type as dataset, user_id as batch from events group by 1, 2), r as (select *, row_number() over (partition by dataset order by batch) as k from b), t as (select *, row_number() over (order by dataset, batch) as j from r where k <= 20) select dataset, batch from t where j <= 50""")
+def evaluation_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The batches that an evaluation takes: the first of each dataset, and so many in all."""
+    batches = T.read(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").alias("batch")).distinct()
+    return sampling.evaluation_order(batches, 20, 50)
+
+
+@query(f"""with {T.NATIONS}, m as (select client, sum(n_units * greatest(1, patches::bigint % 4)) as work from nations group by 1), p as (select client, max(patches / 1000.0) as w from nations where client <> 'ASIA' group by 1)
+select 'plan' as policy, client, round(coalesce(w, 0), 6)::double as w from m left join p using (client) union all select 'uniform', client, 1.0 from m union all select 'steps', client, work::double from m""")
+def client_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of clients by three policies."""
+    n = T.nation_table(spark, d)
+    work = n.select("client", F.col("n_units").alias("steps"), (F.col("patches").cast("long") % 4).alias("effective_bc"))
+    plan = n.where("client <> 'ASIA'").select("client", "dataset", (F.col("patches") / 1000).cast("double").alias("final_client_weight"))
+    out = [federated.client_weights(work, plan, p).select(F.lit(name).alias("policy"), "client", F.col("w").cast("double").alias("w")) for name, p in (("plan", "final_client_weight"), ("uniform", "uniform"), ("steps", "work"))]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]))
+
+
+@query(f"""with {T.NATIONS}, a as (select dataset, n_units as w, patches::bigint % 5 as p from nations where patches::bigint % 4 > 0), b as (select dataset, n_units + 2 as w, patches::bigint % 7 as p from nations where patches::bigint % 3 > 0)
+select dataset, b.w - a.w as delta_windows, round(case when a.p <> 0 then (b.p - a.p) * 100.0 / a.p end, 6)::double as patch_change_pct from a join b using (dataset)""")
+def audit_changes(spark: SparkSession, d: str) -> DataFrame:
+    n = T.nation_table(spark, d).select("dataset", "n_units", F.col("patches").cast("long").alias("p"))
+    before = n.where("p % 4 > 0").select("dataset", F.col("n_units").alias("n_windows"), (F.col("p") % 5).alias("valid_patches"))
+    now = n.where("p % 3 > 0").select("dataset", (F.col("n_units") + 2).alias("n_windows"), (F.col("p") % 7).alias("valid_patches"))
+    return rounded(audit.compare_audits(before, now).select("dataset", "delta_windows", F.col("patch_change_pct").cast("double").alias("patch_change_pct")))
+
+
+@query(f"""with {T.NATIONS}, s as (select dataset, case when patches::bigint % 3 = 0 then 'known' when patches::bigint % 3 = 1 then 'inferred' else 'unknown' end as state from nations) select state, count(*) as n, string_agg(dataset, ',' order by dataset) as datasets from s group by 1""")
+def rate_lists(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("patches").cast("long") % 3
+    n = T.nation_table(spark, d).select("dataset", F.when(k == 0, 1.0).alias("rate"), F.when(k != 2, 2.0).alias("inferred_rate"))
+    return roles.sampling_rates(n).select("state", "n", F.array_join("datasets", ",").alias("datasets"))
+
+
+@query("""with names as (select label, row_number() over (order by label) - 1 as class from (select distinct event_type as label from events where user_id % 2 = 0)), seen as (select distinct case when user_id % 3 = 0 then 'new ' || event_type else event_type end as label from events where user_id % 2 = 1)
+select 'unseen' as what, label from seen where label not in (select label from names) union all select 'absent', label from names where label not in (select label from seen)""")
+def label_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that the training rows don't have, and classes that no other row has."""
+    e = T.read(spark, d, "events")
+    names = metrics.label_map(e.where("user_id % 2 = 0").select(F.col("event_type").alias("label")))
+    rows = e.where("user_id % 2 = 1").select(F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("new "), "event_type")).otherwise(F.col("event_type")).alias("label"))
+    unseen = metrics.unseen_labels(rows, names).select(F.lit("unseen").alias("what"), "label")
+    pairs = rows.join(names, "label").select(F.col("class").alias("y"))
+    return unseen.unionByName(metrics.absent_classes(pairs, names).select(F.lit("absent").alias("what"), "label"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions import values as V
-from seriesloom.operators import audit, federated, metrics, roles, runlog, sampling, windows
+from seriesloom.operators import audit, federated, metrics, roles, runlog, sampling, trajectories, windows
 from seriesloom.sources import records
 
 
@@ -30,7 +30,7 @@ def test_weights_of_clients(spark):
     plan = spark.createDataFrame([("a", "x", 0.7), ("a", "y", 0.7)], "client string, dataset string, final_client_weight double")
     got = lambda policy: {r.client: r.w for r in federated.client_weights(m, plan, policy).collect()}
     assert got("final_client_weight") == {"a": 0.7, "b": 0.0} and got("uniform") == {"a": 1.0, "b": 1.0}
-    assert set(federated.client_weights(m, plan, "steps").columns) == {"client", "w"}
+    assert set(federated.client_weights(m, plan, "work").columns) == {"client", "w"} and got("work") == {"a": 25.0, "b": 12.0}
 
 
 def test_diagnosis(spark):
@@ -129,3 +129,28 @@ def test_plot_tables(spark):
     assert got == {("lengths", "0"): (3.0, 4.0, 1), ("lengths", "1"): (4.0, 5.0, 1), ("targets", "0"): (0.0, 2.0, 4), ("targets", "1"): (2.0, 4.0, 4), ("missing", "0"): (0.0, None, 8), ("missing", "1"): (8.0, None, 8)}
     classes = runlog.plot_tables(df.withColumn("target", F.when(F.col("target") > 0, "x").otherwise("1"))).where("plot = 'classes'").collect()
     assert {(r.key, r.n) for r in classes} == {("x", 6), ("1", 2)}
+
+
+def test_datasets_without_val_get_one(spark):
+    rows = [("a", "train", s, u, "") for s in ("x", "y") for u in range(5)] + [("a", "test", "x", 99, "")] + [("b", "train", "x", u, "") for u in range(3)] + [("b", "val", "x", 7, "")] + [("c", "test", "x", 1, "")] + [("d", "train", "x", 1, "")]
+    df = spark.createDataFrame(rows, "dataset string, split string, subset string, unit int, trajectory_id string")
+    got = trajectories.with_validation(df, 0.2, 3, "subset").collect()
+    assert len(got) == len(rows)
+    splits = lambda d: sorted(r.split for r in got if r.dataset == d)
+    assert splits("a") == ["test", *["train"] * 8, "val", "val"] and splits("b") == ["train"] * 3 + ["val"] and splits("c") == ["test"] and splits("d") == ["val"]
+    assert all(r.trajectory_id == f"{r.dataset}__subset-{r.subset}__split-{r.split}__unit-{r.unit}" for r in got)
+
+
+def test_samples_say_what_they_are(spark):
+    rows = [("d", "train", 3, 0, 0, p, [float(p), 1.0], t) for p, t in enumerate((1.0, 2.0, None))]
+    df = spark.createDataFrame(rows, "dataset string, split string, unit int, w_idx int, w_start int, w_pos int, x array<double>, target double")
+    row = windows.sample_rows(df, 4, 2, role="PRETRAIN_SOURCE", client="c", target_col="y").first()
+    assert row.valid_patch_mask == [[True, True]] * 2 and row.valid_time_mask == [True, True, True, False]
+    assert (row.target.target_window, row.target.target_col, row.target.target_policy) == (2.0, "y", "ultimo_valor_valido")
+    assert (row.meta.dataset, row.meta.role, row.meta.client, row.meta.split, row.meta.trajectory_id, row.meta.window_size, row.meta.patch_size, row.meta.n_rows) == ("d", "PRETRAIN_SOURCE", "c", "train", "d__train__3", 4, 2, 3)
+
+
+def test_patches_of_splits(spark):
+    df = spark.createDataFrame([("d", "train", u, i) for u, n in ((1, 5), (2, 20)) for i in range(n)], "dataset string, split string, unit int, pos int")
+    row = trajectories.split_patches(df, 8, 4, 2).first()
+    assert (row.n_rows, row.n_units, row.n_windows, row.n_valid_patches) == (25, 2, 5, 3 + 4 * 4)
