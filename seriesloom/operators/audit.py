@@ -227,13 +227,14 @@ def compare_audits(before: DataFrame, now: DataFrame) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("patch_change_pct"), "dataset")
 
 
-def corpus_totals(parts: DataFrame, audit: DataFrame, measures: list[str]) -> DataFrame:
+def corpus_totals(parts: DataFrame, audit: DataFrame, measures: list[str], tolerance: float = 1e-9) -> DataFrame:
     """One row for each measure: its total over the parts and over the audit, and whether
-    they agree."""
+    they agree up to the tolerance, which is relative (sums in another order differ)."""
     sums = [F.struct(F.lit(m).alias("measure"), F.sum(m).cast("double").alias("total")).alias(f"s{i}") for i, m in enumerate(measures)]
     found, expected = (t.agg(*sums).select(F.inline(F.array(*(f"s{i}" for i in range(len(measures)))))) for t in (parts, audit))
     out = found.join(expected.withColumnRenamed("total", "expected"), "measure")  # a row for each measure
-    return out.withColumn("passed", F.col("total").eqNullSafe(F.col("expected")))
+    near = F.abs(F.col("total") - F.col("expected")) <= tolerance * F.greatest(F.abs("total"), F.abs("expected"))
+    return out.withColumn("passed", F.coalesce(near, F.col("total").isNull() & F.col("expected").isNull()))
 
 
 def with_excluded(audit: DataFrame, excluded: DataFrame, role: str = "EXCLUDED") -> DataFrame:

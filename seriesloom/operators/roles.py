@@ -67,12 +67,12 @@ def observations(df: DataFrame, roles: Roles, dataset: str, split: Column, row_i
 
 def with_domain(datasets: DataFrame, domains: DataFrame, default: str = "misc") -> DataFrame:
     """domain of each dataset from a small mapping."""
-    return datasets.join(F.broadcast(domains), "dataset", "left").withColumn("domain", F.coalesce("domain", F.lit(default)))
+    return datasets.join(domains, "dataset", "left").withColumn("domain", F.coalesce("domain", F.lit(default)))
 
 
 def with_direction(results: DataFrame, directions: DataFrame) -> DataFrame:
     """Whether a higher metric is better, or unknown; directions is a small mapping."""
-    return results.join(F.broadcast(directions), "metric", "left").withColumn("direction", F.coalesce("direction", F.lit("unknown")))
+    return results.join(directions, "metric", "left").withColumn("direction", F.coalesce("direction", F.lit("unknown")))
 
 
 def task_kind(text: Column) -> Column:

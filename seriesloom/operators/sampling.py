@@ -110,6 +110,9 @@ def number_batches(samples: DataFrame, by: list[str], key: str, size: Column, se
     return out.drop("_n")
 
 
+CELLS = 1024  # of the weights' line, for the join of steps and datasets
+
+
 def draw_schedule(plan: DataFrame, steps: DataFrame, weight: str = "share", strategy: str = "weighted", seed: int = 0) -> DataFrame:
     """dataset of each step: by weight, each alike, or in turn. The plan is small."""
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
@@ -118,11 +121,16 @@ def draw_schedule(plan: DataFrame, steps: DataFrame, weight: str = "share", stra
     upper = F.sum(w).over(order.rowsBetween(Window.unboundedPreceding, 0))
     ranked = plan.select("dataset", (F.row_number().over(order) - 1).alias("i"), n.alias("n"), upper.alias("upper"), (upper - w).alias("lower"))
     if strategy == "round_robin":
-        return steps.join(F.broadcast(ranked), F.expr("step % n = i")).select("step", "dataset")
+        sized = steps.crossJoin(plan.agg(F.greatest(F.lit(1), F.count("*")).alias("_n")))  # one row
+        return sized.select("step", F.pmod(F.col("step"), F.col("_n")).alias("i")).join(ranked.select(F.col("i").cast("long").alias("i"), "dataset"), "i").select("step", "dataset")
     u = F.conv(F.substring(stable_rank_key(seed, F.col("step")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    last = (F.col("i") == F.col("n") - 1) & (F.col("u") >= F.col("upper"))
-    hit = ((F.col("u") >= F.col("lower")) & (F.col("u") < F.col("upper"))) | last
-    return steps.withColumn("u", u).join(F.broadcast(ranked), hit).select("step", "dataset")
+    # a dataset lies in all cells that its interval touches, so the join is on equal cells
+    last = F.col("i") == F.col("n") - 1
+    cell = lambda c: F.least(F.lit(CELLS - 1), F.floor(c * CELLS))
+    ends = F.sequence(cell(F.col("lower")), F.when(last, F.lit(CELLS - 1).cast("long")).otherwise(cell(F.col("upper"))))
+    spread = ranked.select("dataset", "lower", F.when(last, F.greatest(F.col("upper"), F.lit(1.0))).otherwise(F.col("upper")).alias("upper"), F.explode(ends).alias("cell"))
+    found = steps.withColumn("u", u).withColumn("cell", cell(F.col("u"))).join(spread, "cell")
+    return found.where("u >= lower and u < upper").select("step", "dataset")
 
 
 CHUNK = 1 << 20

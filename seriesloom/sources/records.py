@@ -75,9 +75,11 @@ def unknown_categories(rows: DataFrame, column: str, allowed: list[str]) -> Data
     return rows.where(F.col(column).isNotNull() & ~F.col(column).isin(allowed))
 
 
-def flatten_extra(rows: DataFrame, column: str = "extra") -> DataFrame:
-    """The map's keys as columns extra__key, in key order; keys are few."""
-    keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect())
+def flatten_extra(rows: DataFrame, column: str = "extra", most: int = 1000) -> DataFrame:
+    """The map's keys as columns extra__key, in key order; more than `most` are an error."""
+    keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys(column)).alias("k")).distinct().limit(most + 1).collect())
+    if len(keys) > most:
+        raise ValueError(f"{column} has more than {most} keys")
     return rows.select(*(c for c in rows.columns if c != column), *(F.col(column)[k].alias(f"{column}__{k}") for k in keys))
 
 
