@@ -309,6 +309,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     all others and take nothing from one another; nor do rows of one doc_id. Of equal texts
     that of the least doc_id stays. An empty table gives an empty result; extra columns are
     ignored, whatever their names.
+
+    The texts are written once, in blocks, as a bucketed table of the session's catalog (its
+    files lie in the shared folder); the result reads it, so it stays.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
