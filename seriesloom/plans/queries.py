@@ -417,15 +417,15 @@ def _halved(name: str, table: str, by: str, total: str, value: str) -> str:
 
 @query(f"""with recursive {T.NATIONS}, raw as (select dataset, client, patches, patches / sum(patches) over () as w from nations),
 {_halved('b1', 'raw', '', '1.0', 'least(0.1, (lo + hi) / 2 * w)')},
-capped as (select raw.*, least(0.1, hi * w) as c from raw, b1 where k = 110),
+capped as (select raw.*, case when count(*) over () * 0.1 < 1 - 1e-12 then 1.0 / count(*) over () else least(0.1, hi * w) end as c from raw, b1 where k = 110),
 sums as (select client, sum(c) as s, count(*) as n, sum(w) as r, least(0.25, 0.1 * count(*)) as cap from capped group by 1),
 {_halved('b2', 'sums', '', '1.0', 'least(cap, (lo + hi) / 2 * v.s)')},
-limited as (select sums.*, least(cap, hi * s) as cc from sums, b2 where k = 110),
+limited as (select sums.*, case when sum(cap) over () < 1 - 1e-12 then 1.0 / count(*) over () else least(cap, hi * s) end as cc from sums, b2 where k = 110),
 {_halved('b3', 'limited', '', '1.0', 'greatest(0.005, (lo + hi) / 2 * cc)')},
 targets as (select limited.*, greatest(0.005, hi * cc) as goal from limited, b3 where k = 110),
 wanted as (select capped.*, goal from capped join targets using (client)),
 {_halved('b4', 'wanted', 'client', 'goal', 'least(0.1, (lo + hi) / 2 * c)')},
-last as (select wanted.*, least(0.1, hi * c) as f from wanted join b4 on b4.client = wanted.client where k = 110),
+last as (select wanted.*, case when count(*) over (partition by wanted.client) * 0.1 < goal - 1e-12 then goal / count(*) over (partition by wanted.client) else least(0.1, hi * c) end as f from wanted join b4 on b4.client = wanted.client where k = 110),
 shares as (select *, f / sum(f) over () as share from last)
 select dataset, s.client, patches, round(w, 9) as raw_dataset_weight, round(c, 9) as capped_dataset_weight, round(share, 9) as final_dataset_weight, round(r, 9) as raw_client_weight, round(sum(share) over (partition by s.client), 9) as final_client_weight,
   round(share * 1000, 9) as expected_batches, c < w - 1e-9 as dataset_capped, false as dataset_lifted, cc < t.s - 1e-9 as client_capped, goal_ > cc + 1e-9 as client_lifted
