@@ -122,16 +122,14 @@ def time_regularity(obs: DataFrame) -> DataFrame:
     )
     per = per.where("n >= 2").join(cuts, ["dataset", "unit"], "left")
     gaps = steps.join(per.select("dataset", "unit", "median"), ["dataset", "unit"]).groupBy("dataset").agg(F.count_if(F.col("d") > 3 * F.col("median")).alias("gaps"), F.max(F.when(F.col("d") > 3 * F.col("median"), F.col("d"))).alias("gap_max"))
-    each = per.select("dataset", F.posexplode(F.array("q25", "median", "q75")).alias("k", "v"))
-    middle = exact_quantiles(each, ["dataset", "k"], F.col("v"), [0.5])
-    middle = middle.groupBy("dataset").agg(*(F.max(F.when(F.col("k") == k, F.col("q")[0])).alias(f"delta_{c}") for k, c in enumerate(("q25", "median", "q75"))))
     out = per.groupBy("dataset").agg(
+        *(F.percentile(c, F.lit(0.5)).alias(f"delta_{c}") for c in ("q25", "median", "q75")),  # a number for each unit
         F.avg(F.col("deviation") / F.col("median")).alias("irregularity"),
         F.sum("duplicates").alias("duplicates"),
         (F.avg(F.col("increasing").cast("int")) * 100).alias("increasing_pct"),
     )
     rate = F.when(F.col("irregularity") < 0.05, 1 / F.col("delta_median")).alias("inferred_rate")
-    return out.join(middle, "dataset").join(gaps, "dataset").select("*", rate)
+    return out.join(gaps, "dataset").select("*", rate)
 
 
 def window_counts(length: Column, window: int, stride: int, patch: int, policy: str = "pad") -> dict[str, Column]:
