@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import nested
@@ -203,14 +203,16 @@ def tiling_windows(spark: SparkSession, d: str) -> DataFrame:
 _CHANNEL_TILES = f"{_TILES}, l as (select unit, w_idx, w_pos, 0 as channel, x0 as value from tiles union all select unit, w_idx, w_pos, 1, x1 from tiles)"
 
 
-@query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3)
-select l.unit, l.w_idx, l.channel, count(value) as n_values, round(coalesce(sum(abs(case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end)), 0), 5) as size, bool_or(n >= 2 and v < 1e-6) as constant
-from l join s on s.unit = l.unit and s.w_idx = l.w_idx and s.channel = l.channel group by 1, 2, 3""")
+@query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3),
+z as (select l.unit, l.w_idx, w_pos, l.channel, value, n as n_values, case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end as z, n >= 2 and v < 1e-6 as constant from l join s on s.unit = l.unit and s.w_idx = l.w_idx and s.channel = l.channel)
+select unit, w_idx, w_pos, channel, value, round(z, 6) + 0.0 as z, constant, n_values, round(coalesce(sum(abs(z)) over (partition by unit, w_idx, channel), 0), 5) as size from z""")
 def normalized_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of all windows and channels after normalization."""
+    """Each value of all windows and channels before and after normalization, beside its channel's known values and size."""
     rows = windows.tile(T.event_rows(spark, d), ["unit"], 64, 32)
-    out = windows.normalize(rows, ["unit", "w_idx"]).groupBy("unit", F.col("w_idx").cast("long").alias("w_idx"), "channel")
-    return out.agg(F.count("value").alias("n_values"), F.round(F.coalesce(F.sum(F.abs("z")), F.lit(0.0)), 5).alias("size"), F.bool_or("constant").alias("constant"))
+    out = windows.normalize(rows, ["unit", "w_idx"])
+    group = Window.partitionBy("unit", "w_idx", "channel")
+    size = F.round(F.coalesce(F.sum(F.abs("z")).over(group), F.lit(0.0)), 5).alias("size")
+    return out.select("unit", F.col("w_idx").cast("long").alias("w_idx"), F.col("w_pos").cast("long").alias("w_pos"), "channel", "value", (F.round("z", 6) + 0.0).alias("z"), "constant", F.count("value").over(group).alias("n_values"), size)
 
 
 @query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(*) as r, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3),

@@ -532,6 +532,18 @@ def test_window_and_federated_queries_use_all_channels_and_rows(spark, tmp_path)
     assert got == {0: round((4 + 2 * 5) / 3, 6), 1: round((1 + 2 * 3) / 3, 6)}
 
 
+def test_window_queries_give_each_value_and_patch_of_all_channels(spark):
+    from seriesloom.plans import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    for name, place, least in (("normalized_windows", "w_pos", 64),):
+        whole = Q.QUERIES[name + "_all"](spark, d)
+        got = Q.QUERIES[name](spark, d)
+        assert {r.channel for r in got.select("channel").distinct().collect()} == {0, 1}
+        assert got.agg(F.max(place)).first()[0] == least - 1
+        assert got.count() == whole.count() and got.select(*whole.columns).exceptAll(whole).count() == 0
+
+
 def test_padding_statistics_and_caveats(spark):
     rows = [("a", "u", 0.5), ("a", "u", 0.0), ("a", "v", None), ("a", None, 1.0), ("a", None, 0.5), ("b", None, None)]
     got = {r.split: tuple(r)[1:] for r in runlog.padding_statistics(spark.createDataFrame(rows, "split string, unit string, padding double")).collect()}
