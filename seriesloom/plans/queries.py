@@ -216,16 +216,24 @@ def normalized_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(*) as r, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3),
-z as (select l.unit, l.w_idx, sum(abs(case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end)) as z from l join s on s.unit = l.unit and s.w_idx = l.w_idx and s.channel = l.channel group by 1, 2)
-select s.unit, s.w_idx, count(*) as n_channels, 8 as n_patches, max(ceil(r / 8))::bigint as n_valid, max(r) as n_rows, round(coalesce(any_value(z), 0), 5) as size from s left join z on z.unit = s.unit and z.w_idx = s.w_idx group by 1, 2""")
+z as (select l.unit, l.w_idx, l.channel, w_pos // 8 as p, case when n < 2 then value else (value - m) / (case when v < 1e-6 then 1 else sqrt(v) end) end as z from l join s on s.unit = l.unit and s.w_idx = l.w_idx and s.channel = l.channel),
+t as (select unit, w_idx, channel, p, sum(z) as total from z group by 1, 2, 3, 4),
+w as (select s.unit, s.w_idx, count(*) as n_channels, max(ceil(r / 8))::bigint as valid_patches, max(r) as n_rows, any_value(size) as size from s left join (select unit, w_idx, sum(abs(z)) as size from z group by 1, 2) using (unit, w_idx) group by 1, 2)
+select s.unit, s.w_idx, s.channel, k.p as patch, 8 as width, round(coalesce(t.total, 0), 6) + 0.0 as total, r > k.p * 8 as valid, greatest(0, least(8, r - k.p * 8)) as n_valid, n_channels, 8 as n_patches, valid_patches, n_rows, round(coalesce(w.size, 0), 5) as size
+from s join w using (unit, w_idx) cross join range(8) k(p) left join t on t.unit = s.unit and t.w_idx = s.w_idx and t.channel = s.channel and t.p = k.p""")
 def window_patches(spark: SparkSession, d: str) -> DataFrame:
-    """All windows as patches: channels, valid patches, real rows and the patches' size."""
+    """Each patch of all windows and channels, beside its window's channels, valid patches, real rows and size."""
     rows = windows.tile(T.event_rows(spark, d), ["unit"], 64, 32)
     p = windows.patches(windows.normalize(rows, ["unit", "w_idx"]), ["unit", "w_idx"], 64, 8)
-    size = F.aggregate(F.flatten(F.flatten("patches")), F.lit(0.0), lambda a, x: a + F.abs(x))
+    added = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
     true = lambda c: F.size(F.filter(c, lambda x: x)).cast("long")
-    counts = [F.size("patches").cast("long").alias("n_channels"), F.size(F.col("patches")[0]).alias("n_patches"), true("valid_patch").alias("n_valid"), true("valid_time").alias("n_rows")]
-    return p.select("unit", F.col("w_idx").cast("long").alias("w_idx"), *counts, F.round(size, 5).alias("size"))
+    counts = [F.size("patches").cast("long").alias("n_channels"), F.size(F.col("patches")[0]).alias("n_patches"), true("valid_patch").alias("valid_patches"), true("valid_time").alias("n_rows")]
+    size = F.round(added(F.flatten(F.flatten("patches")), F.abs), 5).alias("size")
+    each = p.select("unit", F.col("w_idx").cast("long").alias("w_idx"), "valid_time", "valid_patch", *counts, size, F.posexplode("patches").alias("channel", "values"))
+    one = each.select("*", F.posexplode(F.arrays_zip("values", F.col("valid_patch").alias("valid"))).alias("patch", "c"))
+    real = true(F.slice("valid_time", F.col("patch") * 8 + 1, 8)).alias("n_valid")
+    total = (F.round(added("c.values", lambda x: x), 6) + 0.0).alias("total")
+    return one.select("unit", "w_idx", "channel", F.col("patch").cast("long").alias("patch"), F.size("c.values").alias("width"), total, F.col("c.valid").alias("valid"), real, "n_channels", "n_patches", "valid_patches", "n_rows", "size")
 
 
 @query(f"""with {_CHANNEL_TILES}, s as (select unit, w_idx, channel, count(value) as n, avg(value) as m, var_pop(value) as v from l group by 1, 2, 3)

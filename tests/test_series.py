@@ -536,7 +536,7 @@ def test_window_queries_give_each_value_and_patch_of_all_channels(spark):
     from seriesloom.plans import queries as Q
 
     d = "/root/testdata/sf0.001"
-    for name, place, least in (("normalized_windows", "w_pos", 64),):
+    for name, place, least in (("normalized_windows", "w_pos", 64), ("window_patches", "patch", 8)):
         whole = Q.QUERIES[name + "_all"](spark, d)
         got = Q.QUERIES[name](spark, d)
         assert {r.channel for r in got.select("channel").distinct().collect()} == {0, 1}
