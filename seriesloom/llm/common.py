@@ -30,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python workers in batches of at most so many rows from now on: a
+    batch is held several times over, in the executor and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 

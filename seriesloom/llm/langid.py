@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, mix
+from .common import as_bytes, bound_batches, materialize, mix
 
 BITS = 16
 SAMPLE_ROWS = 20_000  # labelled rows that the text model is fitted on, at most
@@ -137,6 +137,7 @@ def identify_languages(rows: DataFrame, model: TextModel, text: str, kept: list[
     SENT_HOSTS or more, and only the rows of the others are shuffled, so no key is hot.
     """
     spark = rows.sparkSession
+    bound_batches(spark)
     k = len(model.languages)
     host = F.lower(F.coalesce(F.col("x_host").cast("string"), F.lit("")))
     # the whole primary tag: "est" isn't "es"

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, deltas, discard, document_key, materialize, mix, undeltas, word_hashes
+from .common import as_bytes, bound_batches, deltas, discard, document_key, materialize, mix, undeltas, word_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -315,6 +315,7 @@ class _Join:
 def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed, reps, links): a row for each document, one for each distinct shingle set
     (sid), and links (a, b) between sids, enough to join all that is linked."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("key", document_key(F.col("doc_id"), F.col("text")))
     signed = materialize(docs.select("doc_id", "key", "text").mapInArrow(_sign, SIGNED))

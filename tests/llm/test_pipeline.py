@@ -51,3 +51,20 @@ def test_near_copies_without_doc_id_go(spark, table):
     w = [f"v{i}" for i in range(60)]
     got = p.near_dedup(spark, table([(None, " ".join(w)), (7, " ".join(w[:-1])), (None, "x y z " * 4), (None, "x y z " * 4)]), "").collect()
     assert sorted((r.doc_id or 0, r.text[:3]) for r in got) == [(0, "x y"), (7, "v0 ")]
+
+
+def test_whole_texts_go_to_workers_in_small_batches(spark, table):
+    import corpus_pipeline as p
+    from seriesloom.llm.common import bound_batches
+    from seriesloom.llm.nearcopies import near_duplicates
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = table([(1, "a text of some words")])
+    runs = [("10000", 1000, lambda: near_duplicates(docs)), ("0", 1000, lambda: p.language_id(spark, docs, "")), ("64", 64, lambda: bound_batches(spark))]
+    try:
+        for given, want, run in runs:
+            spark.conf.set(key, given)
+            run()
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.unset(key)
