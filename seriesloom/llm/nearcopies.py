@@ -29,11 +29,11 @@ PERCENT = 75
 # levels are needed (see the tests)
 TREES = 16
 SKETCH = 128  # minwise bytes of a sketch, along which nodes branch
-LEAF = 2048  # nodes of at most so many documents are compared exhaustively
+LEAF = 4096  # nodes of at most so many documents are compared exhaustively
 PIVOTS = 8  # documents of a large node, on average, that are compared with all of it
-FEW = 512  # documents outside of a node's largest group that are compared with all of it
+FEW = 4096  # documents outside of a node's largest group that are compared with all of it
 MAX_DEPTH = 6
-COLLAPSING = 2  # trees whose links are used to leave out pairs in the others
+COLLAPSING = 2  # trees, run together, whose links are used to leave out pairs in the others
 SENT = 500_000  # documents whose keys are sent to all executors at most
 
 
@@ -179,12 +179,13 @@ class _Sets:
 
 
 def _verified(percent: int):
-    """Links (a, b) on full sets that join what is linked in a group."""
+    """Links (a, b) between labels that join what is linked in a group on full sets: of the
+    labels that become one, each is linked with the least."""
 
     def run(table: pa.Table) -> pa.Table:
         group = _Group(table, percent)
         sets = _Sets([undeltas(x) for x in group.table.column("shingles").to_pylist()])
-        label, a, b = group.label, [], []
+        label, before = group.label, group.label.copy()
         for i in range(1, len(label)):
             at, agreed = group.partners(i)
             at = at[np.argsort(-agreed, kind="stable")]
@@ -194,12 +195,13 @@ def _verified(percent: int):
                 some = some[sets.linked(i, some, percent)]
                 for j in some.tolist():
                     if label[j] != label[i]:
-                        a.append(group.sid[i])
-                        b.append(group.sid[j])
-                        label[label == label[j]] = label[i]
+                        low, high = sorted((label[i], label[j]))
+                        label[label == high] = low
                 at = at[label[at] != label[i]]
                 step = 1024
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, first = np.unique(before, return_index=True)
+        b = label[first]
+        return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
     return run
 
@@ -252,10 +254,8 @@ class _Join:
         return members.join(self.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
     def relabel(self) -> None:
-        old = self.labels
         self.labels = materialize(connected_components(_union(self.links)).toDF("sid", "label"))
-        if old is not None:
-            discard(old)
+        self.links = [self.labels.toDF("a", "b")]
 
     def state(self, members: DataFrame) -> DataFrame:
         """Members (node, sid) of nodes with several labels, with all that is compared;
@@ -328,8 +328,8 @@ def near_duplicate_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataF
         return rows.select(F.xxhash64("at", F.get("roots", F.col("at"))).alias("node"), "sid")
 
     # the first trees join most of what is near, so that the others have little left
-    large = [join.collapse(roots(range(t, t + 1))) for t in range(COLLAPSING)]
-    join.descend(_union([roots(range(COLLAPSING, TREES)), *large]))
+    large = join.collapse(roots(range(COLLAPSING)))
+    join.descend(roots(range(COLLAPSING, TREES)).unionByName(large))
     return signed, reps, _union(join.links)
 
 

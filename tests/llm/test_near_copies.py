@@ -128,3 +128,30 @@ def test_a_large_group_of_near_copies_equals_brute_force(spark, table, monkeypat
     monkeypatch.setattr(nearcopies, "LEAF", 256)
     got = near_duplicates(table(rows)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_nodes_with_few_others_end_without_branches(spark, table, monkeypatch):
+    """Documents that share a passage without being linked."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(["one", "passage", "of", "five", "words", *(f"w{rng.randrange(10**9)}" for _ in range(3))])) for i in range(700)]
+    rows += [(i + 1000, t) for i, t in rows[:40]]
+    monkeypatch.setattr(nearcopies, "LEAF", 256)
+    branch = nearcopies._branch
+
+    def checked(state):
+        assert state.isEmpty()
+        return branch(state)
+
+    monkeypatch.setattr(nearcopies, "_branch", checked)
+    got = near_duplicates(table(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i, _ in rows}
+
+
+def test_stars_are_components_without_a_step(spark, monkeypatch):
+    from seriesloom.llm import components
+
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df: written.append(df) or df.localCheckpoint())
+    edges = spark.createDataFrame([(i, 100 * (i // 100)) for i in range(300)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == {i: 100 * (i // 100) for i in range(300)} and len(written) == 1
