@@ -6,6 +6,9 @@ anchors that only one document has can't match and stay at home; the others are
 shards by their anchor. A shard sorts the suffixes of its passages by external induction
 (`suffixsort`); suffixes that have WINDOW bytes in common with the one before them are one
 window, and the least document that has it is sent back to the passages' blocks.
+
+What a block and a part of the anchors or a shard send one another is a row with all of it,
+packed: sorted hashes as differences, numbers as byte planes, compressed.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shared_dir, word_hashes
+from .common import materialize, mix, planes, shared_dir, unplanes, word_hashes
 from .suffixsort import sorted_suffixes
 
 WINDOW = 50
@@ -28,6 +31,8 @@ K = 16
 BLOCK_BYTES = 1 << 23  # texts of a block; a longer text is a block of its own
 BUCKET_BYTES = 1 << 25
 SHARD_BYTES = 1 << 23  # texts for each shard of passages
+PART_BYTES = 1 << 25  # texts for each part of the anchors
+PACK_BYTES = 1 << 22  # strings of a packed row; a longer string is a row of its own
 HOT = 4096  # an anchor that has more passages than this is dealt window by window
 STEP = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -36,12 +41,13 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
-    """Hash of each K-byte string; K is a power of two."""
+    """48-bit hash of each K-byte string; K is a power of two. Different strings of one hash
+    only make passages meet that don't match."""
     h, size = text.astype(np.uint64) + np.uint64(1), 1
     while size < K:
         h = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
         size *= 2
-    return mix(h)
+    return mix(h) >> np.uint64(16)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -108,7 +114,7 @@ class Block:
         strings = [raw[a:b] for a, b in zip(place.tolist(), stop.tolist(), strict=True)]
         key = self.anchor[row]
         alone = np.flatnonzero(single)
-        key[alone] = np.fromiter((xxhash.xxh3_64_intdigest(strings[i], 1) for i in alone.tolist()), np.uint64, len(alone))
+        key[alone] = np.fromiter((xxhash.xxh3_64_intdigest(strings[i], 1) >> 16 for i in alone.tolist()), np.uint64, len(alone))
         return strings, place, self.owner[row], key
 
 
@@ -116,6 +122,36 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def _pack(columns: list[np.ndarray], more: bytes = b"") -> bytes:
+    """Columns of 8-byte numbers, all of one length, and bytes as one string."""
+    raw = b"".join([*map(planes, columns), more])
+    return np.array([len(columns[0]), len(raw)]).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, columns: int) -> tuple[list[np.ndarray], bytes]:
+    n, size = np.frombuffer(data, np.int64, 2).tolist()
+    raw = pa.decompress(data[16:], size, "zstd", asbytes=True)
+    return [unplanes(raw[8 * n * k : 8 * n * (k + 1)], np.int64) for k in range(columns)], raw[8 * n * columns :]
+
+
+def _turns(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before, and the end."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _differences(keys: np.ndarray, by: int) -> np.ndarray:
+    """Of sorted keys that are alike modulo `by`."""
+    return np.diff(keys // by, prepend=0)
+
+
+def _keys(differences: np.ndarray, by: int, rest: int) -> np.ndarray:
+    return np.cumsum(differences) * by + rest
+
+
 def _deal_blocks(batches):
     """Rows (doc_id, text) with the number of their block, alike in every run."""
     number, size = TaskContext.get().partitionId() << 24, 0
@@ -129,25 +165,63 @@ def _deal_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column(0), batch.column(1)], names=["block", "doc_id", "text"])
 
 
-def _anchors(window):
+def _anchors(window, parts):
     def run(table: pa.Table) -> pa.Table:
-        """A row for each anchor of a block: its passages, or 1 if one document has all."""
+        """A row for each part of a block's anchors: these and the passages of each, or 1 if
+        one document has all."""
         block = Block(table, window)
         doc = block.doc[block.owner]
         order = np.argsort(block.anchor, kind="stable")
-        anchor, doc = block.anchor[order], doc[order]
-        start = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1])) if len(anchor) else np.zeros(0, np.int64)
-        n = np.diff(start, append=len(anchor))
+        anchor, doc = _signed(block.anchor[order]), doc[order]
+        start = _turns(anchor)
+        start, n = start[:-1], np.diff(start)
         if len(start):
             n = np.where(np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start), n, 1)
+        anchor = anchor[start]
+        order = np.argsort(anchor % parts, kind="stable")
+        anchor, n = anchor[order], n[order]
+        turns = _turns(anchor % parts)
+        packed = [_pack([_differences(anchor[a:b], parts), n[a:b]]) for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True)]
         number = table.column("block")[0].as_py()
-        return pa.table({"anchor": pa.array(_signed(anchor[start])), "block": pa.array(np.full(len(start), number), pa.int64()), "n": pa.array(n, pa.int64())})
+        return pa.table({"part": pa.array(anchor[turns[:-1]] % parts), "block": pa.array(np.full(len(packed), number), pa.int64()), "anchors": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _dealt(window):
-    schema = pa.schema([("anchor", pa.int64()), ("string", pa.binary()), ("block", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
+def _shared(most):
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary()), ("hot", pa.bool_())])
+
+    def run(table: pa.Table) -> pa.Table:
+        """Of a part, each block's anchors that other documents have too, and which of them
+        have more than `most` passages."""
+        columns = [_unpack(x, 2)[0] for x in table.column("anchors").to_pylist()]
+        ends = np.cumsum([len(n) for _, n in columns])
+        anchor = np.concatenate([np.cumsum(x) for x, _ in columns])  # a row for each block that has the anchor
+        order = np.argsort(anchor, kind="stable")
+        turns = _turns(anchor[order])
+        total = np.empty_like(anchor)
+        total[order] = np.repeat(np.add.reduceat(np.concatenate([n for _, n in columns])[order], turns[:-1]), np.diff(turns))
+        parts, blocks = table.column("part").to_pylist(), table.column("block").to_pylist()
+        out = []
+        for part, block, a, b in zip(parts, blocks, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            some = np.flatnonzero(total[a:b] > 1) + a
+            if len(some):
+                hot = total[some] > most
+                out.append((part, block, _pack([np.diff(anchor[some], prepend=0), hot.astype(np.int64)]), bool(hot.any())))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else schema.empty_table()
+
+    return run
+
+
+def _asked(rows: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that `_shared` has packed, and which are hot."""
+    found = [(_unpack(x, 2)[0], part) for x, part in zip(rows.column("anchors").to_pylist(), rows.column("part").to_pylist(), strict=True)]
+    anchors = [np.zeros(0, np.int64), *(_keys(x, parts, part) for (x, _), part in found)]
+    return np.concatenate(anchors).view(np.uint64), np.concatenate([np.zeros(0, bool), *(hot > 0 for (_, hot), _ in found)])
+
+
+def _dealt(window, parts, shards):
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("strings", pa.binary())])
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         """The distinct strings of a block whose anchors other documents have too, with the
@@ -155,15 +229,21 @@ def _dealt(window):
         if not docs.num_rows or not asked.num_rows:
             return schema.empty_table()
         block = Block(docs, window)
-        strings, _, owner, key = block.items(asked.column("anchor").to_numpy().view(np.uint64), asked.column("hot").to_numpy(zero_copy_only=False))
+        strings, _, owner, key = block.items(*_asked(asked, parts))
         if not strings:
             return schema.empty_table()
-        name = word_hashes(strings)
+        key, name = _signed(key), word_hashes(strings)
         order = np.lexsort((name, key))
+        order = order[np.argsort(key[order] % shards, kind="stable")]
         key, name, doc = key[order], name[order], block.doc[owner[order]]
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-        columns = [_signed(key[start]), [strings[i] for i in order[start].tolist()]]
-        columns += [np.full(len(start), docs.column("block")[0].as_py()), np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)]
+        start = _turns(key, name)[:-1]
+        least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+        key, strings = key[start], [strings[i] for i in order[start].tolist()]
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        turns = _turns(key % shards, np.cumsum(sizes) // PACK_BYTES)
+        packed = [_pack([_differences(key[a:b], shards), sizes[a:b], least[a:b], most[a:b] - least[a:b]], b"".join(strings[a:b])) for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True)]
+        number = docs.column("block")[0].as_py()
+        columns = [key[turns[:-1]] % shards, np.full(len(packed), number), packed]
         return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
@@ -196,24 +276,32 @@ def first_documents(text: np.ndarray, ends: np.ndarray, docs: np.ndarray, window
     return out
 
 
-def _sort_shard(window):
-    names = ["block", "anchor", "name", "first", "stop", "doc"]
+def _sort_shard(window, shards):
+    names = ["part", "block", "runs"]
 
     def run(batches):
         """A shard's strings to the runs of windows that an earlier document has."""
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        names_of = np.concatenate([_signed(word_hashes(c.to_pylist())) for c in table.column("string").chunks])
-        keys = np.stack([table.column("anchor").to_numpy(), names_of], axis=1)
+        shard = table.column("shard").to_numpy()
+        columns, all_strings = [], []
+        for x, number in zip(table.column("strings").to_pylist(), shard.tolist(), strict=True):
+            (key, sizes, least, more), raw = _unpack(x, 4)
+            columns.append((_keys(key, shards, number), least, least + more))
+            stops = np.cumsum(sizes)
+            all_strings += [raw[a:b] for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
+        pack = np.repeat(np.arange(len(columns)), [len(c[0]) for c in columns])
+        key, lowest, most = (np.concatenate(c) for c in zip(*columns, strict=True))
+        keys = np.stack([key, _signed(word_hashes(all_strings))], axis=1)
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         new = np.r_[True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1)]
         at, of = order[new], np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
-        strings = table.column("string").take(pa.array(at)).to_pylist()
+        strings = [all_strings[i] for i in at.tolist()]
         ends = np.cumsum([len(s) for s in strings]).astype(np.int64)
         least = np.full(len(strings), LAST)
-        np.minimum.at(least, of, table.column("least").to_numpy())
+        np.minimum.at(least, of, lowest)
         first = first_documents(np.frombuffer(b"".join(strings), np.uint8), ends, least, window)
         begins = np.concatenate([[0], ends[:-1]])
         windows = ends - begins - window + 1
@@ -227,16 +315,23 @@ def _sort_shard(window):
         run_first = place[start] - begins[run_string]
         run_stop = run_first + stop - start
         runs = np.searchsorted(run_string, np.arange(len(strings) + 1))
-        most, block = table.column("most").to_numpy(), table.column("block").to_numpy()
         count = (runs[1:] - runs[:-1])[of]
         row = np.repeat(np.arange(len(of)), count)
         which = np.repeat(runs[:-1][of] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(row))
         keep = run_doc[which] < most[row]
         row, which = row[keep], which[keep]
-        for k in range(0, len(row), STEP):
-            r, w = row[k : k + STEP], which[k : k + STEP]
-            columns = [block[r], keys[r, 0], keys[r, 1], run_first[w], run_stop[w], run_doc[w]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=names)
+        # back to the blocks in the order in which they came: a pack's keys ascend
+        turns = _turns(pack[row], np.arange(len(row)) // STEP)
+        blocks, out, held = table.column("block").to_numpy(), [], 0
+        for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
+            r, w = row[a:b], which[a:b]
+            packed = _pack([_differences(keys[r, 0], shards), keys[r, 1], run_first[w], run_stop[w] - run_first[w], run_doc[w]])
+            out.append((shard[pack[r[0]]], blocks[pack[r[0]]], packed))
+            held += len(packed)
+            if held >= PACK_BYTES or b == len(row):
+                numbers, of_blocks, runs = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(of_blocks, pa.int64()), pa.array(runs, pa.binary())], names=names)
+                out, held = [], 0
 
     return run
 
@@ -258,7 +353,7 @@ def _ranges(pairs: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, high
 
 
-def _cut_out(window):
+def _cut_out(window, parts, shards):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", spans_type), ("kept", pa.binary())])
 
@@ -269,12 +364,18 @@ def _cut_out(window):
         spans, kept = [[] for _ in texts], list(texts)
         if found.num_rows:
             block = Block(docs, window)
-            anchors, first = found.column("anchor").to_numpy(), found.column("first").to_numpy()
-            single = first < 0  # says that the anchor is dealt window by window
-            asked = np.unique(anchors.view(np.uint64))
-            strings, place, owner, key = block.items(asked, np.isin(asked, anchors[single].view(np.uint64)))
+            alone = pc.is_null(found.column("runs"))  # anchors, of which the hot ones are dealt window by window
+            anchors, hot = _asked(found.filter(alone), parts)
+            packed = found.filter(pc.invert(alone))
+            columns = [np.zeros((5, 0), np.int64)]
+            for x, number in zip(packed.column("runs").to_pylist(), packed.column("part").to_pylist(), strict=True):
+                key, *more = _unpack(x, 5)[0]
+                columns.append(np.stack([_keys(key, shards, number), *more]))
+            runs = dict(zip(("anchor", "name", "first", "stop", "doc"), np.concatenate(columns, axis=1), strict=True))
+            runs["stop"] = runs["first"] + runs["stop"]
+            asked = np.unique(np.concatenate([runs["anchor"].view(np.uint64), anchors[hot]]))
+            strings, place, owner, key = block.items(asked, np.isin(asked, anchors[hot]))
             # a string's runs lie together in the order of (anchor, name)
-            runs = {c: found.column(c).to_numpy()[~single] for c in ("anchor", "name", "first", "stop", "doc")}
             order = np.lexsort((runs["name"], runs["anchor"]))
             runs = {c: x[order] for c, x in runs.items()}
             pair = np.stack([runs["anchor"], runs["name"]], axis=1).view([("a", np.int64), ("n", np.int64)])[:, 0]
@@ -322,13 +423,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # the table's buckets are its tasks' blocks: later steps meet them without a shuffle of texts
     blocks.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/tables/{name}").option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
-    anchors = blocks.groupBy("block").applyInArrow(_anchors(window), "anchor long, block long, n long")
-    total = F.sum("n").over(Window.partitionBy("anchor"))  # a row for each block that has the anchor
-    asked = materialize(anchors.withColumn("total", total).where("total > 1").select("block", "anchor", (F.col("total") > HOT).alias("hot")))
-    shards = int(max(1, -(-size // SHARD_BYTES)))
-    strings = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_dealt(window), "anchor long, string binary, block long, least long, most long")
-    found = strings.repartition(shards, "anchor").mapInArrow(_sort_shard(window), "block long, anchor long, name long, first long, stop long, doc long")
-    none = F.lit(-1).cast("long")
-    single = asked.where("hot").select("block", "anchor", none.alias("name"), none.alias("first"), none.alias("stop"), none.alias("doc"))
+    parts, shards = (int(max(1, -(-size // n))) for n in (PART_BYTES, SHARD_BYTES))
+    anchors = blocks.groupBy("block").applyInArrow(_anchors(window, parts), "part long, block long, anchors binary")
+    asked = materialize(anchors.groupBy("part").applyInArrow(_shared(HOT), "part long, block long, anchors binary, hot boolean"))
+    strings = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_dealt(window, parts, shards), "shard int, block long, strings binary")
+    found = strings.repartitionById(shards, "shard").mapInArrow(_sort_shard(window, shards), "part long, block long, runs binary")
+    found = found.unionByName(asked.where("hot").drop("hot"), allowMissingColumns=True)
     out = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
-    return blocks.groupBy("block").cogroup(found.unionByName(single).groupBy("block")).applyInArrow(_cut_out(window), out)
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut_out(window, parts, shards), out)

@@ -208,3 +208,34 @@ def test_cuts_equal_brute_force(spark, table, monkeypatch, sizes):
 def test_cuts_of_odd_rows(spark, table, odd):
     assert cut(table(odd)) == plain_cut(odd)
     assert cut(table([])) == []
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getPath(): f.length() for f in (files.apply(i) for i in range(files.size()))}
+
+
+def test_cuts_shuffle_half_of_the_texts_at_most(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffle_files(spark)
+    assert remove_repeats(docs).agg(F.sum("n_bytes")).first()[0] == n_bytes
+    written = sum(n for path, n in shuffle_files(spark).items() if path not in before)
+    assert 0 < written < 0.5 * n_bytes
+
+
+def test_cuts_of_small_packs_and_many_parts(spark, table, monkeypatch):
+    for name, value in {"PACK_BYTES": 200, "PART_BYTES": 900, "SHARD_BYTES": 3000, "STEP": 7, "HOT": 3}.items():
+        monkeypatch.setattr(repeats, name, value)
+    rows = long_shared(random.Random(5))
+    assert cut(table(rows).repartition(3)) == plain_cut(rows)
+
+
+def test_packs_keep_keys_and_numbers_of_any_size():
+    rng = np.random.default_rng(2)
+    for n, by in [(0, 1), (1, 1), (1, 7), (1000, 1), (1000, 104), (5, 1 << 20)]:
+        keys = np.sort(rng.integers(0, 1 << 48, n) // by * by + by // 2)
+        numbers = rng.choice(np.array([0, 1, -4, repeats.LAST, -repeats.LAST - 1]), n)
+        (differences, got), more = repeats._unpack(repeats._pack([repeats._differences(keys, by), numbers], b"ab\0"), 2)
+        assert repeats._keys(differences, by, by // 2).tolist() == keys.tolist()
+        assert got.tolist() == numbers.tolist() and more == b"ab\0"
