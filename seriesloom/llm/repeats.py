@@ -1,5 +1,8 @@
 """Removal of long strings that stand in an earlier document, by sorted suffixes.
 
+A text of WINDOW bytes or more that an earlier document has too is taken whole, and since
+that document has all its windows, only the rest is compared.
+
 Every window of WINDOW bytes has an anchor, the least hash of its K-byte strings, so equal
 windows have equal anchors. Neighbouring windows of one anchor are a passage. Passages of
 anchors that only one document has can't match and stay at home; the others are dealt to
@@ -13,6 +16,7 @@ packed: sorted hashes as differences, numbers as byte planes, compressed.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -20,34 +24,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, planes, shared_dir, unplanes, word_hashes
+from .common import materialize, planes, shared_dir, unplanes, word_hashes
 from .suffixsort import sorted_suffixes
 
 WINDOW = 50
-K = 16
+K = 32  # the longer, the fewer strings meet that have no window in common, however large the input
 BLOCK_BYTES = 1 << 23  # texts of a block; a longer text is a block of its own
 BUCKET_BYTES = 1 << 25
 SHARD_BYTES = 1 << 23  # texts for each shard of passages
 PART_BYTES = 1 << 25  # texts for each part of the anchors
 PACK_BYTES = 1 << 22  # strings of a packed row; a longer string is a row of its own
-HOT = 4096  # an anchor that has more passages than this is dealt window by window
-STEP = 1 << 20
+HOT = 1 << 16  # an anchor that has more passages than this is dealt window by window
+STEP = 1 << 16
 LAST = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _grams(text: np.ndarray) -> np.ndarray:
-    """48-bit hash of each K-byte string; K is a power of two. Different strings of one hash
+def _grams(text: np.ndarray, k: int) -> np.ndarray:
+    """48-bit hash of each k-byte string; k is a power of two. Different strings of one hash
     only make passages meet that don't match."""
-    h, size = text.astype(np.uint64) + np.uint64(1), 1
-    while size < K:
-        h = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
-        size *= 2
-    return mix(h) >> np.uint64(16)
+    h, size = text.astype(np.uint64), 1
+    h += np.uint64(1)
+    while size < k:
+        longer = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64))
+        longer += h[size:]
+        h, size = longer, size * 2
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_BASE)
+    h >>= np.uint64(16)
+    return h
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,9 +72,10 @@ def passages(text: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarra
     """Of texts one behind the other, up to `ends`: the first and last window's place (the
     latter excluded) and the anchor of each passage."""
     starts, stops, anchors = [], [], []
+    size = min(K, 1 << (window.bit_length() - 1))
     begins = np.concatenate([[0], ends[:-1]])
     for k in range(0, len(text) - window + 1, STEP):
-        least = _least(_grams(text[k : k + STEP + window - 1]), window - K + 1)
+        least = _least(_grams(text[k : k + STEP + window - 1], size), window - size + 1)
         valid = np.ones(len(least) + 2, bool)
         valid[[0, -1]] = False
         for i in range(int(np.searchsorted(ends, k, "right")), int(np.searchsorted(begins, k + len(least), "left"))):
@@ -152,24 +162,56 @@ def _keys(differences: np.ndarray, by: int, rest: int) -> np.ndarray:
     return np.cumsum(differences) * by + rest
 
 
-def _deal_blocks(batches):
-    """Rows (doc_id, text) with the number of their block, alike in every run."""
-    number, size = TaskContext.get().partitionId() << 24, 0
-    for batch in batches:
-        blocks = []
-        for n in pc.binary_length(batch.column(1)).to_pylist():
-            if size and size + n > BLOCK_BYTES:
-                number, size = number + 1, 0
-            size += n
-            blocks.append(number)
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column(0), batch.column(1)], names=["block", "doc_id", "text"])
+def _deal_blocks(window):
+    def run(batches):
+        """Rows (doc_id, text) with the number of their block, alike in every run, and the
+        name of a text that has windows."""
+        number, size = TaskContext.get().partitionId() << 24, 0
+        for batch in batches:
+            blocks, names = [], []
+            for text in batch.column(1):
+                text = text.as_buffer()
+                if size and size + text.size > BLOCK_BYTES:
+                    number, size = number + 1, 0
+                size += text.size
+                blocks.append(number)
+                names.append(hashlib.sha256(text).digest() if text.size >= window else None)
+            columns = [pa.array(blocks, pa.int64()), batch.column(0), batch.column(1), pa.array(names, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "text", "name"])
+
+    return run
+
+
+def _copies(blocks: DataFrame) -> DataFrame:
+    """block, name, first: texts of a block that an earlier document has too, and the least
+    document that has them. A block sends a name once, so none is a large group."""
+    doc = F.coalesce("doc_id", F.lit(LAST))
+    named = blocks.where(F.col("name").isNotNull()).groupBy("block", "name").agg(F.min(doc).alias("least"), F.max(doc).alias("most"))
+    return named.withColumn("first", F.min("least").over(Window.partitionBy("name"))).where("first < most").select("block", "name", "first")
+
+
+def _apart(docs: pa.Table, rows: pa.Table) -> tuple[pa.Table, pa.Table, pa.Table]:
+    """A block's documents that are compared, those that an earlier one takes whole (both as
+    doc_id and text), and what else than `_copies` is among the rows."""
+    named = pc.is_valid(rows.column("name"))
+    copies = rows.filter(named)
+    first = dict(zip(copies.column("name").to_pylist(), copies.column("first").to_pylist(), strict=True))
+    ids, names = docs.column("doc_id").fill_null(LAST).to_pylist(), docs.column("name").to_pylist()
+    whole = pa.array([i > first.get(name, LAST) for i, name in zip(ids, names, strict=True)], pa.bool_())
+    docs = docs.select(["doc_id", "text"])
+    return docs.filter(pc.invert(whole)), docs.filter(whole), rows.filter(pc.invert(named))
 
 
 def _anchors(window, parts):
-    def run(table: pa.Table) -> pa.Table:
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary())])
+
+    def run(docs: pa.Table, copies: pa.Table) -> pa.Table:
         """A row for each part of a block's anchors: these and the passages of each, or 1 if
         one document has all."""
-        block = Block(table, window)
+        compared, _, _ = _apart(docs, copies)
+        if not compared.num_rows:
+            return schema.empty_table()
+        block = Block(compared, window)
         doc = block.doc[block.owner]
         order = np.argsort(block.anchor, kind="stable")
         anchor, doc = _signed(block.anchor[order]), doc[order]
@@ -182,8 +224,8 @@ def _anchors(window, parts):
         anchor, n = anchor[order], n[order]
         turns = _turns(anchor % parts)
         packed = [_pack([_differences(anchor[a:b], parts), n[a:b]]) for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True)]
-        number = table.column("block")[0].as_py()
-        return pa.table({"part": pa.array(anchor[turns[:-1]] % parts), "block": pa.array(np.full(len(packed), number), pa.int64()), "anchors": pa.array(packed, pa.binary())})
+        columns = [anchor[turns[:-1]] % parts, np.full(len(packed), docs.column("block")[0].as_py()), packed]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -226,9 +268,10 @@ def _dealt(window, parts, shards):
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         """The distinct strings of a block whose anchors other documents have too, with the
         least and the greatest document that has them here."""
-        if not docs.num_rows or not asked.num_rows:
+        compared, _, asked = _apart(docs, asked)
+        if not compared.num_rows or not asked.num_rows:
             return schema.empty_table()
-        block = Block(docs, window)
+        block = Block(compared, window)
         strings, _, owner, key = block.items(*_asked(asked, parts))
         if not strings:
             return schema.empty_table()
@@ -276,6 +319,24 @@ def first_documents(text: np.ndarray, ends: np.ndarray, docs: np.ndarray, window
     return out
 
 
+def _runs(strings: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of one least document: string, first and last window (the latter
+    excluded) and the document."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    first = first_documents(np.frombuffer(b"".join(strings), np.uint8), ends, docs, window)
+    windows = sizes - window + 1
+    string = np.repeat(np.arange(len(strings)), windows)
+    place = np.repeat(begins - np.cumsum(windows) + windows, windows) + np.arange(len(string))
+    doc = first[place]
+    turns = _turns(doc, string)
+    start = turns[:-1]
+    string = string[start]
+    begin = place[start] - begins[string]
+    return string, begin, begin + np.diff(turns), doc[start]
+
+
 def _sort_shard(window, shards):
     names = ["part", "block", "runs"]
 
@@ -299,21 +360,19 @@ def _sort_shard(window, shards):
         at, of = order[new], np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         strings = [all_strings[i] for i in at.tolist()]
-        ends = np.cumsum([len(s) for s in strings]).astype(np.int64)
         least = np.full(len(strings), LAST)
         np.minimum.at(least, of, lowest)
-        first = first_documents(np.frombuffer(b"".join(strings), np.uint8), ends, least, window)
-        begins = np.concatenate([[0], ends[:-1]])
-        windows = ends - begins - window + 1
-        place = np.repeat(begins - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-        string = np.repeat(np.arange(len(strings)), windows)
-        doc = first[place]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (string[1:] != string[:-1])]
-        start = np.flatnonzero(new)
-        stop = np.append(start[1:], len(doc))
-        run_string, run_doc = string[start], doc[start]
-        run_first = place[start] - begins[run_string]
-        run_stop = run_first + stop - start
+        # equal windows have equal keys: a string that is alone with its key meets no other
+        same_key = np.diff(_turns(keys[at, 0]))
+        met = np.repeat(same_key > 1, same_key)
+        some, alone = np.flatnonzero(met), np.flatnonzero(~met)
+        met_runs = _runs([strings[i] for i in some.tolist()], least[some], window)
+        sizes = np.fromiter((len(strings[i]) for i in alone.tolist()), np.int64, len(alone))
+        alone_runs = np.arange(len(alone)), np.zeros(len(alone), np.int64), sizes - window + 1, least[alone]
+        run_string = np.concatenate([some[met_runs[0]], alone[alone_runs[0]]])
+        order = np.argsort(run_string, kind="stable")
+        run_string = run_string[order]
+        run_first, run_stop, run_doc = (np.concatenate(c)[order] for c in zip(met_runs[1:], alone_runs[1:], strict=True))
         runs = np.searchsorted(run_string, np.arange(len(strings) + 1))
         count = (runs[1:] - runs[:-1])[of]
         row = np.repeat(np.arange(len(of)), count)
@@ -358,12 +417,11 @@ def _cut_out(window, parts, shards):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", spans_type), ("kept", pa.binary())])
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return schema.empty_table()
-        ids, texts = docs.column("doc_id"), docs.column("text").to_pylist()
+        compared, whole, found = _apart(docs, found)
+        texts = compared.column("text").to_pylist()
         spans, kept = [[] for _ in texts], list(texts)
-        if found.num_rows:
-            block = Block(docs, window)
+        if found.num_rows and texts:
+            block = Block(compared, window)
             alone = pc.is_null(found.column("runs"))  # anchors, of which the hot ones are dealt window by window
             anchors, hot = _asked(found.filter(alone), parts)
             packed = found.filter(pc.invert(alone))
@@ -395,7 +453,11 @@ def _cut_out(window, parts, shards):
                     turn = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0))
                     spans[k] = [{"start": int(x), "stop": int(y)} for x, y in turn.reshape(-1, 2)]
                     kept[k] = block.text[a:b][~gone[a:b]].tobytes()
-        return pa.table([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())], schema=schema)
+        sizes = [*map(len, texts), *pc.binary_length(whole.column("text")).to_pylist()]
+        spans += [[{"start": 0, "stop": n}] for n in sizes[len(texts) :]]
+        kept += [b""] * whole.num_rows
+        ids = pa.concat_tables([compared, whole]).column("doc_id")
+        return pa.table([ids, pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())], schema=schema)
 
     return run
 
@@ -419,15 +481,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = int(min(max(1, -(-size // BUCKET_BYTES)), 50_000))
-    blocks = rows.mapInArrow(_deal_blocks, "block long, doc_id long, text binary")
+    blocks = rows.mapInArrow(_deal_blocks(window), "block long, doc_id long, text binary, name binary")
     # the table's buckets are its tasks' blocks: later steps meet them without a shuffle of texts
     blocks.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/tables/{name}").option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
     parts, shards = (int(max(1, -(-size // n))) for n in (PART_BYTES, SHARD_BYTES))
-    anchors = blocks.groupBy("block").applyInArrow(_anchors(window, parts), "part long, block long, anchors binary")
+    copies = materialize(_copies(blocks))
+    anchors = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_anchors(window, parts), "part long, block long, anchors binary")
     asked = materialize(anchors.groupBy("part").applyInArrow(_shared(HOT), "part long, block long, anchors binary, hot boolean"))
-    strings = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_dealt(window, parts, shards), "shard int, block long, strings binary")
+    dealt = asked.unionByName(copies, allowMissingColumns=True)
+    strings = blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_dealt(window, parts, shards), "shard int, block long, strings binary")
     found = strings.repartitionById(shards, "shard").mapInArrow(_sort_shard(window, shards), "part long, block long, runs binary")
-    found = found.unionByName(asked.where("hot").drop("hot"), allowMissingColumns=True)
+    found = found.unionByName(asked.where("hot").drop("hot"), allowMissingColumns=True).unionByName(copies, allowMissingColumns=True)
     out = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut_out(window, parts, shards), out)

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,63 @@ def test_cuts_shuffle_less_than_the_texts(spark):
     assert 0 < sum(written) < 0.8 * n_bytes
 
 
+def shuffled_by_cuts(spark, docs, path):
+    """Bytes of the texts, and those shuffled to cut them."""
+    docs.write.parquet(str(path))
+    docs = spark.read.parquet(str(path))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled_bytes(spark)
+    assert remove_repeats(docs).agg(F.sum("n_bytes")).first()[0] == n_bytes
+    return n_bytes, sum(n for stage, n in shuffled_bytes(spark).items() if stage > max(before))
+
+
+def test_cuts_of_repeated_tables_shuffle_names_of_copies(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(4)
+    once = shuffled_by_cuts(spark, docs, tmp_path / "once")[1]
+    times = spark.range(5).select(F.col("id").alias("k"))
+    repeated = docs.crossJoin(times).select((F.col("doc_id") + F.col("k") * 1_000_000).alias("doc_id"), "text").repartition(20)
+    assert shuffled_by_cuts(spark, repeated, tmp_path / "repeated")[1] < 2 * once
+
+
+def test_cuts_of_a_line_in_many_texts_shuffle_less_than_its_windows(spark, table, tmp_path):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, f"{word(60)} All rights reserved, see the licence for what it grants and forbids. {word(60)}") for i in range(9000)]
+    n_bytes, shuffled = shuffled_by_cuts(spark, table(rows).repartition(4), tmp_path / "docs")
+    assert shuffled < 2 * n_bytes
+
+
+def test_cuts_of_copies_equal_brute_force(spark, table):
+    rng = random.Random(7)
+    rows = long_shared(rng)
+    texts = [t for _, t in rows]
+    rows += [(i, rng.choice(texts)) for i in range(300, 360)] + [(-i, rng.choice(texts)) for i in range(5, 25)]
+    rows += [(500, "x" * 49), (501, "x" * 49), (502, "x" * 50), (502, "x" * 50), (503, "x" * 50), (None, "x" * 50), (2**63 - 1, texts[0])]
+    rng.shuffle(rows)
+    assert cut(table(rows).repartition(5)) == plain_cut(rows)
+
+
+def test_texts_without_a_common_window_rarely_share_anchors():
+    rng = random.Random(8)
+    parts = ("the ", "tion", "ing ", "of ", "and ", "er", "st ", "on ")
+    a, b = (np.frombuffer("".join(rng.choice(parts) for _ in range(60_000)).encode(), np.uint8) for _ in range(2))
+    (_, _, own), (_, _, other) = (repeats.passages(x, np.array([len(x)]), 50) for x in (a, b))
+    assert np.isin(own, other).mean() < 0.05
+
+
+def test_shard_sorts_only_strings_that_share_a_key(monkeypatch):
+    rng = random.Random(9)
+    lone, x, y = (bytes(rng.randrange(97, 123) for _ in range(60)) for _ in range(3))
+    pack = lambda docs: repeats._pack([np.diff(np.array([5, 9, 9]), prepend=0), np.array([60, 60, 60]), np.array(docs), np.zeros(3, np.int64)], lone + x + y)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([1, 2], pa.int64()), pa.array([pack([1, 1, 1]), pack([4, 4, 4])], pa.binary())], names=["shard", "block", "strings"])
+    sorted_, real = [], repeats.first_documents
+    monkeypatch.setattr(repeats, "first_documents", lambda text, *rest: sorted_.append(bytes(text)) or real(text, *rest))
+    out = pa.Table.from_batches(repeats._sort_shard(50, 1)([batch]))
+    assert len(sorted_) == 1 and sorted(sorted_[0][k : k + 60] for k in (0, 60)) == sorted([x, y]) and len(sorted_[0]) == 120
+    key, _, first, size, doc = repeats._unpack(out.column("runs")[0].as_py(), 5)[0]
+    assert out.column("block").to_pylist() == [2] and (np.cumsum(key).tolist(), first.tolist(), size.tolist(), doc.tolist()) == ([5, 9, 9], [0] * 3, [11] * 3, [1] * 3)
+
+
 def test_cuts_of_small_packs_and_many_parts(spark, table, monkeypatch):
     for name, value in {"PACK_BYTES": 200, "PART_BYTES": 900, "SHARD_BYTES": 3000, "STEP": 7, "HOT": 3}.items():
         monkeypatch.setattr(repeats, name, value)
